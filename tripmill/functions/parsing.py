@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A cast alone is too generous (date-only text, missing zeros, a trailing zone, padded or
+# A cast alone is too generous (date-only text, missing seconds, a trailing zone, padded or
 # type-suffixed numbers all pass), so the shape is checked first.
-TIME_TEXT = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(\.\d{1,9})?$"
+TIME_TEXT = r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{1,2}:\d{1,2}(\.\d{1,9})?$"
 NUMBER_TEXT = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]|[nN][aA][nN])$"
 
 

@@ -1,6 +1,6 @@
 """Mini-batch K-Means: centers move after every block of rows.
 
-Blocks are ranges of the hash priority, so block i is a filter and blocks follow a random
+Blocks are ranges of a hash priority, so block i is a filter and blocks follow a random
 but reproducible order.  Reading one small block out of a huge table would cost a scan per
 step, so blocks are fetched in windows that double in length: the number of scans grows with
 the logarithm of the number of blocks.  Each step is one distributed sum per cluster; the
@@ -28,9 +28,14 @@ BATCH_ROWS = 1_000
 STREAM_BLOCK_ROWS = 10_000
 RESTARTS = 10
 PATIENCE = 10
+# Relative drop of the smoothed error that counts as an improvement.
+LEAST_GAIN = 1e-3
 FIRST_WINDOW = 32
-# Blocks grow with the table beyond this many, so the number of jobs stays bounded.
-MAX_BLOCKS = 4_096
+# Blocks are drawn independently of the samples the points may come from.
+BLOCK_SEED = 7
+# A single pass over everything uses at most this many blocks: they grow with the table.
+MAX_PASS_BLOCKS = 32
+ROWS_PER_TASK = 10_000
 
 
 def update_centers(
@@ -47,19 +52,26 @@ def update_centers(
 class _Blocks:
     """Blocks in order, served from persisted windows of doubling length."""
 
-    def __init__(self, df: DataFrame, columns: Sequence[str], key: str, blocks: int, seed: int):
-        block = hash_block(hash_priority(F.col(key), seed), blocks)
+    def __init__(self, df: DataFrame, columns: Sequence[str], key: str, rows: int, block_rows: int):
+        self.count = max(1, math.ceil(rows / block_rows))
+        block = hash_block(hash_priority(F.col(key), BLOCK_SEED), self.count)
         self.source = df.select(block.alias("block"), *columns)
-        self.columns, self.blocks = list(columns), blocks
+        self.columns = list(columns)
+        # Small blocks need few tasks; large ones keep the partitions of the table.
+        self.tasks_wanted = math.ceil(block_rows / ROWS_PER_TASK)
         self.start = self.end = self.tasks = 0
         self.length, self.window = FIRST_WINDOW, None
 
     def _open(self, number: int) -> None:
         self.close()
-        self.start, self.end = number, min(self.blocks, number + self.length)
+        self.start, self.end = number, min(self.count, number + self.length)
         self.length *= 2
         inside = (F.col("block") >= self.start) & (F.col("block") < self.end)
-        self.window = self.source.filter(inside).persist(StorageLevel.MEMORY_AND_DISK)
+        window = self.source.filter(inside)
+        if self.tasks_wanted < window.sparkSession.sparkContext.defaultParallelism:
+            window = window.repartition(self.tasks_wanted)
+        # Sorted by block, a step skips the cached batches of all other blocks.
+        self.window = window.sortWithinPartitions("block").persist(StorageLevel.MEMORY_AND_DISK)
         self.tasks = self.window.rdd.getNumPartitions()
 
     def sums(self, number: int, centers: np.ndarray) -> tuple:
@@ -81,10 +93,6 @@ def best_start(sample: np.ndarray, k: int, seed: int, restarts: int) -> np.ndarr
     return min(starts, key=lambda centers: nearest_of(sample, centers)[1].sum())
 
 
-def _block_count(rows: int, block_rows: int) -> int:
-    return max(1, min(math.ceil(rows / block_rows), MAX_BLOCKS))
-
-
 def fit_minibatch(
     df: DataFrame,
     columns: Sequence[str],
@@ -97,16 +105,15 @@ def fit_minibatch(
     passes: int = 1,
     patience: int = PATIENCE,
 ) -> Fit:
-    """Stops early once the smoothed error per row has not improved for ``patience`` blocks."""
+    """Stops early once the smoothed error per row has hardly improved for ``patience`` blocks."""
     sample = seeding_sample(df, columns, key, seed=seed)
     centers = best_start(sample, k, seed, restarts)
     # A small first block must not undo the start, so it weighs as much as its sample rows.
     weights = np.bincount(nearest_of(sample, centers)[0], minlength=k).astype("float64")
-    blocks = _block_count(rows, batch_rows)
-    served = _Blocks(df, columns, key, blocks, seed)
+    served = _Blocks(df, columns, key, rows, batch_rows)
     smoothing = min(1.0, 2.0 * batch_rows / (rows + 1))
     smoothed, best, waited, steps = None, math.inf, 0, 0
-    for number in (i for _ in range(passes) for i in range(blocks)):
+    for number in (i for _ in range(passes) for i in range(served.count)):
         counts, sums, errors = served.sums(number, centers)
         if not counts.sum():
             continue
@@ -114,8 +121,9 @@ def fit_minibatch(
         steps += 1
         error = errors.sum() / counts.sum()
         smoothed = error if smoothed is None else smoothed + (error - smoothed) * smoothing
-        waited = 0 if smoothed < best else waited + 1
-        best = min(best, smoothed)
+        improved = smoothed < best * (1 - LEAST_GAIN)
+        waited = 0 if improved else waited + 1
+        best = smoothed if improved else best
         if waited >= patience:
             break
     served.close()
@@ -132,16 +140,15 @@ def fit_one_pass(
     seed: int = SEED,
     restarts: int = RESTARTS,
 ) -> Fit:
-    """Every row exactly once, block by block."""
+    """Every row exactly once, block by block; blocks grow with the table, their number does not."""
     sample = seeding_sample(df, columns, key, seed=seed)
     centers, weights = best_start(sample, k, seed, restarts), np.zeros(k)
-    blocks = _block_count(rows, block_rows)
-    served = _Blocks(df, columns, key, blocks, seed)
-    for number in range(blocks):
+    served = _Blocks(df, columns, key, rows, max(block_rows, math.ceil(rows / MAX_PASS_BLOCKS)))
+    for number in range(served.count):
         counts, sums, _ = served.sums(number, centers)
         centers, weights = update_centers(centers, weights, counts, sums)
     served.close()
-    return _scored(df, columns, centers, blocks)
+    return _scored(df, columns, centers, served.count)
 
 
 def _scored(df: DataFrame, columns: Sequence[str], centers: np.ndarray, steps: int) -> Fit:

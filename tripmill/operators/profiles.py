@@ -87,3 +87,9 @@ def distribution(df: DataFrame) -> DataFrame:
     if "size" in df.columns:
         return df.select("cluster", "size")
     return df.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+
+
+def with_share(sizes: DataFrame) -> DataFrame:
+    """Share of every cluster (the input has one row per cluster)."""
+    total = sizes.agg(F.sum("size")).first()[0]
+    return sizes.withColumn("share", F.col("size") / F.lit(total))

@@ -13,7 +13,7 @@ import math
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 EXACT_ROWS = 200_000
@@ -87,38 +87,48 @@ def _narrow(df: DataFrame, searches: list[Rank]) -> None:
                 search.below += piece["rows"]
 
 
-def find_ranks(df: DataFrame, ranks: Mapping[str, Iterable[int]]) -> list[Rank]:
-    """The value at each zero-based rank of each column (nulls are not counted)."""
-    doubles = df.select(*[F.col(name).cast("double").alias(name) for name in ranks])
-    bounds = doubles.agg(
+def _bounds(df: DataFrame, names: Iterable[str]) -> dict[str, Row]:
+    """Smallest and largest value and number of values of each column, in one pass."""
+    found = df.agg(
         *[
-            F.struct(F.min(name).alias("low"), F.max(name).alias("high"), F.count(name).alias("rows"))
-            .alias(name)
-            for name in ranks
+            F.struct(
+                F.min(F.col(name).cast("double")).alias("low"),
+                F.max(F.col(name).cast("double")).alias("high"),
+                F.count(name).alias("rows"),
+            ).alias(name)
+            for name in names
         ]
     ).first()
+    return found.asDict()
+
+
+def find_ranks(
+    df: DataFrame,
+    ranks: Mapping[str, Iterable[int]],
+    bounds: Mapping[str, Row] | None = None,
+) -> list[Rank]:
+    """The value at each zero-based rank of each column (nulls are not counted)."""
+    doubles = df.select(*[F.col(name).cast("double").alias(name) for name in ranks])
+    bounds = bounds or _bounds(df, ranks)
     searches = []
     for name, wanted in ranks.items():
+        low, high, rows = bounds[name]["low"], bounds[name]["high"], bounds[name]["rows"]
         for rank in wanted:
-            if not 0 <= rank < bounds[name]["rows"]:
-                raise ValueError(f"{name} has {bounds[name]['rows']} values, no rank {rank}")
-            low, high, rows = bounds[name]["low"], bounds[name]["high"], bounds[name]["rows"]
+            if not 0 <= rank < rows:
+                raise ValueError(f"{name} has {rows} values, no rank {rank}")
             searches.append(Rank(name, rank, low, high, 0, rows))
     while any(s.low < s.high for s in searches):
         _narrow(doubles, searches)
     return searches
 
 
-def order_statistics(df: DataFrame, ranks: Mapping[str, Iterable[int]]) -> dict[tuple[str, int], float]:
-    return {(found.column, found.rank): found.low for found in find_ranks(df, ranks)}
-
-
 def quantiles(
     df: DataFrame, wanted: Mapping[str, Iterable[float]], exact_rows: int = EXACT_ROWS
 ) -> dict[tuple[str, float], float | None]:
     """Quantiles by linear interpolation between neighbours, null for an all-null column."""
     wanted = {name: list(shares) for name, shares in wanted.items()}
-    counts = df.agg(*[F.count(name).alias(name) for name in wanted]).first()
+    bounds = _bounds(df, wanted)
+    counts = {name: bounds[name]["rows"] for name in wanted}
     found: dict[tuple[str, float], float | None] = {}
     small = [name for name in wanted if counts[name] <= exact_rows]
     if small:
@@ -135,7 +145,7 @@ def quantiles(
             n: sorted({f(places[n, q]) for q in wanted[n] for f in (math.floor, math.ceil)})
             for n in large
         }
-        values = order_statistics(df, ranks)
+        values = {(r.column, r.rank): r.low for r in find_ranks(df, ranks, bounds)}
         for (name, q), place in places.items():
             low, high = values[name, math.floor(place)], values[name, math.ceil(place)]
             found[name, q] = low + (high - low) * (place - math.floor(place))

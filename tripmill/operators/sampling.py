@@ -98,7 +98,7 @@ def holdout_rows(
 
 def hash_block(priority: Column, blocks: int) -> Column:
     """Block number by priority range: blocks follow each other in priority order."""
-    return F.floor(unit_interval(priority) * blocks).cast("int")
+    return F.floor(unit_interval(priority) * blocks).cast("bigint")
 
 
 def rank_block(rank: Column, block_rows: int) -> Column:

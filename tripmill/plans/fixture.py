@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripmill.schema import DISTANCE, DROPOFF, FARE, PICKUP, REQUIRED, ROW_ID, TOTAL
+from tripmill.sources.readers import with_row_position
 
 
 def _residue(modulus: int, rest: int) -> Column:
@@ -46,3 +47,28 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trips_of_events(read(spark, sf_dir, "events"))
+
+
+def trips_of_lineitem(lines: DataFrame) -> DataFrame:
+    """A larger trip table (six rows per event): quantities become miles, prices fares."""
+    offset = F.pmod(F.col("l_orderkey") * 7919 + F.col("l_partkey"), F.lit(86400))
+    seconds = 60 + F.pmod(
+        F.col("l_partkey") * 104729 + F.col("l_suppkey") * 7919 + F.col("l_linenumber"),
+        F.lit(7200),
+    )
+    pickup = F.col("l_shipdate") + F.make_dt_interval(secs=offset)
+    fare = 3 + F.col("l_extendedprice") / 1000
+    return lines.select(
+        ROW_ID,
+        pickup.alias(PICKUP),
+        (pickup + F.make_dt_interval(secs=seconds)).alias(DROPOFF),
+        (0.3 + F.col("l_quantity") * (1 + F.col("l_discount")) / 5).alias(DISTANCE),
+        fare.alias(FARE),
+        (fare * (1 + F.col("l_tax"))).alias(TOTAL),
+    )
+
+
+def line_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows are numbered by their position in the file, as lines have no single key."""
+    lines = with_row_position(read(spark, sf_dir, "lineitem"), "parquet")
+    return trips_of_lineitem(lines)

@@ -38,6 +38,20 @@ TRIPS = """trips AS (
 )"""
 
 
+LINE_TRIPS = """trips AS (
+  SELECT *, 3e0 + l_extendedprice / 1000e0 AS fare_amount,
+    (3e0 + l_extendedprice / 1000e0) * (1e0 + l_tax) AS total_amount,
+    tpep_pickup_datetime + INTERVAL 1 SECOND * CAST(60
+      + (l_partkey * 104729 + l_suppkey * 7919 + l_linenumber) % 7200 AS INTEGER)
+      AS tpep_dropoff_datetime
+  FROM (
+    SELECT *, 3e-1 + l_quantity * (1e0 + l_discount) / 5e0 AS trip_distance,
+      l_shipdate + INTERVAL 1 SECOND * CAST((l_orderkey * 7919 + l_partkey) % 86400 AS INTEGER)
+        AS tpep_pickup_datetime
+    FROM lineitem)
+)"""
+
+
 def _not_finite(name: str) -> str:
     return f"({name} IS NULL OR isnan({name}) OR isinf({name}))"
 
@@ -61,6 +75,7 @@ CLASSIFIED = f"""{TRIPS}, classified AS (
   FROM engineered
 ), good AS (SELECT * FROM classified WHERE rejection_reason IS NULL)"""
 
+LINE_CLASSIFIED = LINE_TRIPS + CLASSIFIED[CLASSIFIED.index(", timed AS") :]
 MOMENTS = _list([f"avg({n}) AS mean_{n}, stddev_pop({n}) AS scale_{n}" for n in FEATURES])
 SCALED = f"""{CLASSIFIED}, moments AS (SELECT {MOMENTS} FROM good), scaled AS (
   SELECT good.*, {_list([f"({n} - mean_{n}) / scale_{n} AS z_{n}" for n in FEATURES])}
@@ -115,7 +130,7 @@ def rounds(names, digits: int) -> str:
     return _list([f"round({n}, {digits}) AS {n}" for n in names])
 
 
-def _statistics() -> str:
+def _statistics(source: str = CLASSIFIED) -> str:
     parts = [
         f"""SELECT '{n}' AS feature, count({n}) AS "count", count(*) - count({n}) AS null_count,
   round(avg({n}), 5) AS mean, round(stddev_samp({n}), 5) AS std, round(min({n}), 5) AS "min",
@@ -123,7 +138,7 @@ def _statistics() -> str:
   round(quantile_cont({n}, 0.75), 5) AS q75, round(max({n}), 5) AS "max" FROM good"""
         for n in FEATURES
     ]
-    return f"WITH {CLASSIFIED} " + " UNION ALL ".join(parts)
+    return f"WITH {source} " + " UNION ALL ".join(parts)
 
 
 def _scaler() -> str:
@@ -328,6 +343,9 @@ def oracle_sql() -> dict[str, str]:
         "row_accounting": f"""{checked} count(*) AS raw_rows,
   count(*) FILTER (WHERE rejection_reason IS NULL) AS accepted_rows,
   count(*) FILTER (WHERE rejection_reason IS NOT NULL) AS rejected_rows FROM classified""",
+        "line_reasons": f"""WITH {LINE_CLASSIFIED} SELECT rejection_reason, count(*) AS "rows"
+  FROM classified GROUP BY rejection_reason""",
+        "line_statistics": _statistics(LINE_CLASSIFIED),
         "row_positions": "SELECT event_id, event_id AS row_id FROM events",
         "csv_row_positions": "SELECT event_id, event_id AS row_id FROM events",
         "timestamp_parse": f"""WITH spelled AS (SELECT event_id, CASE event_id % 8
@@ -336,7 +354,7 @@ def oracle_sql() -> dict[str, str]:
     WHEN 5 THEN 'x' || {CLOCK} WHEN 6 THEN substr({CLOCK}, 1, 16)
     ELSE substr({CLOCK}, 1, 5) || '13' || substr({CLOCK}, 8, 19) END AS spelled FROM events)
   SELECT event_id, spelled, CASE WHEN regexp_full_match(spelled,
-    '\\d{{4}}-\\d{{2}}-\\d{{2}}[ T]\\d{{2}}:\\d{{2}}:\\d{{2}}(\\.\\d{{1,9}})?')
+    '\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}[ T]\\d{{1,2}}:\\d{{1,2}}:\\d{{1,2}}(\\.\\d{{1,9}})?')
     THEN try_cast(replace(spelled, 'T', ' ') AS TIMESTAMP) END AS parsed FROM spelled""",
         "numeric_parse": f"""SELECT event_id, CASE event_id % 8 WHEN 0 THEN {CENTS}
     WHEN 1 THEN {CENTS} || 'e-2' WHEN 2 THEN '-' || {CENTS} || '.5' WHEN 3 THEN ' ' || {CENTS}
@@ -360,7 +378,7 @@ def oracle_sql() -> dict[str, str]:
         "holdout_rows": f"""WITH {CLASSIFIED}, {ranked("good", "row_id, " + _list(FEATURES))}
   SELECT row_id, {rounds(FEATURES, 6)} FROM ranked WHERE place > 500 AND place <= 530""",
         "priority_blocks": f"""SELECT CAST(floor(CAST({priority("l_orderkey")} AS DOUBLE)
-    / 4503599627370496e0 * 10) AS INTEGER) AS block, count(*) AS "rows",
+    / 4503599627370496e0 * 10) AS BIGINT) AS block, count(*) AS "rows",
   sum(l_quantity) AS quantity FROM lineitem GROUP BY 1""",
         "sample_blocks": f"""WITH {CLASSIFIED}, {ranked("good", "row_id, trip_distance")}
   SELECT CAST((place - 1) // 100 AS INTEGER) AS block, count(*) AS "rows",
@@ -385,7 +403,8 @@ def oracle_sql() -> dict[str, str]:
   '[' || string_agg(CAST(n AS VARCHAR), ',' ORDER BY cluster) || ']' AS cluster_sizes
   FROM (SELECT cluster, count(*) AS n FROM labeled GROUP BY cluster)""",
         "cluster_distribution": f"""{labeled} cluster, count(*) AS size,
-  'Cluster ' || cluster AS cluster_label FROM labeled GROUP BY cluster""",
+  'Cluster ' || cluster AS cluster_label,
+  round(count(*) / (SELECT count(*) FROM labeled), 6) AS share FROM labeled GROUP BY cluster""",
         "normalized_inertia": f"""{labeled} count(*) AS "rows",
   round(avg(squared_distance), 5) AS normalized_inertia FROM labeled""",
         "lloyd_steps": f"WITH {second} SELECT cluster, size, {rounds(Z, 5)} FROM again",

@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ from tripmill.functions.priority import portable_priority
 from tripmill.operators import anomalies, bundle as bundles, cleaning, kmeans, minibatch, profiles
 from tripmill.operators import projection, quality, results, sampling, scaling, selection
 from tripmill.plans import study
-from tripmill.plans.fixture import read, trips, trips_of_events
+from tripmill.plans.fixture import line_trips, read, trips, trips_of_events
 from tripmill.schema import ALTERNATIVE_SEED, FEATURES, REASON, REQUIRED, ROW_ID, SEED, Rules
 from tripmill.session import shared_folder
 from tripmill.sources import readers, writers
@@ -53,7 +54,8 @@ def good_trips(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scaled_trips(spark: SparkSession, sf: str) -> tuple[DataFrame, scaling.Scaler]:
-    good = good_trips(spark, sf)
+    # Read three to seven times by the queries below; a pipeline would have written it.
+    good = good_trips(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
     scaler = scaling.fit_scaler(good, FEATURES)
     return scaling.with_scaled(good, scaler), scaler
 
@@ -102,6 +104,20 @@ def reject_reasons(spark, sf):
     return cleaning.rejection_counts(classified(spark, sf))
 
 
+def line_reasons(spark, sf):
+    """Accounting of the larger trip table that is derived from the order lines."""
+    checked = cleaning.classify(line_trips(spark, sf))
+    return checked.groupBy(REASON).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def line_statistics(spark, sf):
+    good = cleaning.accepted(cleaning.classify(line_trips(spark, sf))).select(*FEATURES)
+    good = good.persist(StorageLevel.MEMORY_AND_DISK)
+    summary = profiles.feature_summary(good, FEATURES)
+    names = dict(zip(("25%", "50%", "75%"), ("q25", "q50", "q75")))
+    return rounded(summary.withColumnsRenamed(names), 5)
+
+
 def row_accounting(spark, sf):
     return cleaning.account(classified(spark, sf))
 
@@ -124,7 +140,9 @@ def csv_row_positions(spark, sf):
 
 def timestamp_parse(spark, sf):
     """Clock times as text in good and bad spellings, one spelling per row."""
-    clock = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    plain = F.col("ts").cast("string")
+    micros = F.rpad(F.substring(plain, 21, 6), 6, "0")
+    clock = F.concat(F.substring(plain, 1, 19), F.lit("."), micros)
     kind = F.col("event_id") % 8
     spelled = (
         F.when(kind == 0, clock)
@@ -178,7 +196,7 @@ def cross_format_check(spark, sf):
     source = trips(spark, sf).drop(ROW_ID).coalesce(1)
     folder = shared_folder(spark, "formats")
     source.write.parquet(f"{folder}/copy.parquet")
-    stamped = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in REQUIRED[:2]}
+    stamped = {c: F.col(c).cast("string") for c in REQUIRED[:2]}
     source.withColumns(stamped).write.option("header", True).csv(f"{folder}/copy.csv")
     sides = []
     for suffix in ("csv", "parquet"):
@@ -316,7 +334,8 @@ def cluster_shares(spark, sf):
 
 def cluster_distribution(spark, sf):
     counted = profiles.distribution(labeled_trips(spark, sf))
-    return counted.withColumn("cluster_label", text.cluster_label(F.col("cluster")))
+    labeled = counted.withColumn("cluster_label", text.cluster_label(F.col("cluster")))
+    return rounded(profiles.with_share(labeled), 6)
 
 
 def normalized_inertia(spark, sf):
@@ -762,6 +781,20 @@ def size_sweep(spark, sf):
     return study.size_sweep(points, Z, K, sizes=(rows // 4, rows // 2, 2 * rows))
 
 
+def line_points(spark, sf) -> tuple[DataFrame, int]:
+    good = cleaning.accepted(cleaning.classify(line_trips(spark, sf))).select(ROW_ID, *FEATURES)
+    good = good.persist(StorageLevel.MEMORY_AND_DISK)
+    scaler = scaling.fit_scaler(good, FEATURES)
+    points = scaling.with_scaled(good, scaler).select(ROW_ID, *Z)
+    return kmeans.spread_points(points, scaler.samples_seen).persist(), scaler.samples_seen
+
+
+def line_sweep(spark, sf):
+    """The published sizes on the larger trip table; sizes it does not reach are reported."""
+    points, _ = line_points(spark, sf)
+    return study.size_sweep(points, Z, K)
+
+
 def batch_study(spark, sf):
     points, _ = _points(spark, sf)
     return study.batch_study(points, Z, K)
@@ -824,6 +857,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         trip_rejects,
         reject_reasons,
         row_accounting,
+        line_reasons,
+        line_statistics,
         row_positions,
         csv_row_positions,
         timestamp_parse,
@@ -886,6 +921,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         fit_checks,
         k_study,
         size_sweep,
+        line_sweep,
         batch_study,
         stream_validate,
         stream_score,

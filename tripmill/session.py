@@ -8,9 +8,11 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: int | str = 8, name: str = "tripmill") -> SparkSession:
+def local_session(
+    cpus: int | str = 8, name: str = "tripmill", settings: dict[str, str] | None = None
+) -> SparkSession:
     """A session for tests and local benchmarks; clusters bring their own."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(cpus) if str(cpus).isdigit() else "8")
@@ -20,8 +22,10 @@ def local_session(cpus: int | str = 8, name: str = "tripmill") -> SparkSession:
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    for key, value in (settings or {}).items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:

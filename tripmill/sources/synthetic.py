@@ -25,13 +25,10 @@ def synthetic_trips(spark: SparkSession, n: int = 300, seed: int = SEED) -> Data
         _uniform(3.0, 8.0, seed, 4).alias("surcharge"),
     )
     start = F.lit("2025-01-01 00:00:00").cast("timestamp_ntz")
-    seconds = (F.col(DISTANCE) * F.col("pace") + 2) * 60
+    seconds = F.round((F.col(DISTANCE) * F.col("pace") + 2) * 60, 3)
     return (
-        drawn.withColumn(PICKUP, F.timestamp_add("HOUR", F.col("hours").cast("int"), start))
-        .withColumn(
-            DROPOFF,
-            F.timestamp_add("MILLISECOND", F.round(seconds * 1000).cast("int"), F.col(PICKUP)),
-        )
+        drawn.withColumn(PICKUP, start + F.make_dt_interval(hours=F.col("hours").cast("int")))
+        .withColumn(DROPOFF, F.col(PICKUP) + F.make_dt_interval(secs=seconds))
         .withColumn(FARE, F.col(DISTANCE) * 3 + F.col("surcharge"))
         .withColumn(TOTAL, F.col(DISTANCE) * 3 + 12)
         .select(ROW_ID, *REQUIRED)
