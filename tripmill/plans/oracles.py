@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tripmill.schema import FEATURES, PROFILE_COLUMNS
 
+# Rounded means are nudged (+ 1e-9): an exact half must not depend on the order of a sum.
 Z = [f"z_{name}" for name in FEATURES]
 FLOAT_LIMIT = "3.4028234663852886e38"
 
@@ -123,19 +124,19 @@ FLAGGED = f"""{LABELED}, measured AS (
 
 
 def means(names, digits: int = 5) -> str:
-    return _list([f"round(avg({n}), {digits}) AS {n}" for n in names])
+    return _list([f"round(avg({n}) + 1e-9, {digits}) AS {n}" for n in names])
 
 
 def rounds(names, digits: int) -> str:
-    return _list([f"round({n}, {digits}) AS {n}" for n in names])
+    return _list([f"round({n} + 1e-9, {digits}) AS {n}" for n in names])
 
 
 def _statistics(source: str = CLASSIFIED) -> str:
     parts = [
         f"""SELECT '{n}' AS feature, count({n}) AS "count", count(*) - count({n}) AS null_count,
-  round(avg({n}), 5) AS mean, round(stddev_samp({n}), 5) AS std, round(min({n}), 5) AS "min",
-  round(quantile_cont({n}, 0.25), 5) AS q25, round(quantile_cont({n}, 0.5), 5) AS q50,
-  round(quantile_cont({n}, 0.75), 5) AS q75, round(max({n}), 5) AS "max" FROM good"""
+  round(avg({n}) + 1e-9, 5) AS mean, round(stddev_samp({n}) + 1e-9, 5) AS std, round(min({n}) + 1e-9, 5) AS "min",
+  round(quantile_cont({n}, 0.25) + 1e-9, 5) AS q25, round(quantile_cont({n}, 0.5) + 1e-9, 5) AS q50,
+  round(quantile_cont({n}, 0.75) + 1e-9, 5) AS q75, round(max({n}) + 1e-9, 5) AS "max" FROM good"""
         for n in FEATURES
     ]
     return f"WITH {source} " + " UNION ALL ".join(parts)
@@ -143,8 +144,8 @@ def _statistics(source: str = CLASSIFIED) -> str:
 
 def _scaler() -> str:
     parts = [
-        f"""SELECT CAST({i} AS INTEGER) AS position, '{n}' AS feature, round(avg({n}), 5) AS mean,
-  round(sqrt(var_pop({n})), 5) AS scale, round(var_pop({n}), 5) AS variance,
+        f"""SELECT CAST({i} AS INTEGER) AS position, '{n}' AS feature, round(avg({n}) + 1e-9, 5) AS mean,
+  round(sqrt(var_pop({n})) + 1e-9, 5) AS scale, round(var_pop({n}) + 1e-9, 5) AS variance,
   count(*) AS samples_seen FROM good"""
         for i, n in enumerate(FEATURES)
     ]
@@ -154,7 +155,7 @@ def _scaler() -> str:
 def _prefixes() -> str:
     parts = [
         f"""SELECT CAST({parts} AS INTEGER) AS parts, count(*) AS "rows", max(p) AS last_priority,
-  round(sum(o_totalprice), 2) AS total FROM ranked WHERE place <= n // {parts}"""
+  round(sum(o_totalprice) + 1e-9, 2) AS total FROM ranked WHERE place <= n // {parts}"""
         for parts in (8, 4, 2, 1)
     ]
     return f"""WITH ranked AS (
@@ -297,9 +298,9 @@ def results(name: str, seeds, environment: str) -> str:
 LOCAL = f"{SCALED}, {results('local_rows', (42, 43), 'local')}"
 BOTH = f"{LOCAL}, {results('remote_rows', (44, 45), 'colab')}"
 PAIRED = """SELECT "rows", environment,
-  round(max(CASE WHEN algorithm = 'KMeans' THEN normalized_inertia END), 5)
+  round(max(CASE WHEN algorithm = 'KMeans' THEN normalized_inertia END) + 1e-9, 5)
     AS kmeans_normalized_inertia,
-  round(max(CASE WHEN algorithm = 'MiniBatchKMeans' THEN normalized_inertia END), 5)
+  round(max(CASE WHEN algorithm = 'MiniBatchKMeans' THEN normalized_inertia END) + 1e-9, 5)
     AS minibatch_normalized_inertia
   FROM {source} GROUP BY "rows", environment"""
 
@@ -322,8 +323,8 @@ def oracle_sql() -> dict[str, str]:
     labeled = f"WITH {LABELED} SELECT"
     flagged = f"WITH {FLAGGED} SELECT"
     study = f"WITH {_study()} SELECT"
-    scored_columns = """row_id, cluster, round(centroid_distance, 5) AS centroid_distance,
-  round(anomaly_ratio, 5) AS anomaly_ratio, distance_outlier"""
+    scored_columns = """row_id, cluster, round(centroid_distance + 1e-9, 5) AS centroid_distance,
+  round(anomaly_ratio + 1e-9, 5) AS anomaly_ratio, distance_outlier"""
     vector_pairs = """pairs AS (
   SELECT x.vec_id AS i, y.vec_id AS j,
     sqrt(list_sum(list_transform(list_zip(x.v, y.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS d
@@ -361,9 +362,9 @@ def oracle_sql() -> dict[str, str]:
     WHEN 4 THEN {CENTS} || 'd' WHEN 5 THEN 'inf' WHEN 6 THEN 'NaN' ELSE '' END AS spelled,
   CASE WHEN event_id % 8 <= 2 THEN 'finite' WHEN event_id % 8 = 5 THEN 'inf'
     WHEN event_id % 8 = 6 THEN 'nan' ELSE 'null' END AS state,
-  CASE event_id % 8 WHEN 0 THEN round(CAST({CENTS} AS DOUBLE), 4)
-    WHEN 1 THEN round(CAST({CENTS} || 'e-2' AS DOUBLE), 4)
-    WHEN 2 THEN round(CAST('-' || {CENTS} || '.5' AS DOUBLE), 4) END AS parsed FROM events""",
+  CASE event_id % 8 WHEN 0 THEN round(CAST({CENTS} AS DOUBLE) + 1e-9, 4)
+    WHEN 1 THEN round(CAST({CENTS} || 'e-2' AS DOUBLE) + 1e-9, 4)
+    WHEN 2 THEN round(CAST('-' || {CENTS} || '.5' AS DOUBLE) + 1e-9, 4) END AS parsed FROM events""",
         "cross_format_check": f"""{checked} count(*) AS "rows", CAST(0 AS BIGINT) AS label_gaps,
   CAST(0 AS BIGINT) AS distance_gaps FROM good""",
         "feature_statistics": _statistics(),
@@ -382,9 +383,9 @@ def oracle_sql() -> dict[str, str]:
   sum(l_quantity) AS quantity FROM lineitem GROUP BY 1""",
         "sample_blocks": f"""WITH {CLASSIFIED}, {ranked("good", "row_id, trip_distance")}
   SELECT CAST((place - 1) // 100 AS INTEGER) AS block, count(*) AS "rows",
-    round(avg(trip_distance), 6) AS trip_distance FROM ranked WHERE place <= 1000 GROUP BY 1""",
+    round(avg(trip_distance) + 1e-9, 6) AS trip_distance FROM ranked WHERE place <= 1000 GROUP BY 1""",
         "assign_clusters": f"""{labeled} row_id, cluster,
-  round(sqrt(squared_distance), 5) AS centroid_distance FROM labeled""",
+  round(sqrt(squared_distance) + 1e-9, 5) AS centroid_distance FROM labeled""",
         "embedding_assign": """WITH parts AS (
     SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS place
     FROM embeddings
@@ -394,53 +395,53 @@ def oracle_sql() -> dict[str, str]:
   ), distances AS (
     SELECT p.vec_id, p.label, n.cluster, sqrt(sum((p.x - n.m) * (p.x - n.m))) AS d
     FROM parts p JOIN numbered n USING (place) GROUP BY ALL
-  ) SELECT vec_id, label, cluster, round(d, 5) AS centroid_distance FROM distances
+  ) SELECT vec_id, label, cluster, round(d + 1e-9, 5) AS centroid_distance FROM distances
   QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, cluster) = 1""",
         "cluster_profiles": f"""{labeled} cluster, count(*) AS size, {means(PROFILE_COLUMNS)}
   FROM labeled GROUP BY cluster""",
         "cluster_shares": f"""{labeled} CAST(sum(n) AS BIGINT) AS "rows",
-  round(min(n) / sum(n), 6) AS min_cluster_share, round(max(n) / sum(n), 6) AS max_cluster_share,
+  round(min(n) / sum(n) + 1e-9, 6) AS min_cluster_share, round(max(n) / sum(n) + 1e-9, 6) AS max_cluster_share,
   '[' || string_agg(CAST(n AS VARCHAR), ',' ORDER BY cluster) || ']' AS cluster_sizes
   FROM (SELECT cluster, count(*) AS n FROM labeled GROUP BY cluster)""",
         "cluster_distribution": f"""{labeled} cluster, count(*) AS size,
   'Cluster ' || cluster AS cluster_label,
-  round(count(*) / (SELECT count(*) FROM labeled), 6) AS share FROM labeled GROUP BY cluster""",
+  round(count(*) / (SELECT count(*) FROM labeled) + 1e-9, 6) AS share FROM labeled GROUP BY cluster""",
         "normalized_inertia": f"""{labeled} count(*) AS "rows",
-  round(avg(squared_distance), 5) AS normalized_inertia FROM labeled""",
+  round(avg(squared_distance) + 1e-9, 5) AS normalized_inertia FROM labeled""",
         "lloyd_steps": f"WITH {second} SELECT cluster, size, {rounds(Z, 5)} FROM again",
         "centroid_units": f"WITH {LABELED}, {step('labeled', 'moved')} "
         + " UNION ALL ".join(
             f"""SELECT cluster, '{n}' AS feature,
-  round(z_{n} * scale_{n} + mean_{n}, 5) AS original FROM moved CROSS JOIN moments"""
+  round(z_{n} * scale_{n} + mean_{n} + 1e-9, 5) AS original FROM moved CROSS JOIN moments"""
             for n in FEATURES
         ),
         "adjusted_rand_trips": f"""WITH {LABELED}, {drawn(3, 43, "others")},
   {nearest("scaled", "others", "relabeled")},
   cells AS (SELECT l.cluster AS a, r.cluster AS b, count(*) AS n
     FROM labeled l JOIN relabeled r USING (row_id) GROUP BY ALL), {rand_index("cells")}
-  SELECT "rows", round(ari, 6) AS ari FROM agreement""",
+  SELECT "rows", round(ari + 1e-9, 6) AS ari FROM agreement""",
         "adjusted_rand_embeddings": f"""WITH cells AS (
     SELECT label AS a, vec_id % 7 AS b, count(*) AS n FROM embeddings GROUP BY ALL),
-  {rand_index("cells")} SELECT "rows", round(ari, 6) AS ari FROM agreement""",
+  {rand_index("cells")} SELECT "rows", round(ari + 1e-9, 6) AS ari FROM agreement""",
         "silhouette_trips": f"""WITH {LABELED}, {ranked("labeled", "row_id, cluster, " + _list(Z))},
   metric AS (SELECT * FROM ranked WHERE place <= 2000),
   pairs AS (SELECT x.row_id AS i, y.row_id AS j, sqrt({squares("x", "y")}) AS d
     FROM metric x CROSS JOIN metric y),
   members AS (SELECT row_id AS i, cluster AS label FROM metric), {silhouette("pairs", "members")}
-  SELECT "rows", round(silhouette, 5) AS silhouette FROM widths""",
+  SELECT "rows", round(silhouette + 1e-9, 5) AS silhouette FROM widths""",
         "silhouette_embeddings": f"""WITH metric AS (
     SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v
     FROM embeddings ORDER BY {priority("vec_id")}, vec_id LIMIT 2000
   ), {vector_pairs}, members AS (SELECT vec_id AS i, label FROM metric),
   {silhouette("pairs", "members")}
-  SELECT "rows", round(silhouette, 5) AS silhouette FROM widths""",
-        "anomaly_threshold": f"{flagged} round(threshold, 5) AS threshold FROM cut",
-        "anomaly_rows": f"""{flagged} row_id, cluster, round(centroid_distance, 5)
-  AS centroid_distance, round(anomaly_ratio, 5) AS anomaly_ratio
+  SELECT "rows", round(silhouette + 1e-9, 5) AS silhouette FROM widths""",
+        "anomaly_threshold": f"{flagged} round(threshold + 1e-9, 5) AS threshold FROM cut",
+        "anomaly_rows": f"""{flagged} row_id, cluster, round(centroid_distance + 1e-9, 5)
+  AS centroid_distance, round(anomaly_ratio + 1e-9, 5) AS anomaly_ratio
   FROM flagged WHERE distance_outlier""",
         "anomaly_summary": f"""{flagged} count(*) FILTER (WHERE distance_outlier) AS outliers,
   count(*) AS population_rows,
-  round(count(*) FILTER (WHERE distance_outlier) / count(*), 6) AS outlier_rate FROM flagged""",
+  round(count(*) FILTER (WHERE distance_outlier) / count(*) + 1e-9, 6) AS outlier_rate FROM flagged""",
         "anomaly_by_cluster": f"""{flagged} cluster,
   count(*) FILTER (WHERE distance_outlier) AS outliers, count(*) AS population_rows
   FROM flagged GROUP BY cluster""",
@@ -448,13 +449,13 @@ def oracle_sql() -> dict[str, str]:
   count(*) FILTER (WHERE anomaly_ratio > 1) AS above_1x,
   count(*) FILTER (WHERE anomaly_ratio > 2) AS above_2x,
   count(*) FILTER (WHERE anomaly_ratio > 5) AS above_5x FROM flagged GROUP BY cluster""",
-        "anomaly_filter": f"""{flagged} row_id, cluster, round(anomaly_ratio, 5) AS anomaly_ratio
+        "anomaly_filter": f"""{flagged} row_id, cluster, round(anomaly_ratio + 1e-9, 5) AS anomaly_ratio
   FROM flagged WHERE anomaly_ratio > 2 AND cluster = 0""",
-        "anomaly_evidence": f"""{flagged} round(max(anomaly_ratio), 5) AS max_ratio,
-  round(median(anomaly_ratio), 5) AS median_ratio,
-  round(median(trip_distance), 5) AS median_distance,
-  round(median(fare_per_mile), 5) AS median_fare_per_mile FROM flagged WHERE distance_outlier""",
-        "anomaly_top5": f"""{flagged} row_id, cluster, round(flagged.anomaly_ratio, 5)
+        "anomaly_evidence": f"""{flagged} round(max(anomaly_ratio) + 1e-9, 5) AS max_ratio,
+  round(median(anomaly_ratio) + 1e-9, 5) AS median_ratio,
+  round(median(trip_distance) + 1e-9, 5) AS median_distance,
+  round(median(fare_per_mile) + 1e-9, 5) AS median_fare_per_mile FROM flagged WHERE distance_outlier""",
+        "anomaly_top5": f"""{flagged} row_id, cluster, round(flagged.anomaly_ratio + 1e-9, 5)
   AS anomaly_ratio FROM flagged WHERE distance_outlier
   ORDER BY flagged.anomaly_ratio DESC, row_id LIMIT 5""",
         "anomaly_histogram": f"""WITH {FLAGGED}, bounds AS (
@@ -463,11 +464,11 @@ def oracle_sql() -> dict[str, str]:
   ), placed AS (
     SELECT CAST(least(floor((anomaly_ratio - low) / width), 49) AS INTEGER) AS bin, low, width
     FROM flagged CROSS JOIN bounds
-  ) SELECT bin, round(low + bin * width, 5) AS low, count(*) AS "rows"
+  ) SELECT bin, round(low + bin * width + 1e-9, 5) AS low, count(*) AS "rows"
   FROM placed GROUP BY bin, placed.low, width""",
         "profile_text": f"""{labeled} cluster, 'Cluster ' || cluster AS cluster_label,
-  round({HOUR}, 5) AS mean_hour,
-  round(sqrt(avg(hour_sin) * avg(hour_sin) + avg(hour_cos) * avg(hour_cos)), 5) AS concentration,
+  round({HOUR} + 1e-9, 5) AS mean_hour,
+  round(sqrt(avg(hour_sin) * avg(hour_sin) + avg(hour_cos) * avg(hour_cos)) + 1e-9, 5) AS concentration,
   {DESCRIPTION.format(hour=HOUR)} AS cluster_description FROM labeled GROUP BY cluster""",
         "score_rows": f"""WITH {FLAGGED}, texts AS (
     SELECT cluster, {DESCRIPTION.format(hour=HOUR)} AS description FROM labeled
@@ -489,10 +490,10 @@ def oracle_sql() -> dict[str, str]:
         "k_scores": f"""{study} k, "rows", cluster_sizes, {rounds(("normalized_inertia",
             "silhouette", "stability_ari", "min_cluster_share", "max_cluster_share"), 5)}
   FROM scores""",
-        "elbow_table": f"""{study} k, round(normalized_inertia, 5) AS normalized_inertia,
-  round(elbow_strength, 5) AS elbow_strength, eligible FROM elbow""",
-        "choose_k": f"""{study} k, round(e.elbow_strength, 5) AS elbow_strength,
-  round(min_cluster_share, 5) AS min_cluster_share FROM elbow e WHERE eligible
+        "elbow_table": f"""{study} k, round(normalized_inertia + 1e-9, 5) AS normalized_inertia,
+  round(elbow_strength + 1e-9, 5) AS elbow_strength, eligible FROM elbow""",
+        "choose_k": f"""{study} k, round(e.elbow_strength + 1e-9, 5) AS elbow_strength,
+  round(min_cluster_share + 1e-9, 5) AS min_cluster_share FROM elbow e WHERE eligible
   ORDER BY e.elbow_strength DESC, k LIMIT 1""",
         "choose_k_gates": f"""{study} minimum_share, max_by(k, (elbow_strength, -k)) AS k,
   count(*) AS eligible FROM elbow JOIN (
@@ -502,7 +503,7 @@ def oracle_sql() -> dict[str, str]:
         "candidate_profiles": f"""{study} k, cluster, count(*) AS size, {means(FEATURES)}
   FROM first JOIN good USING (row_id) GROUP BY k, cluster""",
         "combine_results": f"""WITH {BOTH} SELECT * REPLACE (
-    round(normalized_inertia, 5) AS normalized_inertia) FROM (
+    round(normalized_inertia + 1e-9, 5) AS normalized_inertia) FROM (
     SELECT * FROM local_rows UNION ALL SELECT * FROM remote_rows)""",
         "import_violations": f"""WITH {BOTH}, faulty AS (
     SELECT "rows", "rows" * 3 < max("rows") OVER () AS small, algorithm,
@@ -524,7 +525,7 @@ def oracle_sql() -> dict[str, str]:
   {PAIRED.format(source='both_rows')} ORDER BY "rows" DESC, environment LIMIT 1""",
         "comparison_rows": f"""WITH {BOTH}
   SELECT "rows", algorithm, environment || ' · ' || algorithm AS series,
-    'normalized_inertia' AS metric, round(normalized_inertia, 5) AS value
+    'normalized_inertia' AS metric, round(normalized_inertia + 1e-9, 5) AS value
   FROM (SELECT * FROM local_rows UNION ALL SELECT * FROM remote_rows)""",
         "latest_attempt": """SELECT o_custkey, max(o_orderkey) AS o_orderkey,
   max_by(o_orderstatus, o_orderkey) AS o_orderstatus,

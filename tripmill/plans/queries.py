@@ -36,10 +36,15 @@ PREFIX_PARTS = (8, 4, 2, 1)
 OPEN_GATES = selection.Gates(0.005, -1.0, -1.0)
 
 
+def near(value: Column, digits: int) -> Column:
+    """Rounded for comparison; the nudge keeps exact halves from following the sum's order."""
+    return F.round(value + 1e-9, digits)
+
+
 def rounded(df: DataFrame, digits: int, names: Sequence[str] | None = None) -> DataFrame:
     """Doubles rounded for comparison across engines (sums depend on their order)."""
     chosen = names or [f.name for f in df.schema.fields if f.dataType.typeName() == "double"]
-    return df.withColumns({name: F.round(name, digits) for name in chosen})
+    return df.withColumns({name: near(F.col(name), digits) for name in chosen})
 
 
 # ---- shared inputs -------------------------------------------------------------------------
@@ -180,7 +185,7 @@ def numeric_parse(spark, sf):
         .when(F.col("parsed") == float("inf"), "inf")
         .otherwise("finite")
     )
-    finite = F.when(state == "finite", F.round("parsed", 4))
+    finite = F.when(state == "finite", near(F.col("parsed"), 4))
     return parsed.select("event_id", "spelled", state.alias("state"), finite.alias("parsed"))
 
 
@@ -267,7 +272,7 @@ def nested_prefix_counts(spark, sf):
                 F.lit(parts).alias("parts"),
                 F.count(F.lit(1)).alias("rows"),
                 F.max("priority").alias("last_priority"),
-                F.round(F.sum("o_totalprice"), 2).alias("total"),
+                near(F.sum("o_totalprice"), 2).alias("total"),
             )
         )
     return reduce(DataFrame.unionByName, tables)
@@ -452,8 +457,8 @@ def profile_text(spark, sf):
     return described.select(
         "cluster",
         text.cluster_label(F.col("cluster")).alias("cluster_label"),
-        F.round(hour, 5).alias("mean_hour"),
-        F.round(pull, 5).alias("concentration"),
+        near(hour, 5).alias("mean_hour"),
+        near(pull, 5).alias("concentration"),
         "cluster_description",
     )
 
