@@ -22,9 +22,10 @@ def test_interpolated_percentile(spark):
     assert found["x", 0.99] == pytest.approx(8.85)
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_narrowing_equals_brute_force(spark, monkeypatch, seed):
+@pytest.mark.parametrize(("seed", "sketch_rows"), [(1, 10**9), (2, 10**9), (3, 10), (4, 10)])
+def test_narrowing_equals_brute_force(spark, monkeypatch, seed, sketch_rows):
     """A third of the rows share one value, the rest spread over many magnitudes."""
+    monkeypatch.setattr(quantiles, "SKETCH_ROWS", sketch_rows)
     monkeypatch.setattr(quantiles, "LISTED_ROWS", 5)
     monkeypatch.setattr(quantiles, "BINS", 16)
     rng = np.random.default_rng(seed)
@@ -35,6 +36,13 @@ def test_narrowing_equals_brute_force(spark, monkeypatch, seed):
         assert found["x", share] == pytest.approx(np.quantile(values, share), rel=1e-12)
 
 
+def test_a_wrong_sketch_is_not_used(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "SKETCH_ROWS", 10)
+    monkeypatch.setattr(quantiles.F, "percentile_approx", lambda n, shares, _: F.array(*[F.lit(0.0)] * len(shares)))
+    found = quantiles.quantiles(numbers(spark, range(1, 102)), {"x": [0.25, 0.5]}, exact_rows=0)
+    assert found == {("x", 0.25): 26.0, ("x", 0.5): 51.0}
+
+
 def test_quantiles_skip_nulls_and_handle_empty_columns(spark):
     df = numbers(spark, [None, 1, None, 3])
     assert quantiles.quantiles(df, {"x": [0.5]})["x", 0.5] == 2

@@ -44,6 +44,17 @@ def _nearest_batches(centers: np.ndarray, packed: bool):
     return nearest
 
 
+def nearest_columns(distances: Column) -> tuple[Column, Column]:
+    """Cluster and squared distance from an array column of squared distances."""
+    smallest = F.array_min(distances)
+    return (F.array_position(distances, smallest) - 1).cast("int"), smallest
+
+
+def distance_array(inputs: Sequence[str], centers: np.ndarray) -> Column:
+    columns = [F.col(name) for name in inputs]
+    return F.array(*[squared_distance(columns, center) for center in centers])
+
+
 def with_nearest(df: DataFrame, inputs: Sequence[str] | str, centers: np.ndarray) -> DataFrame:
     """Add ``cluster`` and ``squared_distance``.
 
@@ -52,14 +63,10 @@ def with_nearest(df: DataFrame, inputs: Sequence[str] | str, centers: np.ndarray
     centers = np.asarray(centers, dtype="float64")
     packed = isinstance(inputs, str)
     if not packed and centers.size <= MAX_LITERALS:
-        columns = [F.col(name) for name in inputs]
-        every = F.array(*[squared_distance(columns, center) for center in centers])
-        measured = df.withColumn("__distances", every)
-        smallest = F.array_min("__distances")
-        position = F.array_position(F.col("__distances"), smallest)
+        cluster, smallest = nearest_columns(F.col("__distances"))
         return (
-            measured.withColumn("squared_distance", smallest)
-            .withColumn("cluster", (position - 1).cast("int"))
+            df.withColumn("__distances", distance_array(inputs, centers))
+            .withColumns({"squared_distance": smallest, "cluster": cluster})
             .drop("__distances")
         )
     arguments = [inputs] if packed else list(inputs)

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tripmill.functions.geometry import MAX_LITERALS, distance_array, nearest_columns
 from tripmill.functions.geometry import nearest_of, with_nearest
 from tripmill.functions.priority import hash_priority
 from tripmill.schema import SEED
@@ -27,10 +28,13 @@ TOLERANCE = 1e-4
 # Rows the starting centers are drawn from (a bounded hash sample; the fit uses every row).
 SEEDING_ROWS = 4_096
 # Steps a start is refined by on that sample, which saves passes over the table.
-REFINING_STEPS = 10
+REFINING_STEPS = 50
 BATCH_CELLS = 2_000_000
 # Partial sums are added up on the driver only while they are this few rows; else by Spark.
 DRIVER_SUM_ROWS = 20_000
+# From this many rows on, small models are summed by expressions inside the engine: compiling
+# new centers into a plan costs more than a pass over few rows, and less than one over many.
+EXPRESSION_ROWS = 3_000_000
 # Points of small tables are spread over the cores; large tables already have many tasks.
 SPREAD_ROWS = 5_000_000
 
@@ -95,8 +99,12 @@ def seeding_sample(
 
 def refine(sample: np.ndarray, centers: np.ndarray, steps: int) -> np.ndarray:
     """Move starting centers to the cluster means of the (bounded) seeding sample."""
+    before = None
     for _ in range(steps):
         labels, _ = nearest_of(sample, centers)
+        if before is not None and np.array_equal(labels, before):
+            break
+        before = labels
         member = np.eye(len(centers))[labels]
         sizes = member.sum(axis=0)
         means = (member.T @ sample) / np.maximum(sizes, 1)[:, None]
@@ -107,10 +115,16 @@ def refine(sample: np.ndarray, centers: np.ndarray, steps: int) -> np.ndarray:
 def starting_centers(
     sample: np.ndarray, k: int, seed: int, restarts: int, steps: int = REFINING_STEPS
 ) -> list[np.ndarray]:
+    """Refined starts.  Restarts that meet in the same place are followed only once."""
     if len(sample) < k:
         raise ValueError(f"{k} clusters need at least {k} rows, found {len(sample)}")
     rng = np.random.default_rng(seed)
-    return [refine(sample, seed_centers(sample, k, rng), steps) for _ in range(restarts)]
+    starts: dict[bytes, np.ndarray] = {}
+    for _ in range(restarts):
+        centers = refine(sample, seed_centers(sample, k, rng), steps)
+        ordered = centers[np.lexsort(centers.T[::-1])]
+        starts.setdefault(np.round(ordered, 6).tobytes(), centers)
+    return list(starts.values())
 
 
 class _ClusterSums:
@@ -164,13 +178,28 @@ def spread_points(points: DataFrame, rows: int) -> DataFrame:
     return points.repartition(points.sparkSession.sparkContext.defaultParallelism)
 
 
-def cluster_sums(
-    points: DataFrame, centers: Mapping[int, np.ndarray], tasks: int | None = None
-) -> dict[int, tuple]:
-    """Counts, sums and squared error of every cluster of every numbered model, in one job.
+def _sums_by_expression(points: DataFrame, centers: Mapping[int, np.ndarray]) -> DataFrame:
+    """Centers as literals: one nearest-center entry per row and model, summed by Spark."""
+    names = points.columns
+    arrays = {f"__d{i}": distance_array(names, c) for i, c in centers.items()}
+    entries = []
+    for i in centers:
+        cluster, smallest = nearest_columns(F.col(f"__d{i}"))
+        entries.append(
+            F.struct(F.lit(i).alias("model"), cluster.alias("cluster"), smallest.alias("error"))
+        )
+    each = points.withColumns(arrays).select(*names, F.inline(F.array(*entries)))
+    return each.groupBy("model", "cluster").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum("error").alias("error"),
+        *[F.sum(name).alias(f"s{axis}") for axis, name in enumerate(names)],
+    )
 
-    ``tasks`` is the number of partitions where the caller knows it.
-    """
+
+def _sums_by_batch(
+    points: DataFrame, centers: Mapping[int, np.ndarray], tasks: int | None
+) -> DataFrame:
+    """Centers in the task closure: each task reduces its Arrow batches to cluster sums."""
     width = next(iter(centers.values())).shape[1]
     axes = [f"s{axis}" for axis in range(width)]
     schema = "model int, cluster int, rows bigint, error double, " + ", ".join(
@@ -182,15 +211,34 @@ def cluster_sums(
         partial = partial.groupBy("model", "cluster").agg(
             *[F.sum(name).alias(name) for name in ("rows", "error", *axes)]
         )
+    return partial
+
+
+def cluster_sums(
+    points: DataFrame,
+    centers: Mapping[int, np.ndarray],
+    tasks: int | None = None,
+    rows: int = 0,
+) -> dict[int, tuple]:
+    """Counts, sums and squared error of every cluster of every numbered model, in one job.
+
+    ``tasks`` (partitions) and ``rows`` are given where the caller knows them.
+    """
+    width = next(iter(centers.values())).shape[1]
+    literals = sum(c.size for c in centers.values())
+    if rows >= EXPRESSION_ROWS and literals <= MAX_LITERALS and len(points.columns) == width:
+        summed = _sums_by_expression(points, centers)
+    else:
+        summed = _sums_by_batch(points, centers, tasks)
     found = {
         number: (np.zeros(len(c), dtype="int64"), np.zeros((len(c), width)), np.zeros(len(c)))
         for number, c in centers.items()
     }
-    for row in partial.collect():
+    for row in summed.collect():
         counts, sums, errors = found[row["model"]]
         counts[row["cluster"]] += row["rows"]
         errors[row["cluster"]] += row["error"]
-        sums[row["cluster"]] += [row[axis] for axis in axes]
+        sums[row["cluster"]] += [row[f"s{axis}"] for axis in range(width)]
     return found
 
 
@@ -208,14 +256,16 @@ def fit_many(
     owners = [key for key, options in starts.items() for _ in options]
     centers = {i: c for i, c in enumerate(c for options in starts.values() for c in options)}
     fits = {i: Fit(c) for i, c in centers.items()}
-    tasks = points.rdd.getNumPartitions()
+    tasks, rows = points.rdd.getNumPartitions(), 0
     settled: set[int] = set()
     active = set(centers)
     for step in range(max_iterations + 1):
-        results = cluster_sums(points, {i: fits[i].centers for i in sorted(active)}, tasks)
+        current = {i: fits[i].centers for i in sorted(active)}
+        results = cluster_sums(points, current, tasks, rows)
         for i, (counts, sums, errors) in results.items():
             fit = fits[i]
-            fit.rows, fit.inertia = int(counts.sum()), float(errors.sum())
+            rows = int(counts.sum())
+            fit.rows, fit.inertia = rows, float(errors.sum())
             fit.sizes = counts.tolist()
             if i in settled or step == max_iterations:
                 active.discard(i)

@@ -53,7 +53,7 @@ class _Blocks:
     """Blocks in order, served from persisted windows of doubling length."""
 
     def __init__(self, df: DataFrame, columns: Sequence[str], key: str, rows: int, block_rows: int):
-        self.count = max(1, math.ceil(rows / block_rows))
+        self.count, self.block_rows = max(1, math.ceil(rows / block_rows)), block_rows
         block = hash_block(hash_priority(F.col(key), BLOCK_SEED), self.count)
         self.source = df.select(block.alias("block"), *columns)
         self.columns = list(columns)
@@ -79,7 +79,7 @@ class _Blocks:
         if not self.start <= number < self.end:
             self._open(number)
         block = self.window.filter(F.col("block") == number).select(*self.columns)
-        return cluster_sums(block, {0: centers}, self.tasks)[0]
+        return cluster_sums(block, {0: centers}, self.tasks, self.block_rows)[0]
 
     def close(self) -> None:
         if self.window is not None:
@@ -127,7 +127,7 @@ def fit_minibatch(
         if waited >= patience:
             break
     served.close()
-    return _scored(df, columns, centers, steps)
+    return _scored(df, columns, centers, rows, steps)
 
 
 def fit_one_pass(
@@ -148,10 +148,12 @@ def fit_one_pass(
         counts, sums, _ = served.sums(number, centers)
         centers, weights = update_centers(centers, weights, counts, sums)
     served.close()
-    return _scored(df, columns, centers, served.count)
+    return _scored(df, columns, centers, rows, served.count)
 
 
-def _scored(df: DataFrame, columns: Sequence[str], centers: np.ndarray, steps: int) -> Fit:
+def _scored(
+    df: DataFrame, columns: Sequence[str], centers: np.ndarray, rows: int, steps: int
+) -> Fit:
     """Sizes and error of the final centers over all rows."""
-    counts, _, errors = cluster_sums(df.select(*columns), {0: centers})[0]
+    counts, _, errors = cluster_sums(df.select(*columns), {0: centers}, None, rows)[0]
     return Fit(centers, float(errors.sum()), int(counts.sum()), steps, counts.tolist())

@@ -1,10 +1,11 @@
 """Exact order statistics and quantiles without sorting or collecting a column.
 
 ``percentile`` keeps every distinct value of a group in one task, which is right for small
-inputs only.  Beyond EXACT_ROWS the value range is narrowed instead: each pass counts
-equal-width bins inside the current bracket (combined map-side) and keeps the bin that holds
-the wanted rank.  A bracket is finished when it has one distinct value, so a value shared by
-a third of all rows ends the search at once, or when few enough rows are left to list.
+inputs only.  Beyond EXACT_ROWS the value range is narrowed instead.  Large inputs start from
+the bracket an approximate sketch gives, once an exact count has confirmed it.  Each pass then
+counts equal-width bins inside the current bracket (combined map-side) and keeps the bin that
+holds the wanted rank.  A bracket is finished when it has one distinct value, so a value shared
+by a third of all rows ends the search at once, or when few enough rows are left to list.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -19,6 +22,10 @@ from pyspark.sql import functions as F
 EXACT_ROWS = 200_000
 LISTED_ROWS = 20_000
 BINS = 2048
+# Larger columns start from a sketch whose rank error is one in SKETCH_ACCURACY.
+SKETCH_ROWS = 1_000_000
+SKETCH_ACCURACY = 10_000
+SKETCH_GRID = 1e-5
 
 
 @dataclass
@@ -42,6 +49,8 @@ class Rank:
 
 def _count_bins(df: DataFrame, brackets: list[tuple[str, float, float]], bins: int):
     """Rows per (bracket, bin); with bins = 0 every distinct value is its own bin."""
+    # Most rows lie outside every bracket; they leave before any entry is built for them.
+    inside = [F.col(column).between(F.lit(low), F.lit(high)) for column, low, high in brackets]
     pieces = []
     for number, (column, low, high) in enumerate(brackets):
         value = F.col(column)
@@ -52,7 +61,7 @@ def _count_bins(df: DataFrame, brackets: list[tuple[str, float, float]], bins: i
             bin_ = value
         pieces.append(
             F.when(
-                value.between(F.lit(low), F.lit(high)),
+                inside[number],
                 F.struct(
                     F.lit(number).alias("bracket"),
                     bin_.alias("bin"),
@@ -60,7 +69,8 @@ def _count_bins(df: DataFrame, brackets: list[tuple[str, float, float]], bins: i
                 ),
             )
         )
-    found = df.select(F.explode(F.array_compact(F.array(*pieces))).alias("hit")).select("hit.*")
+    entries = F.explode(F.array_compact(F.array(*pieces))).alias("hit")
+    found = df.filter(reduce(or_, inside)).select(entries).select("hit.*")
     counted = found.groupBy("bracket", "bin").agg(
         F.count(F.lit(1)).alias("rows"), F.min("value").alias("low"), F.max("value").alias("high")
     )
@@ -87,6 +97,41 @@ def _narrow(df: DataFrame, searches: list[Rank]) -> None:
                 search.below += piece["rows"]
 
 
+def _sketch_brackets(df: DataFrame, searches: list[Rank]) -> None:
+    """Shrink brackets to a sketched neighbourhood of the rank, if exact counts agree."""
+    margin = 2 / SKETCH_ACCURACY + SKETCH_GRID
+    edges: dict[str, list[float]] = {}
+    spans = {}
+    for s in searches:
+        share = round(s.rank / s.rows / SKETCH_GRID) * SKETCH_GRID
+        spans[s.column, s.rank] = (max(share - margin, 0.0), min(share + margin, 1.0))
+        edges.setdefault(s.column, []).extend(spans[s.column, s.rank])
+    edges = {name: sorted(set(shares)) for name, shares in edges.items()}
+    sketch = df.agg(
+        *[F.percentile_approx(n, shares, SKETCH_ACCURACY).alias(n) for n, shares in edges.items()]
+    ).first()
+    at = {(n, q): v for n, shares in edges.items() for q, v in zip(shares, sketch[n], strict=True)}
+    brackets = {}
+    for s in searches:
+        low, high = spans[s.column, s.rank]
+        brackets[s.column, s.rank] = (s.column, at[s.column, low], at[s.column, high])
+    distinct = list(dict.fromkeys(brackets.values()))
+    counts = df.agg(
+        *[F.count_if(F.col(n) < low).alias(f"b{i}") for i, (n, low, _) in enumerate(distinct)],
+        *[
+            F.count_if(F.col(n).between(low, high)).alias(f"r{i}")
+            for i, (n, low, high) in enumerate(distinct)
+        ],
+    ).first()
+    for s in searches:
+        bracket = brackets[s.column, s.rank]
+        i = distinct.index(bracket)
+        below, rows = counts[f"b{i}"], counts[f"r{i}"]
+        if below <= s.rank < below + rows:
+            _, s.low, s.high = bracket
+            s.below, s.rows = below, rows
+
+
 def _bounds(df: DataFrame, names: Iterable[str]) -> dict[str, Row]:
     """Smallest and largest value and number of values of each column, in one pass."""
     found = df.agg(
@@ -117,6 +162,9 @@ def find_ranks(
             if not 0 <= rank < rows:
                 raise ValueError(f"{name} has {rows} values, no rank {rank}")
             searches.append(Rank(name, rank, low, high, 0, rows))
+    large = [s for s in searches if s.rows > SKETCH_ROWS]
+    if large:
+        _sketch_brackets(doubles, large)
     while any(s.low < s.high for s in searches):
         _narrow(doubles, searches)
     return searches
