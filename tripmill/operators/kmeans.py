@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tripmill.functions.geometry import MAX_LITERALS, distance_array, nearest_columns
 from tripmill.functions.geometry import nearest_of, with_nearest
 from tripmill.functions.priority import hash_priority
+from tripmill.operators.sampling import spread
 from tripmill.schema import SEED
 
 # Estimator settings.
@@ -173,9 +174,7 @@ class _ClusterSums:
 
 def spread_points(points: DataFrame, rows: int) -> DataFrame:
     """A small table may sit in one file and so in one task; give every core a share."""
-    if rows > SPREAD_ROWS:
-        return points
-    return points.repartition(points.sparkSession.sparkContext.defaultParallelism)
+    return points if rows > SPREAD_ROWS else spread(points, rows)
 
 
 def _sums_by_expression(points: DataFrame, centers: Mapping[int, np.ndarray]) -> DataFrame:

@@ -109,10 +109,12 @@ def fit_minibatch(
     sample = seeding_sample(df, columns, key, seed=seed)
     centers = best_start(sample, k, seed, restarts)
     # A small first block must not undo the start, so it weighs as much as its sample rows.
-    weights = np.bincount(nearest_of(sample, centers)[0], minlength=k).astype("float64")
+    labels, squares = nearest_of(sample, centers)
+    weights = np.bincount(labels, minlength=k).astype("float64")
     served = _Blocks(df, columns, key, rows, batch_rows)
     smoothing = min(1.0, 2.0 * batch_rows / (rows + 1))
-    smoothed, best, waited, steps = None, math.inf, 0, 0
+    smoothed = best = float(squares.mean())
+    waited = steps = 0
     for number in (i for _ in range(passes) for i in range(served.count)):
         counts, sums, errors = served.sums(number, centers)
         if not counts.sum():
@@ -120,7 +122,7 @@ def fit_minibatch(
         centers, weights = update_centers(centers, weights, counts, sums)
         steps += 1
         error = errors.sum() / counts.sum()
-        smoothed = error if smoothed is None else smoothed + (error - smoothed) * smoothing
+        smoothed += (error - smoothed) * smoothing
         improved = smoothed < best * (1 - LEAST_GAIN)
         waited = 0 if improved else waited + 1
         best = smoothed if improved else best

@@ -23,7 +23,7 @@ EXACT_ROWS = 200_000
 LISTED_ROWS = 20_000
 BINS = 2048
 # Larger columns start from a sketch whose rank error is one in SKETCH_ACCURACY.
-SKETCH_ROWS = 1_000_000
+SKETCH_ROWS = 200_000
 SKETCH_ACCURACY = 10_000
 SKETCH_GRID = 1e-5
 

@@ -367,6 +367,41 @@ def oracle_sql() -> dict[str, str]:
     WHEN 2 THEN round(CAST('-' || {CENTS} || '.5' AS DOUBLE) + 1e-9, 4) END AS parsed FROM events""",
         "cross_format_check": f"""{checked} count(*) AS "rows", CAST(0 AS BIGINT) AS label_gaps,
   CAST(0 AS BIGINT) AS distance_gaps FROM good""",
+        "admission_check": """SELECT true AS bytes_fit, count(*) <= 100000 AS rows_fit,
+  least(count(*), 100001) AS rows_seen FROM lineitem""",
+        "sink_round_trip": f"""{checked} format, count(*) AS "rows", CAST(0 AS BIGINT) AS changed
+  FROM good CROSS JOIN (SELECT unnest(['parquet', 'csv', 'json']) AS format) GROUP BY format""",
+        "clean_job": f"""{checked} count(*) AS raw_rows,
+  count(*) FILTER (WHERE rejection_reason IS NULL) AS accepted_rows,
+  count(*) FILTER (WHERE rejection_reason IS NOT NULL) AS rejected_rows,
+  count(DISTINCT rejection_reason) AS reasons, true AS saved_as_reported FROM classified""",
+        "subset_assign": f"""WITH {SCALED}, centers(cluster, a, b) AS (
+    VALUES (0, -1e0, -5e-1), (1, 0e0, 0e0), (2, 1e0, -5e-1), (3, 0e0, 2e0)
+  ), near AS (
+    SELECT row_id, cluster, (z_duration_minutes - a) * (z_duration_minutes - a)
+      + (z_trip_distance - b) * (z_trip_distance - b) AS d FROM scaled CROSS JOIN centers
+    QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY d, cluster) = 1
+  ) SELECT row_id, cluster, round(sqrt(d) + 1e-9, 5) AS centroid_distance FROM near""",
+        "attempt_history": """SELECT o_custkey, max_by(n, o_orderstatus) AS orders,
+  max(o_orderstatus) AS attempt FROM (
+    SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL) GROUP BY o_custkey""",
+        "ragged_results": f"""WITH {LOCAL} SELECT algorithm, "rows", status,
+  round(normalized_inertia + 1e-9, 5) AS normalized_inertia, CAST(NULL AS VARCHAR) AS detail
+  FROM local_rows UNION ALL SELECT algorithm, "rows" * 100, 'skipped_insufficient_rows', NULL,
+  'not enough rows' FROM local_rows""",
+        "bundle_summary": f"""{checked} algorithm, count(*) AS population_rows,
+  CAST(count(*) - 1 - floor((count(*) - 1) * 99 / 100e0) AS BIGINT) AS outliers,
+  count(*) AS profiled_rows
+  FROM good CROSS JOIN (SELECT unnest(['KMeans', 'MiniBatchKMeans']) AS algorithm)
+  GROUP BY algorithm""",
+        "reload_check": f"""{checked} count(*) AS "rows", CAST(0 AS BIGINT) AS gaps FROM good""",
+        "sweep_status": f"""WITH {CLASSIFIED}, total AS (SELECT count(*) AS n FROM good),
+  runs(algorithm, part, streaming) AS (VALUES ('KMeans', 2, false), ('MiniBatchKMeans', 2, false),
+    ('KMeans', 1, false), ('MiniBatchKMeans', 1, false), ('MiniBatchKMeans', 1, true))
+  SELECT algorithm, n // part AS "rows", streaming, 'ok' AS status, n // part AS assigned_rows
+  FROM runs CROSS JOIN total
+  UNION ALL SELECT unnest(['KMeans', 'MiniBatchKMeans']), 2 * n, NULL,
+    'skipped_insufficient_rows', NULL FROM total""",
         "feature_statistics": _statistics(),
         "feature_statistics_narrowed": _statistics(),
         "scaler_fit": _scaler(),

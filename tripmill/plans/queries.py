@@ -21,7 +21,7 @@ from tripmill.functions.parsing import parse_number_text, parse_time_text
 from tripmill.functions.priority import portable_priority
 from tripmill.operators import anomalies, bundle as bundles, cleaning, kmeans, minibatch, profiles
 from tripmill.operators import projection, quality, results, sampling, scaling, selection
-from tripmill.plans import study
+from tripmill.plans import pipeline, study
 from tripmill.plans.fixture import line_trips, read, trips, trips_of_events
 from tripmill.schema import ALTERNATIVE_SEED, FEATURES, REASON, REQUIRED, ROW_ID, SEED, Rules
 from tripmill.session import shared_folder
@@ -226,6 +226,67 @@ def cross_format_check(spark, sf):
     )
 
 
+def admission_check(spark, sf):
+    """An upload is measured before it is read: bytes of its files, then rows up to the limit."""
+    path = f"{sf}/lineitem.parquet"
+    size = readers.file_sizes(spark, path).agg(F.sum("bytes")).first()[0]
+    limit = readers.UPLOAD_ROWS
+    rows = spark.read.parquet(path).limit(limit + 1).count()
+    return spark.createDataFrame(
+        [(size <= readers.UPLOAD_BYTES, rows <= limit, rows)],
+        "bytes_fit boolean, rows_fit boolean, rows_seen bigint",
+    )
+
+
+def sink_round_trip(spark, sf):
+    """Accepted trips written and read in every format: rows, and rows that came back changed."""
+    good = good_trips(spark, sf).select(ROW_ID, *FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
+    folder = shared_folder(spark, "sinks")
+    writers.save_parquet(good, f"{folder}/trips.parquet")
+    writers.save_csv(good, f"{folder}/trips.csv")
+    writers.save_json(good, f"{folder}/trips.json")
+    copies = {
+        "parquet": readers.read_table(spark, f"{folder}/trips.parquet", good.schema),
+        "csv": readers.read_table(spark, f"{folder}/trips.csv", good.schema),
+        "json": spark.read.schema(good.schema).json(f"{folder}/trips.json"),
+    }
+    tables = []
+    for name, copy in copies.items():
+        renamed = copy.select(ROW_ID, F.struct(*FEATURES).alias("copied"))
+        both = good.select(ROW_ID, F.struct(*FEATURES).alias("sent")).join(renamed, ROW_ID, "full")
+        tables.append(
+            both.agg(
+                F.lit(name).alias("format"),
+                F.count("copied").alias("rows"),
+                F.count_if(~F.col("sent").eqNullSafe(F.col("copied"))).alias("changed"),
+            )
+        )
+    return reduce(DataFrame.unionByName, tables)
+
+
+def clean_job(spark, sf):
+    """The cleaning job from files to written tables, reported by what it wrote."""
+    folder = shared_folder(spark, "job")
+    source = f"{folder}/source.parquet"
+    trips(spark, sf).drop(ROW_ID).coalesce(1).write.parquet(source)
+    provenance = pipeline.clean(spark, source, f"{folder}/cleaned")
+    saved = writers.load_document(spark, f"{folder}/cleaned/provenance.json")
+    good = pipeline.cleaned(spark, f"{folder}/cleaned")
+    bad = cleaning.read_rejected(spark, f"{folder}/cleaned/trips.parquet")
+    row = (
+        saved["raw_rows"],
+        good.count(),
+        bad.count(),
+        len(saved["reasons"]),
+        saved == provenance,
+    )
+    return spark.createDataFrame(
+        [row],
+        "raw_rows bigint, accepted_rows bigint, rejected_rows bigint, reasons bigint,"
+        " saved_as_reported boolean",
+    )
+
+
 # ---- statistics, scaling, sampling ---------------------------------------------------------
 
 
@@ -316,6 +377,17 @@ def assign_clusters(spark, sf):
     return rounded(scored.select(ROW_ID, "cluster", "centroid_distance"), 5)
 
 
+def subset_assign(spark, sf):
+    """A model on two features in an order of its own."""
+    features = ("duration_minutes", "trip_distance")
+    good = good_trips(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
+    scaled = scaling.with_scaled(good, scaling.fit_scaler(good, features))
+    columns = scaling.scaled_names(features)
+    centers = np.array([[-1.0, -0.5], [0.0, 0.0], [1.0, -0.5], [0.0, 2.0]])
+    scored = anomalies.with_distance(with_nearest(scaled, columns, centers))
+    return rounded(scored.select(ROW_ID, "cluster", "centroid_distance"), 5)
+
+
 def embedding_assign(spark, sf):
     """A wide model (10 x 64): label means as centroids, assigned in Arrow batches."""
     vectors = read(spark, sf, "embeddings")
@@ -697,6 +769,30 @@ def latest_attempt(spark, sf):
     return writers.latest(orders, ["o_custkey"], "o_orderkey")
 
 
+def attempt_history(spark, sf):
+    """Appended attempts are all kept, and the newest one of every key is current."""
+    path = f"{shared_folder(spark, 'attempts')}.parquet"
+    orders = read(spark, sf, "orders")
+    for attempt in ("F", "O", "P"):
+        own = orders.filter(F.col("o_orderstatus") == attempt)
+        totals = own.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders"))
+        writers.append_attempt(totals, path, attempt)
+    history = spark.read.parquet(path)
+    return writers.latest(history, ["o_custkey"])
+
+
+def ragged_results(spark, sf):
+    """Finished and skipped runs have different columns; one table holds both."""
+    done = _local(spark, sf).select("algorithm", "rows", "status", "normalized_inertia")
+    skipped = done.select(
+        "algorithm",
+        (F.col("rows") * 100).alias("rows"),
+        F.lit("skipped_insufficient_rows").alias("status"),
+        F.lit("not enough rows").alias("detail"),
+    )
+    return rounded(writers.union_records([done, skipped]), 5)
+
+
 def experiment_id(spark, sf):
     """Digest of the canonical text of the fitted scaler."""
     table = scaling.scaler_statistics(good_trips(spark, sf), FEATURES)
@@ -776,6 +872,49 @@ def fit_checks(spark, sf):
     return reduce(DataFrame.unionByName, tables)
 
 
+def bundle_summary(spark, sf):
+    """Fit both models and write their artifacts; count what was written."""
+    folder = shared_folder(spark, "bundle")
+    source = trips(spark, sf)
+    bundle = bundles.fit_bundle(source, K, restarts=2)
+    good = good_trips(spark, sf)
+    report = bundles.summarize_training(bundle, good, folder)
+    sizes = bundles.training_profiles(bundle, good).groupBy("algorithm")
+    profiled = sizes.agg(F.sum("size").alias("profiled_rows"))
+    rows = [(name, r["population_rows"], r["count"]) for name, r in report.items()]
+    counted = spark.createDataFrame(
+        rows, "algorithm string, population_rows bigint, outliers bigint"
+    )
+    return counted.join(profiled, "algorithm")
+
+
+def reload_check(spark, sf):
+    """Saved and loaded models must score every trip alike."""
+    folder = shared_folder(spark, "models")
+    bundle, _ = drawn_bundle(spark, sf)
+    bundles.save_bundle(spark, bundle, folder)
+    restored = bundles.load_bundle(spark, folder)
+    good = good_trips(spark, sf)
+    own, again = (
+        bundles.assign(good, b, "KMeans").select(
+            ROW_ID, F.struct("cluster", "centroid_distance", "distance_outlier").alias(name)
+        )
+        for b, name in ((bundle, "own"), (restored, "again"))
+    )
+    return own.join(again, ROW_ID, "full").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(~F.col("own").eqNullSafe(F.col("again"))).alias("gaps"),
+    )
+
+
+def sweep_status(spark, sf):
+    """Which runs a size sweep makes, and that every run covers all its rows."""
+    points, rows = _points(spark, sf)
+    table = study.size_sweep(points, Z, K, sizes=(rows // 2, 2 * rows), restarts=1)
+    total = F.aggregate("cluster_sizes", F.lit(0).cast("bigint"), lambda a, n: a + n)
+    return table.select("algorithm", "rows", "streaming", "status", total.alias("assigned_rows"))
+
+
 def k_study(spark, sf):
     scores, _ = selection.study_k(good_trips(spark, sf))
     return selection.elbow_table(scores)
@@ -870,6 +1009,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         numeric_parse,
         source_fingerprint,
         cross_format_check,
+        admission_check,
+        sink_round_trip,
+        clean_job,
+        subset_assign,
+        attempt_history,
+        ragged_results,
+        bundle_summary,
+        reload_check,
+        sweep_status,
         feature_statistics,
         feature_statistics_narrowed,
         scaler_fit,
