@@ -47,6 +47,12 @@ def test_positions_in_one_split_csv(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_positions_of_rows_in_memory(spark):
+    rows = spark.range(300).withColumnRenamed("id", "place").repartitionByRange(4, "place").persist()
+    numbered = readers.number_rows(rows.withColumn(ROW_ID, F.lit(-1)))
+    assert numbered.filter(F.col("place") != F.col(ROW_ID)).count() == 0
+
+
 def test_upload_limits(spark, tmp_path):
     path = str(tmp_path / "upload.parquet")
     synthetic_trips(spark, 40).write.parquet(path)

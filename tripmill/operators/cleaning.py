@@ -15,7 +15,7 @@ def engineer(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Parse the five inputs and derive the features.  Works on batches and streams."""
     check_contract(df)
     if ROW_ID not in df.columns:
-        raise ValueError("rows need a row_id; read files with scan(), or number the rows first")
+        raise ValueError("rows need a row_id: read files with scan(), others through number_rows()")
     types = {field.name: field.dataType for field in df.schema.fields}
     parsed = df.select(
         ROW_ID,

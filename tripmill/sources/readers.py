@@ -76,16 +76,35 @@ def with_row_position(df: DataFrame, fmt: str) -> DataFrame:
         joined = _join_offsets(located, offsets, count, keys)
         return joined.select((F.col(ROW_ID) + F.col("__before")).alias(ROW_ID), *names)
 
-    # Text splits carry no row index.  Rows of one split are numbered consecutively by
-    # monotonically_increasing_id, so the split's first number turns it into a position.
-    # The guard stops the job should a second scan ever be split differently.
-    keys = ["__file", "__start"]
+    # Text splits carry no row index, so the rows of each split are counted.
     located = df.select(
         *names,
         F.col("_metadata.file_path").alias("__file"),
         F.col("_metadata.file_block_start").alias("__start"),
         F.monotonically_increasing_id().alias("__serial"),
     )
+    return _from_serials(located, ["__file", "__start"], names)
+
+
+def number_rows(df: DataFrame) -> DataFrame:
+    """Positions for rows that do not come straight from files, in partition order.
+
+    The table is evaluated twice, so it should be persisted or otherwise repeatable.
+    """
+    names = [name for name in df.columns if name != ROW_ID]
+    located = df.select(
+        *names,
+        F.spark_partition_id().alias("__partition"),
+        F.monotonically_increasing_id().alias("__serial"),
+    )
+    return _from_serials(located, ["__partition"], names)
+
+
+def _from_serials(located: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """Turn serial numbers that are consecutive within each block into positions.
+
+    The guard stops the job should the second evaluation be split differently.
+    """
     blocks = located.groupBy(*keys).agg(
         F.min("__serial").alias("__first"), F.count(F.lit(1)).alias("__rows")
     )
@@ -94,7 +113,7 @@ def with_row_position(df: DataFrame, fmt: str) -> DataFrame:
     inside = F.col("__serial") - F.col("__first")
     stable = F.coalesce((inside >= 0) & (inside < F.col("__rows")), F.lit(False))
     position = F.when(stable, inside + F.col("__before")).otherwise(
-        F.raise_error(F.lit("the CSV was split differently between two scans")).cast("bigint")
+        F.raise_error(F.lit("the rows were split differently between two scans")).cast("bigint")
     )
     return joined.select(position.alias(ROW_ID), *names)
 
