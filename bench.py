@@ -32,6 +32,14 @@ HEADLINE = (
 STUDIES = ("line_sweep", "batch_study", "k_study")
 
 
+def scale(folder: str) -> float | str:
+    name = os.path.basename(folder.rstrip("/")).removeprefix("sf")
+    try:
+        return float(name)
+    except ValueError:
+        return name
+
+
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), "bench")
@@ -70,7 +78,7 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
-                "sf": sf.rstrip("/").rsplit("sf", 1)[-1],
+                "sf": scale(sf),
                 "fits": fits,
             }
         )

@@ -71,7 +71,7 @@ def choose_k(scores: DataFrame, gates: Gates = Gates()) -> tuple[int, DataFrame]
     table = elbow_table(scores, gates)
     winner = best_eligible(table).select("k").first()
     if winner is None:
-        raise ValueError("No K passes the quality gates; look at the candidate profiles")
+        raise ValueError("every K fails a quality gate; the candidate profiles show why")
     return winner["k"], table
 
 

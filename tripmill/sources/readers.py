@@ -45,7 +45,7 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
 def check_contract(df: DataFrame) -> None:
     absent = [name for name in sorted(REQUIRED) if name not in df.columns]
     if absent:
-        raise ValueError(f"Missing required columns: {', '.join(absent)}")
+        raise ValueError(f"the trips lack these columns: {', '.join(absent)}")
 
 
 def _block_offsets(blocks: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
