@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripmill.llm import chat, fertility, mixture, secret_scan, sharding, token_counts
+from tripmill.llm import chat, fertility, mixture, secret_scan, sharding, simhash, token_counts
 from tripmill.llm.common import table
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -20,6 +20,10 @@ def op1_fertility(spark: SparkSession, sf: str) -> DataFrame:
     return fertility.quality_rules(table(spark, sf, "documents"), path)
 
 
+def op3_simhash_balls(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.components(table(spark, sf, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     path = public_tokenizers.path(BYTE_VOCABULARY)
     return token_counts.count_tokens(table(spark, sf, "documents"), path)
@@ -57,6 +61,7 @@ def op10_chat_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fertility": op1_fertility,
+    "op3_simhash_balls": op3_simhash_balls,
     "op6_token_counts": op6_token_counts,
     "op7_mixture": op7_mixture,
     "op8_secret_ownership": op8_secret_ownership,
