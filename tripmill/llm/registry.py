@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripmill.llm import chat, fertility, mixture, secret_scan, sharding, simhash, token_counts
+from tripmill.llm import chat, fertility, mixture, secret_scan, sharding, simhash, templates, token_counts
 from tripmill.llm.common import table
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -24,6 +24,11 @@ def op3_simhash_balls(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.components(table(spark, sf, "documents"))
 
 
+def op5_templates(spark: SparkSession, sf: str) -> DataFrame:
+    found = templates.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.drop("text_key")
+
+
 def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     path = public_tokenizers.path(BYTE_VOCABULARY)
     return token_counts.count_tokens(table(spark, sf, "documents"), path)
@@ -62,6 +67,7 @@ def op10_chat_parts(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fertility": op1_fertility,
     "op3_simhash_balls": op3_simhash_balls,
+    "op5_templates": op5_templates,
     "op6_token_counts": op6_token_counts,
     "op7_mixture": op7_mixture,
     "op8_secret_ownership": op8_secret_ownership,
