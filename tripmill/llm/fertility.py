@@ -129,6 +129,14 @@ class WordIds:
         self.ids = np.concatenate([self.ids, flat])
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(lengths)])
 
+    def ids_of(self, pieces: list[bytes]) -> np.ndarray:
+        """The ids of the pieces, one after another."""
+        codes = np.fromiter(map(self.code.__getitem__, pieces), np.int64, len(pieces))
+        begin = self.start[codes]
+        length = self.start[codes + 1] - begin
+        shift = np.repeat(begin - np.concatenate([[0], np.cumsum(length)[:-1]]), length) if len(codes) else begin
+        return self.ids[np.arange(int(length.sum())) + shift]
+
     def measure(self, pieces: list[bytes], marks: tuple[int, int]) -> tuple[int, int, float]:
         """Tokens, fallback bytes, and entropy in bits; commas and full stops are one token each."""
         codes = np.fromiter(map(self.code.__getitem__, pieces), np.int64, len(pieces))

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripmill.llm import chat, fertility, mixture, secret_scan, sharding, simhash, templates, token_counts
-from tripmill.llm.common import table
+from tripmill.llm import attention_lm, byte_cnn, chat, fertility, mixture, secret_scan, sharding, simhash, templates, token_counts
+from tripmill.llm.common import remainder_of_id, table
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
@@ -20,10 +20,25 @@ def op1_fertility(spark: SparkSession, sf: str) -> DataFrame:
     return fertility.quality_rules(table(spark, sf, "documents"), path)
 
 
+def op2_byte_cnn(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    remainder = remainder_of_id(F.col("doc_id"), 3)
+    net = byte_cnn.fit(docs, remainder != 1)
+    return byte_cnn.predict(docs.select("doc_id", "text"), net).select(
+        "doc_id", (remainder == 1).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op3_simhash_balls(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.components(table(spark, sf, "documents"))
 
 
+def op4_attention_lm(spark: SparkSession, sf: str) -> DataFrame:
+    path = public_tokenizers.path(PIECE_VOCABULARY)
+    held_out = remainder_of_id(F.col("doc_id"), 7) == 2
+    return attention_lm.score(table(spark, sf, "documents"), held_out, path)
+
+
 def op5_templates(spark: SparkSession, sf: str) -> DataFrame:
     found = templates.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return found.drop("text_key")
@@ -66,7 +81,9 @@ def op10_chat_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fertility": op1_fertility,
+    "op2_byte_cnn": op2_byte_cnn,
     "op3_simhash_balls": op3_simhash_balls,
+    "op4_attention_lm": op4_attention_lm,
     "op5_templates": op5_templates,
     "op6_token_counts": op6_token_counts,
     "op7_mixture": op7_mixture,
