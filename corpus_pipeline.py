@@ -1,15 +1,61 @@
-"""The corpus pipeline: documents through the operators of ``tripmill.llm``, stage by stage."""
+"""The corpus pipeline: documents through five operators of ``tripmill.llm``, stage by stage.
+
+Every stage but the last returns the columns of its input.  The order keeps each stage's input
+as small as the ones before can make it: unreadable text goes first, copies before the search
+for benchmark passages, and the mix is made of what is left.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tripmill.llm import byte_cnn, mixture, sharding, simhash, templates
+from tripmill.llm.common import table, written
+
+# A document whose best language is less likely than this has no language that we know.
+LEAST_LANGUAGE_SCORE = 0.3
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or of no known language, go."""
+    net = byte_cnn.fit(docs, F.lit(True))
+    return byte_cnn.identified(docs, net, LEAST_LANGUAGE_SCORE)
+
+
+def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints stays."""
+    return simhash.deduplicate(docs)
+
+
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item, or one with other values in it, go."""
+    return templates.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixture.mixed(docs, F.array(F.col("source").cast("string")))
+
+
+def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A shard and a slot for every row of the mix."""
+    return sharding.shard_documents(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", identify_language),
+    ("simhash_dedup", remove_near_copies),
+    ("decontamination", remove_benchmark),
+    ("mixture", mix_sources),
+    ("sharding", assign_shards),
+]
+# Trained weights and seeded hashes have no SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -273,3 +273,10 @@ def predict(docs: DataFrame, net: Network, text_column: str = "text") -> DataFra
         [*docs.schema.fields, T.StructField(name, T.StringType()), T.StructField(score, T.DoubleType())]
     )
     return source.mapInArrow(compute, schema)
+
+
+def identified(docs: DataFrame, net: Network, least_score: float, text_column: str = "text") -> DataFrame:
+    """The rows whose language is known with at least this score, with their own columns."""
+    found = predict(docs, net, text_column)
+    name, score = found.columns[-2:]
+    return found.where((F.col(name) != UNKNOWN) & (F.col(score) >= least_score)).select(*docs.columns)

@@ -4,14 +4,14 @@ Documents are summed by membership pattern (the set of sources they belong to).
 token capacity from patterns to the quotas of their sources; a pattern's first use is free,
 each repetition costs one more than the last, so nothing is repeated while unused text could
 fill a quota.  Documents of a pattern are then taken in the order of a seeded hash until the
-pattern's flow is reached: whole rounds for all of them, one more for the first ones.
+pattern's flow is reached: whole rounds for all of them, one more for the first ones, and once
+more the one document that fits best into what is left.
 
 The driver sees patterns only.  The place in the hash order comes from sums over 2^16 ranges of
 the hash, and a running sum inside the one range where the flow ends.
 
 Nulls: a null text has size 0, a null source is a source that comes last, a null id is an id
-like any other.  Repeated rows are documents of their own and may only differ in what is taken
-where the flow ends.  An empty table gives an empty result.  Other columns are ignored.
+like any other.  Repeated rows are documents of their own, and share their place in the order.  An empty table gives an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripmill.llm.common import WORD, whole_text, written
+from tripmill.llm.common import WORD, spare_name, whole_text, written
 
 WEIGHTS = (1, 2, 3)
 MOST_TIMES = 3
@@ -144,34 +144,30 @@ def plan_flow(
     return routed, list(zip(sources, sizes, targets, got))
 
 
-def mix(
-    docs: DataFrame,
-    memberships: Column,
-    weights: Sequence[float] = WEIGHTS,
-    times: int = MOST_TIMES,
-    seed: int = SEED,
-    id_column: str = "doc_id",
-    text_column: str = "text",
+def order_of(id_column: str, text_column: str, seed: int) -> Column:
+    """The seeded order of documents; rows of equal id and text share their place."""
+    return F.xxhash64(F.col(id_column), F.xxhash64(whole_text(text_column)), F.lit(seed))
+
+
+def pattern_of(memberships: Column) -> Column:
+    """The set of sources as text: names in one order, null as JSON's null."""
+    return F.to_json(F.struct(F.array_sort(F.array_distinct(memberships)).alias("m")))
+
+
+def range_of(order: Column) -> Column:
+    return F.shiftrightunsigned(order, 64 - RANGE_BITS)
+
+
+def plan_mix(
+    sized: DataFrame, weights: Sequence[float] = WEIGHTS, times: int = MOST_TIMES
 ) -> tuple[DataFrame, DataFrame]:
-    """Documents with what is taken of them, and the table of sources.
+    """Where the flow of each pattern ends, and the table of sources.
 
-    ``memberships`` is an array of source names.  The first table has ``id``, ``size``,
-    ``pattern``, ``taken`` and ``text_key``; ``taken`` is a multiple of ``size`` up to ``times``.
+    ``sized`` has ``size``, ``pattern`` and ``order``.  The first table has for each pattern the
+    rounds that all its documents are taken, the hash range (``edge``) and the last place in it
+    (``cut``) up to which they are taken once more, and the place of a ``single`` one after that.
     """
-    spark = docs.sparkSession
-    text = whole_text(text_column)
-    # Names in one order, so a set has one pattern; null becomes JSON's null.
-    pattern = F.to_json(F.struct(F.array_sort(F.array_distinct(memberships)).alias("m")))
-    sized = written(
-        docs.select(
-            F.col(id_column).alias("id"),
-            F.xxhash64(text).alias("text_key"),
-            words_in(text).alias("size"),
-            pattern.alias("pattern"),
-            F.xxhash64(F.col(id_column), F.xxhash64(text), F.lit(seed)).alias("order"),
-        ),
-        "mix-rows",
-    )
+    spark = sized.sparkSession
     routed, sources = plan_flow(collected_patterns(sized), weights, times)
     rounds = [min(int(f // s), times) if s else 0 for _, s, f in routed]
     plan = spark.createDataFrame(
@@ -193,8 +189,9 @@ def mix(
             }
         )
     )
-    ranged = sized.withColumn("range", F.shiftrightunsigned("order", 64 - RANGE_BITS))
-    sums = ranged.groupBy("pattern", "range").agg(F.sum("size").alias("range_size"))
+    sums = sized.groupBy("pattern", range_of(F.col("order")).alias("range")).agg(
+        F.sum("size").alias("range_size")
+    )
     earlier = Window.partitionBy("pattern").orderBy("range").rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -202,35 +199,114 @@ def mix(
     # The range where a pattern's flow ends: at most one for each pattern.
     edge = (
         sums.withColumn("before", before)
-        .join(plan, "pattern")
+        .join(F.broadcast(plan), "pattern")
         .where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("range_size") >= F.col("rest")))
-        .select("pattern", F.col("range").alias("edge"), "before")
+        .select("pattern", F.col("range").alias("edge"), "before", "rest")
     )
-    # A row per pattern, and their number has been checked.
-    limits = F.broadcast(plan.join(edge, "pattern", "left"))
-    joined = ranged.join(limits, "pattern")
-    at_edge = F.col("range") == F.col("edge")
     inside = (
-        Window.partitionBy("pattern").orderBy("order", "id", "size")
+        Window.partitionBy("pattern").orderBy("order", "size")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    closing = joined.where(at_edge).withColumn("upto", F.col("before") + F.sum("size").over(inside))
-    # Half of the document decides, so the error of a pattern is half a document at most.
-    extra_here = (F.col("upto") - F.col("size") / 2 < F.col("rest")).cast("int")
-    rest = joined.where(F.coalesce(~at_edge, F.lit(True))).withColumn(
-        "extra", F.coalesce((F.col("range") < F.col("edge")).cast("int"), F.lit(0))
+    cut = (
+        sized.join(F.broadcast(edge), "pattern")
+        .where(range_of(F.col("order")) == F.col("edge"))
+        .withColumn("upto", F.col("before") + F.sum("size").over(inside))
+        .where(F.col("upto") <= F.col("rest"))
+        .groupBy("pattern").agg(F.max("order").alias("cut"), F.max("upto").alias("upto"))
+    )
+    ends = written(
+        plan.join(edge.drop("rest"), "pattern", "left").join(cut, "pattern", "left")
+        .withColumn("left", F.col("rest") - F.coalesce("upto", "before"))
+        .select("pattern", "rounds", "edge", "cut", "left"),
+        "mix-ends",
+    )
+    # What the next document would overshoot is filled by the one later document that fits best.
+    miss = F.abs(F.col("size") - F.col("left"))
+    fit = (
+        sized.join(F.broadcast(ends.where("left > 0")), "pattern")
+        .where(~further(F.col("order")) & (miss < F.col("left")))
+        .groupBy("pattern").agg(F.min(F.struct(miss.alias("miss"), "order")).alias("fit"))
+    )
+    limits = ends.join(fit, "pattern", "left").select(
+        "pattern", "rounds", "edge", "cut", F.col("fit.order").alias("single")
+    )
+    return written(limits, "mix-limits"), table
+
+
+def further(order: Column) -> Column:
+    """Whether a document lies before the place where its pattern's flow ends."""
+    here = range_of(order)
+    within = (here < F.col("edge")) | ((here == F.col("edge")) & (order <= F.col("cut")))
+    return F.coalesce(within, F.lit(False))
+
+
+def times_taken(order: Column) -> Column:
+    """How often a document is taken, next to the limits of its pattern."""
+    more = further(order) | F.coalesce(order == F.col("single"), F.lit(False))
+    return F.col("rounds") + more.cast("int")
+
+
+def sized_rows(docs: DataFrame, memberships: Column, id_column: str, text_column: str, seed: int):
+    return written(
+        docs.select(
+            F.col(id_column).alias("id"),
+            words_in(whole_text(text_column)).alias("size"),
+            pattern_of(memberships).alias("pattern"),
+            order_of(id_column, text_column, seed).alias("order"),
+        ),
+        "mix-rows",
     )
-    columns = ["id", "text_key", "size", "pattern",
-               (F.col("size") * (F.col("rounds") + F.col("extra"))).alias("taken")]
-    taken = rest.select(*columns).unionByName(
-        closing.withColumn("extra", extra_here).select(*columns)
+
+
+def mix(
+    docs: DataFrame,
+    memberships: Column,
+    weights: Sequence[float] = WEIGHTS,
+    times: int = MOST_TIMES,
+    seed: int = SEED,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+) -> tuple[DataFrame, DataFrame]:
+    """``id``, ``size``, ``pattern`` and ``taken`` words of every document; the table of sources.
+
+    ``memberships`` is an array of source names; ``taken`` is ``size`` up to ``times`` times.
+    """
+    sized = sized_rows(docs, memberships, id_column, text_column, seed)
+    limits, table = plan_mix(sized, weights, times)
+    # A row per pattern, and their number has been checked.
+    taken = sized.join(F.broadcast(limits), "pattern").select(
+        "id", "size", "pattern", (F.col("size") * times_taken(F.col("order"))).alias("taken")
     )
     return taken, table
 
 
+def mixed(
+    docs: DataFrame,
+    memberships: Column,
+    weights: Sequence[float] = WEIGHTS,
+    times: int = MOST_TIMES,
+    seed: int = SEED,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+) -> DataFrame:
+    """The mix itself: each document with its columns, as often as it is taken."""
+    limits, _ = plan_mix(sized_rows(docs, memberships, id_column, text_column, seed), weights, times)
+    row = spare_name(docs, "row_kept")
+    has_words = F.coalesce(F.col(text_column).rlike(WORD), F.lit(False))
+    held = docs.where(has_words).select(
+        F.struct(*[F.col(c) for c in docs.columns]).alias(row),
+        pattern_of(memberships).alias("mix_pattern"),
+        order_of(id_column, text_column, seed).alias("mix_order"),
+    )
+    ends = F.broadcast(limits.withColumnRenamed("pattern", "mix_pattern"))
+    often = held.join(ends, "mix_pattern").select(row, times_taken(F.col("mix_order")).alias("mix_times"))
+    repeated = F.explode(F.sequence(F.lit(1), F.col("mix_times")))
+    return often.where("mix_times > 0").select(row, repeated.alias("mix_time")).select(f"{row}.*")
+
+
 def source_pattern(source: Column) -> Column:
     """The pattern of a document with this one source."""
-    return F.to_json(F.struct(F.array(source.cast("string")).alias("m")))
+    return pattern_of(F.array(source.cast("string")))
 
 
 def mix_by_source(

@@ -15,7 +15,7 @@ its verified links, at most one row per fingerprint.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripmill.llm.common import bounded_batches, slices, whole_text, written
+from tripmill.llm.common import bounded_batches, slices, spare_name, whole_text, written
 from tripmill.llm.components import smallest_labels
 
 SHINGLE = 4
@@ -71,20 +71,22 @@ def majority(hashes: np.ndarray) -> int:
     return int(bits.view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """``id`` and ``fp`` (signed) of every whole text; a null text has no words."""
+def fingerprints(
+    docs: DataFrame, id_column: str, text_column: str, others: Sequence[str] = ()
+) -> DataFrame:
+    """``id``, other columns and ``fp`` (signed) of every whole text; a null text has no words."""
     bounded_batches(docs.sparkSession)
-    source = docs.select(F.col(id_column).alias("id"), whole_text(text_column).alias("text"))
+    source = docs.select(F.col(id_column).alias("id"), *others, whole_text(text_column).alias("text"))
+    names = ["id", *others, "fp"]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
-                marks = [majority(shingle_hashes(t)) for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(marks, pa.int64())], names=["id", "fp"]
-                )
+                *kept, texts = batch.columns
+                marks = [majority(shingle_hashes(t)) for t in texts.to_pylist()]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(marks, pa.int64())], names=names)
 
-    schema = T.StructType([source.schema["id"], T.StructField("fp", T.LongType())])
+    schema = T.StructType([*source.schema.fields[:-1], T.StructField("fp", T.LongType())])
     return source.mapInArrow(compute, schema)
 
 
@@ -201,6 +203,14 @@ def hexadecimal(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
+def classes(marked: DataFrame) -> DataFrame:
+    """``fp`` and the ``root`` fingerprint of its component, for all fingerprints of ``marked``."""
+    distinct = written(marked.select("fp").distinct(), "simhash-distinct")
+    labels = smallest_labels(links(distinct, distinct.count()), "root")
+    joined = distinct.join(labels, distinct["fp"] == labels["node"], "left")
+    return joined.select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Id, ``fingerprint`` and ``component_id`` (the smallest id reachable) of every document.
 
@@ -209,13 +219,35 @@ def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     results.  An empty table gives an empty result.  Other columns are ignored.
     """
     marked = written(fingerprints(docs, id_column, text_column), "simhash")
-    distinct = written(marked.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
-    labels = smallest_labels(links(distinct.select("fp"), distinct.count()), "root")
-    rooted = distinct.join(labels, distinct["fp"] == labels["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
+    least = marked.groupBy("fp").agg(F.min("id").alias("least"))
+    rooted = written(least.join(classes(marked), "fp"), "simhash-classes")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(smallest, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select(
+    named = rooted.join(smallest, "root").select("fp", "component_id")
+    return marked.join(named, "fp").select(
         F.col("id").alias(id_column), hexadecimal(F.col("fp")).alias("fingerprint"), "component_id"
     )
+
+
+def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of each component, with its columns: the smallest id, then the smallest text hash.
+
+    A null id comes last.  Rows that share id and text are one document, so one of them stays.
+    """
+    key = F.xxhash64(whole_text(text_column))
+    name, mark = spare_name(docs, "text_key"), spare_name(docs, "first_id")
+    source = docs.withColumn(name, key)
+    prints = fingerprints(source, id_column, text_column, [name]).withColumnRenamed(name, "text_key")
+    marked = written(prints, "simhash")
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "text_key")
+    least = marked.groupBy("fp").agg(F.min(place).alias("place"))
+    first = (
+        least.join(classes(marked), "fp").groupBy("root").agg(F.min("place").alias("place"))
+        .select(F.col("place.id").alias(mark), F.col("place.text_key").alias("first_key"))
+    )
+    same = source[id_column].eqNullSafe(F.col(mark)) & (source[name] == F.col("first_key"))
+    kept = source.join(first, same, "left_semi")
+    again = marked.groupBy("id", "text_key").agg(F.count("*").alias("rows")).where("rows > 1")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    one = kept.groupBy(id_column, name).agg(F.min(F.struct(*docs.columns)).alias(mark))
+    return one.select(f"{mark}.*")
