@@ -4,8 +4,8 @@ Documents are summed by membership pattern (the set of sources they belong to).
 token capacity from patterns to the quotas of their sources; a pattern's first use is free,
 each repetition costs one more than the last, so nothing is repeated while unused text could
 fill a quota.  Documents of a pattern are then taken in the order of a seeded hash until the
-pattern's flow is reached: whole rounds for all of them, one more for the first ones, and once
-more the one document that fits best into what is left.
+pattern's flow is reached: whole rounds for all of them, one more for the first ones, and
+once more a few that fit into what is left.
 
 The driver sees patterns only.  The place in the hash order comes from sums over 2^16 ranges of
 the hash, and a running sum inside the one range where the flow ends.
@@ -30,6 +30,8 @@ WEIGHTS = (1, 2, 3)
 MOST_TIMES = 3
 SEED = 42
 RANGE_BITS = 16
+# Documents that fill what is left of a pattern's flow, one job each.
+FITTED = 3
 # Patterns and sources go through the driver; more than this is refused, not cut.
 MOST_PATTERNS = 200_000
 
@@ -165,7 +167,7 @@ def plan_mix(
 
     ``sized`` has ``size``, ``pattern`` and ``order``.  The first table has for each pattern the
     rounds that all its documents are taken, the hash range (``edge``) and the last place in it
-    (``cut``) up to which they are taken once more, and the place of a ``single`` one after that.
+    (``cut``) up to which they are taken once more, and the places of single ``picks`` after that.
     """
     spark = sized.sparkSession
     routed, sources = plan_flow(collected_patterns(sized), weights, times)
@@ -214,36 +216,43 @@ def plan_mix(
         .where(F.col("upto") <= F.col("rest"))
         .groupBy("pattern").agg(F.max("order").alias("cut"), F.max("upto").alias("upto"))
     )
-    ends = written(
+    limits = written(
         plan.join(edge.drop("rest"), "pattern", "left").join(cut, "pattern", "left")
         .withColumn("left", F.col("rest") - F.coalesce("upto", "before"))
-        .select("pattern", "rounds", "edge", "cut", "left"),
+        .select("pattern", "rounds", "edge", "cut", "left",
+                F.array().cast("array<bigint>").alias("picks")),
         "mix-ends",
     )
-    # What the next document would overshoot is filled by the one later document that fits best.
+    # What the next document would overshoot is filled by the later ones that come nearest to it.
     miss = F.abs(F.col("size") - F.col("left"))
-    fit = (
-        sized.join(F.broadcast(ends.where("left > 0")), "pattern")
-        .where(~further(F.col("order")) & (miss < F.col("left")))
-        .groupBy("pattern").agg(F.min(F.struct(miss.alias("miss"), "order")).alias("fit"))
-    )
-    limits = ends.join(fit, "pattern", "left").select(
-        "pattern", "rounds", "edge", "cut", F.col("fit.order").alias("single")
-    )
-    return written(limits, "mix-limits"), table
-
-
-def further(order: Column) -> Column:
-    """Whether a document lies before the place where its pattern's flow ends."""
+    for _ in range(FITTED):
+        fit = (
+            sized.join(F.broadcast(limits.where("left >= 1")), "pattern")
+            .where(~is_further(F.col("order")) & (miss < F.col("left")))
+            .groupBy("pattern").agg(F.min(F.struct(miss.alias("miss"), "order", "size")).alias("fit"))
+        )
+        limits = written(
+            limits.join(fit, "pattern", "left").select(
+                "pattern", "rounds", "edge", "cut",
+                (F.col("left") - F.coalesce("fit.size", F.lit(0))).alias("left"),
+                F.when(F.col("fit").isNull(), F.col("picks"))
+                .otherwise(F.array_append("picks", F.col("fit.order"))).alias("picks"),
+            ),
+            "mix-limits",
+        )
+    return limits.drop("left"), table
+
+
+def is_further(order: Column) -> Column:
+    """Whether a document lies before the place where its pattern's flow ends, or was picked."""
     here = range_of(order)
     within = (here < F.col("edge")) | ((here == F.col("edge")) & (order <= F.col("cut")))
-    return F.coalesce(within, F.lit(False))
+    return F.coalesce(within, F.lit(False)) | F.array_contains("picks", order)
 
 
 def times_taken(order: Column) -> Column:
     """How often a document is taken, next to the limits of its pattern."""
-    more = further(order) | F.coalesce(order == F.col("single"), F.lit(False))
-    return F.col("rounds") + more.cast("int")
+    return F.col("rounds") + is_further(order).cast("int")
 
 
 def sized_rows(docs: DataFrame, memberships: Column, id_column: str, text_column: str, seed: int):

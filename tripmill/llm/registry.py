@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripmill.llm import attention_lm, byte_cnn, chat, fertility, mixture, secret_scan, sharding, simhash, templates, token_counts
+from tripmill.llm import attention_lm, byte_cnn, chat, fertility, mixture, oracles, secret_scan
+from tripmill.llm import sharding, simhash, templates, token_counts
 from tripmill.llm.common import remainder_of_id, table
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -94,4 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_secret_ownership": oracles.secret_ownership(),
+        "op10_chat_parts": oracles.chat_parts(HOSTILE),
+    }

@@ -17,6 +17,7 @@ empty result.  Other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -115,6 +116,10 @@ def spans_of(rows: DataFrame) -> DataFrame:
     )
 
 
+def has_rank(rank: int) -> Callable[[Column], Column]:
+    return lambda span: span["rank"] == rank
+
+
 def ownership(spans: DataFrame) -> DataFrame:
     """Distinct owners and repositories of every hash; hot hashes are reduced before each shuffle."""
     holders = spans.groupBy("hash", "owner", "repository").agg(F.lit(1).alias("one"))
@@ -165,8 +170,7 @@ def scan(
     count = lambda spans, test: F.size(F.filter(spans, test)).cast("bigint")
     per_key = grouped.withColumn("added", free).select(
         *KEY,
-        *[count("base", lambda s, k=k: s["rank"] == k).alias("n_" + kind[0])
-          for k, kind in enumerate(BASE_KINDS)],
+        *[count("base", has_rank(k)).alias("n_" + kind[0]) for k, kind in enumerate(BASE_KINDS)],
         text(F.col("base")).alias("base_text"),
         text(F.array_sort(F.concat("base", "added"))).alias("spans"),
         F.size("added").cast("bigint").alias("n_owned"),
