@@ -93,6 +93,27 @@ def test_large_holdout_uses_the_cut(spark, monkeypatch):
     assert ids(sampling.holdout_rows(rows, 100)) == small
 
 
+def test_ranks_of_any_number_of_rows(spark, monkeypatch):
+    rows = spark.range(0, 3000, 1, 5).withColumnRenamed("id", ROW_ID)
+    small = {r[ROW_ID]: r["rank"] for r in sampling.ranked_sample(rows, 900).collect()}
+    monkeypatch.setattr(sampling, "TOP_N_ROWS", 50)
+    monkeypatch.setattr(sampling, "RANK_BIN_ROWS", 100)
+    large = {r[ROW_ID]: r["rank"] for r in sampling.ranked_sample(rows, 900).collect()}
+    assert large == small and sorted(large.values()) == list(range(1, 901))
+    every = [r["rank"] for r in sampling.ranked_sample(rows, 10_000).collect()]
+    assert sorted(every) == list(range(1, 3001))
+    assert sampling.holdout_rows(rows, 3000).count() == 0
+    assert sampling.holdout_rows(rows, 2990).count() == 10
+
+
+def test_top_n_reads_little_more_than_n(spark):
+    ranked = sampling.with_priority(spark.range(20_000).withColumnRenamed("id", ROW_ID))
+    near = sampling.near_prefix(ranked, 400)
+    assert 400 <= near.count() <= 800
+    first = [r[ROW_ID] for r in ranked.orderBy("priority", ROW_ID).limit(400).collect()]
+    assert {r[ROW_ID] for r in near.orderBy("priority", ROW_ID).limit(400).collect()} == set(first)
+
+
 def test_hash_blocks_cover_everything_evenly(spark):
     rows = spark.range(5000).select(hash_priority(F.col("id")).alias("p"))
     counts = rows.groupBy(sampling.hash_block(F.col("p"), 5).alias("b")).count().collect()

@@ -124,3 +124,19 @@ def test_shared_folder_is_the_one_the_session_names(spark):
     named = spark.conf.get("spark.checkpoint.dir")
     first, second = shared_folder(spark, "x"), shared_folder(spark, "x")
     assert first.startswith(f"{named}/x-") and first != second
+
+
+def test_digest_of_a_whole_source(spark, tmp_path):
+    import hashlib
+
+    one = tmp_path / "one"
+    one.mkdir()
+    (one / "a.bin").write_bytes(b"first")
+    digest = readers.source_digest(spark, str(one))
+    assert digest == {"sha256": hashlib.sha256(b"first").hexdigest(), "bytes": 5, "files": 1}
+    (one / "b.bin").write_bytes(b"second")
+    both = readers.source_digest(spark, str(one))
+    assert both["bytes"] == 11 and both["files"] == 2 and len(both["sha256"]) == 64
+    (one / "b.bin").write_bytes(b"sec0nd")
+    changed = readers.source_digest(spark, str(one))
+    assert changed["sha256"] != both["sha256"] and changed["bytes"] == 11

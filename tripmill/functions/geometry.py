@@ -26,12 +26,18 @@ def squared_distance(columns: Sequence[Column], center: Sequence[float]) -> Colu
 
 
 def nearest_of(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of and squared distance to the closest center; ties go to the lowest index."""
-    products = x @ centers.T
-    distances = (x * x).sum(axis=1)[:, None] - 2 * products + (centers * centers).sum(axis=1)
-    labels = distances.argmin(axis=1)
-    gaps = x - centers[labels]
-    return labels, np.einsum("ij,ij->i", gaps, gaps)
+    """Index of and squared distance to the closest center; ties go to the lowest index.
+
+    Differences are squared as in the column expressions, so both ways give the same labels.
+    """
+    smallest = np.full(len(x), np.inf)
+    labels = np.zeros(len(x), dtype="int64")
+    for number, center in enumerate(centers):
+        gaps = x - center
+        squares = np.einsum("ij,ij->i", gaps, gaps)
+        nearer = squares < smallest
+        smallest[nearer], labels[nearer] = squares[nearer], number
+    return labels, smallest
 
 
 def _nearest_batches(centers: np.ndarray, packed: bool):

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from tripmill.functions.geometry import MAX_LITERALS, distance_array, nearest_columns
 from tripmill.functions.geometry import nearest_of, with_nearest
-from tripmill.functions.priority import hash_priority
 from tripmill.operators.sampling import spread
 from tripmill.schema import SEED
 
@@ -26,9 +25,10 @@ from tripmill.schema import SEED
 RESTARTS = 10
 MAX_ITERATIONS = 300
 TOLERANCE = 1e-4
-# Rows the starting centers are drawn from (a bounded hash sample; the fit uses every row).
-SEEDING_ROWS = 4_096
-# Steps a start is refined by on that sample, which saves passes over the table.
+# Starts are drawn from all rows in a few rounds; a round keeps about this many rows per cluster.
+DRAWING_ROUNDS = 3
+DRAWN_PER_CLUSTER = 2
+# Steps a start is refined by on the weighted rows drawn for it, which saves passes.
 REFINING_STEPS = 50
 BATCH_CELLS = 2_000_000
 # Partial sums are added up on the driver only while they are this few rows; else by Spark.
@@ -72,60 +72,158 @@ def to_matrix(batch: pa.RecordBatch, width: int) -> np.ndarray:
     return np.column_stack(columns).astype("float64", copy=False)
 
 
-def seed_centers(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """Spread-out starting centers: each next one drawn with odds by squared distance."""
-    chosen = [points[rng.integers(len(points))]]
+def seed_centers(
+    points: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator
+) -> np.ndarray:
+    """Spread-out centers: each next one drawn with odds by weight and squared distance."""
+    chosen = [points[rng.choice(len(points), p=weights / weights.sum())]]
     closest = np.full(len(points), np.inf)
     for _ in range(1, k):
         gaps = points - chosen[-1]
         closest = np.minimum(closest, (gaps * gaps).sum(axis=1))
-        total = closest.sum()
-        odds = closest / total if total > 0 else None
-        chosen.append(points[rng.choice(len(points), p=odds)])
+        odds = closest * weights
+        total = odds.sum()
+        chosen.append(points[rng.choice(len(points), p=odds / total if total > 0 else None)])
     return np.array(chosen)
 
 
-def seeding_sample(
-    df: DataFrame, columns: Sequence[str], key: str, rows: int = SEEDING_ROWS, seed: int = SEED
+def refine(
+    points: np.ndarray, weights: np.ndarray, centers: np.ndarray, steps: int = REFINING_STEPS
 ) -> np.ndarray:
-    top = (
-        df.select(hash_priority(F.col(key), seed).alias("priority"), key, *columns)
-        .orderBy("priority", key)
-        .limit(rows)
-        .select(*columns)
-    )
-    found = [[np.ravel(value) for value in row] for row in top.collect()]
-    return np.array([np.concatenate(parts) for parts in found], dtype="float64")
-
-
-def refine(sample: np.ndarray, centers: np.ndarray, steps: int) -> np.ndarray:
-    """Move starting centers to the cluster means of the (bounded) seeding sample."""
+    """Move centers to the weighted means of the drawn rows."""
     before = None
     for _ in range(steps):
-        labels, _ = nearest_of(sample, centers)
+        labels, _ = nearest_of(points, centers)
         if before is not None and np.array_equal(labels, before):
             break
         before = labels
-        member = np.eye(len(centers))[labels]
+        member = np.eye(len(centers))[labels] * weights[:, None]
         sizes = member.sum(axis=0)
-        means = (member.T @ sample) / np.maximum(sizes, 1)[:, None]
+        means = (member.T @ points) / np.maximum(sizes, 1e-300)[:, None]
         centers = np.where(sizes[:, None] > 0, means, centers)
     return centers
 
 
-def starting_centers(
-    sample: np.ndarray, k: int, seed: int, restarts: int, steps: int = REFINING_STEPS
-) -> list[np.ndarray]:
-    """Refined starts.  Restarts that meet in the same place are followed only once."""
-    if len(sample) < k:
-        raise ValueError(f"{k} clusters need at least {k} rows, found {len(sample)}")
-    rng = np.random.default_rng(seed)
-    starts: dict[bytes, np.ndarray] = {}
-    for _ in range(restarts):
-        centers = refine(sample, seed_centers(sample, k, rng), steps)
-        ordered = centers[np.lexsort(centers.T[::-1])]
-        starts.setdefault(np.round(ordered, 6).tobytes(), centers)
-    return list(starts.values())
+def _mixed(keys: np.ndarray, salt: int) -> np.ndarray:
+    """A uniform number in (0, 1] for every key, another one for every salt."""
+    x = keys.view(np.uint64) ^ np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return ((x >> np.uint64(11)).astype("float64") + 1) / float(1 << 53)
+
+
+class _Draw:
+    """One round for all starts: each row is kept with odds by its squared distance.
+
+    ``known`` holds the rows kept so far for each start, ``odds`` what a squared distance is
+    multiplied with, and ``salts`` the numbers that tell the starts' draws apart.
+    """
+
+    def __init__(self, known: Sequence[np.ndarray], odds: Sequence[float], salts: Sequence[int]):
+        self.known, self.odds, self.salts = list(known), list(odds), list(salts)
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        costs = np.zeros(len(self.known))
+        starts: list[int] = []
+        kept: list[list[float]] = []
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False).astype("int64")
+            rest = pa.RecordBatch.from_arrays(batch.columns[1:], batch.schema.names[1:])
+            x = to_matrix(rest, self.known[0].shape[1])
+            for i, (known, odds, salt) in enumerate(zip(self.known, self.odds, self.salts)):
+                step = max(256, BATCH_CELLS // len(known))
+                for begin in range(0, len(x), step):
+                    some = x[begin : begin + step]
+                    _, squares = nearest_of(some, known)
+                    costs[i] += squares.sum()
+                    hit = _mixed(keys[begin : begin + step], salt) <= squares * odds
+                    starts += [i] * int(hit.sum())
+                    kept += some[hit].tolist()
+        starts += range(len(costs))
+        points = [*kept, *[None] * len(costs)]
+        numbers = pa.array([None] * len(kept) + costs.tolist(), pa.float64())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(starts, pa.int32()), numbers, pa.array(points, pa.list_(pa.float64()))],
+            ["start", "cost", "point"],
+        )
+
+
+def drawn_starts(
+    df: DataFrame,
+    columns: Sequence[str],
+    key: str,
+    wanted: Mapping[Hashable, tuple[int, int, int]],
+) -> dict[Hashable, list[tuple[float, np.ndarray]]]:
+    """Starting centers drawn from all rows, cheapest first, with their squared error over all rows.
+
+    ``wanted`` gives k, seed and restarts for each name.  Every round is one pass over the table
+    for all starts together: a row is kept with odds by its squared distance to the rows kept
+    before, so a small far cluster is found whatever the table's size.  The kept rows (a few per
+    cluster) are weighted by the rows nearest to them, and the k centers come from those.
+    """
+    points = df.select(*columns)
+    keyed = df.select(F.xxhash64(key).alias("draw_key"), *columns)
+    names = [name for name, (_, _, restarts) in wanted.items() for _ in range(restarts)]
+    turn = {name: 0 for name in wanted}
+    sizes, salts = [], []
+    for name in names:
+        k, seed, _ = wanted[name]
+        sizes.append(k)
+        salts.append(seed * 1_000_003 + turn[name] * 101)
+        turn[name] += 1
+    width = len(np.concatenate([np.ravel(v) for v in points.first() or [[]]]))
+    counts, sums, errors = cluster_sums(points, {0: np.zeros((1, max(1, width)))})[0]
+    rows = int(counts[0])
+    most = max((k for k, _, _ in wanted.values()), default=0)
+    if rows < most:
+        raise ValueError(f"{most} clusters need at least {most} rows, found {rows}")
+    mean = sums[0] / rows
+    cost = [max(0.0, float(errors[0] - rows * mean @ mean))] * len(names)
+    known = [mean[None, :] for _ in names]
+    found: list[np.ndarray | None] = [None] * len(names)
+    tasks = keyed.rdd.getNumPartitions()
+    for draw in range(DRAWING_ROUNDS):
+        odds = [DRAWN_PER_CLUSTER * k / c if c > 0 else 0.0 for k, c in zip(sizes, cost)]
+        drawn = keyed.mapInArrow(
+            _Draw(known, odds, [s + 7 * draw for s in salts]),
+            "start int, cost double, point array<double>",
+        )
+        if tasks * len(names) > DRIVER_SUM_ROWS:
+            drawn = drawn.groupBy("start").agg(F.sum("cost").alias("cost"), F.collect_list("point").alias("points"))
+            results = [(r["start"], r["cost"], r["points"]) for r in drawn.collect()]
+        else:
+            results = [(r["start"], r["cost"], [] if r["point"] is None else [r["point"]]) for r in drawn.collect()]
+        summed, kept = np.zeros(len(names)), [[] for _ in names]
+        for start, number, chosen in results:
+            summed[start] += number or 0.0
+            kept[start] += chosen
+        for i, chosen in enumerate(kept):
+            if draw:
+                cost[i] = float(summed[i])
+            if chosen:
+                new = np.array(sorted(chosen), dtype="float64")
+                found[i] = new if found[i] is None else np.concatenate([found[i], new])
+                # The mean stays in sight, so costs fall from round to round and draws stay few.
+                known[i] = np.concatenate([mean[None, :], found[i]])
+    kept_rows = {i: np.unique(mean[None, :] if f is None else f, axis=0) for i, f in enumerate(found)}
+    weighed = cluster_sums(points, kept_rows, tasks, rows)
+    refined = {}
+    for i in range(len(names)):
+        counts = weighed[i][0].astype("float64")
+        rng = np.random.default_rng(salts[i])
+        refined[i] = refine(kept_rows[i], counts, seed_centers(kept_rows[i], counts, sizes[i], rng))
+    # What a start costs is asked of all rows: its few drawn rows may miss a whole group.
+    costs = {i: float(e.sum()) for i, (_, _, e) in cluster_sums(points, refined, tasks, rows).items()}
+    starts: dict[Hashable, list[tuple[float, np.ndarray]]] = {name: [] for name in wanted}
+    for i, name in enumerate(names):
+        starts[name].append((costs[i], refined[i]))
+    return {name: sorted(found, key=lambda pair: pair[0]) for name, found in starts.items()}
+
+
+def distinct_centers(starts: Sequence[tuple[float, np.ndarray]]) -> list[np.ndarray]:
+    """Restarts that begin in exactly the same place need one fit."""
+    return list({centers.tobytes(): centers for _, centers in starts}.values())
 
 
 class _ClusterSums:
@@ -295,6 +393,5 @@ def fit_kmeans(
     max_iterations: int = MAX_ITERATIONS,
     tolerance: float = TOLERANCE,
 ) -> Fit:
-    sample = seeding_sample(df, columns, key, seed=seed)
-    starts = {k: starting_centers(sample, k, seed, restarts)}
-    return fit_many(df.select(*columns), starts, max_iterations, tolerance)[k]
+    starts = drawn_starts(df, columns, key, {k: (k, seed, restarts)})
+    return fit_many(df.select(*columns), {k: distinct_centers(starts[k])}, max_iterations, tolerance)[k]

@@ -1,25 +1,25 @@
-"""Mini-batch K-Means: centers move after every block of rows.
-
-Blocks are ranges of a hash priority, so block i is a filter and blocks follow a random
-but reproducible order.  Reading one small block out of a huge table would cost a scan per
-step, so blocks are fetched in windows that double in length: the number of scans grows with
-the logarithm of the number of blocks.  Each step is one distributed sum per cluster; the
-driver only holds the centers and their weights.
+"""Mini-batch K-Means: centers move after every group of blocks of rows.
+
+Blocks are ranges of a hash priority, so they follow a random but reproducible order, and every
+row is in exactly one.  The first blocks are taken one by one; later ones in groups whose
+length grows with what has been read, all rows of a group being assigned with the centers
+at its beginning.  A pass thus reads every block in a number of jobs that grows with the logarithm
+of their number.  Groups come from windows that double in length, are read from the table once, and
+keep many partitions.  The driver only holds the centers and their weights.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripmill.functions.geometry import nearest_of
 from tripmill.functions.priority import hash_priority
-from tripmill.operators.kmeans import Fit, cluster_sums, seeding_sample, starting_centers
+from tripmill.operators.kmeans import Fit, cluster_sums, drawn_starts
 from tripmill.operators.sampling import hash_block
 from tripmill.schema import SEED
 
@@ -27,14 +27,14 @@ from tripmill.schema import SEED
 BATCH_ROWS = 1_000
 STREAM_BLOCK_ROWS = 10_000
 RESTARTS = 10
-PATIENCE = 10
-# Relative drop of the smoothed error that counts as an improvement.
+# Relative drop of the error per row that counts as an improvement, where a caller asks to stop.
 LEAST_GAIN = 1e-3
 FIRST_WINDOW = 32
+# Blocks that are taken one by one, and the part of what has been read that a later group has.
+SINGLE_BLOCKS = 8
+GROUP_PART = 8
 # Blocks are drawn independently of the samples the points may come from.
 BLOCK_SEED = 7
-# A single pass over everything uses at most this many blocks: they grow with the table.
-MAX_PASS_BLOCKS = 32
 ROWS_PER_TASK = 10_000
 
 
@@ -50,36 +50,51 @@ def update_centers(
 
 
 class _Blocks:
-    """Blocks in order, served from persisted windows of doubling length."""
+    """Groups of blocks in order, served from persisted windows of doubling length."""
 
     def __init__(self, df: DataFrame, columns: Sequence[str], key: str, rows: int, block_rows: int):
         self.count, self.block_rows = max(1, math.ceil(rows / block_rows)), block_rows
         block = hash_block(hash_priority(F.col(key), BLOCK_SEED), self.count)
         self.source = df.select(block.alias("block"), *columns)
         self.columns = list(columns)
-        # Small blocks need few tasks; large ones keep the partitions of the table.
-        self.tasks_wanted = math.ceil(block_rows / ROWS_PER_TASK)
+        self.partitions = self.source.rdd.getNumPartitions()
         self.start = self.end = self.tasks = 0
         self.length, self.window = FIRST_WINDOW, None
 
+    def groups(self) -> Iterator[tuple[int, int]]:
+        """Blocks from and below, in order; a group lies inside one window."""
+        edge, length, at = FIRST_WINDOW, FIRST_WINDOW, 0
+        while at < self.count:
+            while at >= edge:
+                length *= 2
+                edge += length
+            group = 1 if at < SINGLE_BLOCKS else max(1, at // GROUP_PART)
+            end = min(at + group, edge, self.count)
+            yield at, end
+            at = end
+
     def _open(self, number: int) -> None:
         self.close()
         self.start, self.end = number, min(self.count, number + self.length)
         self.length *= 2
         inside = (F.col("block") >= self.start) & (F.col("block") < self.end)
         window = self.source.filter(inside)
-        if self.tasks_wanted < window.sparkSession.sparkContext.defaultParallelism:
-            window = window.repartition(self.tasks_wanted)
+        # A small window of a large table is few rows; a large one keeps the table's partitions.
+        wanted = math.ceil((self.end - self.start) * self.block_rows / ROWS_PER_TASK)
+        parallel = window.sparkSession.sparkContext.defaultParallelism
+        if wanted < self.partitions or self.partitions < min(wanted, parallel):
+            window = window.repartition(min(wanted, max(self.partitions, parallel)))
         # Sorted by block, a step skips the cached batches of all other blocks.
         self.window = window.sortWithinPartitions("block").persist(StorageLevel.MEMORY_AND_DISK)
         self.tasks = self.window.rdd.getNumPartitions()
 
-    def sums(self, number: int, centers: np.ndarray) -> tuple:
-        """Counts, sums and squared error per cluster of one block."""
-        if not self.start <= number < self.end:
-            self._open(number)
-        block = self.window.filter(F.col("block") == number).select(*self.columns)
-        return cluster_sums(block, {0: centers}, self.tasks, self.block_rows)[0]
+    def sums(self, start: int, end: int, centers: np.ndarray) -> tuple:
+        """Counts, sums and squared error per cluster of the blocks from ``start`` below ``end``."""
+        if not self.start <= start < self.end:
+            self._open(start)
+        inside = (F.col("block") >= start) & (F.col("block") < end)
+        part = self.window.filter(inside).select(*self.columns)
+        return cluster_sums(part, {0: centers}, self.tasks, (end - start) * self.block_rows)[0]
 
     def close(self) -> None:
         if self.window is not None:
@@ -87,10 +102,32 @@ class _Blocks:
             self.window = None
 
 
-def best_start(sample: np.ndarray, k: int, seed: int, restarts: int) -> np.ndarray:
-    """The start with the least squared error on the seeding sample."""
-    starts = starting_centers(sample, k, seed, restarts)
-    return min(starts, key=lambda centers: nearest_of(sample, centers)[1].sum())
+def _pass(
+    df: DataFrame,
+    columns: Sequence[str],
+    key: str,
+    rows: int,
+    block_rows: int,
+    centers: np.ndarray,
+    passes: int,
+    patience: int | None,
+) -> Fit:
+    served = _Blocks(df, columns, key, rows, block_rows)
+    weights = np.zeros(len(centers))
+    best, waited, blocks = math.inf, 0, 0
+    for start, end in (group for _ in range(passes) for group in served.groups()):
+        counts, sums, errors = served.sums(start, end, centers)
+        blocks += end - start
+        if not counts.sum():
+            continue
+        centers, weights = update_centers(centers, weights, counts, sums)
+        error = float(errors.sum() / counts.sum())
+        waited = 0 if error < best * (1 - LEAST_GAIN) else waited + 1
+        best = min(best, error)
+        if patience is not None and waited >= patience:
+            break
+    served.close()
+    return _scored(df, columns, centers, rows, blocks)
 
 
 def fit_minibatch(
@@ -103,33 +140,15 @@ def fit_minibatch(
     seed: int = SEED,
     restarts: int = RESTARTS,
     passes: int = 1,
-    patience: int = PATIENCE,
+    patience: int | None = None,
 ) -> Fit:
-    """Stops early once the smoothed error per row has hardly improved for ``patience`` blocks."""
-    sample = seeding_sample(df, columns, key, seed=seed)
-    centers = best_start(sample, k, seed, restarts)
-    # A small first block must not undo the start, so it weighs as much as its sample rows.
-    labels, squares = nearest_of(sample, centers)
-    weights = np.bincount(labels, minlength=k).astype("float64")
-    served = _Blocks(df, columns, key, rows, batch_rows)
-    smoothing = min(1.0, 2.0 * batch_rows / (rows + 1))
-    smoothed = best = float(squares.mean())
-    waited = steps = 0
-    for number in (i for _ in range(passes) for i in range(served.count)):
-        counts, sums, errors = served.sums(number, centers)
-        if not counts.sum():
-            continue
-        centers, weights = update_centers(centers, weights, counts, sums)
-        steps += 1
-        error = errors.sum() / counts.sum()
-        smoothed += (error - smoothed) * smoothing
-        improved = smoothed < best * (1 - LEAST_GAIN)
-        waited = 0 if improved else waited + 1
-        best = smoothed if improved else best
-        if waited >= patience:
-            break
-    served.close()
-    return _scored(df, columns, centers, rows, steps)
+    """Blocks of ``batch_rows`` rows, all of them in every pass; ``iterations`` counts them.
+
+    Only a caller that gives ``patience`` stops a fit early: after so many groups of blocks in a
+    row without a better error.
+    """
+    starts = drawn_starts(df, columns, key, {k: (k, seed, restarts)})[k]
+    return _pass(df, columns, key, rows, batch_rows, starts[0][1], passes, patience)
 
 
 def fit_one_pass(
@@ -142,15 +161,9 @@ def fit_one_pass(
     seed: int = SEED,
     restarts: int = RESTARTS,
 ) -> Fit:
-    """Every row exactly once, block by block; blocks grow with the table, their number does not."""
-    sample = seeding_sample(df, columns, key, seed=seed)
-    centers, weights = best_start(sample, k, seed, restarts), np.zeros(k)
-    served = _Blocks(df, columns, key, rows, max(block_rows, math.ceil(rows / MAX_PASS_BLOCKS)))
-    for number in range(served.count):
-        counts, sums, _ = served.sums(number, centers)
-        centers, weights = update_centers(centers, weights, counts, sums)
-    served.close()
-    return _scored(df, columns, centers, rows, served.count)
+    """Every row exactly once, in blocks of ``block_rows`` rows."""
+    starts = drawn_starts(df, columns, key, {k: (k, seed, restarts)})[k]
+    return _pass(df, columns, key, rows, block_rows, starts[0][1], 1, None)
 
 
 def _scored(

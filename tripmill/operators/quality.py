@@ -158,3 +158,37 @@ def silhouettes(
         for row in each.groupBy("model").agg(F.avg("score").alias("mean")).collect()
     }
     return {name: means.get(i) for i, name in enumerate(labels)}
+
+
+def silhouette_squared(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
+    """Mean silhouette of all rows under squared Euclidean distance: ``rows``, ``silhouette``.
+
+    The mean squared distance to a cluster follows from its size, its coordinate sums and its sum of
+    squares, so one aggregate per cluster and one pass over the rows replace all pairs.  The
+    clusters (k rows) travel as literals.  Rows of one-row clusters count 0; with fewer than two
+    clusters the silhouette is null.
+    """
+    length = sum((F.col(c) * F.col(c) for c in columns), F.lit(0.0))
+    stats = df.groupBy(label).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(length).alias("q"), *[F.sum(c).alias(c) for c in columns]
+    )
+    clusters = sorted(tuple(row) for row in stats.collect())
+    if len(clusters) < 2:
+        return df.agg(F.count(F.lit(1)).alias("rows"), F.lit(None).cast("double").alias("silhouette"))
+
+    def mean_gap(size: int, squares: float, sums: Sequence[float]):
+        cross = sum((F.col(c) * float(s) for c, s in zip(columns, sums)), F.lit(0.0))
+        return length + F.lit(squares / size) - 2 * cross / size
+
+    inner, outer = F.lit(None).cast("double"), []
+    for name, size, squares, *sums in clusters:
+        gap = mean_gap(size, squares, sums)
+        here = F.col(label) == name
+        inner = F.when(here, gap * size / (size - 1) if size > 1 else F.lit(None)).otherwise(inner)
+        outer.append(F.when(~here, gap))
+    nearest = F.least(*outer)
+    # Rounding can leave a tiny negative distance between equal points.
+    a, b = F.greatest(inner, F.lit(0.0)), F.greatest(nearest, F.lit(0.0))
+    largest = F.greatest(a, b)
+    score = F.when(inner.isNull() | (largest == 0), 0.0).otherwise((b - a) / largest)
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.avg(score).alias("silhouette"))

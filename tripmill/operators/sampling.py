@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripmill.functions.priority import hash_priority, unit_interval
+from tripmill.functions.priority import PRIORITY_RANGE, hash_priority, unit_interval
 from tripmill.operators.quantiles import find_ranks
 from tripmill.schema import ROW_ID, SEED
 
 Priority = Callable[[Column, int], Column]
 # Up to here a bounded top-n is cheapest; larger prefixes are cut at their exact last value.
 TOP_N_ROWS = 50_000
+# Ranks of larger samples come from bins of about this many rows.
+RANK_BIN_ROWS = 20_000
 
 
 def with_priority(
@@ -46,6 +49,22 @@ def prefix_cut(ranked: DataFrame, n: int, key: str = ROW_ID) -> Column:
     return prefix_cuts(ranked, [n], key)[n]
 
 
+def near_prefix(ranked: DataFrame, n: int) -> DataFrame:
+    """The rows below a priority that keeps at least the first n rows, and few more.
+
+    A top-n sends its n best rows of every partition to one task; behind this filter all
+    partitions together hold little more than n.
+    """
+    total = ranked.count()
+    share = (n + 8 * math.sqrt(n) + 32) / max(1, total)
+    while share < 1:
+        near = ranked.filter(F.col("priority") < int(share * PRIORITY_RANGE))
+        if near.count() >= n:
+            return near
+        share *= 2
+    return ranked
+
+
 def sample_rows(
     df: DataFrame,
     n: int,
@@ -57,7 +76,7 @@ def sample_rows(
     """Exactly min(n, rows) rows without replacement; sample_rows(n) is inside sample_rows(n + 1)."""
     ranked = with_priority(df, seed, key, priority)
     if n <= top_n_rows:
-        return ranked.orderBy("priority", key).limit(n).drop("priority")
+        return near_prefix(ranked, n).orderBy("priority", key).limit(n).drop("priority")
     if df.count() <= n:
         return df
     return ranked.filter(prefix_cut(ranked, n, key)).drop("priority")
@@ -72,11 +91,28 @@ def spread(sample: DataFrame, rows: int, rows_per_task: int = 2_500) -> DataFram
 def ranked_sample(
     df: DataFrame, n: int, seed: int = SEED, key: str = ROW_ID, priority: Priority = hash_priority
 ) -> DataFrame:
-    """A bounded sample with its one-based ``rank``; only the n kept rows reach the window."""
-    if n > TOP_N_ROWS:
-        raise ValueError(f"ranks are for samples of at most {TOP_N_ROWS} rows; use prefix_cut")
-    top = with_priority(df, seed, key, priority).orderBy("priority", key).limit(n)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy("priority", key)))
+    """The first n rows in priority order with their one-based ``rank``, for any n.
+
+    Beyond a bounded size the prefix is cut by a filter, and a rank is the rows of the bins before
+    (one row per bin) plus the place in the row's own bin, so no task sorts the whole sample.
+    """
+    ranked = with_priority(df, seed, key, priority)
+    if n <= TOP_N_ROWS:
+        top = near_prefix(ranked, n).orderBy("priority", key).limit(n)
+        return top.withColumn("rank", F.row_number().over(Window.orderBy("priority", key)))
+    total = df.count()
+    top = ranked if total <= n else ranked.filter(prefix_cut(ranked, n, key))
+    binned = top.withColumn("__bin", hash_block(F.col("priority"), math.ceil(total / RANK_BIN_ROWS)))
+    before = Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = binned.groupBy("__bin").agg(F.count(F.lit(1)).alias("__rows"))
+    offsets = bins.select("__bin", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__bin").orderBy("priority", key))
+    return (
+        binned.withColumn("__place", place)
+        .join(offsets, "__bin")
+        .withColumn("rank", (F.col("__before") + F.col("__place")).cast("int" if n < 2**31 else "bigint"))
+        .drop("__bin", "__before", "__place")
+    )
 
 
 def holdout_rows(
@@ -92,8 +128,12 @@ def holdout_rows(
         top = ranked_sample(df, training_rows + rows, seed, key, priority)
         return top.filter(F.col("rank") > training_rows).drop("rank", "priority")
     ranked = with_priority(df, seed, key, priority)
-    beyond = ranked.filter(~prefix_cut(ranked, training_rows, key))
-    return beyond.orderBy("priority", key).limit(rows).drop("priority")
+    total = ranked.count()
+    if total <= training_rows:
+        return df.limit(0)
+    last = min(total, training_rows + rows)
+    cuts = prefix_cuts(ranked, [training_rows, last], key)
+    return ranked.filter(cuts[last] & ~cuts[training_rows]).drop("priority")
 
 
 def hash_block(priority: Column, blocks: int) -> Column:

@@ -80,24 +80,19 @@ def best_silhouette(scores: DataFrame) -> DataFrame:
 
 
 def gate_sensitivity(scores: DataFrame, shares: Sequence[float], gates: Gates = Gates()) -> DataFrame:
-    """The K each minimum share would choose, with how many candidates pass."""
+    """The K each minimum share would choose (null if none passes), with how many candidates pass."""
     table = elbow_table(scores, gates)
     quality_ok = (F.col("silhouette") >= gates.minimum_silhouette) & (
         F.col("stability_ari") >= gates.minimum_stability_ari
     )
-    each = table.filter(quality_ok).select(
-        "k",
-        "elbow_strength",
-        "min_cluster_share",
-        F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("minimum_share"),
+    each = table.withColumn(
+        "minimum_share", F.explode(F.array(*[F.lit(float(s)) for s in shares]))
     )
-    return (
-        each.filter(F.col("min_cluster_share") >= F.col("minimum_share"))
-        .groupBy("minimum_share")
-        .agg(
-            F.max_by("k", F.struct("elbow_strength", -F.col("k"))).alias("k"),
-            F.count(F.lit(1)).alias("eligible"),
-        )
+    passes = F.coalesce(quality_ok & (F.col("min_cluster_share") >= F.col("minimum_share")), F.lit(False))
+    order = F.struct("elbow_strength", -F.col("k"))
+    return each.groupBy("minimum_share").agg(
+        F.max_by(F.when(passes, F.col("k")), F.when(passes, order)).alias("k"),
+        F.count_if(passes).alias("eligible"),
     )
 
 
@@ -137,11 +132,9 @@ def study_k(
         raise ValueError(f"a K study needs {MINIMUM_ROWS} accepted rows, found {count}")
     columns = scaled_names(features)
     scaled = with_scaled(sample, fit_scaler(sample, features)).persist()
-    starts = {}
-    for seed in (SEED, ALTERNATIVE_SEED):
-        seeding = kmeans.seeding_sample(scaled, columns, ROW_ID, seed=seed)
-        for k in candidates:
-            starts[k, seed] = kmeans.starting_centers(seeding, k, seed, restarts)
+    wanted = {(k, seed): (k, seed, restarts) for seed in (SEED, ALTERNATIVE_SEED) for k in candidates}
+    drawn = kmeans.drawn_starts(scaled, columns, ROW_ID, wanted)
+    starts = {name: kmeans.distinct_centers(found) for name, found in drawn.items()}
     fits = kmeans.fit_many(scaled.select(*columns), starts)
     models = [fits[k, s].centers for s in (SEED, ALTERNATIVE_SEED) for k in candidates]
     labeled = with_labels(scaled, columns, models).persist()

@@ -268,7 +268,8 @@ scores AS (
 ), elbow AS (
   SELECT scores.*, 1 - (k - k0) / CAST(k1 - k0 AS DOUBLE)
     - (normalized_inertia - i1) / (i0 - i1) AS elbow_strength,
-    min_cluster_share >= 0.005 AND silhouette >= -1 AND stability_ari >= -1 AS eligible
+    min_cluster_share >= 0.06 AS share_ok, silhouette >= 0.15 AND stability_ari >= 0.15 AS tight,
+    min_cluster_share >= 0.06 AND silhouette >= 0.15 AND stability_ari >= 0.15 AS eligible
   FROM scores CROSS JOIN ends
 )"""
 
@@ -287,22 +288,29 @@ def results(name: str, seeds, environment: str) -> str:
   FROM {name}_ranked JOIN (SELECT unnest([8, 4, 2, 1]) AS parts) ON place <= total // parts
   GROUP BY parts
 ), {name} AS (
-  SELECT "rows", algorithm, normalized_inertia, false AS streaming, CAST(42 AS INTEGER) AS seed,
+  SELECT "rows", algorithm, normalized_inertia, "rows" / CAST(100000 AS DOUBLE) AS fit_seconds,
+    1 / (1 + normalized_inertia) AS silhouette, streaming, CAST(42 AS INTEGER) AS seed,
     CAST(3 AS INTEGER) AS k, CAST(6 AS INTEGER) AS feature_count, 'ok' AS status,
     '{environment}' AS environment, 'drawn' AS experiment_id
-  FROM (SELECT "rows", 'KMeans' AS algorithm, a AS normalized_inertia FROM {name}_prefix
-    UNION ALL SELECT "rows", 'MiniBatchKMeans', b FROM {name}_prefix)
+  FROM (SELECT "rows", 'KMeans' AS algorithm, a AS normalized_inertia, false AS streaming
+    FROM {name}_prefix
+    UNION ALL SELECT "rows", 'MiniBatchKMeans', b, false FROM {name}_prefix
+    UNION ALL SELECT max("rows"), 'MiniBatchKMeans', max_by(b, "rows"), true FROM {name}_prefix)
 )"""
+METRICS = ("fit_seconds", "normalized_inertia", "silhouette")
 
 
 LOCAL = f"{SCALED}, {results('local_rows', (42, 43), 'local')}"
 BOTH = f"{LOCAL}, {results('remote_rows', (44, 45), 'colab')}"
-PAIRED = """SELECT "rows", environment,
-  round(max(CASE WHEN algorithm = 'KMeans' THEN normalized_inertia END) + 1e-9, 5)
-    AS kmeans_normalized_inertia,
-  round(max(CASE WHEN algorithm = 'MiniBatchKMeans' THEN normalized_inertia END) + 1e-9, 5)
-    AS minibatch_normalized_inertia
-  FROM {source} GROUP BY "rows", environment"""
+PAIRED = (
+    'SELECT "rows", environment, '
+    + ", ".join(
+        f"round(max(CASE WHEN algorithm = '{name}' THEN {m} END) + 1e-9, 5) AS {tag}_{m}"
+        for name, tag in (("KMeans", "kmeans"), ("MiniBatchKMeans", "minibatch"))
+        for m in METRICS
+    )
+    + ' FROM {source} WHERE NOT streaming GROUP BY "rows", environment'
+)
 
 DESCRIPTION = """printf('%.1f mi · %d min · %d mph average', avg(trip_distance),
     CAST(round_even(avg(duration_minutes), 0) AS BIGINT),
@@ -374,7 +382,8 @@ def oracle_sql() -> dict[str, str]:
         "clean_job": f"""{checked} count(*) AS raw_rows,
   count(*) FILTER (WHERE rejection_reason IS NULL) AS accepted_rows,
   count(*) FILTER (WHERE rejection_reason IS NOT NULL) AS rejected_rows,
-  count(DISTINCT rejection_reason) AS reasons, true AS saved_as_reported FROM classified""",
+  count(DISTINCT rejection_reason) AS reasons, true AS saved_as_reported,
+  CAST(4 AS BIGINT) AS files FROM classified""",
         "subset_assign": f"""WITH {SCALED}, centers(cluster, a, b) AS (
     VALUES (0, -1e0, -5e-1), (1, 0e0, 0e0), (2, 1e0, -5e-1), (3, 0e0, 2e0)
   ), near AS (
@@ -531,14 +540,14 @@ def oracle_sql() -> dict[str, str]:
   round(min_cluster_share + 1e-9, 5) AS min_cluster_share FROM elbow e WHERE eligible
   ORDER BY e.elbow_strength DESC, k LIMIT 1""",
         "choose_k_gates": f"""{study} minimum_share, max_by(k, (elbow_strength, -k)) AS k,
-  count(*) AS eligible FROM elbow JOIN (
-    SELECT CAST(unnest([0.0001, 0.001, 0.0025, 0.005, 0.01, 0.02]) AS DOUBLE) AS minimum_share)
-  ON min_cluster_share >= minimum_share GROUP BY minimum_share""",
+  count(k) AS eligible FROM (
+    SELECT CAST(unnest([0.0001, 0.001, 0.005, 0.02, 0.06, 0.09, 0.9]) AS DOUBLE) AS minimum_share)
+  LEFT JOIN elbow ON tight AND min_cluster_share >= minimum_share GROUP BY minimum_share""",
         "best_silhouette_k": f"""{study} k FROM scores ORDER BY silhouette DESC, k LIMIT 1""",
         "candidate_profiles": f"""{study} k, cluster, count(*) AS size, {means(FEATURES)}
   FROM first JOIN good USING (row_id) GROUP BY k, cluster""",
         "combine_results": f"""WITH {BOTH} SELECT * REPLACE (
-    round(normalized_inertia + 1e-9, 5) AS normalized_inertia) FROM (
+    {", ".join(f"round({m} + 1e-9, 5) AS {m}" for m in METRICS)}) FROM (
     SELECT * FROM local_rows UNION ALL SELECT * FROM remote_rows)""",
         "import_violations": f"""WITH {BOTH}, faulty AS (
     SELECT "rows", "rows" * 3 < max("rows") OVER () AS small, algorithm,
@@ -551,6 +560,7 @@ def oracle_sql() -> dict[str, str]:
   UNION ALL SELECT 'algorithm', large FROM counts
   UNION ALL SELECT 'status', 0 FROM counts UNION ALL SELECT 'rows', 0 FROM counts
   UNION ALL SELECT 'normalized_inertia', negative FROM counts
+  UNION ALL SELECT 'fit_seconds', 0 FROM counts UNION ALL SELECT 'silhouette', 0 FROM counts
   UNION ALL SELECT 'seed', 0 FROM counts UNION ALL SELECT 'k', small FROM counts
   UNION ALL SELECT 'feature_count', 0 FROM counts
   UNION ALL SELECT 'experiment_id', 0 FROM counts""",
@@ -558,10 +568,14 @@ def oracle_sql() -> dict[str, str]:
         "largest_pair": f"""WITH {BOTH}, both_rows AS (
     SELECT * FROM local_rows UNION ALL SELECT * FROM remote_rows)
   {PAIRED.format(source='both_rows')} ORDER BY "rows" DESC, environment LIMIT 1""",
-        "comparison_rows": f"""WITH {BOTH}
-  SELECT "rows", algorithm, environment || ' · ' || algorithm AS series,
-    'normalized_inertia' AS metric, round(normalized_inertia + 1e-9, 5) AS value
-  FROM (SELECT * FROM local_rows UNION ALL SELECT * FROM remote_rows)""",
+        "comparison_rows": f"WITH {BOTH} "
+        + " UNION ALL ".join(
+            f"""SELECT "rows", algorithm, environment || ' · ' || algorithm ||
+    CASE WHEN streaming THEN ' · streaming' ELSE '' END AS series,
+    '{m}' AS metric, round({m} + 1e-9, 5) AS value
+  FROM (SELECT * FROM local_rows UNION ALL SELECT * FROM remote_rows)"""
+            for m in METRICS
+        ),
         "latest_attempt": """SELECT o_custkey, max(o_orderkey) AS o_orderkey,
   max_by(o_orderstatus, o_orderkey) AS o_orderstatus,
   max_by(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY o_custkey""",
@@ -575,8 +589,34 @@ def oracle_sql() -> dict[str, str]:
   rejection_reason, count(*) AS "rows" FROM classified GROUP BY ALL""",
         "stream_fit": f"""{checked} CAST(4 AS BIGINT) AS files_applied,
   count(*) AS rows_applied FROM good""",
+        "frozen_check": f"""{checked} count(*) AS accepted_rows, true AS restored,
+  false AS own_refused, true AS grown_refused, true AS other_count_refused,
+  CAST(1 AS BIGINT) AS files_added FROM good""",
+        "silhouette_all_trips": f"""WITH {LABELED}, sums AS (
+    SELECT cluster AS c, count(*) AS n, sum({_list([f"{z} * {z}" for z in Z], " + ")}) AS q,
+      {_list([f"sum({z}) AS s_{z}" for z in Z])} FROM labeled GROUP BY cluster
+  ), gaps AS (
+    SELECT row_id, cluster, c, n, {_list([f"{z} * {z}" for z in Z], " + ")} + q / n
+      - 2 * ({_list([f"{z} * s_{z}" for z in Z], " + ")}) / n AS gap
+    FROM labeled CROSS JOIN sums
+  ), sides AS (
+    SELECT row_id, greatest(max(CASE WHEN c = cluster THEN gap * n / (n - 1) END), 0) AS a,
+      greatest(min(CASE WHEN c <> cluster THEN gap END), 0) AS b FROM gaps GROUP BY row_id)
+  SELECT count(*) AS "rows", round(avg((b - a) / greatest(a, b)) + 1e-9, 5) AS silhouette FROM sides""",
+        "line_rank_blocks": f"""WITH keyed AS (
+    SELECT DISTINCT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS line_key,
+      l_quantity FROM lineitem
+  ), ranked AS (
+    SELECT l_quantity, CAST(row_number() OVER (ORDER BY {priority("line_key")}, line_key) AS INTEGER) AS rank
+    FROM keyed)
+  SELECT CAST((rank - 1) // 7000 AS INTEGER) AS block, count(*) AS "rows", sum(l_quantity) AS quantity,
+    min(rank) AS first_rank, max(rank) AS last_rank FROM ranked GROUP BY 1""",
+        "rare_cluster_check": f"""WITH {LINE_CLASSIFIED}, counted AS (
+    SELECT count(*) FILTER (WHERE CAST(round(duration_minutes * 60) AS BIGINT) % 997 = 5) AS n FROM good)
+  SELECT fit, n AS rare_rows, n AS found_rows
+  FROM counted CROSS JOIN (SELECT unnest(['KMeans', 'MiniBatchKMeans', 'one pass']) AS fit)""",
         "fit_checks": f"""{checked} fit, count(*) AS "rows", true AS sizes_agree,
-  true AS errors_agree, true AS improved
+  true AS errors_agree, true AS settled, true AS near_best
   FROM good CROSS JOIN (SELECT unnest(['KMeans', 'MiniBatchKMeans', 'one pass']) AS fit)
   GROUP BY fit""",
         "stream_score": f"{flagged} {scored_columns} FROM flagged",

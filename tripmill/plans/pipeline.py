@@ -14,7 +14,7 @@ from tripmill.operators.results import experiment_id
 from tripmill.operators.sampling import sample_rows
 from tripmill.plans import study
 from tripmill.schema import FEATURES, ROW_ID, SEED, Rules
-from tripmill.sources.readers import fingerprint, scan
+from tripmill.sources.readers import scan, source_digest
 from tripmill.sources.writers import append_attempt, load_document, save_csv
 from tripmill.sources.writers import save_document, save_parquet
 
@@ -38,8 +38,7 @@ def config_of(document: dict) -> Config:
 def clean(spark: SparkSession, path: str, out: str, rules: Rules = Rules()) -> dict:
     """Classified trips, provenance and feature statistics of one source."""
     report = cleaning.write_classified(scan(spark, path), f"{out}/trips.parquet", rules)
-    source = fingerprint(spark, path).orderBy("path").first()
-    provenance = {"source": path, "sha256": source["sha256"], "bytes": source["bytes"], **report}
+    provenance = {"source": path, **source_digest(spark, path), **report}
     save_document(spark, provenance, f"{out}/provenance.json")
     good = cleaning.read_accepted(spark, f"{out}/trips.parquet")
     save_csv(statistic_rows(feature_summary(good, FEATURES)), f"{out}/feature_statistics.csv")
@@ -138,13 +137,15 @@ def benchmark(
     columns = scaling.scaled_names(saved["features"])
     points = benchmark_points(spark, cleaned_dir, saved).persist(StorageLevel.MEMORY_AND_DISK)
     identity = experiment_id(saved)
+    # Every row is appended as soon as its run has ended.
     sweep = study.size_sweep(
-        points, columns, saved["k"], sizes, full, environment, identity, restarts
-    )
+        points, columns, saved["k"], sizes, full, environment, identity, restarts,
+        keep=lambda row: append_attempt(row, f"{out}/benchmarks.parquet", attempt),
+    )
     batches = study.batch_study(
-        points, columns, saved["k"], batch_sizes, environment=environment, experiment_id=identity
-    )
-    append_attempt(sweep, f"{out}/benchmarks.parquet", attempt)
-    append_attempt(batches, f"{out}/batch_study.parquet", attempt)
+        points, columns, saved["k"], batch_sizes, environment=environment, experiment_id=identity,
+        restarts=restarts,
+        keep=lambda row: append_attempt(row, f"{out}/batch_study.parquet", attempt),
+    )
     points.unpersist()
     return sweep, batches

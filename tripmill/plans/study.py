@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -58,13 +58,28 @@ def compare(
     environment: str = "local",
     experiment_id: str = "unrecorded",
     restarts: int = kmeans.RESTARTS,
+    reference: np.ndarray | None = None,
+    metric_sample: int = quality.SILHOUETTE_ROWS,
+    keep: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
-    """One result row per (algorithm, batch size, one-pass) run over the same points."""
+    """One result row per (algorithm, batch size, one-pass) run over the same points.
+
+    ``reference`` are K-Means centers to compare with, otherwise those of a K-Means run before.
+    A run that dies becomes a ``failed`` row.  ``keep`` is called with every row at once, so the
+    rows before a lost driver are not lost with it.
+    """
     spark = points.sparkSession
-    metric = sample_rows(points, quality.SILHOUETTE_ROWS, ALTERNATIVE_SEED)
+    names = RESULTS_SCHEMA.names
+    metric = sample_rows(points, metric_sample, ALTERNATIVE_SEED)
     metric = metric.persist(StorageLevel.MEMORY_AND_DISK)
     metric_rows = metric.count()
-    reference, results = None, []
+    results = []
+
+    def finish(row: dict) -> None:
+        results.append(tuple(row.get(n) for n in names))
+        if keep is not None:
+            keep(spark.createDataFrame(results[-1:], RESULTS_SCHEMA))
+
     for algorithm, batch_rows, streaming in runs:
         begin = time.perf_counter()
         base = {
@@ -80,13 +95,13 @@ def compare(
         }
         try:
             run = _fit(points, columns, algorithm, k, rows, batch_rows, streaming, restarts)
-        except ValueError as error:
-            results.append({**base, "status": "failed", "detail": str(error)})
+            width, agreement = _quality(metric, columns, run.fit.centers, reference)
+        except Exception as error:  # whatever stopped it, the other runs go on
+            finish({**base, "status": "failed", "detail": f"{type(error).__name__}: {error}"[:500]})
             continue
-        width, agreement = _quality(metric, columns, run.fit.centers, reference)
         if algorithm == "KMeans":
             reference = run.fit.centers
-        results.append(
+        finish(
             {
                 **base,
                 "status": "ok",
@@ -98,11 +113,11 @@ def compare(
                 "cluster_sizes": run.fit.sizes,
                 "iterations": run.fit.iterations,
                 "worker_seconds": time.perf_counter() - begin,
+                "detail": f"blocks of {minibatch.STREAM_BLOCK_ROWS} rows" if streaming else None,
             }
         )
     metric.unpersist()
-    names = RESULTS_SCHEMA.names
-    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in results], RESULTS_SCHEMA)
+    return spark.createDataFrame(results, RESULTS_SCHEMA)
 
 
 def _prefix(points: DataFrame, rows: int, total: int) -> DataFrame:
@@ -119,6 +134,7 @@ def size_sweep(
     environment: str = "local",
     experiment_id: str = "unrecorded",
     restarts: int = kmeans.RESTARTS,
+    keep: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
     """Both algorithms on nested prefixes; sizes the data does not reach are reported, not run."""
     spark = points.sparkSession
@@ -131,19 +147,22 @@ def size_sweep(
                 (name, size, "skipped_insufficient_rows", environment, experiment_id)
                 for name in ALGORITHMS
             ]
-            tables.append(
-                spark.createDataFrame(
-                    skipped,
-                    "algorithm string, rows bigint, status string, environment string,"
-                    " experiment_id string",
-                )
+            table = spark.createDataFrame(
+                skipped,
+                "algorithm string, rows bigint, status string, environment string,"
+                " experiment_id string",
             )
+            tables.append(table)
+            if keep is not None:
+                keep(union_records([spark.createDataFrame([], RESULTS_SCHEMA), table]))
             continue
         if full and size == total:
             runs.append(("MiniBatchKMeans", minibatch.BATCH_ROWS, True))
         prefix = _prefix(points, size, total)
         tables.append(
-            compare(prefix, columns, k, size, runs, environment, experiment_id, restarts)
+            compare(
+                prefix, columns, k, size, runs, environment, experiment_id, restarts, keep=keep
+            )
         )
         prefix.unpersist()
     return union_records([spark.createDataFrame([], RESULTS_SCHEMA), *tables])
@@ -157,12 +176,17 @@ def batch_study(
     rows: int = BATCH_STUDY_ROWS,
     environment: str = "local",
     experiment_id: str = "unrecorded",
+    restarts: int = kmeans.RESTARTS,
+    keep: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
-    """Mini-batch fits of one prefix with different batch sizes."""
+    """Mini-batch fits of one prefix with different batch sizes, compared with its K-Means."""
     total = points.count()
     size = min(rows, total)
     prefix = _prefix(points, size, total)
     runs = [("MiniBatchKMeans", batch, False) for batch in batch_sizes]
-    table = compare(prefix, columns, k, size, runs, environment, experiment_id)
+    reference = kmeans.fit_kmeans(prefix, columns, k, ROW_ID, SEED, restarts).centers
+    table = compare(
+        prefix, columns, k, size, runs, environment, experiment_id, restarts, reference, keep=keep
+    )
     prefix.unpersist()
     return table

@@ -150,6 +150,26 @@ def fingerprint(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def source_digest(spark: SparkSession, path: str) -> dict:
+    """One digest, the bytes and the number of all files of a source.
+
+    A single file has its own SHA-256.  Several are summed up without an order: four numbers of
+    each file's name, hash and size are added, so any number of files leaves one row.
+    """
+    files = fingerprint(spark, path)
+    name = F.element_at(F.split("path", "/"), -1)
+    own = F.sha2(F.concat_ws("|", name, "sha256", F.col("bytes").cast("string")), 256)
+    parts = [F.conv(F.substring(own, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)") for i in range(4)]
+    row = files.agg(
+        F.count(F.lit(1)).alias("files"),
+        F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
+        F.min("sha256").alias("only"),
+        F.sha2(F.concat_ws("|", F.count(F.lit(1)), *[F.sum(p) for p in parts]), 256).alias("all"),
+    ).first()
+    sha = row["only"] if row["files"] == 1 else row["all"]
+    return {"sha256": sha, "bytes": row["bytes"], "files": row["files"]}
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A saved result table, or an empty one when nothing was saved yet."""
     reader = spark.read.schema(schema)
