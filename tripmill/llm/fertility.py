@@ -107,10 +107,14 @@ class WordIds:
         size = self.model.get_piece_size()
         self.is_byte = np.array([self.model.is_byte(k) for k in range(size)])
         self.marks = [self.model.piece_to_id(","), self.model.piece_to_id(".")]
+        self.generation = 0
         self.clear()
 
     def clear(self) -> None:
+        """Forget all words; codes of an earlier generation mean nothing any more."""
+        self.generation += 1
         self.code: dict[bytes, int] = {}
+        self.names: list[bytes] = []
         self.ids = np.zeros(0, np.int32)
         self.start = np.zeros(1, np.int64)
 
@@ -124,27 +128,27 @@ class WordIds:
             found += self.model.encode(group, num_threads=1)
         base = len(self.code)
         self.code.update((w, base + k) for k, w in enumerate(fresh))
+        self.names += fresh
         flat = np.fromiter(chain.from_iterable(found), np.int32)
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         self.ids = np.concatenate([self.ids, flat])
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(lengths)])
 
-    def ids_of(self, pieces: list[bytes]) -> np.ndarray:
-        """The ids of the pieces, one after another."""
-        codes = np.fromiter(map(self.code.__getitem__, pieces), np.int64, len(pieces))
+    def codes_of(self, pieces: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.code.__getitem__, pieces), np.int64, len(pieces))
+
+    def ids_of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after another, and how many each word has."""
         begin = self.start[codes]
         length = self.start[codes + 1] - begin
-        shift = np.repeat(begin - np.concatenate([[0], np.cumsum(length)[:-1]]), length) if len(codes) else begin
-        return self.ids[np.arange(int(length.sum())) + shift]
+        ends = np.cumsum(length)
+        shift = np.repeat(begin - ends + length, length)
+        return self.ids[np.arange(len(shift)) + shift], length
 
     def measure(self, pieces: list[bytes], marks: tuple[int, int]) -> tuple[int, int, float]:
         """Tokens, fallback bytes, and entropy in bits; commas and full stops are one token each."""
-        codes = np.fromiter(map(self.code.__getitem__, pieces), np.int64, len(pieces))
-        distinct, times = np.unique(codes, return_counts=True)
-        begin = self.start[distinct]
-        length = self.start[distinct + 1] - begin
-        shift = np.repeat(begin - np.concatenate([[0], np.cumsum(length)[:-1]]), length)
-        ids = self.ids[np.arange(int(length.sum())) + shift]
+        distinct, times = np.unique(self.codes_of(pieces), return_counts=True)
+        ids, length = self.ids_of(distinct)
         seen = np.bincount(ids, weights=np.repeat(times, length), minlength=len(self.is_byte))
         seen[self.marks] += marks
         total = seen.sum()
