@@ -36,8 +36,10 @@ COVERED_TOKENS = 25
 # benchmark is joined by a shuffle of all windows instead, with the same result.
 CARRIED_HASHES = 2_000_000
 REMEMBERED_TOKENS = 500_000
-# Words and numbers, and the marks behind which a capital does not make a name.
-TOKEN = re.compile(r"[^\W_]+(?:[.,:/]\d+)*(?:['’][^\W_]+)*|[.!?:;\n\"“”«»()\[\]]")
+# Marks behind which a capital does not make a name; all of them read as MARK.
+ENDS = ".!?:;\n\"“”«»()[]"
+MARK = "."
+WORD = re.compile(r"[^\W_]+")
 # Units that stand behind a number.
 UNITS = frozenset(
     "mm cm m km in inch inches ft foot feet yd yards mi mile miles g kg mg lb lbs oz ton tons "
@@ -48,15 +50,30 @@ UNITS = frozenset(
 NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
 KINDS = (NUMBER, NAME, UNIT)
 # Classes of a token: its template also depends on its neighbours for the last two.
-LITERAL, IS_NUMBER, IS_MARK, MAYBE_NAME, MAYBE_UNIT = range(5)
+LITERAL, IS_NUMBER, IS_MARK, MAYBE_NAME, MAYBE_UNIT, MIXED = range(6)
 NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
 KINDS = (NUMBER, NAME, UNIT)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def rough_tokens(text: str) -> list[str]:
+    """Marks, and runs without white space, marks or commas."""
+    for mark in ENDS:
+        if mark in text:
+            text = text.replace(mark, f" {MARK} ")
+    return text.replace(",", " ").split()
+
+
+def fine_tokens(rough: list[str]) -> list[str]:
+    """Only marks and words: other characters end a word."""
+    return [t for r in rough for t in ([r] if r == MARK else WORD.findall(r))]
+
+
 def token_class(token: str) -> int:
-    if not token[0].isalnum():
+    if token == MARK:
         return IS_MARK
+    if not token.isalnum():
+        return MIXED
     if token[0].isdigit():
         return IS_NUMBER
     if token[0].isupper() and token[1:].islower():
@@ -74,6 +91,7 @@ class TokenTable:
         self.code: dict[str, int] = {}
         self.kind = np.zeros(0, np.int8)
         self.hash = np.zeros(0, np.uint64)
+        self.mixed: set[str] = set()
 
     def learn(self, tokens: set[str]) -> None:
         from xxhash import xxh64_intdigest
@@ -84,10 +102,23 @@ class TokenTable:
             fresh = list(tokens)
         base = len(self.code)
         self.code.update((t, base + k) for k, t in enumerate(fresh))
-        self.kind = np.concatenate([self.kind, np.array([token_class(t) for t in fresh], np.int8)])
+        kinds = [token_class(t) for t in fresh]
+        self.mixed.update(t for t, kind in zip(fresh, kinds) if kind == MIXED)
+        self.kind = np.concatenate([self.kind, np.array(kinds, np.int8)])
         hashes = np.array([xxh64_intdigest(t.lower()) for t in fresh], np.uint64)
         self.hash = np.concatenate([self.hash, hashes])
 
+    def tokens(self, texts: list[str]) -> list[list[str]]:
+        """Marks and words of each text; all of them are known afterwards."""
+        found = list(map(rough_tokens, texts))
+        self.learn(set().union(*found))
+        again = [k for k, rough in enumerate(found) if not self.mixed.isdisjoint(rough)]
+        for k in again:
+            found[k] = fine_tokens(found[k])
+        # All of the batch at once: learning may have begun a new memory.
+        self.learn(set().union(*found))
+        return found
+
     def template(self, found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of the words in ``found``, their hashes, and their placeholder (-1: literal).
 
@@ -162,8 +193,7 @@ def windows(
         for whole in batches:
             for batch in slices(whole):
                 rows, columns = [], [[] for _ in out]
-                texts = [TOKEN.findall(t) for t in batch.column(len(key_columns)).to_pylist()]
-                table.learn({t for text in texts for t in text})
+                texts = table.tokens(batch.column(len(key_columns)).to_pylist())
                 for row, text in enumerate(texts):
                     word, hashes, slot = table.template(text)
                     own = [min(WINDOW, len(word))] if own_width else widths
