@@ -37,6 +37,8 @@ TRAINING_WINDOWS = 3
 TRAINING_CHARS = 20_000
 EPOCHS = 12
 RATE = 0.05
+# Languages whose counts reach the driver; more are refused.
+MOST_LANGUAGES = 10_000
 SEED = 42
 BATCH_WINDOWS = 4096
 PADDING = 256
@@ -222,19 +224,21 @@ def training_sample(
     labelled = docs.where(eligible & F.col(language_column).isNotNull() & F.col(text_column).rlike(r"\p{L}"))
     rank = F.xxhash64(F.col(id_column), F.xxhash64(text_column))
     unit = F.shiftrightunsigned(rank, 11) / F.lit(float(1 << 53))
-    rows = labelled.select(F.col(language_column).alias("language"), F.col(text_column).alias("text"),
+    text = F.substring(text_column, 1, TRAINING_CHARS)
+    rows = labelled.select(F.col(language_column).alias("language"), text.alias("text"),
                            rank.alias("rank"), unit.alias("unit"))
     counts = rows.groupBy("language").agg(F.count("*").alias("rows"))
-    near = rows.join(counts, "language").where(
+    known = counts.limit(MOST_LANGUAGES + 1).toArrow()
+    if known.num_rows > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    # The shares are a checked, small table, so the filter runs in the scan and few rows are shuffled.
+    shares = F.broadcast(docs.sparkSession.createDataFrame(known))
+    near = rows.join(shares, "language").where(
         F.col("unit") * F.col("rows") < 2.0 * TRAINING_TEXTS + 100
     )
     place = F.row_number().over(Window.partitionBy("language").orderBy("rank", "text"))
     chosen = near.withColumn("place", place).where(F.col("place") <= TRAINING_TEXTS)
-    found = (
-        chosen.orderBy("language", "place")
-        .select("language", F.substring("text", 1, TRAINING_CHARS).alias("text"))
-        .toArrow()
-    )
+    found = chosen.orderBy("language", "place").select("language", "text").toArrow()
     return found["text"].to_pylist(), found["language"].to_pylist()
 
 
