@@ -6,8 +6,10 @@ benchmark.  The values behind the placeholders must then map consistently (one t
 alignment; only consistent alignments count.  A document is contaminated by an item if their
 windows cover enough of the item.
 
-Windows need some literal tokens, so that runs of numbers or names match nothing.  Items shorter
-than a window are one window of their own length.
+Every window also has a hash of its words without case, so a verbatim passage is found whatever
+its slots are and however it is capitalised.  With other values an alignment needs some literal
+tokens, so that runs of numbers or names match nothing.  Items shorter than a window are one
+window of their own length.
 
 Nulls: a null text has no tokens.  A null id is a value like any other; rows are told apart by
 id and text.  Repeated rows and repeated items give one pair.  Empty tables give an empty result.
@@ -18,6 +20,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +32,10 @@ from pyspark.sql import types as T
 from tripmill.llm.common import bounded_batches, slices, whole_text, worker_memory, written
 
 WINDOW = 8
+# Literals that the covered part of an alignment needs where values changed.  An item with fewer
+# needs all of its own, if they are half of its tokens and not fewer than FEWEST_LITERALS.
 LEAST_LITERALS = 5
+FEWEST_LITERALS = 3
 # Share of an item's windows, or tokens covered, from which it counts as contained.
 COVERED_SHARE = 0.5
 COVERED_TOKENS = 25
@@ -81,6 +88,19 @@ def token_class(token: str) -> int:
     return MAYBE_UNIT if token.lower() in UNITS else LITERAL
 
 
+class Words(NamedTuple):
+    """The words of several texts, one after another: ``word`` has their places among the tokens,
+    ``first`` the first word of each text (and the end)."""
+
+    tokens: list[str]
+    word: np.ndarray
+    text: np.ndarray
+    first: np.ndarray
+    plain: np.ndarray
+    hashes: np.ndarray
+    slot: np.ndarray
+
+
 class TokenTable:
     """Class and literal hash of every token met, remembered up to a bound."""
 
@@ -119,26 +139,30 @@ class TokenTable:
         self.learn(set().union(*found))
         return found
 
-    def template(self, found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places of the words in ``found``, their hashes, and their placeholder (-1: literal).
+    def template(self, found: list[list[str]]) -> Words:
+        """The words of all texts in ``found`` with their hashes and placeholders.
 
         A capitalised word is a name unless it stands at the start or behind a mark; a unit
         stands behind a number.
         """
-        codes = np.fromiter(map(self.code.__getitem__, found), np.int64, len(found))
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        tokens = list(chain.from_iterable(found))
+        codes = np.fromiter(map(self.code.__getitem__, tokens), np.int64, len(tokens))
         kind = self.kind[codes]
-        after_mark = np.ones(len(found), bool)
-        after_mark[1:] = kind[:-1] == IS_MARK
+        text = np.repeat(np.arange(len(found)), lengths)
+        after_mark = np.ones(len(tokens), bool)
+        after_mark[1:] = (kind[:-1] == IS_MARK) | (text[1:] != text[:-1])
         word = np.flatnonzero(kind != IS_MARK)
-        kind, after_mark = kind[word], after_mark[word]
+        kind, after_mark, text = kind[word], after_mark[word], text[word]
         after_number = np.zeros(len(word), bool)
-        after_number[1:] = kind[:-1] == IS_NUMBER
+        after_number[1:] = (kind[:-1] == IS_NUMBER) & (text[1:] == text[:-1])
         slot = np.full(len(word), -1, np.int8)
         slot[kind == IS_NUMBER] = 0
         slot[(kind == MAYBE_NAME) & ~after_mark] = 1
         slot[(kind == MAYBE_UNIT) & after_number] = 2
-        hashes = np.where(slot < 0, self.hash[codes[word]], SLOT_HASHES[slot])
-        return word, hashes, slot
+        plain = self.hash[codes[word]]
+        first = np.searchsorted(text, np.arange(len(found) + 1))
+        return Words(tokens, word, text, first, plain, np.where(slot < 0, plain, SLOT_HASHES[slot]), slot)
 
 
 # Hashes of the placeholders; the last entry stands for the literals, which have their own.
@@ -154,17 +178,15 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return total
 
 
-def windows_of(
-    hashes: np.ndarray, slot: np.ndarray, widths: list[int]
-) -> list[tuple[int, np.ndarray]]:
-    """For each width the hashes; windows with too few literals get hash zero, which is skipped."""
-    literals = np.concatenate([[0], np.cumsum(slot < 0)])
-    found = []
-    for width in widths:
-        own = window_hashes(hashes, width)
-        enough = literals[width : width + len(own)] - literals[: len(own)] >= min(LEAST_LITERALS, width)
-        found.append((width, np.where(enough, own, np.uint64(0))))
-    return found
+def windows_of(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every window inside one text: its place, template hash, verbatim hash and literals.
+
+    Both hashes are the same where a window has no slots.
+    """
+    template, plain = window_hashes(words.hashes, width), window_hashes(words.plain, width)
+    at = np.flatnonzero(words.text[: len(plain)] == words.text[width - 1 :])
+    literals = np.concatenate([[0], np.cumsum(words.slot < 0)])
+    return at, template[at], plain[at], literals[at + width] - literals[at]
 
 
 def among(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -179,51 +201,118 @@ def windows(
     source_table: DataFrame, key_columns: list[str], text_column: str, widths: list[int],
     wanted: np.ndarray | None, own_width: bool,
 ) -> DataFrame:
-    """Rows of keys, ``h``, ``at``, ``n_windows``, ``shape`` and ``slots`` for (wanted) windows.
+    """Rows for the (wanted) windows by template and verbatim, with their keys.
 
+    ``h`` and ``shape`` are to be equal, ``at`` is the place in the text, ``mask`` has a bit for
+    every literal, ``slots`` the values of the others.  ``n_windows`` counts the windows of the
+    text, ``n_template`` those that other values may match, and ``least`` the literals asked for.
     ``own_width`` is for items: the window, or the whole item if it is shorter.
     """
     bounded_batches(source_table.sparkSession)
     source = source_table.select(*key_columns, whole_text(text_column).alias("text"))
-    out = [("h", pa.int64()), ("at", pa.int32()), ("n_windows", pa.int32()),
-           ("shape", pa.string()), ("slots", pa.list_(pa.string()))]
+    out = [("h", pa.int64()), ("at", pa.int32()), ("n_windows", pa.int32()), ("n_template", pa.int32()),
+           ("least", pa.int32()), ("mask", pa.int32()), ("shape", pa.string()),
+           ("slots", pa.list_(pa.string()))]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = worker_memory("template-tokens", TokenTable)
         for whole in batches:
             for batch in slices(whole):
                 rows, columns = [], [[] for _ in out]
-                texts = table.tokens(batch.column(len(key_columns)).to_pylist())
-                for row, text in enumerate(texts):
-                    word, hashes, slot = table.template(text)
-                    own = [min(WINDOW, len(word))] if own_width else widths
-                    for width, found in windows_of(hashes, slot, own if len(word) else []):
-                        here = found != 0
+                words = table.template(table.tokens(batch.column(len(key_columns)).to_pylist()))
+                sizes = np.diff(words.first)
+                literal = np.bincount(words.text[words.slot < 0], minlength=len(sizes))
+                # Texts whose literals are enough to tell them with other values in their slots.
+                telling = (literal >= LEAST_LITERALS) | (
+                    (literal >= FEWEST_LITERALS) & (2 * literal >= sizes)
+                )
+                own = np.minimum(sizes, WINDOW)
+                for width in sorted(set(own[own > 0].tolist())) if own_width else widths:
+                    at, template, plain, literals = windows_of(words, width)
+                    text = words.text[at]
+                    able = literals > 0
+                    if own_width:
+                        able &= telling[text]
+                    n_windows = np.bincount(text, minlength=len(sizes))
+                    n_template = np.bincount(text[able], minlength=len(sizes))
+                    hits = []
+                    for found, verbatim in ((template, False), (plain, True)):
+                        # A window without slots is the same either way, and stands for both.
+                        here = np.ones(len(at), bool) if verbatim else able & (literals < width)
+                        if own_width:
+                            here &= own[text] == width
                         if wanted is not None:
                             here &= among(found, wanted)
-                        for at in np.flatnonzero(here).tolist():
-                            tokens = [text[k] for k in word[at : at + width]]
-                            kinds = slot[at : at + width].tolist()
-                            shape = [t.lower() if k < 0 else KINDS[k] for t, k in zip(tokens, kinds)]
-                            slots = [f"{KINDS[k]} {t.lower()}" for t, k in zip(tokens, kinds) if k >= 0]
-                            rows.append(row)
-                            values = (int(found[at : at + 1].view(np.int64)[0]), at, len(found),
-                                      " ".join(shape), slots)
-                            for column, value in zip(columns, values):
-                                column.append(value)
+                        hits += [(k, int(found[k : k + 1].view(np.int64)[0]), verbatim)
+                                 for k in np.flatnonzero(here).tolist()]
+                    for k, h, verbatim in hits:
+                        place, row = int(at[k]), int(text[k])
+                        tokens = [words.tokens[w].lower() for w in words.word[place : place + width]]
+                        kinds = [-1] * width if verbatim else words.slot[place : place + width].tolist()
+                        rows.append(row)
+                        values = (
+                            h, place - int(words.first[row]), n_windows[row], n_template[row],
+                            min(LEAST_LITERALS, literal[row]),
+                            sum(1 << j for j, kind in enumerate(kinds) if kind < 0),
+                            " ".join(t if kind < 0 else KINDS[kind] for t, kind in zip(tokens, kinds)),
+                            [f"{KINDS[kind]} {t}" for t, kind in zip(tokens, kinds) if kind >= 0],
+                        )
+                        for column, value in zip(columns, values):
+                            column.append(value)
                 keys = [batch.column(k).take(pa.array(rows, pa.int64())) for k in range(len(key_columns))]
                 arrays = [pa.array(c, kind) for c, (_, kind) in zip(columns, out)]
                 yield pa.RecordBatch.from_arrays(keys + arrays, names=key_columns + [n for n, _ in out])
 
+    whole_numbers = ("at", "n_windows", "n_template", "least", "mask")
     schema = T.StructType(
         [source.schema[k] for k in key_columns]
-        + [T.StructField("h", T.LongType()), T.StructField("at", T.IntegerType()),
-           T.StructField("n_windows", T.IntegerType()), T.StructField("shape", T.StringType()),
-           T.StructField("slots", T.ArrayType(T.StringType()))]
-    )
+        + [T.StructField("h", T.LongType())]
+        + [T.StructField(name, T.IntegerType()) for name in whole_numbers]
+        + [T.StructField("shape", T.StringType()), T.StructField("slots", T.ArrayType(T.StringType()))]
+    )
     return source.mapInArrow(compute, schema)
 
 
+def slot_pairs(window: dict) -> list[tuple[int, str, str]]:
+    """Place in the item, the item's value and the document's of every slot of a window."""
+    offsets = [j for j in range(window["width"]) if not window["mask"] >> j & 1]
+    return [(window["at"] + j, s["i"], s["o"]) for j, s in zip(offsets, window["slots"])]
+
+
+def judged(matched: list[dict], least: int) -> tuple[list[int], bool]:
+    """Places of the windows of an alignment that count, and whether any has other values."""
+    pairs = [slot_pairs(window) for window in matched]
+    values = {(i, o) for own in pairs for _, i, o in own}
+    same = [all(i == o for _, i, o in own) for own in pairs]
+    one_to_one = len(values) == len({i for i, _ in values}) == len({o for _, o in values})
+    literals = {w["at"] + j for w in matched for j in range(w["width"]) if w["mask"] >> j & 1}
+    if not one_to_one:
+        return [], False
+    if len(literals) < least:
+        return [w["at"] for w, unchanged in zip(matched, same) if unchanged], False
+    return [w["at"] for w in matched], not all(same)
+
+
+def judge(aligned: DataFrame) -> DataFrame:
+    """Replace the windows of every alignment by the places that count, and ``changed``."""
+    kept = [c for c in aligned.columns if c not in ("least", "matched")]
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            results = [judged(matched, least) for matched, least in
+                       zip(batch.column("matched").to_pylist(), batch.column("least").to_pylist())]
+            arrays = [batch.column(c) for c in kept]
+            arrays.append(pa.array([sorted(set(places)) for places, _ in results], pa.list_(pa.int32())))
+            arrays.append(pa.array([changed for _, changed in results], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "places", "changed"])
+
+    schema = T.StructType(
+        [aligned.schema[c] for c in kept]
+        + [T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("changed", T.BooleanType())]
+    )
+    return aligned.mapInArrow(compute, schema)
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -256,33 +345,34 @@ def contaminated(
     d, b = found.alias("d"), items.alias("b")
     # The shape is compared too: a hash alone could collide.
     pairs = d.join(b, (F.col("d.h") == F.col("b.h")) & (F.col("d.shape") == F.col("b.shape"))).select(
-        "d.id", "d.text_key", "b.item", "b.width",
-        F.col("b.n_windows").alias("n_windows"),
-        F.col("b.at").alias("item_at"),
+        "d.id", "d.text_key", "b.item", "b.width", "b.n_windows", "b.n_template", "b.least",
         (F.col("d.at") - F.col("b.at")).alias("shift"),
-        F.arrays_zip(F.col("b.slots").alias("i"), F.col("d.slots").alias("o")).alias("slots"),
+        F.struct(
+            "b.at", "b.width", "b.mask",
+            F.arrays_zip(F.col("b.slots").alias("i"), F.col("d.slots").alias("o")).alias("slots"),
+        ).alias("window"),
     )
-    # An alignment has at most the item's windows, each position once.
+    # An alignment has at most the item's windows, each position once by template and once verbatim.
     aligned = pairs.groupBy("id", "text_key", "item", "shift").agg(
         F.max("n_windows").alias("n_windows"),
+        F.max("n_template").alias("n_template"),
         F.max("width").alias("width"),
-        F.collect_set("item_at").alias("places"),
-        F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
-    )
-    consistent = (F.size("slots") == F.size(F.array_distinct("slots.i"))) & (
-        F.size("slots") == F.size(F.array_distinct("slots.o"))
+        F.max("least").alias("least"),
+        F.collect_set("window").alias("matched"),
     )
-    changed = F.exists("slots", lambda s: s["i"] != s["o"])
     merged = (
-        aligned.where(consistent)
-        .withColumn("changed", changed)
+        judge(aligned)
+        .where(F.size("places") > 0)
         .groupBy("id", "text_key", "item")
         .agg(
             F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("windows"),
-            F.max("n_windows").alias("n_windows"),
+            F.max("n_windows").alias("n_all"),
+            F.max("n_template").alias("n_template"),
             F.max("width").alias("width"),
             F.max("changed").alias("changed"),
         )
+        # Every window can be found verbatim, but with other values only those with literals.
+        .withColumn("n_windows", F.when(F.col("changed"), F.col("n_template")).otherwise(F.col("n_all")))
     )
     enough = (F.col("windows") >= COVERED_SHARE * F.col("n_windows")) | (
         F.col("windows") + F.col("width") - 1 >= COVERED_TOKENS
