@@ -1,16 +1,19 @@
-"""Quality rules from a public vocabulary: fertility, byte fallback and token entropy.
+"""Quality rules from public vocabularies: fertility, byte fallback and token entropy.
 
 Every document's words are encoded with a byte-fallback vocabulary, commas and full stops apart.  Three numbers follow:
 characters per token, the share of tokens that are fallback bytes, and the entropy of the
-document's tokens against what its length allows.  Bands per language (the declared one, else the
-script of the letters) are fences around the quantiles of all documents of that language, and
-a document outside a band is rejected.  Fences widen with the reciprocal root of the token
-count, so that short clean texts stay.
+document's tokens against what its length allows.  A byte-level vocabulary gives a second number of
+characters per token.  Bands per language (the declared one, else the script of the letters) are
+fences around the densest half of that language's documents that pass the base rules, and a
+document outside a band is rejected.  Documents outside the fences are left out and the half is
+sought again until nothing changes, so a large share of junk does not move them.  Entropy falls
+with the length, so its fences are per doubling of the token count.  Fences are wider for texts of
+few words only, so that short clean texts stay.
 
 Nulls: a null text has no words and fails the base rules; a null language falls back to the
 script.  An empty table gives an empty result; repeated rows give repeated results and weigh as
-often in the bands; a table of one document has bands around that document.  Other columns are
-ignored.
+often in the bands; a table of one document has bands around that document.  A band without a
+document that passes the base rules has no fences.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +32,7 @@ from pyspark.sql import types as T
 
 from tripmill.llm.common import bounded_batches, slices, whole_text, worker_memory, written
 from tripmill.llm.pieces import calls
+from tripmill.llm.token_counts import library_counts
 
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\v\f\r"
@@ -52,13 +57,20 @@ SCRIPTS = (
     (0xD7B0, "other"),
 )
 BEYOND_LATIN = re.compile("[Ͱ-᷿Ⰰ-\U0010ffff]")
-# Quantiles that set the fences, and how many of their distances a fence lies outside.
-QUANTILES = (0.02, 0.5, 0.98)
-REACH = 1.5
+# Half widths of the densest half that a fence lies from its middle.
+REACH = 5
 # No fence is nearer to the middle than these (characters per token, share, share of entropy).
-LEAST_WIDTH = {"chars_per_token": 0.3, "fallback_share": 0.05, "entropy_share": 0.08}
-# Words at which the widening of a fence for short texts has halved.
+LEAST_WIDTH = {"chars_per_token": 0.05, "byte_chars_per_token": 0.05, "fallback_share": 0.05,
+               "entropy_share": 0.08}
+# Numbers of characters per token, and the tokens by which chance may move them.
+PER_TOKEN = ("chars_per_token", "byte_chars_per_token")
+CHANCE_TOKENS = 2
+# Metrics with fences per doubling of the token count; ANY_LENGTH stands for those of the others.
+BY_LENGTH = ("entropy_share",)
+ANY_LENGTH = -1
+# Texts of fewer words have wider fences.
 SHORT_WORDS = 50
+BYTE_VOCABULARY = "byte_bpe_50k.json"
 GRID = 1000
 REMEMBERED_WORDS = 800_000
 # Commas and full stops are tokens of their own, so "word" and "word," are encoded once.
@@ -98,15 +110,16 @@ def duplicate_lines(text: str) -> int:
 
 
 class WordIds:
-    """Vocabulary ids of words, encoded once each."""
+    """Vocabulary ids of words, and their tokens in a byte vocabulary if asked, encoded once each."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, byte_path: str | None = None):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = self.model.get_piece_size()
         self.is_byte = np.array([self.model.is_byte(k) for k in range(size)])
         self.marks = [self.model.piece_to_id(","), self.model.piece_to_id(".")]
+        self.byte_counts = library_counts(byte_path) if byte_path else lambda words: [0] * len(words)
         self.generation = 0
         self.clear()
 
@@ -117,6 +130,7 @@ class WordIds:
         self.names: list[bytes] = []
         self.ids = np.zeros(0, np.int32)
         self.start = np.zeros(1, np.int64)
+        self.byte_length = np.zeros(0, np.int64)
 
     def learn(self, words: set[bytes]) -> None:
         fresh = list(words - self.code.keys())
@@ -124,8 +138,10 @@ class WordIds:
             self.clear()
             fresh = list(words)
         found: list[list[int]] = []
+        byte_length: list[int] = []
         for group in calls(w.decode() for w in fresh):
             found += self.model.encode(group, num_threads=1)
+            byte_length += self.byte_counts([" " + word for word in group])
         base = len(self.code)
         self.code.update((w, base + k) for k, w in enumerate(fresh))
         self.names += fresh
@@ -133,6 +149,7 @@ class WordIds:
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         self.ids = np.concatenate([self.ids, flat])
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(lengths)])
+        self.byte_length = np.concatenate([self.byte_length, np.array(byte_length, np.int64)])
 
     def codes_of(self, pieces: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.code.__getitem__, pieces), np.int64, len(pieces))
@@ -145,29 +162,32 @@ class WordIds:
         shift = np.repeat(begin - ends + length, length)
         return self.ids[np.arange(len(shift)) + shift], length
 
-    def measure(self, pieces: list[bytes], marks: tuple[int, int]) -> tuple[int, int, float]:
-        """Tokens, fallback bytes, and entropy in bits; commas and full stops are one token each."""
+    def measure(self, pieces: list[bytes], marks: tuple[int, int]) -> tuple[int, int, int, float]:
+        """Tokens, tokens of the byte vocabulary, fallback bytes, and entropy in bits; commas and
+        full stops are one token each."""
         distinct, times = np.unique(self.codes_of(pieces), return_counts=True)
         ids, length = self.ids_of(distinct)
         seen = np.bincount(ids, weights=np.repeat(times, length), minlength=len(self.is_byte))
         seen[self.marks] += marks
         total = seen.sum()
         if not total:
-            return 0, 0, 0.0
+            return 0, 0, 0, 0.0
         share = seen[seen > 0] / total
-        return int(total), int(seen[self.is_byte].sum()), float(-(share * np.log2(share)).sum())
+        byte_tokens = int((self.byte_length[distinct] * times).sum()) + sum(marks)
+        return int(total), byte_tokens, int(seen[self.is_byte].sum()), float(-(share * np.log2(share)).sum())
 
 
 METRICS = T.StructType(
     [T.StructField(n, T.LongType()) for n in
-     ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_pieces")]
+     ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_pieces",
+      "n_byte_pieces")]
     + [T.StructField("script", T.StringType())]
     + [T.StructField(n, T.DoubleType()) for n in
-       ("chars_per_token", "fallback_share", "entropy_share")]
+       ("chars_per_token", "byte_chars_per_token", "fallback_share", "entropy_share")]
 )
 
 
-def measured(docs: DataFrame, vocabulary_path: str, id_column: str, text_column: str,
+def measured(docs: DataFrame, vocabulary_path: str, byte_path: str, id_column: str, text_column: str,
              language_column: str) -> DataFrame:
     """Id, language and the metrics of every whole text."""
     bounded_batches(docs.sparkSession)
@@ -179,7 +199,8 @@ def measured(docs: DataFrame, vocabulary_path: str, id_column: str, text_column:
     schema = T.StructType([source.schema["id"], source.schema["language"], *METRICS.fields])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = worker_memory("fertility:" + vocabulary_path, lambda: WordIds(vocabulary_path))
+        memory = worker_memory(f"fertility:{vocabulary_path}:{byte_path}",
+                               lambda: WordIds(vocabulary_path, byte_path))
         for whole in batches:
             for batch in slices(whole):
                 texts = batch.column(2).to_pylist()
@@ -190,7 +211,7 @@ def measured(docs: DataFrame, vocabulary_path: str, id_column: str, text_column:
                 for text, words, own in zip(texts, split, pieces):
                     chars = len(text) - sum(map(text.count, WHITE))
                     marks = text.count(","), text.count(".")
-                    tokens, fallback, entropy = memory.measure(own, marks)
+                    tokens, byte_tokens, fallback, entropy = memory.measure(own, marks)
                     most = np.log2(tokens) if tokens > 1 else 1.0
                     rows.append(
                         (
@@ -200,8 +221,10 @@ def measured(docs: DataFrame, vocabulary_path: str, id_column: str, text_column:
                             duplicate_lines(text),
                             repeated_words(words),
                             tokens,
+                            byte_tokens,
                             script_of(text),
                             chars / tokens if tokens else 0.0,
+                            chars / byte_tokens if byte_tokens else 0.0,
                             fallback / tokens if tokens else 0.0,
                             float(entropy / most),
                         )
@@ -216,31 +239,67 @@ def measured(docs: DataFrame, vocabulary_path: str, id_column: str, text_column:
     return source.mapInArrow(measure, schema)
 
 
+def densest_half(v: np.ndarray, n: np.ndarray) -> tuple[int, int]:
+    """Ends of the shortest range that holds half of the rows; ``n`` counts the sorted values."""
+    below = np.concatenate([[0], np.cumsum(n)])
+    half = (below[-1] + 1) // 2
+    # The first value with which a range from each value on has enough.
+    last = np.searchsorted(below, below[:-1] + half) - 1
+    begin = np.flatnonzero(last < len(v))
+    ends = last[begin]
+    best = int(np.argmin(v[ends] - v[begin]))
+    return int(v[begin[best]]), int(v[ends[best]])
+
+
+def robust_fence(v: np.ndarray, n: np.ndarray, least: float) -> tuple[float, float]:
+    """Middle of the densest half and the distance of the fences; what lies outside is left out
+    and the rest looked at again.  Fewer values remain each time, so this ends."""
+    while True:
+        low, high = densest_half(v, n)
+        middle, reach = (low + high) / 2, max(REACH * (high - low) / 2, least)
+        inside = np.abs(v - middle) <= reach
+        if inside.all():
+            return middle, reach
+        v, n = v[inside], n[inside]
+
+
 def fences(metrics: DataFrame) -> DataFrame:
-    """Low, middle and high quantile of each metric for each group, over all its documents.
+    """Middle and reach of each metric for each band and length.
 
-    Values are counted on a grid of thousandths first, so a group of any size leaves a bounded
-    number of rows and the quantiles do not depend on the order of partial results.
+    Values are counted on a grid of thousandths first, so a band of any size leaves a bounded
+    number of rows and the fences do not depend on the order of partial results.
     """
-    long = metrics.where("n_pieces > 0").select(
-        "band",
-        F.explode(
-            F.array(*[F.struct(F.lit(m).alias("metric"), F.round(F.col(m) * GRID).cast("long").alias("v"))
-                      for m in LEAST_WIDTH])
-        ).alias("x"),
-    )
-    counted = long.groupBy("band", "x.metric", "x.v").count()
-    cut = F.percentile("v", F.array(*map(F.lit, QUANTILES)), F.col("count"))
-    levels = counted.groupBy("band", "metric").agg(cut.alias("q"))
-    return levels.groupBy("band").pivot("metric", list(LEAST_WIDTH)).agg(F.first("q"))
+    values = [
+        F.struct(
+            (F.col("length") if m in BY_LENGTH else F.lit(ANY_LENGTH).cast("long")).alias("length"),
+            F.lit(m).alias("metric"),
+            F.round(F.col(m) * GRID).cast("long").alias("v"),
+        )
+        for m in LEAST_WIDTH
+    ]
+    long = metrics.where("n_pieces > 0").select("band", F.explode(F.array(*values)).alias("x"))
+    counted = long.groupBy("band", "x.length", "x.metric", "x.v").count()
+
+    def fence(rows: pa.Table) -> pa.Table:
+        band, length, metric = (rows[c][0].as_py() for c in ("band", "length", "metric"))
+        v, n = rows["v"].to_numpy(), rows["count"].to_numpy()
+        order = np.argsort(v)
+        middle, reach = robust_fence(v[order], n[order], LEAST_WIDTH[metric] * GRID)
+        return pa.table({"band": [band], "length": [length], "metric": [metric],
+                         "q": [[middle / GRID, reach / GRID]]})
+
+    levels = counted.groupBy("band", "length", "metric").applyInArrow(
+        fence, "band string, length long, metric string, q array<double>"
+    )
+    return levels.groupBy("band", "length").pivot("metric", list(LEAST_WIDTH)).agg(F.first("q"))
 
 
 def in_band(metric: str, widening: Column) -> Column:
-    low, middle, high = (F.col("f." + metric)[k] / GRID for k in range(3))
-    least = F.lit(LEAST_WIDTH[metric])
-    below = F.greatest(REACH * (middle - low), least) * widening
-    above = F.greatest(REACH * (high - middle), least) * widening
-    return F.col("m." + metric).between(middle - below, middle + above)
+    fence = F.col(("e." if metric in BY_LENGTH else "f.") + metric)
+    value, middle, reach = F.col("m." + metric), fence[0], fence[1] * widening
+    if metric in PER_TOKEN:
+        reach = reach + CHANCE_TOKENS * middle / F.greatest(F.col("n_pieces"), F.lit(1))
+    return F.abs(value - middle) <= reach
 
 
 def quality_rules(
@@ -249,18 +308,30 @@ def quality_rules(
     id_column: str = "doc_id",
     text_column: str = "text",
     language_column: str = "lang",
+    byte_vocabulary_path: str | None = None,
 ) -> DataFrame:
     """Base counts, fertility metrics, the band a document falls under, and the verdicts."""
-    raw = measured(docs, vocabulary_path, id_column, text_column, language_column)
+    byte_path = byte_vocabulary_path or public_tokenizers.path(BYTE_VOCABULARY)
+    raw = measured(docs, vocabulary_path, byte_path, id_column, text_column, language_column)
     metrics = written(
-        raw.withColumn("band", F.coalesce(F.col("language").cast("string"), F.col("script"))),
+        raw.withColumns(
+            {
+                "band": F.coalesce(F.col("language").cast("string"), F.col("script")),
+                "length": F.floor(F.log2(F.greatest(F.col("n_pieces"), F.lit(1)))),
+            }
+        ),
         "fertility",
     )
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")
     )
-    widening = 1 + F.sqrt(SHORT_WORDS / F.greatest(F.col("n_words"), F.lit(1)))
-    joined = metrics.alias("m").join(fences(metrics).alias("f"), "band", "left")
+    widening = F.greatest(F.lit(1.0), F.sqrt(SHORT_WORDS / F.greatest(F.col("n_words"), F.lit(1))))
+    levels = written(fences(metrics.where(~failed)), "fertility-fences")
+    joined = (
+        metrics.alias("m")
+        .join(levels.where(F.col("length") == ANY_LENGTH).drop("length").alias("f"), "band", "left")
+        .join(levels.where(F.col("length") != ANY_LENGTH).alias("e"), ["band", "length"], "left")
+    )
     inside = {m: F.coalesce(in_band(m, widening), F.lit(False)) for m in LEAST_WIDTH}
     verdict = ~failed
     for column in inside.values():
