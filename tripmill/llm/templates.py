@@ -2,9 +2,9 @@
 
 Numbers, names and units become typed placeholders, so a question with other numbers has the same
 template.  Windows of template tokens of all documents are hash-joined with the windows of the
-benchmark.  The values behind the placeholders must then map consistently (one to one) along an
-alignment; only consistent alignments count.  A document is contaminated by an item if their
-windows cover enough of the item.
+benchmark.  Along an alignment each value of the item must then have one new value, the one that
+most of its places have; windows that contradict it do not count, windows without a changed value
+always do.  A document is contaminated by an item if the windows that count cover enough of it.
 
 Every window also has a hash of its words without case, so a verbatim passage is found whatever
 its slots are and however it is capitalised.  With other values an alignment needs some literal
@@ -19,6 +19,7 @@ Other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 from typing import NamedTuple
@@ -282,15 +283,19 @@ def slot_pairs(window: dict) -> list[tuple[int, str, str]]:
 def judged(matched: list[dict], least: int) -> tuple[list[int], bool]:
     """Places of the windows of an alignment that count, and whether any has other values."""
     pairs = [slot_pairs(window) for window in matched]
-    values = {(i, o) for own in pairs for _, i, o in own}
+    votes: dict[str, Counter] = {}
+    for _, i, o in {pair for own in pairs for pair in own}:
+        votes.setdefault(i, Counter())[o] += 1
+    # Without more places than any other, no new value is the value's.
+    new = {i: o for i, (o, times) in ((i, v.most_common(1)[0]) for i, v in votes.items())
+           if list(votes[i].values()).count(times) == 1}
     same = [all(i == o for _, i, o in own) for own in pairs]
-    one_to_one = len(values) == len({i for i, _ in values}) == len({o for _, o in values})
-    literals = {w["at"] + j for w in matched for j in range(w["width"]) if w["mask"] >> j & 1}
-    if not one_to_one:
-        return [], False
+    agreed = [all(new.get(i) == o for _, i, o in own) for own in pairs]
+    kept = [w for w, unchanged, fits in zip(matched, same, agreed) if unchanged or fits]
+    literals = {w["at"] + j for w in kept for j in range(w["width"]) if w["mask"] >> j & 1}
     if len(literals) < least:
         return [w["at"] for w, unchanged in zip(matched, same) if unchanged], False
-    return [w["at"] for w in matched], not all(same)
+    return [w["at"] for w in kept], any(fits and not u for u, fits in zip(same, agreed))
 
 
 def judge(aligned: DataFrame) -> DataFrame:
