@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tripmill.llm import chat, secret_scan
+from tripmill.llm import chat, divergence, secret_scan
 
 
 def quoted(text: str) -> str:
@@ -95,3 +95,50 @@ SELECT doc_id, {", ".join(f"coalesce(n_{name}, 0) AS n_{name}" for name, _ in ki
   coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
 FROM documents LEFT JOIN per_doc USING (doc_id)
 """
+
+
+def source_divergence() -> str:
+    scale, least = divergence.SCALE, divergence.LEAST_DOCUMENTS
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH docs AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), '{letters}', '{letters.lower()}') AS text FROM documents
+), numbered AS (
+  SELECT row_number() OVER () AS nr, lang, source, regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM docs
+), words AS (SELECT nr, lang, source, unnest(terms) AS term FROM numbered),
+kept AS (
+  SELECT lang, term, CAST(count(*) AS HUGEINT) AS n FROM words
+  GROUP BY lang, term HAVING count(DISTINCT nr) >= {least}
+), languages AS (SELECT lang, sum(n) AS mass, count(*) AS v FROM kept GROUP BY lang),
+counts AS (
+  SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM words SEMI JOIN kept USING (lang, term)
+  GROUP BY lang, source, term
+), masses AS (SELECT lang, source, sum(n) AS mass FROM counts GROUP BY lang, source),
+groups AS (
+  SELECT lang, source, coalesce(masses.mass, 0) AS mass, v
+  FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN masses USING (lang, source) LEFT JOIN languages USING (lang)
+), shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + ({scale}::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.mass + g.v) AS p,
+    1 + ({scale}::HUGEINT * (k.n + 1)) // (l.mass + l.v) AS q
+  FROM groups g JOIN kept k ON g.lang = k.lang JOIN languages l ON l.lang = g.lang
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY a.lang, a.source, b.source
+), listed AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+    CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM listed
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= {divergence.TERM_RANKS}
+"""

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripmill.llm import attention_lm, byte_cnn, chat, fertility, mixture, oracles, secret_scan
-from tripmill.llm import sharding, simhash, templates, token_counts
+from tripmill.llm import attention_lm, byte_cnn, chat, divergence, fertility, mixture, oracles
+from tripmill.llm import secret_scan, sharding, simhash, templates, token_counts
 from tripmill.llm.common import remainder_of_id, table
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -80,6 +80,10 @@ def op10_chat_parts(spark: SparkSession, sf: str) -> DataFrame:
     return chat.read_back(chat.format_turns(messages, "conv_id", "turn", "role", parts), "conv_id")
 
 
+def op11_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.audit(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fertility": op1_fertility,
     "op2_byte_cnn": op2_byte_cnn,
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_ownership": op8_secret_ownership,
     "op9_minimax_shards": op9_minimax_shards,
     "op10_chat_parts": op10_chat_parts,
+    "op11_divergence": op11_divergence,
 }
 
 
@@ -98,4 +103,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op8_secret_ownership": oracles.secret_ownership(),
         "op10_chat_parts": oracles.chat_parts(HOSTILE),
+        "op11_divergence": oracles.source_divergence(),
     }
