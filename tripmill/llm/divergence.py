@@ -55,23 +55,27 @@ def collapsed(docs: DataFrame, text_column: str, language_column: str, source_co
         whole_text(source_column).cast("string").alias("source"),
         whole_text(text_column).alias("text"),
     )
-    # Both groupings combine before they shuffle, so a hot text is a row for each task and source.
-    copies = rows.groupBy("lang", "text", "source").agg(F.count("*").alias("copies"))
-    return copies.groupBy("lang", "text").agg(
-        F.collect_list(F.struct("source", "copies")).alias("held")
-    )
+    # Multiplicities go by digest, so whole texts are shuffled once, a row for each task and text.
+    rows = rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
+    copies = rows.groupBy("lang", "digest", "source").agg(F.count("*").alias("copies"))
+    held = copies.groupBy("lang", "digest").agg(F.collect_list(F.struct("source", "copies")).alias("held"))
+    texts = rows.groupBy("lang", "digest").agg(F.first("text").alias("text"))
+    return texts.join(held, ["lang", "digest"]).select("lang", "text", "held")
 
 
 def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Weighted counts of a task: of each source, and with a null source the documents."""
-    seen: dict[tuple[str, str | None], Counter] = defaultdict(Counter)
+    """Weighted counts of a task for each source: occurrences ``n``, and ``documents`` with the term."""
+    seen: dict[tuple[str, str], tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for (lang, source), counts in seen.items():
+        for (lang, source), (counts, documents) in seen.items():
             terms = pa.array(list(counts), pa.binary()).cast(pa.string())
-            n = pa.array(list(counts.values()), pa.int64())
-            same = [pa.array([x] * len(n), pa.string()) for x in (lang, source)]
-            yield pa.RecordBatch.from_arrays([same[0], terms, same[1], n], names=["lang", "term", "source", "n"])
+            sums = [pa.array(list(counts.values()), pa.int64()),
+                    pa.array([documents[term] for term in counts], pa.int64())]
+            same = [pa.repeat(pa.scalar(x, pa.string()), len(terms)) for x in (lang, source)]
+            yield pa.RecordBatch.from_arrays(
+                [same[0], terms, same[1], *sums], names=["lang", "term", "source", "n", "documents"]
+            )
         seen.clear()
 
     for whole in batches:
@@ -79,21 +83,17 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             columns = (batch.column(k).to_pylist() for k in range(3))
             for lang, text, held in zip(*columns):
                 words = text.encode().translate(TO_TERMS).split()
-                once = None
+                once = Counter(words) if any(part["copies"] > 1 for part in held) else set(words)
                 for part in held:
-                    counts = seen[lang, part["source"]]
-                    if part["copies"] == 1:
+                    counts, documents = seen[lang, part["source"]]
+                    if (copies := part["copies"]) == 1:
                         counts.update(words)
+                        documents.update(once if isinstance(once, set) else once.keys())
                         continue
-                    once = once or Counter(words)
                     for word, n in once.items():
-                        counts[word] += n * part["copies"]
-                documents, weight = seen[lang, None], sum(part["copies"] for part in held)
-                for word in set(words) if weight > 1 else ():
-                    documents[word] += weight
-                if weight == 1:
-                    documents.update(set(words))
-            if sum(map(len, seen.values())) > HELD_COUNTS:
+                        counts[word] += n * copies
+                        documents[word] += copies
+            if sum(len(counts) for counts, _ in seen.values()) > HELD_COUNTS:
                 yield from flush()
     yield from flush()
 
@@ -101,18 +101,18 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def kept_counts(texts: DataFrame, least_documents: int) -> DataFrame:
     """``lang, term, source, n`` of the kept terms, and ``total``, the term's count in its language."""
     bounded_batches(texts.sparkSession)
-    counted = texts.select("lang", "text", "held").mapInArrow(
-        count_terms, "lang string, term string, source string, n long"
+    counted = texts.mapInArrow(
+        count_terms, "lang string, term string, source string, n long, documents long"
+    )
+    # Tasks have combined their counts; one shuffle by term serves the sums and the windows.
+    summed = counted.repartition("term", "lang").groupBy("term", "lang", "source").agg(
+        F.sum("n").alias("n"), F.sum("documents").alias("documents")
+    )
+    term = Window.partitionBy("term", "lang")
+    both = summed.withColumns(
+        {"documents": F.sum("documents").over(term), "total": F.sum("n").over(term)}
     )
-    # Tasks have combined their counts; one shuffle by term serves the sums and both windows.
-    summed = counted.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
-    term = Window.partitionBy("lang", "term")
-    documents = F.max(F.when(F.col("source").isNull(), F.col("n"))).over(term)
-    total = F.sum(F.when(F.col("source").isNotNull(), F.col("n"))).over(term)
-    both = summed.withColumns({"documents": documents, "total": total})
-    return both.where(
-        (F.col("documents") >= least_documents) & F.col("source").isNotNull()
-    ).select("lang", "term", "source", "n", "total")
+    return both.where(F.col("documents") >= least_documents).select("lang", "term", "source", "n", "total")
 
 
 def share(count: str, mass: str, terms: str) -> Column:
@@ -138,7 +138,7 @@ def divided(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def shared_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What terms held by both sources of a pair add beyond what each of them alone accounts for.
 
-    Rows come sorted by language and term; a term whose rows go on in the next batch waits for it.
+    Rows come sorted by term and language; a term whose rows go on in the next batch waits for it.
     """
     sums: dict[tuple[str, str, str], int] = defaultdict(int)
 
@@ -265,8 +265,8 @@ def audit(
     )
     both = (
         shares.select("lang", "term", "source", "p", "p0")
-        .repartition("lang", "term")
-        .sortWithinPartitions("lang", "term")
+        .repartition("term", "lang")
+        .sortWithinPartitions("term", "lang")
         .mapInArrow(shared_terms, "lang string, source string, item string, value decimal(38,0)")
     )
     pairs = base.unionByName(forth).unionByName(back).unionByName(both).groupBy("lang", "source", "item").agg(
