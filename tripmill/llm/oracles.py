@@ -142,3 +142,49 @@ groups AS (
 )
 SELECT * FROM ranked WHERE part = 'pair' OR rank <= {divergence.TERM_RANKS}
 """
+
+
+def conversation_trie(modulus: int = 100, most: int = 6) -> str:
+    # crc32 of the decimal digits, bit by bit: a byte is met with an exclusive or, then shifted out.
+    bits = "[ascii(digit), -1, -1, -1, -1, -1, -1, -1, -1]"
+    step = "CASE WHEN x >= 0 THEN xor(acc, x) ELSE xor(acc >> 1, 3988292384 * (acc & 1)) END"
+    steps = f"flatten(list_transform(string_split(CAST(conv AS VARCHAR), ''), lambda digit: {bits}))"
+    crc = f"xor(list_reduce(list_transform({steps}, lambda x: CAST(x AS BIGINT)), lambda acc, x: {step}, 4294967295), 4294967295)"
+    return f"""
+WITH turns AS (
+  SELECT conv_id AS conv, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv, {crc} % {most} AS h, conv - conv % {modulus} AS base FROM (SELECT DISTINCT conv FROM turns)
+), heads AS (SELECT c.conv, t.pos, t.role, t.text FROM convs c JOIN turns t ON t.conv = c.base AND t.pos <= c.h),
+taken AS (SELECT conv, count(*) AS taken FROM heads GROUP BY conv),
+rebuilt AS (
+  SELECT * FROM heads UNION ALL
+  SELECT t.conv, t.pos - c.h + coalesce(n.taken, 0), t.role, t.text
+  FROM turns t JOIN convs c USING (conv) LEFT JOIN taken n USING (conv) WHERE t.pos > c.h
+), chains AS (
+  SELECT conv, pos AS depth, length(text) AS chars,
+    md5(string_agg(CAST(to_json([role, text]) AS VARCHAR), ',') OVER (PARTITION BY conv ORDER BY pos)) AS key
+  FROM rebuilt
+), prefixes AS (
+  SELECT conv, depth, chars, key FROM chains UNION ALL SELECT conv, 0, 0, '' FROM convs
+), steps AS (
+  SELECT *, lag(key) OVER (PARTITION BY conv ORDER BY depth) AS above,
+    depth = max(depth) OVER (PARTITION BY conv) AS is_end FROM prefixes
+), members AS (
+  SELECT key, any_value(depth) AS depth, any_value(above) AS above, min(conv) AS conv_id, count(*) AS n_convs,
+    (count(*) - 1) * any_value(chars) AS own,
+    sha256(coalesce(string_agg(CAST(conv AS VARCHAR), ',' ORDER BY conv) FILTER (WHERE is_end), '')) AS ends_sha256
+  FROM steps GROUP BY key
+), children AS (SELECT above AS key, count(*) AS n_children FROM members WHERE above IS NOT NULL GROUP BY above),
+below AS (
+  SELECT DISTINCT a.key, b.key AS lower FROM prefixes a JOIN prefixes b ON a.conv = b.conv AND a.depth <= b.depth
+), summed AS (
+  SELECT b.key, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves, sum(m.own) AS saved_tokens
+  FROM below b JOIN members m ON m.key = b.lower LEFT JOIN children c ON c.key = b.lower GROUP BY b.key
+)
+SELECT m.conv_id, CAST(m.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, m.n_convs,
+  coalesce(c.n_children, 0) AS n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, m.ends_sha256
+FROM members m JOIN summed s USING (key) LEFT JOIN children c USING (key) LEFT JOIN members u ON u.key = m.above
+"""

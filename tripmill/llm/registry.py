@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripmill.llm import attention_lm, byte_cnn, chat, divergence, fertility, mixture, oracles
-from tripmill.llm import secret_scan, sharding, simhash, templates, token_counts
+from tripmill.llm import prefix_trie, secret_scan, sharding, simhash, templates, token_counts
 from tripmill.llm.common import remainder_of_id, table
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -84,6 +84,11 @@ def op11_divergence(spark: SparkSession, sf: str) -> DataFrame:
     return divergence.audit(table(spark, sf, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    turns = prefix_trie.ordered_turns(table(spark, sf, "conversations"))
+    return prefix_trie.prefix_trie(*prefix_trie.spliced(turns))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fertility": op1_fertility,
     "op2_byte_cnn": op2_byte_cnn,
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minimax_shards": op9_minimax_shards,
     "op10_chat_parts": op10_chat_parts,
     "op11_divergence": op11_divergence,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 
@@ -104,4 +110,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_secret_ownership": oracles.secret_ownership(),
         "op10_chat_parts": oracles.chat_parts(HOSTILE),
         "op11_divergence": oracles.source_divergence(),
+        "op12_prefix_trie": oracles.conversation_trie(),
     }
