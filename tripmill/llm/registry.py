@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tripmill.llm import attention_lm, byte_cnn, chat, divergence, fertility, mixture, oracles
 from tripmill.llm import prefix_trie, secret_scan, sharding, simhash, templates, token_counts
+from tripmill.llm import toxic_spans
 from tripmill.llm.common import remainder_of_id, table
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -89,6 +90,19 @@ def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
     return prefix_trie.prefix_trie(*prefix_trie.spliced(turns))
 
 
+# A document of at least this score counts as toxic.
+TOXIC_SCORE = 0.3
+
+
+def op13_toxic_spans(spark: SparkSession, sf: str) -> DataFrame:
+    docs, remainder = table(spark, sf, "documents"), remainder_of_id(F.col("doc_id"), 4)
+    field = toxic_spans.fit(docs, table(spark, sf, "labels"), remainder != 2)
+    return toxic_spans.tag(docs, field).select(
+        "doc_id", (remainder == 2).alias("held_out"), "score",
+        (F.col("score") >= TOXIC_SCORE).cast("int").alias("predicted"), F.size("spans").alias("n_spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fertility": op1_fertility,
     "op2_byte_cnn": op2_byte_cnn,
@@ -102,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_parts": op10_chat_parts,
     "op11_divergence": op11_divergence,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_toxic_spans": op13_toxic_spans,
 }
 
 
