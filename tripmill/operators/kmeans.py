@@ -28,14 +28,18 @@ TOLERANCE = 1e-4
 # Starts are drawn from all rows in a few rounds; a round keeps about this many rows per cluster.
 DRAWING_ROUNDS = 3
 DRAWN_PER_CLUSTER = 2
-# Steps a start is refined by on the weighted rows drawn for it, which saves passes.
+# Steps a start is refined by on the weighted rows drawn for it, which saves passes, and the times
+# this is tried for each start.
 REFINING_STEPS = 50
+TRIALS = 4
 BATCH_CELLS = 2_000_000
 # Partial sums are added up on the driver only while they are this few rows; else by Spark.
 DRIVER_SUM_ROWS = 20_000
 # From this many rows on, small models are summed by expressions inside the engine: compiling
 # new centers into a plan costs more than a pass over few rows, and less than one over many.
 EXPRESSION_ROWS = 3_000_000
+# The column of tables that hold nested prefixes: the number of the smallest one a row belongs to.
+LEVEL = "level"
 # Points of small tables are spread over the cores; large tables already have many tasks.
 SPREAD_ROWS = 5_000_000
 
@@ -47,6 +51,9 @@ class Fit:
     rows: int = 0
     iterations: int = 0
     sizes: list[int] = field(default_factory=list)
+    # Of mini-batch fits: passes over the rows, and the rows of the largest update.
+    passes: int = 0
+    update_rows: int = 0
 
     @property
     def normalized_inertia(self) -> float:
@@ -72,6 +79,17 @@ def to_matrix(batch: pa.RecordBatch, width: int) -> np.ndarray:
     return np.column_stack(columns).astype("float64", copy=False)
 
 
+def without_first(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(batch.columns[1:], batch.schema.names[1:])
+
+
+def by_level(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in order of the level in the first column, so nested prefixes are slices."""
+    levels = batch.column(0).to_numpy(zero_copy_only=False)
+    order = np.argsort(levels, kind="stable")
+    return order, levels[order]
+
+
 def seed_centers(
     points: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator
 ) -> np.ndarray:
@@ -117,11 +135,16 @@ class _Draw:
     """One round for all starts: each row is kept with odds by its squared distance.
 
     ``known`` holds the rows kept so far for each start, ``odds`` what a squared distance is
-    multiplied with, and ``salts`` the numbers that tell the starts' draws apart.
+    multiplied with, ``salts`` the numbers that tell the starts' draws apart, and ``limits``, if
+    given, the last level of the rows that a start sees (levels are the second column then).
     """
 
-    def __init__(self, known: Sequence[np.ndarray], odds: Sequence[float], salts: Sequence[int]):
+    def __init__(
+        self, known: Sequence[np.ndarray], odds: Sequence[float], salts: Sequence[int],
+        limits: Sequence[int] | None = None,
+    ):
         self.known, self.odds, self.salts = list(known), list(odds), list(salts)
+        self.limits = None if limits is None else list(limits)
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         costs = np.zeros(len(self.known))
@@ -129,15 +152,20 @@ class _Draw:
         kept: list[list[float]] = []
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False).astype("int64")
-            rest = pa.RecordBatch.from_arrays(batch.columns[1:], batch.schema.names[1:])
-            x = to_matrix(rest, self.known[0].shape[1])
+            batch = without_first(batch)
+            levels = None
+            if self.limits is not None:
+                order, levels = by_level(batch)
+                batch, keys = without_first(batch).take(pa.array(order)), keys[order]
+            x = to_matrix(batch, self.known[0].shape[1])
             for i, (known, odds, salt) in enumerate(zip(self.known, self.odds, self.salts)):
                 step = max(256, BATCH_CELLS // len(known))
-                for begin in range(0, len(x), step):
-                    some = x[begin : begin + step]
+                end = len(x) if levels is None else int(np.searchsorted(levels, self.limits[i], "right"))
+                for begin in range(0, end, step):
+                    some = x[begin : min(end, begin + step)]
                     _, squares = nearest_of(some, known)
                     costs[i] += squares.sum()
-                    hit = _mixed(keys[begin : begin + step], salt) <= squares * odds
+                    hit = _mixed(keys[begin : begin + len(some)], salt) <= squares * odds
                     starts += [i] * int(hit.sum())
                     kept += some[hit].tolist()
         starts += range(len(costs))
@@ -154,17 +182,22 @@ def drawn_starts(
     columns: Sequence[str],
     key: str,
     wanted: Mapping[Hashable, tuple[int, int, int]],
+    limits: Mapping[Hashable, int] | None = None,
 ) -> dict[Hashable, list[tuple[float, np.ndarray]]]:
     """Starting centers drawn from all rows, cheapest first, with their squared error over all rows.
 
+    With ``limits`` the table holds nested prefixes, and a name sees the rows up to its level.
+
     ``wanted`` gives k, seed and restarts for each name.  Every round is one pass over the table
     for all starts together: a row is kept with odds by its squared distance to the rows kept
     before, so a small far cluster is found whatever the table's size.  The kept rows (a few per
     cluster) are weighted by the rows nearest to them, and the k centers come from those.
     """
-    points = df.select(*columns)
-    keyed = df.select(F.xxhash64(key).alias("draw_key"), *columns)
+    level = [] if limits is None else [LEVEL]
+    points = df.select(*level, *columns)
+    keyed = df.select(F.xxhash64(key).alias("draw_key"), *level, *columns)
     names = [name for name, (_, _, restarts) in wanted.items() for _ in range(restarts)]
+    seen = None if limits is None else {i: limits[name] for i, name in enumerate(names)}
     turn = {name: 0 for name in wanted}
     sizes, salts = [], []
     for name in names:
@@ -172,21 +205,35 @@ def drawn_starts(
         sizes.append(k)
         salts.append(seed * 1_000_003 + turn[name] * 101)
         turn[name] += 1
-    width = len(np.concatenate([np.ravel(v) for v in points.first() or [[]]]))
-    counts, sums, errors = cluster_sums(points, {0: np.zeros((1, max(1, width)))})[0]
-    rows = int(counts[0])
-    most = max((k for k, _, _ in wanted.values()), default=0)
-    if rows < most:
-        raise ValueError(f"{most} clusters need at least {most} rows, found {rows}")
-    mean = sums[0] / rows
-    cost = [max(0.0, float(errors[0] - rows * mean @ mean))] * len(names)
-    known = [mean[None, :] for _ in names]
+    first = df.select(*columns).first()
+    width = max(1, len(np.concatenate([np.ravel(v) for v in first or [[]]])))
+    # Of every level once: rows and mean, and with it what all rows cost around their mean.
+    edges = sorted({0} if limits is None else set(limits.values()))
+    whole = cluster_sums(
+        points, {i: np.zeros((1, width)) for i in range(len(edges))},
+        limits=None if limits is None else dict(enumerate(edges)),
+    )
+    place = [0 if limits is None else edges.index(limits[name]) for name in names]
+    counted = [int(whole[i][0][0]) for i in range(len(edges))]
+    for name, (k, _, _) in wanted.items():
+        found = counted[0 if limits is None else edges.index(limits[name])]
+        if found < k:
+            raise ValueError(f"{k} clusters need at least {k} rows, found {found}")
+    rows = max(counted)
+    means = [sums[0] / max(1, n) for n, (_, sums, _) in zip(counted, whole.values())]
+    around = [
+        max(0.0, float(errors[0] - n * mean @ mean))
+        for n, mean, (_, _, errors) in zip(counted, means, whole.values())
+    ]
+    means = [means[i] for i in place]
+    cost = [around[i] for i in place]
+    known = [mean[None, :] for mean in means]
     found: list[np.ndarray | None] = [None] * len(names)
     tasks = keyed.rdd.getNumPartitions()
     for draw in range(DRAWING_ROUNDS):
         odds = [DRAWN_PER_CLUSTER * k / c if c > 0 else 0.0 for k, c in zip(sizes, cost)]
         drawn = keyed.mapInArrow(
-            _Draw(known, odds, [s + 7 * draw for s in salts]),
+            _Draw(known, odds, [s + 7 * draw for s in salts], None if seen is None else list(seen.values())),
             "start int, cost double, point array<double>",
         )
         if tasks * len(names) > DRIVER_SUM_ROWS:
@@ -205,16 +252,25 @@ def drawn_starts(
                 new = np.array(sorted(chosen), dtype="float64")
                 found[i] = new if found[i] is None else np.concatenate([found[i], new])
                 # The mean stays in sight, so costs fall from round to round and draws stay few.
-                known[i] = np.concatenate([mean[None, :], found[i]])
-    kept_rows = {i: np.unique(mean[None, :] if f is None else f, axis=0) for i, f in enumerate(found)}
-    weighed = cluster_sums(points, kept_rows, tasks, rows)
+                known[i] = np.concatenate([means[i][None, :], found[i]])
+    # What all restarts of a name have drawn is one weighted sample of its rows.
+    pools = {}
+    for name in wanted:
+        own = [i for i, owner in enumerate(names) if owner == name]
+        drawn = [means[i][None, :] if found[i] is None else found[i] for i in own]
+        if own:
+            pools[own[0]] = np.unique(np.concatenate(drawn), axis=0)
+    weighed = cluster_sums(points, pools, tasks, rows, seen and {i: seen[i] for i in pools})
     refined = {}
+    pool = 0
     for i in range(len(names)):
-        counts = weighed[i][0].astype("float64")
+        pool = i if i in pools else pool
+        counts = weighed[pool][0].astype("float64")
         rng = np.random.default_rng(salts[i])
-        refined[i] = refine(kept_rows[i], counts, seed_centers(kept_rows[i], counts, sizes[i], rng))
+        trials = [refine(pools[pool], counts, seed_centers(pools[pool], counts, sizes[i], rng)) for _ in range(TRIALS)]
+        refined[i] = min(trials, key=lambda c: float(nearest_of(pools[pool], c)[1] @ counts))
     # What a start costs is asked of all rows: its few drawn rows may miss a whole group.
-    costs = {i: float(e.sum()) for i, (_, _, e) in cluster_sums(points, refined, tasks, rows).items()}
+    costs = {i: float(e.sum()) for i, (_, _, e) in cluster_sums(points, refined, tasks, rows, seen).items()}
     starts: dict[Hashable, list[tuple[float, np.ndarray]]] = {name: [] for name in wanted}
     for i, name in enumerate(names):
         starts[name].append((costs[i], refined[i]))
@@ -229,8 +285,11 @@ def distinct_centers(starts: Sequence[tuple[float, np.ndarray]]) -> list[np.ndar
 class _ClusterSums:
     """Per-task reduction of points to (model, cluster) counts, sums and squared error."""
 
-    def __init__(self, centers: Sequence[np.ndarray], numbers: Sequence[int]):
+    def __init__(
+        self, centers: Sequence[np.ndarray], numbers: Sequence[int], limits: Sequence[int] | None = None
+    ):
         self.numbers = list(numbers)
+        self.limits = None if limits is None else np.array(limits)
         self.stacked = np.vstack(list(centers))
         self.edges = np.cumsum([0, *[len(c) for c in centers]])
 
@@ -241,21 +300,26 @@ class _ClusterSums:
         norms = (self.stacked * self.stacked).sum(axis=1)
         step = max(256, BATCH_CELLS // total)
         for batch in batches:
+            ends = None
+            if self.limits is not None:
+                order, levels = by_level(batch)
+                batch = without_first(batch).take(pa.array(order))
+                ends = np.searchsorted(levels, self.limits, "right")
             rows = to_matrix(batch, width)
             for begin in range(0, len(rows), step):
                 x = rows[begin : begin + step]
                 relative = norms - 2 * (x @ self.stacked.T)
                 lengths = (x * x).sum(axis=1)
-                every = np.arange(len(x))
-                for low, high in zip(self.edges[:-1], self.edges[1:]):
-                    part = relative[:, low:high]
+                for i, (low, high) in enumerate(zip(self.edges[:-1], self.edges[1:])):
+                    n = len(x) if ends is None else int(min(max(ends[i] - begin, 0), len(x)))
+                    part = relative[:n, low:high]
                     labels = part.argmin(axis=1)
-                    squares = np.maximum(part[every, labels] + lengths, 0)
+                    squares = np.maximum(part[np.arange(n), labels] + lengths[:n], 0)
                     labels += low
                     counts += np.bincount(labels, minlength=total)
                     errors += np.bincount(labels, weights=squares, minlength=total)
                     for axis in range(width):
-                        sums[:, axis] += np.bincount(labels, weights=x[:, axis], minlength=total)
+                        sums[:, axis] += np.bincount(labels, weights=x[:n, axis], minlength=total)
         model = np.repeat(self.numbers, np.diff(self.edges))
         cluster = np.concatenate([np.arange(n) for n in np.diff(self.edges)])
         kept = counts > 0
@@ -275,17 +339,23 @@ def spread_points(points: DataFrame, rows: int) -> DataFrame:
     return points if rows > SPREAD_ROWS else spread(points, rows)
 
 
-def _sums_by_expression(points: DataFrame, centers: Mapping[int, np.ndarray]) -> DataFrame:
+def _sums_by_expression(
+    points: DataFrame, centers: Mapping[int, np.ndarray], limits: Mapping[int, int] | None
+) -> DataFrame:
     """Centers as literals: one nearest-center entry per row and model, summed by Spark."""
-    names = points.columns
+    names = [name for name in points.columns if limits is None or name != LEVEL]
     arrays = {f"__d{i}": distance_array(names, c) for i, c in centers.items()}
     entries = []
     for i in centers:
         cluster, smallest = nearest_columns(F.col(f"__d{i}"))
         entries.append(
-            F.struct(F.lit(i).alias("model"), cluster.alias("cluster"), smallest.alias("error"))
-        )
-    each = points.withColumns(arrays).select(*names, F.inline(F.array(*entries)))
+            F.struct(F.lit(i).alias("model"), cluster.alias("cluster"), smallest.alias("error"),
+                     F.lit(None if limits is None else limits[i]).cast("int").alias("limit"))
+        )
+    listed = F.array(*entries)
+    if limits is not None:
+        listed = F.filter(listed, lambda entry: entry["limit"] >= F.col(LEVEL))
+    each = points.withColumns(arrays).select(*names, F.inline(listed)).drop("limit")
     return each.groupBy("model", "cluster").agg(
         F.count(F.lit(1)).alias("rows"),
         F.sum("error").alias("error"),
@@ -294,15 +364,18 @@ def _sums_by_expression(points: DataFrame, centers: Mapping[int, np.ndarray]) ->
 
 
 def _sums_by_batch(
-    points: DataFrame, centers: Mapping[int, np.ndarray], tasks: int | None
-) -> DataFrame:
+    points: DataFrame, centers: Mapping[int, np.ndarray], tasks: int | None,
+    limits: Mapping[int, int] | None,
+) -> DataFrame:
     """Centers in the task closure: each task reduces its Arrow batches to cluster sums."""
     width = next(iter(centers.values())).shape[1]
     axes = [f"s{axis}" for axis in range(width)]
     schema = "model int, cluster int, rows bigint, error double, " + ", ".join(
         f"{axis} double" for axis in axes
     )
-    sums_per_task = _ClusterSums(list(centers.values()), list(centers))
+    sums_per_task = _ClusterSums(
+        list(centers.values()), list(centers), None if limits is None else [limits[i] for i in centers]
+    )
     partial = points.mapInArrow(sums_per_task, schema)
     if tasks is None or tasks * len(sums_per_task.stacked) > DRIVER_SUM_ROWS:
         partial = partial.groupBy("model", "cluster").agg(
@@ -316,17 +389,20 @@ def cluster_sums(
     centers: Mapping[int, np.ndarray],
     tasks: int | None = None,
     rows: int = 0,
+    limits: Mapping[int, int] | None = None,
 ) -> dict[int, tuple]:
     """Counts, sums and squared error of every cluster of every numbered model, in one job.
 
-    ``tasks`` (partitions) and ``rows`` are given where the caller knows them.
+    ``tasks`` (partitions) and ``rows`` are given where the caller knows them.  With ``limits`` the
+    first column is the level of a nested prefix, and a model sees the rows up to its limit.
     """
     width = next(iter(centers.values())).shape[1]
     literals = sum(c.size for c in centers.values())
-    if rows >= EXPRESSION_ROWS and literals <= MAX_LITERALS and len(points.columns) == width:
-        summed = _sums_by_expression(points, centers)
+    coordinates = len(points.columns) - (limits is not None)
+    if rows >= EXPRESSION_ROWS and literals <= MAX_LITERALS and coordinates == width:
+        summed = _sums_by_expression(points, centers, limits)
     else:
-        summed = _sums_by_batch(points, centers, tasks)
+        summed = _sums_by_batch(points, centers, tasks, limits)
     found = {
         number: (np.zeros(len(c), dtype="int64"), np.zeros((len(c), width)), np.zeros(len(c)))
         for number, c in centers.items()
@@ -344,8 +420,9 @@ def fit_many(
     starts: Mapping[Hashable, Sequence[np.ndarray]],
     max_iterations: int = MAX_ITERATIONS,
     tolerance: float = TOLERANCE,
+    limits: Mapping[Hashable, int] | None = None,
 ) -> dict[Hashable, Fit]:
-    """The best restart of every key.
+    """The best restart of every key; with ``limits``, over the key's own prefix of the rows.
 
     ``points`` holds just the coordinates (standardized, so the tolerance is on their scale)
     and should be persisted or written by the caller: it is read once per step.
@@ -358,11 +435,12 @@ def fit_many(
     active = set(centers)
     for step in range(max_iterations + 1):
         current = {i: fits[i].centers for i in sorted(active)}
-        results = cluster_sums(points, current, tasks, rows)
+        seen = None if limits is None else {i: limits[owners[i]] for i in current}
+        results = cluster_sums(points, current, tasks, rows, seen)
         for i, (counts, sums, errors) in results.items():
             fit = fits[i]
-            rows = int(counts.sum())
-            fit.rows, fit.inertia = rows, float(errors.sum())
+            fit.rows, fit.inertia = int(counts.sum()), float(errors.sum())
+            rows = max(rows, fit.rows)
             fit.sizes = counts.tolist()
             if i in settled or step == max_iterations:
                 active.discard(i)

@@ -1,41 +1,69 @@
-"""Mini-batch K-Means: centers move after every group of blocks of rows.
-
-Blocks are ranges of a hash priority, so they follow a random but reproducible order, and every
-row is in exactly one.  The first blocks are taken one by one; later ones in groups whose
-length grows with what has been read, all rows of a group being assigned with the centers
-at its beginning.  A pass thus reads every block in a number of jobs that grows with the logarithm
-of their number.  Groups come from windows that double in length, are read from the table once, and
-keep many partitions.  The driver only holds the centers and their weights.
+"""Mini-batch K-Means: every update takes a batch of exactly the size asked for.
+
+Updates are sequential within a chain, and chains run in parallel, in a fixed number of rounds.  All
+chains of a round begin with the same centers.  A center is the mean of what was assigned to it, so
+the sums of all chains join into the centers of the next round without loss.  Rows are dealt to
+chains and rounds by a hash, and numbered there; what is left of a chain below one batch is
+dealt again, to fewer chains, until a single chain takes the rest.  A pass thus makes
+ceil(rows / batch) updates, of which only the very last may be smaller.
+
+All starts of a fit are followed through the same jobs, and so are fits of other batch sizes or of
+nested prefixes of the rows.  The driver holds centers and their weights.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Hashable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripmill.functions.priority import hash_priority
-from tripmill.operators.kmeans import Fit, cluster_sums, drawn_starts
-from tripmill.operators.sampling import hash_block
+from tripmill.functions.priority import hash_priority, unit_interval
+from tripmill.operators.kmeans import (
+    BATCH_CELLS,
+    DRIVER_SUM_ROWS,
+    LEVEL,
+    Fit,
+    cluster_sums,
+    distinct_centers,
+    drawn_starts,
+    to_matrix,
+)
 from tripmill.schema import SEED
 
 # Estimator settings.
 BATCH_ROWS = 1_000
 STREAM_BLOCK_ROWS = 10_000
 RESTARTS = 10
-# Relative drop of the error per row that counts as an improvement, where a caller asks to stop.
-LEAST_GAIN = 1e-3
-FIRST_WINDOW = 32
-# Blocks that are taken one by one, and the part of what has been read that a later group has.
-SINGLE_BLOCKS = 8
-GROUP_PART = 8
-# Blocks are drawn independently of the samples the points may come from.
+# A fit without a stated number of passes ends when a pass lowers the error per row by less.
+LEAST_GAIN = 3e-4
+MOST_PASSES = 20
+# Part of a center's weight that stays when another pass begins.
+CARRIED_WEIGHT = 0.25
+# A start this much worse than the best after a pass is not followed on.
+HOPELESS = 1.1
+ROUNDS = 4
+# A chain has at least so many batches in a round; tables of millions of rows have longer ones.
+CHAIN_BATCHES = 4
+MOST_CHAINS = 16
+CHAIN_ROWS = 2_000_000
+# Rows are dealt independently of the samples the points may come from.
 BLOCK_SEED = 7
-ROWS_PER_TASK = 10_000
+
+
+@dataclass(frozen=True)
+class Run:
+    """One fit: how many rows it has, its batches, its passes (None: while they help), its level."""
+
+    rows: int
+    batch_rows: int = BATCH_ROWS
+    passes: int | None = None
+    level: int = 0
 
 
 def update_centers(
@@ -49,85 +77,245 @@ def update_centers(
     return moved, total
 
 
-class _Blocks:
-    """Groups of blocks in order, served from persisted windows of doubling length."""
-
-    def __init__(self, df: DataFrame, columns: Sequence[str], key: str, rows: int, block_rows: int):
-        self.count, self.block_rows = max(1, math.ceil(rows / block_rows)), block_rows
-        block = hash_block(hash_priority(F.col(key), BLOCK_SEED), self.count)
-        self.source = df.select(block.alias("block"), *columns)
-        self.columns = list(columns)
-        self.partitions = self.source.rdd.getNumPartitions()
-        self.start = self.end = self.tasks = 0
-        self.length, self.window = FIRST_WINDOW, None
-
-    def groups(self) -> Iterator[tuple[int, int]]:
-        """Blocks from and below, in order; a group lies inside one window."""
-        edge, length, at = FIRST_WINDOW, FIRST_WINDOW, 0
-        while at < self.count:
-            while at >= edge:
-                length *= 2
-                edge += length
-            group = 1 if at < SINGLE_BLOCKS else max(1, at // GROUP_PART)
-            end = min(at + group, edge, self.count)
-            yield at, end
-            at = end
-
-    def _open(self, number: int) -> None:
-        self.close()
-        self.start, self.end = number, min(self.count, number + self.length)
-        self.length *= 2
-        inside = (F.col("block") >= self.start) & (F.col("block") < self.end)
-        window = self.source.filter(inside)
-        # A small window of a large table is few rows; a large one keeps the table's partitions.
-        wanted = math.ceil((self.end - self.start) * self.block_rows / ROWS_PER_TASK)
-        parallel = window.sparkSession.sparkContext.defaultParallelism
-        if wanted < self.partitions or self.partitions < min(wanted, parallel):
-            window = window.repartition(min(wanted, max(self.partitions, parallel)))
-        # Sorted by block, a step skips the cached batches of all other blocks.
-        self.window = window.sortWithinPartitions("block").persist(StorageLevel.MEMORY_AND_DISK)
-        self.tasks = self.window.rdd.getNumPartitions()
-
-    def sums(self, start: int, end: int, centers: np.ndarray) -> tuple:
-        """Counts, sums and squared error per cluster of the blocks from ``start`` below ``end``."""
-        if not self.start <= start < self.end:
-            self._open(start)
-        inside = (F.col("block") >= start) & (F.col("block") < end)
-        part = self.window.filter(inside).select(*self.columns)
-        return cluster_sums(part, {0: centers}, self.tasks, (end - start) * self.block_rows)[0]
-
-    def close(self) -> None:
-        if self.window is not None:
-            self.window.unpersist()
-            self.window = None
-
-
-def _pass(
+def chains_of(rows: int, batch_rows: int) -> int:
+    """Chains of a table; a table too small for two is one chain in one round."""
+    chains = rows // (ROUNDS * CHAIN_BATCHES * batch_rows)
+    return 1 if chains < 2 else min(chains, max(MOST_CHAINS, rows // (ROUNDS * CHAIN_ROWS)))
+
+
+def dealt(points: DataFrame, runs: Sequence[Run]) -> list[tuple[DataFrame, int]]:
+    """Tables (run, chain, round, coordinates) sorted by round and chain, each with its rounds.
+
+    ``points`` has a level, a priority and the coordinates.  In all but the last table each
+    (run, chain, round) has a multiple of the run's batch.
+    """
+    entries = [
+        F.when(F.col(LEVEL) <= run.level, F.lit(i)) for i, run in enumerate(runs)
+    ]
+    left = points.withColumn("run", F.explode(F.filter(F.array(*entries), lambda i: i.isNotNull()))).drop(LEVEL)
+    rows = [run.rows for run in runs]
+    tables: list[tuple[DataFrame, int]] = []
+    while any(rows):
+        chains = [chains_of(n, run.batch_rows) if n else 0 for n, run in zip(rows, runs)]
+        rounds = [ROUNDS if n > 1 else 1 for n in chains]
+        first = np.cumsum([0, *chains]).tolist()
+
+        def of_run(values: Sequence[int]):
+            return F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("run") + 1)
+
+        turn = hash_priority(F.col("priority"), BLOCK_SEED + len(tables))
+        cell = F.floor(unit_interval(F.col("turn")) * of_run([c * r for c, r in zip(chains, rounds)]))
+        own = of_run([max(1, c) for c in chains])
+        placed = left.withColumn("turn", turn).withColumns(
+            {"chain": (of_run(first) + cell % own).cast("int"), "round": F.floor(cell / own).cast("int")}
+        )
+        together = Window.partitionBy("chain", "round")
+        place = F.row_number().over(together.orderBy("turn", "priority"))
+        size, batch = F.count(F.lit(1)).over(together), of_run([run.batch_rows for run in runs])
+        whole = of_run([int(c == 1) for c in chains]) == 1
+        placed = (
+            placed.repartitionByRange(first[-1], "chain")
+            .withColumn("whole", whole | (place <= size - size % batch))
+            .sortWithinPartitions("round", "chain", "turn")
+            .drop("turn")
+            .persist(StorageLevel.MEMORY_AND_DISK)
+        )
+        counted = placed.where(~F.col("whole")).groupBy("run").agg(F.count(F.lit(1)).alias("rows"))
+        over = {r["run"]: r["rows"] for r in counted.collect()}
+        tables.append((placed, max(rounds)))
+        rows = [over.get(i, 0) for i in range(len(runs))]
+        left = placed.where(~F.col("whole")).drop("chain", "round", "whole")
+    return tables
+
+
+class _Chain:
+    """The updates of one chain, for all models of its run at once."""
+
+    def __init__(self, centers: np.ndarray, weights: np.ndarray, batch_rows: int):
+        self.models, self.k, width = centers.shape
+        self.begun, self.before = centers.reshape(-1, width), weights.reshape(-1)
+        self.centers, self.batch_rows = self.begun, batch_rows
+        self.counts, self.sums = np.zeros(len(self.begun)), np.zeros(self.begun.shape)
+        self.errors = np.zeros(self.models)
+        self.updates = self.largest = self.held = 0
+        self.waiting: list[np.ndarray] = []
+
+    def add(self, rows: np.ndarray) -> None:
+        while len(rows):
+            some = rows[: self.batch_rows - self.held]
+            self.waiting.append(some)
+            self.held += len(some)
+            rows = rows[len(some) :]
+            if self.held == self.batch_rows:
+                self.update()
+
+    def update(self) -> None:
+        """Assign a batch with the centers as they are, then move them to their running means."""
+        if not self.held:
+            return
+        x = np.concatenate(self.waiting)
+        norms = (self.centers * self.centers).sum(axis=1)
+        first = np.arange(self.models) * self.k
+        step = max(1, BATCH_CELLS // len(self.centers))
+        for begin in range(0, len(x), step):
+            some = x[begin : begin + step]
+            near = (norms - 2 * (some @ self.centers.T)).reshape(len(some), self.models, self.k)
+            labels = near.argmin(axis=2)
+            least = np.take_along_axis(near, labels[:, :, None], axis=2)[:, :, 0]
+            self.errors += np.maximum(least + (some * some).sum(axis=1)[:, None], 0).sum(axis=0)
+            member = np.zeros((len(some), len(self.centers)))
+            np.put_along_axis(member, labels + first, 1, axis=1)
+            self.counts += member.sum(axis=0)
+            self.sums += member.T @ some
+        self.centers, _ = update_centers(self.begun, self.before, self.counts, self.sums)
+        self.updates += 1
+        self.largest = max(self.largest, self.held)
+        self.waiting, self.held = [], 0
+
+
+class _Updates:
+    """Per-task chains: rows arrive by chain, sums per model and cluster leave at its end."""
+
+    def __init__(self, models: Mapping[int, tuple[np.ndarray, np.ndarray]], batch_rows: Mapping[int, int]):
+        self.models, self.batch_rows = dict(models), dict(batch_rows)
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, now, run = None, None, None
+        width = next(iter(self.models.values()))[0].shape[2]
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            if chain is None:
+                return
+            chain.update()
+            total = chain.models * chain.k
+            first = np.arange(total) % chain.k == 0
+            model = np.arange(total) // chain.k
+            columns = [
+                pa.array(np.full(total, run), pa.int32()),
+                pa.array(model, pa.int32()),
+                pa.array(np.arange(total) % chain.k, pa.int32()),
+                pa.array(chain.counts.astype("int64")),
+                pa.array(np.where(first, chain.errors[model], 0.0)),
+                pa.array(np.where(first, chain.updates, 0)),
+                pa.array(np.where(first, chain.largest, 0)),
+                *[pa.array(chain.sums[:, axis]) for axis in range(width)],
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+        names = ["run", "model", "cluster", "rows", "error", "updates", "largest"]
+        names += [f"s{axis}" for axis in range(width)]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            runs, chains = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            x = to_matrix(pa.RecordBatch.from_arrays(batch.columns[2:], batch.schema.names[2:]), width)
+            edges = [0, *(np.flatnonzero(np.diff(chains)) + 1).tolist(), len(x)]
+            for begin, end in zip(edges, edges[1:]):
+                if now != chains[begin]:
+                    yield from ended()
+                    now, run = chains[begin], int(runs[begin])
+                    chain = _Chain(*self.models[run], self.batch_rows[run])
+                chain.add(x[begin:end])
+        yield from ended()
+
+
+class _Followed:
+    """The models of a run that are still followed, and what its passes have shown."""
+
+    def __init__(self, run: Run, starts: Sequence[np.ndarray]):
+        self.run, self.centers = run, np.stack(list(starts))
+        self.weights = np.zeros(self.centers.shape[:2])
+        self.best, self.passes, self.updates, self.largest = math.inf, 0, 0, 0
+        self.errors = np.zeros(len(self.centers))
+
+    @property
+    def open(self) -> bool:
+        return self.passes < (MOST_PASSES if self.run.passes is None else self.run.passes)
+
+    def join(self, counts: np.ndarray, sums: np.ndarray) -> None:
+        for i in range(len(self.centers)):
+            self.centers[i], self.weights[i] = update_centers(self.centers[i], self.weights[i], counts[i], sums[i])
+
+    def end_pass(self) -> None:
+        error = float(self.errors.min())
+        self.passes += 1
+        gained = error < self.best * (1 - LEAST_GAIN)
+        self.best = min(self.best, error)
+        if self.run.passes is None and not gained:
+            self.run = Run(self.run.rows, self.run.batch_rows, self.passes, self.run.level)
+        good = self.errors <= HOPELESS * error
+        self.centers, self.weights = self.centers[good], self.weights[good] * CARRIED_WEIGHT
+        self.errors = np.zeros(len(self.centers))
+
+
+def fit_runs(
     df: DataFrame,
     columns: Sequence[str],
     key: str,
-    rows: int,
-    block_rows: int,
-    centers: np.ndarray,
-    passes: int,
-    patience: int | None,
-) -> Fit:
-    served = _Blocks(df, columns, key, rows, block_rows)
-    weights = np.zeros(len(centers))
-    best, waited, blocks = math.inf, 0, 0
-    for start, end in (group for _ in range(passes) for group in served.groups()):
-        counts, sums, errors = served.sums(start, end, centers)
-        blocks += end - start
-        if not counts.sum():
-            continue
-        centers, weights = update_centers(centers, weights, counts, sums)
-        error = float(errors.sum() / counts.sum())
-        waited = 0 if error < best * (1 - LEAST_GAIN) else waited + 1
-        best = min(best, error)
-        if patience is not None and waited >= patience:
-            break
-    served.close()
-    return _scored(df, columns, centers, rows, blocks)
+    runs: Mapping[Hashable, Run],
+    starts: Mapping[Hashable, Sequence[np.ndarray]],
+) -> dict[Hashable, Fit]:
+    """All runs through the same jobs; each gives its best start.
+
+    Where runs have levels the table has a ``level`` column, and a run reads rows up to its own.
+    """
+    names = list(runs)
+    level = F.col(LEVEL) if LEVEL in df.columns else F.lit(0)
+    points = df.select(level.alias(LEVEL), hash_priority(F.col(key), BLOCK_SEED).alias("priority"), *columns)
+    tables = dealt(points, list(runs.values()))
+    followed = [_Followed(runs[name], starts[name]) for name in names]
+    schema = "run int, model int, cluster int, rows bigint, error double, updates bigint, largest bigint"
+    width = followed[0].centers.shape[2]
+    axes = [f"s{axis}" for axis in range(width)]
+    schema += "".join(f", {axis} double" for axis in axes)
+    while any(f.open for f in followed):
+        for table, rounds in tables:
+            tasks = table.rdd.getNumPartitions()
+            for number in range(rounds):
+                now = {i: (f.centers, f.weights) for i, f in enumerate(followed) if f.open}
+                step = _Updates(now, {i: followed[i].run.batch_rows for i in now})
+                part = table.where((F.col("round") == number) & F.col("whole") & F.col("run").isin(list(now)))
+                found = part.select("run", "chain", *columns).mapInArrow(step, schema)
+                if tasks * sum(c.shape[0] * c.shape[1] for c, _ in now.values()) > DRIVER_SUM_ROWS:
+                    found = found.groupBy("run", "model", "cluster").agg(
+                        F.max("largest").alias("largest"),
+                        *[F.sum(name).alias(name) for name in ("rows", "error", "updates", *axes)],
+                    )
+                counts = {i: np.zeros(c.shape[:2]) for i, (c, _) in now.items()}
+                sums = {i: np.zeros(c.shape) for i, (c, _) in now.items()}
+                for row in found.collect():
+                    i, at = row["run"], (row["model"], row["cluster"])
+                    counts[i][at] += row["rows"]
+                    sums[i][at] += [row[axis] for axis in axes]
+                    followed[i].errors[at[0]] += row["error"]
+                    followed[i].updates += row["updates"] if at == (0, 0) else 0
+                    followed[i].largest = max(followed[i].largest, row["largest"])
+                for i in now:
+                    followed[i].join(counts[i], sums[i])
+        for f in followed:
+            if f.open:
+                f.end_pass()
+    for table, _ in tables:
+        table.unpersist()
+    return dict(zip(names, _scored(df, columns, followed)))
+
+
+def _scored(df: DataFrame, columns: Sequence[str], followed: Sequence[_Followed]) -> list[Fit]:
+    """Sizes and error of the final centers over all rows of their runs, the best of each."""
+    owners = [i for i, f in enumerate(followed) for _ in f.centers]
+    centers = dict(enumerate(c for f in followed for c in f.centers))
+    leveled = LEVEL in df.columns
+    points = df.select(*([LEVEL] if leveled else []), *columns)
+    limits = {n: followed[i].run.level for n, i in enumerate(owners)} if leveled else None
+    summed = cluster_sums(points, centers, None, max(f.run.rows for f in followed), limits)
+    best: dict[int, Fit] = {}
+    for n, (counts, _, errors) in summed.items():
+        f, error = followed[owners[n]], float(errors.sum())
+        if owners[n] not in best or error < best[owners[n]].inertia:
+            best[owners[n]] = Fit(
+                centers[n], error, int(counts.sum()), f.updates, counts.tolist(), f.passes, f.largest
+            )
+    return [best[i] for i in range(len(followed))]
 
 
 def fit_minibatch(
@@ -139,16 +327,14 @@ def fit_minibatch(
     batch_rows: int = BATCH_ROWS,
     seed: int = SEED,
     restarts: int = RESTARTS,
-    passes: int = 1,
-    patience: int | None = None,
+    passes: int | None = None,
 ) -> Fit:
-    """Blocks of ``batch_rows`` rows, all of them in every pass; ``iterations`` counts them.
+    """Updates of ``batch_rows`` rows each, counted in ``iterations``.
 
-    Only a caller that gives ``patience`` stops a fit early: after so many groups of blocks in a
-    row without a better error.
+    Passes over all rows end when one no longer lowers the error, unless their number is given.
     """
     starts = drawn_starts(df, columns, key, {k: (k, seed, restarts)})[k]
-    return _pass(df, columns, key, rows, batch_rows, starts[0][1], passes, patience)
+    return fit_runs(df, columns, key, {k: Run(rows, batch_rows, passes)}, {k: distinct_centers(starts)})[k]
 
 
 def fit_one_pass(
@@ -161,14 +347,5 @@ def fit_one_pass(
     seed: int = SEED,
     restarts: int = RESTARTS,
 ) -> Fit:
-    """Every row exactly once, in blocks of ``block_rows`` rows."""
-    starts = drawn_starts(df, columns, key, {k: (k, seed, restarts)})[k]
-    return _pass(df, columns, key, rows, block_rows, starts[0][1], 1, None)
-
-
-def _scored(
-    df: DataFrame, columns: Sequence[str], centers: np.ndarray, rows: int, steps: int
-) -> Fit:
-    """Sizes and error of the final centers over all rows."""
-    counts, _, errors = cluster_sums(df.select(*columns), {0: centers}, None, rows)[0]
-    return Fit(centers, float(errors.sum()), int(counts.sum()), steps, counts.tolist())
+    """Every row exactly once, in updates of ``block_rows`` rows."""
+    return fit_minibatch(df, columns, k, key, rows, block_rows, seed, restarts, 1)

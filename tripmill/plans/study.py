@@ -1,18 +1,24 @@
-"""Comparing the two algorithms over sizes and batch sizes on one frozen scaling."""
+"""Comparing the two algorithms over sizes and batch sizes on one frozen scaling.
+
+A study does not fit its runs one after another: rows carry the number of the smallest nested prefix
+they belong to, and every pass over the table serves all sizes, starts and batch sizes.  A run's
+seconds are its part of the passes it took part in, by the rows it read.
+"""
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tripmill.functions.geometry import with_nearest
 from tripmill.operators import kmeans, minibatch, quality
-from tripmill.operators.sampling import sample_rows
+from tripmill.operators.sampling import prefix_cuts, sample_rows, with_priority
 from tripmill.schema import ALGORITHMS, ALTERNATIVE_SEED, RESULTS_SCHEMA, ROW_ID, SEED
 from tripmill.sources.writers import union_records
 
@@ -28,6 +34,65 @@ class Measured:
     seconds: float
 
 
+# A fit among those of a study: algorithm, rows, rows of a batch, one pass or not.
+RunKey = tuple[str, int, int, bool]
+
+
+def nested(points: DataFrame, sizes: Sequence[int], total: int) -> DataFrame:
+    """The points with the number of the smallest prefix that holds them, all prefixes cut in one search.
+
+    Prefixes are the samples of ``sample_rows``; the last number stands for all rows.
+    """
+    smaller = [n for n in sizes if n < total]
+    ranked = with_priority(points)
+    outside = [(~cut).cast("int") for cut in prefix_cuts(ranked, smaller).values()] if smaller else []
+    level = sum(outside, F.lit(0))
+    return kmeans.spread_points(ranked.withColumn(kmeans.LEVEL, level).drop("priority"), total)
+
+
+def shared_fits(
+    leveled: DataFrame, columns: Sequence[str], k: int, runs: Sequence[RunKey], restarts: int
+) -> dict[RunKey, Measured]:
+    """All runs over a table of nested prefixes; sizes in order are its levels."""
+    sizes = sorted({run[1] for run in runs})
+    limits = {size: level for level, size in enumerate(sizes)}
+    began = time.perf_counter()
+    # Both algorithms start from the same draws.
+    drawn = kmeans.drawn_starts(leveled, columns, ROW_ID, {n: (k, SEED, restarts) for n in sizes}, limits)
+    starts = {n: kmeans.distinct_centers(found) for n, found in drawn.items()}
+    drawing = time.perf_counter() - began
+    fits: dict[RunKey, kmeans.Fit] = {}
+    seconds: dict[RunKey, float] = {}
+
+    def measured(part: Sequence[RunKey], spent: float) -> None:
+        work = {run: run[1] * max(1, fits[run].passes or fits[run].iterations + 1) for run in part}
+        for run in part:
+            share = run[1] / sum(sizes)
+            seconds[run] = drawing * share + spent * work[run] / sum(work.values())
+
+    own = [run for run in runs if run[0] == "KMeans"]
+    if own:
+        began = time.perf_counter()
+        found = kmeans.fit_many(
+            leveled.select(kmeans.LEVEL, *columns), {run: starts[run[1]] for run in own},
+            limits={run: limits[run[1]] for run in own},
+        )
+        fits.update(found)
+        measured(own, time.perf_counter() - began)
+    own = [run for run in runs if run[0] != "KMeans"]
+    if own:
+        began = time.perf_counter()
+        batches = {
+            run: minibatch.Run(
+                run[1], minibatch.STREAM_BLOCK_ROWS if run[3] else run[2], 1 if run[3] else None, limits[run[1]]
+            )
+            for run in own
+        }
+        fits.update(minibatch.fit_runs(leveled, columns, ROW_ID, batches, {run: starts[run[1]] for run in own}))
+        measured(own, time.perf_counter() - began)
+    return {run: Measured(fits[run], seconds[run]) for run in runs}
+
+
 def _fit(points, columns, algorithm, k, rows, batch_rows, streaming, restarts) -> Measured:
     begin = time.perf_counter()
     if algorithm == "KMeans":
@@ -61,10 +126,11 @@ def compare(
     reference: np.ndarray | None = None,
     metric_sample: int = quality.SILHOUETTE_ROWS,
     keep: Callable[[DataFrame], None] | None = None,
+    fitted: Mapping[RunKey, Measured] | None = None,
 ) -> DataFrame:
     """One result row per (algorithm, batch size, one-pass) run over the same points.
 
-    ``reference`` are K-Means centers to compare with, otherwise those of a K-Means run before.
+    ``fitted`` has the runs that were fitted before; others are fitted here.  ``reference`` are K-Means centers to compare with, otherwise those of a K-Means run before.
     A run that dies becomes a ``failed`` row.  ``keep`` is called with every row at once, so the
     rows before a lost driver are not lost with it.
     """
@@ -94,7 +160,9 @@ def compare(
             "experiment_id": experiment_id,
         }
         try:
-            run = _fit(points, columns, algorithm, k, rows, batch_rows, streaming, restarts)
+            run = (fitted or {}).get((algorithm, rows, batch_rows, streaming))
+            if run is None:
+                run = _fit(points, columns, algorithm, k, rows, batch_rows, streaming, restarts)
             width, agreement = _quality(metric, columns, run.fit.centers, reference)
         except Exception as error:  # whatever stopped it, the other runs go on
             finish({**base, "status": "failed", "detail": f"{type(error).__name__}: {error}"[:500]})
@@ -112,7 +180,7 @@ def compare(
                 "ari_vs_kmeans": agreement,
                 "cluster_sizes": run.fit.sizes,
                 "iterations": run.fit.iterations,
-                "worker_seconds": time.perf_counter() - begin,
+                "worker_seconds": time.perf_counter() - begin + (run.seconds if fitted else 0.0),
                 "detail": f"blocks of {minibatch.STREAM_BLOCK_ROWS} rows" if streaming else None,
             }
         )
@@ -120,9 +188,14 @@ def compare(
     return spark.createDataFrame(results, RESULTS_SCHEMA)
 
 
-def _prefix(points: DataFrame, rows: int, total: int) -> DataFrame:
-    kept = points if rows >= total else sample_rows(points, rows)
-    return kmeans.spread_points(kept, rows).persist(StorageLevel.MEMORY_AND_DISK)
+def _together(
+    points: DataFrame, columns: Sequence[str], k: int, runs: Sequence[RunKey], restarts: int
+) -> dict[RunKey, Measured]:
+    """The shared fits of a study; none if they fail, so that each run is tried alone."""
+    try:
+        return shared_fits(points, columns, k, runs, restarts)
+    except Exception:  # the runs that can be fitted are found one by one
+        return {}
 
 
 def size_sweep(
@@ -139,9 +212,15 @@ def size_sweep(
     """Both algorithms on nested prefixes; sizes the data does not reach are reported, not run."""
     spark = points.sparkSession
     total = points.count()
+    every = sorted({*sizes, *([total] if full else [])})
+    runs = {n: [(name, minibatch.BATCH_ROWS, False) for name in ALGORITHMS] for n in every if n <= total}
+    if full:
+        runs[total].append(("MiniBatchKMeans", minibatch.BATCH_ROWS, True))
+    leveled = nested(points, list(runs), total).persist(StorageLevel.MEMORY_AND_DISK)
+    keys = [(name, n, batch, streaming) for n, own in runs.items() for name, batch, streaming in own]
+    fitted = _together(leveled, columns, k, keys, restarts) if keys else {}
     tables = []
-    for size in [*sizes, *([total] if full else [])]:
-        runs = [(name, minibatch.BATCH_ROWS, False) for name in ALGORITHMS]
+    for size in every:
         if size > total:
             skipped = [
                 (name, size, "skipped_insufficient_rows", environment, experiment_id)
@@ -156,15 +235,14 @@ def size_sweep(
             if keep is not None:
                 keep(union_records([spark.createDataFrame([], RESULTS_SCHEMA), table]))
             continue
-        if full and size == total:
-            runs.append(("MiniBatchKMeans", minibatch.BATCH_ROWS, True))
-        prefix = _prefix(points, size, total)
+        prefix = leveled.filter(F.col(kmeans.LEVEL) <= list(runs).index(size)).drop(kmeans.LEVEL)
         tables.append(
             compare(
-                prefix, columns, k, size, runs, environment, experiment_id, restarts, keep=keep
-            )
+                prefix, columns, k, size, runs[size], environment, experiment_id, restarts,
+                keep=keep, fitted=fitted,
+            )
         )
-        prefix.unpersist()
+    leveled.unpersist()
     return union_records([spark.createDataFrame([], RESULTS_SCHEMA), *tables])
 
 
@@ -182,11 +260,16 @@ def batch_study(
     """Mini-batch fits of one prefix with different batch sizes, compared with its K-Means."""
     total = points.count()
     size = min(rows, total)
-    prefix = _prefix(points, size, total)
+    leveled = nested(points, [size], total).filter(F.col(kmeans.LEVEL) == 0)
+    leveled = leveled.persist(StorageLevel.MEMORY_AND_DISK)
+    keys = [("KMeans", size, 0, False), *[("MiniBatchKMeans", size, batch, False) for batch in batch_sizes]]
+    fitted = _together(leveled, columns, k, keys, restarts)
+    prefix = leveled.drop(kmeans.LEVEL)
+    best = fitted[keys[0]].fit if fitted else kmeans.fit_kmeans(prefix, columns, k, ROW_ID, SEED, restarts)
     runs = [("MiniBatchKMeans", batch, False) for batch in batch_sizes]
-    reference = kmeans.fit_kmeans(prefix, columns, k, ROW_ID, SEED, restarts).centers
     table = compare(
-        prefix, columns, k, size, runs, environment, experiment_id, restarts, reference, keep=keep
-    )
-    prefix.unpersist()
+        prefix, columns, k, size, runs, environment, experiment_id, restarts, best.centers,
+        keep=keep, fitted=fitted,
+    )
+    leveled.unpersist()
     return table
