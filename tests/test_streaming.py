@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tripmill.operators import bundle as bundles, cleaning, scaling
+from tripmill.operators import bundle as bundles, cleaning, minibatch, scaling
 from tripmill.schema import DISTANCE, FEATURES, REASON, ROW_ID
 from tripmill.sources.synthetic import synthetic_trips
 from tripmill.streaming import arrivals
@@ -57,24 +57,41 @@ def test_positions_in_a_stream(spark, tmp_path):
 
 
 def test_each_file_moves_the_model_once(spark, tmp_path):
-    folder, landed = str(tmp_path / "in"), str(tmp_path / "landed")
-    state, checkpoint = str(tmp_path / "state.parquet"), str(tmp_path / "cp")
+    folder, steps, checkpoint = (str(tmp_path / name) for name in ("in", "steps", "cp"))
     schema = arrive(spark, folder, 0, 50)
     good, _, _ = bundles.validate(synthetic_trips(spark, 50, 3))
     scaler = scaling.fit_scaler(good, FEATURES)
     columns = scaling.scaled_names(FEATURES)
-    start = np.vstack([np.full(6, -0.5), np.full(6, 0.5)])
+    start = np.vstack([np.full(6, -0.5), np.full(6, 0.5), np.full(6, 99.0)])
 
     def run():
-        stream = arrivals.positioned(arrivals.read_arrivals(spark, folder, schema))
-        arrivals.land_points(stream, scaler, landed, checkpoint)
-        return arrivals.update_model(spark, landed, state, columns, start)
+        stream = arrivals.read_arrivals(spark, folder, schema)
+        arrivals.fit_arrivals(stream, scaler, start, steps, checkpoint, shard=F.col(ROW_ID) % 3)
+        return arrivals.current_centers(spark, steps)
 
-    first = run()
-    assert np.array_equal(first, run())
+    first, weights = run()
+    # A start without new files changes nothing, and neither does a lost driver: the batch is in the checkpoint.
+    again, same = run()
+    assert np.array_equal(first, again) and np.array_equal(weights, same) and weights.sum() == 45
     arrive(spark, folder, 50, 30)
-    second = run()
-    assert not np.array_equal(first, second)
-    done, step, centers, weights = arrivals.current_state(spark, state)
-    assert (len(done), step) == (2, 2) and np.array_equal(centers, second)
-    assert weights.sum() == 72
+    second, weights = run()
+    assert not np.array_equal(first, second) and weights.sum() == 72
+    assert weights[2] == 0 and np.array_equal(second[2], start[2])
+    # The same updates one after another, shard by shard.
+    expected = []
+    for shard in range(3):
+        centers, held = start, np.zeros(3)
+        for begin, end in ((0, 50), (50, 80)):
+            trips = synthetic_trips(spark, end, 3).filter((F.col(ROW_ID) >= begin) & (F.col(ROW_ID) % 10 != 0))
+            rows = scaling.with_scaled(cleaning.accepted(cleaning.classify(trips)), scaler)
+            rows = rows.filter(F.col(ROW_ID) % 3 == shard).select(*columns).collect()
+            x = np.array([list(r) for r in rows])
+            labels = ((x[:, None] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)
+            counts = np.bincount(labels, minlength=3)
+            sums = np.stack([x[labels == j].sum(axis=0) for j in range(3)])
+            centers, held = minibatch.update_centers(centers, held, counts, sums)
+        expected.append((centers, held))
+    total = sum(h for _, h in expected)
+    means = sum(c * h[:, None] for c, h in expected) / np.maximum(total, 1)[:, None]
+    assert np.allclose(second[:2], means[:2]) and np.array_equal(weights, total)
+    assert {r["step"] for r in spark.read.parquet(steps).collect()} == {1, 2}

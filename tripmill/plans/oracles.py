@@ -142,6 +142,34 @@ def _statistics(source: str = CLASSIFIED) -> str:
     return f"WITH {source} " + " UNION ALL ".join(parts)
 
 
+def _stream_fit(files: int = 4, shards: int = 3) -> str:
+    """The updates of every shard, file by file: assign with the centers so far, then take means."""
+    numbers = _list([str(i) for i in range(shards)])
+    steps = []
+    for i in range(files):
+        moved = [
+            f"CASE WHEN n > 0 THEN (c.{z} * c.weight + s_{z}) / (c.weight + n) ELSE c.{z} END AS {z}" for z in Z
+        ]
+        own = [f"s.{z}" for z in Z]
+        steps.append(f"""labels{i} AS (
+  SELECT s.row_id, c.shard, c.cluster, {_list(own)},
+    row_number() OVER (PARTITION BY s.row_id ORDER BY {squares("s", "c")}, c.cluster) AS place
+  FROM scaled s JOIN state{i} c ON c.shard = s.row_id % {shards} WHERE s.row_id % {files} = {i}
+), sums{i} AS (
+  SELECT shard, cluster, count(*) AS n, {_list([f"sum({z}) AS s_{z}" for z in Z])}
+  FROM labels{i} WHERE place = 1 GROUP BY shard, cluster
+), state{i + 1} AS (
+  SELECT c.shard, c.cluster, c.weight + coalesce(n, 0) AS weight, {_list(moved)}
+  FROM state{i} c LEFT JOIN sums{i} u ON u.shard = c.shard AND u.cluster = c.cluster
+)""")
+    joined = [f"round(coalesce(sum(weight * {z}) / nullif(sum(weight), 0), any_value({z})) + 1e-9, 5) AS {z}" for z in Z]
+    return f"""WITH {SCALED}, {drawn(3)}, state0 AS (
+  SELECT shard, cluster, 0e0 AS weight, {_list(Z)} FROM centers CROSS JOIN (SELECT unnest([{numbers}]) AS shard)
+), {_list(steps)}
+SELECT cluster, CAST({files} AS BIGINT) AS steps, CAST(sum(weight) AS BIGINT) AS rows_applied, {_list(joined)}
+FROM state{files} GROUP BY cluster"""
+
+
 def _scaler() -> str:
     parts = [
         f"""SELECT CAST({i} AS INTEGER) AS position, '{n}' AS feature, round(avg({n}) + 1e-9, 5) AS mean,
@@ -587,8 +615,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "stream_validate": f"""{checked} rejection_reason IS NULL AS is_accepted,
   rejection_reason, count(*) AS "rows" FROM classified GROUP BY ALL""",
-        "stream_fit": f"""{checked} CAST(4 AS BIGINT) AS files_applied,
-  count(*) AS rows_applied FROM good""",
+        "stream_fit": _stream_fit(),
         "frozen_check": f"""{checked} count(*) AS accepted_rows, true AS restored,
   false AS own_refused, true AS grown_refused, true AS other_count_refused,
   CAST(1 AS BIGINT) AS files_added FROM good""",

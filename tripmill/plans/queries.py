@@ -37,6 +37,8 @@ PREFIX_PARTS = (8, 4, 2, 1)
 BINDING_GATES = selection.Gates(0.06, 0.15, 0.15)
 # One row in so many is moved far away to test that fits see every row.
 RARE_PART = 997
+# Files that arrive one after another, and shards of the incremental fit.
+STREAM_FILES, STREAM_SHARDS = 4, 3
 # More ranks than any driver table has lines, so all of them are ranked.
 LINE_RANKS = 2_000_000_000
 GATE_SHARES = (0.0001, 0.001, 0.005, 0.02, 0.06, 0.09, 0.9)
@@ -912,8 +914,8 @@ def fit_checks(spark, sf):
     """Every fit against the relational assignment of its centers over all rows.
 
     Sizes and errors must agree.  One more step over all rows may not move a K-Means center by
-    more than the tolerance; the other fits must have read every block and come within a few
-    percent of the K-Means error.
+    more than the tolerance; the other fits must have made one update of the size asked for of every
+    batch of each pass and come within a few percent of the K-Means error.
     """
     points, rows = _points(spark, sf)
     best = kmeans.fit_kmeans(points, Z, K, ROW_ID)
@@ -921,15 +923,15 @@ def fit_checks(spark, sf):
         "KMeans": (best, None),
         "MiniBatchKMeans": (
             minibatch.fit_minibatch(points, Z, K, ROW_ID, rows),
-            math.ceil(rows / minibatch.BATCH_ROWS),
+            minibatch.BATCH_ROWS,
         ),
         "one pass": (
             minibatch.fit_one_pass(points, Z, K, ROW_ID, rows),
-            math.ceil(rows / minibatch.STREAM_BLOCK_ROWS),
+            minibatch.STREAM_BLOCK_ROWS,
         ),
     }
     tables = []
-    for name, (fit, blocks) in fits.items():
+    for name, (fit, batch) in fits.items():
         labeled = with_nearest(points, Z, fit.centers)
         sizes = quality.size_shares(quality.cluster_sizes(labeled, K))
         error = quality.normalized_inertia(labeled).first()["normalized_inertia"]
@@ -938,7 +940,11 @@ def fit_checks(spark, sf):
             float(((np.array([row[c] for c in Z]) - fit.centers[row["cluster"]]) ** 2).sum())
             for row in step
         )
-        settled = moved <= kmeans.TOLERANCE if blocks is None else fit.iterations == blocks
+        if batch is None:
+            settled = moved <= kmeans.TOLERANCE
+        else:
+            updates = fit.passes * math.ceil(rows / batch)
+            settled = (fit.iterations, fit.update_rows) == (updates, min(batch, rows))
         tables.append(
             sizes.select(
                 F.lit(name).alias("fit"),
@@ -1089,22 +1095,26 @@ def stream_score(spark, sf):
 
 
 def stream_fit(spark, sf):
-    """Centers after one step per arrived file."""
+    """Joined centers and weights after one step per arrived file and shard."""
     folder = shared_folder(spark, "stream")
     scaled, scaler = scaled_trips(spark, sf)
-    source = trips(spark, sf).repartitionByRange(4, ROW_ID)
-    source.write.parquet(f"{folder}/arrivals")
-    stream = arrivals.read_arrivals(spark, f"{folder}/arrivals", source.schema, 2)
-    arrivals.land_points(
-        arrivals.positioned(stream), scaler, f"{folder}/points", f"{folder}/checkpoint"
-    )
-    state = f"{folder}/state.parquet"
+    events = read(spark, sf, "events")
+    for file in range(STREAM_FILES):
+        own = events.filter(F.col("event_id") % STREAM_FILES == file)
+        own.coalesce(1).write.mode("append").parquet(f"{folder}/arrivals")
+    stream = trips_of_events(arrivals.read_arrivals(spark, f"{folder}/arrivals", events.schema))
     start = drawn_centers(scaled, K)
-    arrivals.update_model(spark, f"{folder}/points", state, Z, start)
-    applied = spark.read.parquet(state).groupBy("step").agg(F.sum("weight").alias("weight"))
-    return applied.agg(
-        F.max("step").alias("files_applied"), F.max("weight").cast("bigint").alias("rows_applied")
-    )
+    steps = f"{folder}/steps.parquet"
+    shard = F.col(ROW_ID) % STREAM_SHARDS
+    arrivals.fit_arrivals(stream, scaler, start, steps, f"{folder}/checkpoint", shard=shard)
+    # Nothing new has arrived, so this changes nothing.
+    arrivals.fit_arrivals(stream, scaler, start, steps, f"{folder}/checkpoint", shard=shard)
+    model = arrivals.joined_model(spark, steps)
+    centers = model.select(
+        "cluster", "steps", F.col("weight").cast("bigint").alias("rows_applied"),
+        *[F.col("center")[i].alias(z) for i, z in enumerate(Z)],
+    )
+    return rounded(centers, 5, Z)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
