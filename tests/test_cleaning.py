@@ -157,3 +157,37 @@ def test_extra_columns_are_ignored(spark):
     trips = synthetic_trips(spark, 2).withColumn("vendor", F.lit("x"))
     assert "vendor" not in cleaning.classify(trips).columns
     assert isinstance(cleaning.classify(trips).schema[ROW_ID].dataType, T.LongType)
+
+
+def test_a_source_is_read_once(spark):
+    """Accepted rows, rejected rows, scores and the report all come from one pass over the source."""
+    trips = synthetic_trips(spark, 50).withColumn(
+        DISTANCE, F.when(F.col(ROW_ID) % 10 == 0, 0.0).otherwise(F.col(DISTANCE))
+    )
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    good, bad, report = cleaning.validate(trips.mapInArrow(counted, trips.schema))
+    assert (good.count(), bad.count(), good.count()) == (45, 5, 45)
+    assert report["reasons"] == {"distance_out_of_range": 5}
+    assert (report["raw_rows"], report["accepted_rows"], report["rejected_rows"]) == (50, 45, 5)
+    assert read.value == 50
+
+
+def test_counts_need_no_features(spark):
+    """The plan behind row counts builds the reason and no time feature."""
+    trips = synthetic_trips(spark, 5)
+    counts = cleaning.account(cleaning.reasons(trips))
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "SIN(" not in plan and "COS(" not in plan and "hour" not in plan
+    full = cleaning.account(cleaning.classify(trips))
+    assert counts.collect() == full.collect()
+
+
+def test_validation_of_nothing(spark):
+    good, bad, report = cleaning.validate(synthetic_trips(spark, 5).limit(0))
+    assert good.count() == bad.count() == report["raw_rows"] == 0 and report["reasons"] == {}

@@ -1,3 +1,4 @@
+import os
 import hashlib
 
 import pytest
@@ -123,7 +124,10 @@ def test_synthetic_rows_do_not_depend_on_partitions(spark):
 def test_shared_folder_is_the_one_the_session_names(spark):
     named = spark.conf.get("spark.checkpoint.dir")
     first, second = shared_folder(spark, "x"), shared_folder(spark, "x")
-    assert first.startswith(f"{named}/x-") and first != second
+    own = f"{named}/tripmill-{spark.sparkContext.applicationId}"
+    assert first.startswith(f"{own}/x-") and first != second
+    # The folder of the application exists, and goes when the driver ends.
+    assert os.path.isdir(own)
 
 
 def test_digest_of_a_whole_source(spark, tmp_path):

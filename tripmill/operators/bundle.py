@@ -75,9 +75,16 @@ def predict(
     """
     bundle.centers(algorithm)
     good, bad, report = validate(df, bundle.rules)
+    return score(bundle, good, algorithm, chart_rows), bad, report
+
+
+def score(
+    bundle: Bundle, good: DataFrame, algorithm: str, chart_rows: int = projection.CHART_ROWS
+) -> DataFrame:
+    """Score rows that were accepted before."""
     scored = assign(good, bundle, algorithm)
     placed = projection.attach_coordinates(scored, bundle.columns, bundle.axes, chart_rows)
-    return placed.drop(*bundle.columns), bad, report
+    return placed.drop(*bundle.columns)
 
 
 def centroid_units(spark: SparkSession, bundle: Bundle, algorithm: str) -> DataFrame:

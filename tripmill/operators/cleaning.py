@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tripmill.functions import features as fx
 from tripmill.functions.parsing import read_amount, read_time
-from tripmill.schema import AMOUNT_COLUMNS, REASON, ROW_ID, TIME_COLUMNS, Rules
+from tripmill.schema import AMOUNT_COLUMNS, REASON, REASONS, ROW_ID, TIME_COLUMNS, Rules
+from tripmill.session import shared_folder
 from tripmill.sources.readers import check_contract
 
 
@@ -61,8 +62,14 @@ def prepare(df: DataFrame, rules: Rules = Rules()) -> tuple[DataFrame, DataFrame
     return accepted(classified), rejected(classified)
 
 
+def reasons(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The reason of every row and nothing else: no time feature or other field is built for counts."""
+    reason = fx.first_failure(fx.rejection_tests(rules))
+    return computed_once(engineer(df).select(reason.alias(REASON)))
+
+
 def account(classified: DataFrame) -> DataFrame:
-    """One row: raw = accepted + rejected."""
+    """One row: raw = accepted + rejected.  Needs the reason column only."""
     return classified.agg(
         F.count(F.lit(1)).alias("raw_rows"),
         F.count_if(F.col(REASON).isNull()).alias("accepted_rows"),
@@ -74,22 +81,12 @@ def rejection_counts(classified: DataFrame) -> DataFrame:
     return rejected(classified).groupBy(REASON).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def validate(df: DataFrame, rules: Rules = Rules()) -> tuple[DataFrame, DataFrame, dict]:
-    """Accepted rows, rejected rows and the report, from a single counting pass."""
-    classified = classify(df, rules)
-    counts = {
-        row[REASON]: row["rows"]
-        for row in classified.groupBy(REASON).agg(F.count(F.lit(1)).alias("rows")).collect()
-    }
-    return accepted(classified), rejected(classified), _report(counts, rules)
-
-
-def _report(counts: dict, rules: Rules) -> dict:
-    good = counts.pop(None, 0)
+def _report(observed: dict, rules: Rules) -> dict:
+    counts = {reason: observed[reason] for reason in REASONS if observed[reason]}
     bad = sum(counts.values())
     return {
-        "raw_rows": good + bad,
-        "accepted_rows": good,
+        "raw_rows": observed["raw_rows"],
+        "accepted_rows": observed["raw_rows"] - bad,
         "rejected_rows": bad,
         "reasons": counts,
         "rules": rules.as_dict(),
@@ -102,16 +99,35 @@ def with_outcome(classified: DataFrame) -> DataFrame:
     return classified.withColumn("outcome", outcome)
 
 
-def write_classified(df: DataFrame, out: str, rules: Rules = Rules()) -> dict:
-    """Scan and classify once: accepted and rejected rows are partitions of one table.
+def _write_once(df: DataFrame, out: str, rules: Rules) -> tuple[DataFrame, dict]:
+    """Scan, classify, count and write in one job; the written table and the report.
 
-    The report is counted on the written reason column, not by a second scan of the source.
+    The counts are metrics of the writing tasks, so neither the source nor the table is read for them.
     """
-    spark = df.sparkSession
-    classified = with_outcome(classify(df, rules))
+    observation = Observation("rows by reason")
+    classified = with_outcome(classify(df, rules)).observe(
+        observation,
+        F.count(F.lit(1)).alias("raw_rows"),
+        *[F.count_if(F.col(REASON) == reason).alias(reason) for reason in REASONS],
+    )
     classified.write.mode("overwrite").partitionBy("outcome").parquet(out)
-    written = spark.read.parquet(out).groupBy(REASON).agg(F.count(F.lit(1)).alias("rows"))
-    return _report({row[REASON]: row["rows"] for row in written.collect()}, rules)
+    table = df.sparkSession.read.schema(classified.schema).parquet(out)
+    return table, _report(observation.get, rules)
+
+
+def write_classified(df: DataFrame, out: str, rules: Rules = Rules()) -> dict:
+    """Accepted and rejected rows as partitions of one table, with the report."""
+    return _write_once(df, out, rules)[1]
+
+
+def validate(df: DataFrame, rules: Rules = Rules()) -> tuple[DataFrame, DataFrame, dict]:
+    """Accepted rows, rejected rows and the report; the source is parsed and classified once.
+
+    Both tables are read from a written intermediate, whatever is done with them later.
+    """
+    table, report = _write_once(df, shared_folder(df.sparkSession, "validated"), rules)
+    good = table.filter("outcome = 'accepted'").drop("outcome", REASON)
+    return good, table.filter("outcome = 'rejected'").drop("outcome"), report
 
 
 def read_accepted(spark, out: str) -> DataFrame:
@@ -120,4 +136,3 @@ def read_accepted(spark, out: str) -> DataFrame:
 
 def read_rejected(spark, out: str) -> DataFrame:
     return spark.read.parquet(out).filter("outcome = 'rejected'").drop("outcome")
-

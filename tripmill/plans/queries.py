@@ -68,7 +68,10 @@ def good_trips(spark: SparkSession, sf: str) -> DataFrame:
 
 def scaled_trips(spark: SparkSession, sf: str) -> tuple[DataFrame, scaling.Scaler]:
     # Read three to seven times by the queries below; a pipeline would have written it.
-    good = good_trips(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
+    return scaled_rows(good_trips(spark, sf).persist(StorageLevel.MEMORY_AND_DISK))
+
+
+def scaled_rows(good: DataFrame) -> tuple[DataFrame, scaling.Scaler]:
     scaler = scaling.fit_scaler(good, FEATURES)
     return scaling.with_scaled(good, scaler), scaler
 
@@ -87,7 +90,10 @@ def labeled_trips(spark: SparkSession, sf: str, k: int = K, seed: int = SEED) ->
 
 def drawn_bundle(spark: SparkSession, sf: str) -> tuple[bundles.Bundle, DataFrame]:
     """A scoring bundle around drawn centroids, and the accepted trips."""
-    scaled, scaler = scaled_trips(spark, sf)
+    return bundle_of(*scaled_trips(spark, sf))
+
+
+def bundle_of(scaled: DataFrame, scaler: scaling.Scaler) -> tuple[bundles.Bundle, DataFrame]:
     centers = drawn_centers(scaled, K)
     distances = anomalies.with_distance(with_nearest(scaled, Z, centers))
     threshold = anomalies.distance_threshold(distances)
@@ -114,12 +120,12 @@ def trip_rejects(spark, sf):
 
 
 def reject_reasons(spark, sf):
-    return cleaning.rejection_counts(classified(spark, sf))
+    return cleaning.rejection_counts(cleaning.reasons(trips(spark, sf)))
 
 
 def line_reasons(spark, sf):
     """Accounting of the larger trip table that is derived from the order lines."""
-    checked = cleaning.classify(line_trips(spark, sf))
+    checked = cleaning.reasons(line_trips(spark, sf))
     return checked.groupBy(REASON).agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -132,7 +138,7 @@ def line_statistics(spark, sf):
 
 
 def row_accounting(spark, sf):
-    return cleaning.account(classified(spark, sf))
+    return cleaning.account(cleaning.reasons(trips(spark, sf)))
 
 
 def row_positions(spark, sf):
@@ -605,10 +611,11 @@ def profile_text(spark, sf):
 
 
 def score_rows(spark, sf):
-    """Validate, assign, flag and describe every trip with a frozen model."""
-    bundle, good = drawn_bundle(spark, sf)
+    """Validate, assign, flag and describe every trip with a frozen model; trips are classified once."""
+    valid, _, _ = cleaning.validate(trips(spark, sf))
+    bundle, good = bundle_of(*scaled_rows(valid))
     known = profiles.cluster_profiles(bundles.assign(good, bundle, "KMeans"))
-    scored, _, _ = bundles.predict(bundle, trips(spark, sf), "KMeans")
+    scored = bundles.score(bundle, good, "KMeans")
     # One profile is left out, so its rows show the default text.
     described = profiles.describe_clusters(scored, known.filter("cluster < 2"))
     return rounded(

@@ -32,7 +32,8 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     """A new path for a written intermediate.
 
     The cluster names its shared folder in ``spark.checkpoint.dir``.  Only a local
-    master may fall back to a temporary folder, since every task then sees it.
+    master may fall back to a temporary folder, since every task then sees it.  All paths of an
+    application lie in a folder of its own, which is deleted when the driver ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
@@ -41,4 +42,20 @@ def shared_folder(spark: SparkSession, label: str) -> str:
         base = tempfile.mkdtemp(prefix="tripmill-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir() or base
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    own = f"{base.rstrip('/')}/tripmill-{spark.sparkContext.applicationId}"
+    _delete_at_end(spark, own)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
+
+
+def _delete_at_end(spark: SparkSession, folder: str) -> None:
+    """Leave the folder to its file system, which deletes it with all intermediates as the driver's JVM ends."""
+    if folder in _deleted_at_end:
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    _deleted_at_end.add(folder)
+
+
+_deleted_at_end: set[str] = set()
