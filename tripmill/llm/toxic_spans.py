@@ -31,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripmill.llm.common import bounded_batches, slices, whole_text, worker_memory
+from tripmill.llm.common import bounded_batches, slices, whole_text, worker_memory, written
 
 TRAINING_TEXTS = 2_500
 TRAINING_BYTES = 24 << 20
+SPARE = 4
 # Every n-th training row is kept from the field and used to fit the document score.
 CALIBRATION_PART = 4
 CHAIN_WORDS = 64
@@ -370,8 +371,10 @@ def training_sample(
 ) -> tuple[list[str], list[int]]:
     """Texts and labels in hash order, within the stated bounds.
 
-    A threshold on the hash, from the count of each label, comes before the ranking, so a ranking
-    sees about twice the bound whatever the table's size.
+    A threshold on the hash, from the count of each label, leaves about ``SPARE`` times the bound
+    of labels whatever the table's size; those few and then the chosen ids are sent to the scan
+    of the documents, so no text is shuffled but the chosen ones.  Of an id with several texts the
+    one of the least hash is taken.
     """
     marks = labels.where(F.col(id_column).isNotNull() & F.col(label_column).isNotNull()).groupBy(
         F.col(id_column).alias("key")
@@ -379,24 +382,32 @@ def training_sample(
     order = F.xxhash64("key", "label")
     marks = marks.withColumns({"order": order, "unit": F.shiftrightunsigned(order, 11) / F.lit(float(1 << 53))})
     counts = {r["label"]: r["rows"] for r in marks.groupBy("label").agg(F.count("*").alias("rows")).collect()}
-    # An id hardly has more than one text; ids without an eligible one leave room to spare.
-    share = F.when(F.col("label") == 1, F.lit(8.0 * TRAINING_TEXTS / max(1, counts.get(1, 0)))).otherwise(
-        F.lit(8.0 * TRAINING_TEXTS / max(1, counts.get(0, 0)))
-    )
+    shares = [SPARE * TRAINING_TEXTS / max(1, counts.get(label, 0)) for label in (0, 1)]
+    share = F.when(F.col("label") == 1, F.lit(shares[1])).otherwise(F.lit(shares[0]))
+    near = few(marks.where(F.col("unit") < share).select("key", "label", "order"))
     texts = docs.where(eligible & F.col(id_column).isNotNull()).select(
         F.col(id_column).alias("key"), whole_text(text_column).alias("text")
     )
-    rows = texts.join(marks.where(F.col("unit") < share), "key").withColumn("size", F.octet_length("text"))
-    by_label = Window.partitionBy("label").orderBy("order", F.xxhash64("text"))
-    ranked = rows.select("label", "order", "text", "size", F.row_number().over(by_label).alias("place")).where(
-        F.col("place") <= TRAINING_TEXTS
+    hashed = F.xxhash64("text")
+    sizes = texts.withColumn("size", F.octet_length("text")).join(near, "key").groupBy("key", "label", "order").agg(
+        F.min_by("size", hashed).alias("size")
     )
-    so_far = F.sum("size").over(Window.partitionBy("label").orderBy("place"))
-    chosen = ranked.withColumn("so_far", so_far).where(F.col("so_far") <= TRAINING_BYTES)
-    found = chosen.orderBy("label", "place").select("text", "label").toArrow()
+    by_label = Window.partitionBy("label").orderBy("order", "key")
+    so_far = F.sum("size").over(by_label.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = sizes.withColumns({"place": F.row_number().over(by_label), "so_far": so_far})
+    chosen = ranked.where((F.col("place") <= TRAINING_TEXTS) & (F.col("so_far") <= TRAINING_BYTES))
+    found = texts.join(few(chosen.select("key", "label", "place")), "key").groupBy("label", "place").agg(
+        F.min_by("text", hashed).alias("text")
+    ).orderBy("label", "place").select("text", "label").toArrow()
     return found["text"].to_pylist(), found["label"].to_pylist()
 
 
+def few(keys: DataFrame) -> DataFrame:
+    """Keys of bounded number, written down and checked before they are sent to every task."""
+    kept = written(keys, "toxic-keys")
+    return F.broadcast(kept) if kept.count() <= 4 * SPARE * TRAINING_TEXTS else kept
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, eligible: Column, id_column: str = "doc_id", text_column: str = "text",
     label_column: str = "toxic",
