@@ -347,13 +347,14 @@ def prefix_trie(every: DataFrame, turns: DataFrame) -> DataFrame:
     below = F.col("brought") - F.sum("weight").over(above)
     summed = counted.join(brought, "key").withColumn("below", below).join(children, "key", "left")
 
-    root = written(
-        ends.agg(F.min("conv").alias("conv_id"), F.count("*").alias("n_convs"))
-        .crossJoin(strings.join(children, "key", "left_anti").agg(F.count("*").alias("n_leaves")))
-        .crossJoin(counted.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("saved_tokens")))
-        .crossJoin(nodes.where(F.col("parent") == ROOT).agg(F.count("*").alias("n_children")))
-        .where("n_convs > 0"),
-        "trie-root",
+    # The root has no turns; its row is made of sums over the tables.
+    whole = ends.agg(F.min("conv").alias("conv_id"), F.count("*").alias("n_convs")).first()
+    leaves = strings.join(children, "key", "left_anti").count()
+    saved = counted.agg(F.sum("weight")).first()[0] or 0
+    tops = nodes.where(F.col("parent") == ROOT).count()
+    values = [(whole["conv_id"], whole["n_convs"], max(1, leaves), saved, tops)] if whole["n_convs"] else []
+    root = every.sparkSession.createDataFrame(
+        values, "conv_id long, n_convs long, n_leaves long, saved_tokens long, n_children long"
     )
     parents = counted.select(F.col("key").alias("parent"), F.col("conv_id").alias("above_id")).unionByName(
         root.select(F.lit(ROOT).alias("parent"), F.col("conv_id").alias("above_id"))
@@ -377,7 +378,7 @@ def prefix_trie(every: DataFrame, turns: DataFrame) -> DataFrame:
     ).unionByName(
         root.select(F.lit(ROOT).alias("key"), "conv_id", F.lit(0).cast("long").alias("depth"),
                     F.lit(None).cast("long").alias("parent_conv_id"), "n_convs", "n_children",
-                    F.greatest("n_leaves", F.lit(1)).alias("n_leaves"), "saved_tokens")
+                    "n_leaves", "saved_tokens")
     )
     nothing = hashlib.sha256().hexdigest()
     return rows.join(digest, "key", "left").select(
