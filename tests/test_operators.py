@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tripmill.functions import labels as text
@@ -38,11 +39,45 @@ def test_narrowing_equals_brute_force(spark, monkeypatch, seed, sketch_rows):
 
 def test_a_wrong_sketch_is_not_used(spark, monkeypatch):
     monkeypatch.setattr(quantiles, "SKETCH_ROWS", 10)
-    monkeypatch.setattr(quantiles.F, "percentile_approx", lambda n, shares, _: F.array(*[F.lit(0.0)] * len(shares)))
-    found = quantiles.quantiles(numbers(spark, range(1, 102)), {"x": [0.25, 0.5]}, exact_rows=0)
+    other = quantiles.known_columns(quantiles.column_statistics(numbers(spark, range(-900, -800)), ["x"]))["x"]
+    own = quantiles.known_columns(quantiles.column_statistics(numbers(spark, range(1, 102)), ["x"]))["x"]
+    wrong = {"x": Row(**{**own.asDict(), "sketch": other["sketch"]})}
+    found = quantiles.quantiles(numbers(spark, range(1, 102)), {"x": [0.25, 0.5]}, exact_rows=0, known=wrong)
     assert found == {("x", 0.25): 26.0, ("x", 0.5): 51.0}
 
 
+def test_statistics_of_parts_are_merged(spark, monkeypatch):
+    """A table that grows by parts is summed up from their saved rows, exactly."""
+    monkeypatch.setattr(quantiles, "SKETCH_ROWS", 10)
+    rng = np.random.default_rng(7)
+    parts = [rng.normal(5, 3, 400), np.full(150, 2.5), rng.normal(-9, 1, 77)]
+    saved = [quantiles.column_statistics(numbers(spark, [*part, None]), ["x"]) for part in parts]
+    merged = quantiles.merged_statistics(saved[0].unionByName(saved[1]).unionByName(saved[2]))
+    values = np.concatenate(parts)
+    df = numbers(spark, [*values, None, None, None])
+    row = profiles.feature_summary(df, ["x"], 0, merged).first()
+    assert (row["count"], row["null_count"]) == (len(values), 3)
+    assert row["mean"] == pytest.approx(values.mean()) and row["std"] == pytest.approx(values.std(ddof=1))
+    assert (row["min"], row["max"]) == (values.min(), values.max())
+    for share, name in ((0.25, "25%"), (0.5, "50%"), (0.75, "75%")):
+        assert row[name] == pytest.approx(np.quantile(values, share), rel=1e-12)
+
+
+def test_large_summaries_take_two_scans(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "SKETCH_ROWS", 100)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    values = np.random.default_rng(1).normal(size=1000)
+    df = numbers(spark, values)
+    row = profiles.feature_summary(df.mapInArrow(counted, df.schema), ["x"], 0).first()
+    assert read.value == 2 * len(values) and row["50%"] == pytest.approx(np.median(values))
+
+
 def test_quantiles_skip_nulls_and_handle_empty_columns(spark):
     df = numbers(spark, [None, 1, None, 3])
     assert quantiles.quantiles(df, {"x": [0.5]})["x", 0.5] == 2

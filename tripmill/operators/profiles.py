@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripmill.functions.labels import profile_text
-from tripmill.operators.quantiles import EXACT_ROWS, quantiles
+from tripmill.operators.quantiles import EXACT_ROWS, column_statistics, known_columns, quantiles
 from tripmill.schema import PROFILE_COLUMNS
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -16,26 +17,24 @@ STATISTICS = ("count", "null_count", "mean", "std", "min", "25%", "50%", "75%",
 
 
 def feature_summary(
-    df: DataFrame, features: Sequence[str], exact_rows: int = EXACT_ROWS
+    df: DataFrame, features: Sequence[str], exact_rows: int = EXACT_ROWS, saved: DataFrame | None = None
 ) -> DataFrame:
-    """One row per feature: counts, mean, sample deviation, extremes and exact quartiles."""
-    found = quantiles(df, {name: QUARTILES for name in features}, exact_rows)
-    wide = df.agg(
-        *[
-            F.struct(
-                F.lit(name).alias("feature"),
-                F.count(name).alias("count"),
-                F.count_if(F.col(name).isNull()).alias("null_count"),
-                F.avg(name).alias("mean"),
-                F.stddev_samp(name).alias("std"),
-                F.min(name).alias("min"),
-                *[F.lit(found[name, q]).cast("double").alias(f"{q:.0%}") for q in QUARTILES],
-                F.max(name).alias("max"),
-            ).alias(name)
-            for name in features
-        ]
-    )
-    return wide.select(F.inline(F.array(*[F.col(name) for name in features])))
+    """One row per feature: counts, mean, sample deviation, extremes and exact quartiles.
+
+    ``saved`` has statistics merged from parts of the table, which spares a scan.
+    """
+    known = known_columns(column_statistics(df, features) if saved is None else saved)
+    found = quantiles(df, {name: QUARTILES for name in features}, exact_rows, known)
+    rows = []
+    for name in features:
+        own = known[name]
+        n = own["rows"]
+        deviation = math.sqrt(max(0.0, own["squares"]) / (n - 1)) if n > 1 else None
+        quartiles = [found[name, q] for q in QUARTILES]
+        rows.append((name, n, own["nulls"], own["mean"], deviation, own["low"], *quartiles, own["high"]))
+    schema = "feature string, count bigint, null_count bigint, mean double, std double, min double"
+    schema += "".join(f", `{q:.0%}` double" for q in QUARTILES) + ", max double"
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def statistic_rows(summary: DataFrame) -> DataFrame:
