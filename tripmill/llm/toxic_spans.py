@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from tripmill.llm.common import bounded_batches, slices, whole_text, worker_memory, written
 
-TRAINING_TEXTS = 2_500
-TRAINING_BYTES = 24 << 20
+TRAINING_TEXTS = 2_000
+TRAINING_BYTES = 16 << 20
 SPARE = 4
 # Every n-th training row is kept from the field and used to fit the document score.
 CALIBRATION_PART = 4
@@ -258,10 +258,14 @@ def train(texts: Sequence[str], labels: Sequence[int]) -> Field:
     if len(set(marks[held])) < 2:
         held[:] = False
     fitted = np.flatnonzero(~held)
-    flat, text_of = tokens_of([texts[k] for k in fitted])
-    chains = Chains(np.fromiter((token in ENDS for token in flat), bool, len(flat)), text_of)
-    codes: dict[str, int] = {}
-    kind = np.fromiter((codes.setdefault(flat[k], len(codes)) for k in chains.words), int, len(chains.words))
+    # Tokens become numbers text by text; sentence ends come first.
+    codes = {end: k for k, end in enumerate(ENDS)}
+    found = [
+        np.fromiter((codes.setdefault(t, len(codes)) for t in TOKENS.findall(texts[k])), np.int32) for k in fitted
+    ]
+    kind = np.concatenate(found)
+    chains = Chains(kind < len(ENDS), np.repeat(np.arange(len(fitted)), [len(part) for part in found]))
+    kind = kind[chains.words]
     features = word_features(list(codes))
     bounds = np.searchsorted(chains.text, np.arange(len(fitted) + 1))
     kinds = [kind[a:b] for a, b in zip(bounds, bounds[1:])]
