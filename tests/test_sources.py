@@ -98,14 +98,56 @@ def test_ragged_records(spark):
 
 def test_attempts_are_kept_and_the_latest_is_current(spark, tmp_path):
     path = str(tmp_path / "attempts.parquet")
-    first = spark.createDataFrame([("a", 1), ("b", 1)], "name string, value int")
-    second = spark.createDataFrame([("a", 2)], "name string, value int")
-    writers.append_attempt(first, path, "2025-01-01")
-    writers.append_attempt(second, path, "2025-01-02")
-    kept = spark.read.parquet(path).withColumn("attempt", F.col("attempt").cast("string"))
-    assert kept.count() == 3
+    for k in range(1, 11):
+        writers.append_attempt(spark.createDataFrame([("a", k)], "name string, value int"), path, str(k))
+    writers.append_attempt(spark.createDataFrame([("b", 1)], "name string, value int"), path, "09")
+    # More rows of an attempt keep its number.
+    writers.append_attempt(spark.createDataFrame([("c", 2)], "name string, value int"), path, "2")
+    kept = writers.read_attempts(spark, path)
+    assert kept.count() == 12
+    assert {(r["attempt"], r["version"]) for r in kept.collect()} == {(str(k), k) for k in range(1, 11)} | {("09", 11)}
     current = {r["name"]: r["value"] for r in writers.latest(kept, ["name"]).collect()}
-    assert current == {"a": 2, "b": 1}
+    # The tenth comes after the ninth.
+    assert current == {"a": 10, "b": 1, "c": 2}
+
+
+def test_half_a_write_is_not_seen(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "attempts.parquet")
+    writers.append_attempt(spark.createDataFrame([("a", 1)], "name string, value int"), path, "one")
+
+    def lost(*args):
+        raise RuntimeError("the driver is gone before the manifest")
+
+    monkeypatch.setattr(writers, "manifest", lost)
+    with pytest.raises(RuntimeError):
+        writers.append_attempt(spark.createDataFrame([("a", 2), ("b", 2)], "name string, value int"), path, "two")
+    monkeypatch.undo()
+    assert spark.read.parquet(path).count() == 3
+    assert [tuple(r) for r in writers.read_attempts(spark, path).select("name", "value").collect()] == [("a", 1)]
+    # The next one starts over and is seen.
+    writers.append_attempt(spark.createDataFrame([("a", 3)], "name string, value int"), path, "two")
+    rows = writers.read_attempts(spark, path).orderBy("version").collect()
+    assert [(r["value"], r["version"]) for r in rows] == [(1, 1), (3, 2)]
+
+
+def test_positions_and_admission_read_no_data_twice(spark, tmp_path):
+    """Rows per file come from a scan without columns, so only footers are read."""
+    path = str(tmp_path / "trips.parquet")
+    trips = synthetic_trips(spark, 60).drop(ROW_ID)
+    trips.repartition(3).write.parquet(path)
+    seen = []
+    original = readers._block_offsets
+    readers._block_offsets = lambda blocks, keys: seen.append(blocks) or original(blocks, keys)
+    try:
+        found = readers.scan(spark, path)
+    finally:
+        readers._block_offsets = original
+    assert sorted(r[ROW_ID] for r in found.select(ROW_ID).collect()) == list(range(60))
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<>" in plan
+    with pytest.raises(readers.TooLarge) as refused:
+        readers.bounded_scan(spark, path, max_rows=59)
+    assert refused.value.rows == 60
 
 
 def test_documents(spark, tmp_path):

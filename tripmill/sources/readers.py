@@ -71,7 +71,9 @@ def with_row_position(df: DataFrame, fmt: str) -> DataFrame:
             return df.select(index.alias(ROW_ID), *names)
         keys = ["__file"]
         located = df.select(*names, F.col("_metadata.file_path").alias("__file"), index.alias(ROW_ID))
-        blocks = located.groupBy(*keys).agg((F.max(ROW_ID) + 1).alias("__rows"))
+        # Counting rows of files asks for no column, so this scan reads footers and no data.
+        blocks = df.select(F.col("_metadata.file_path").alias("__file"))
+        blocks = blocks.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
         offsets, count = _block_offsets(blocks, keys)
         joined = _join_offsets(located, offsets, count, keys)
         return joined.select((F.col(ROW_ID) + F.col("__before")).alias(ROW_ID), *names)
@@ -125,17 +127,30 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     return with_row_position(raw, file_format(path)).select(ROW_ID, *REQUIRED)
 
 
+class TooLarge(ValueError):
+    """A source beyond the admission limits; ``rows`` is known once its bytes are admitted."""
+
+    def __init__(self, message: str, rows: int | None = None):
+        super().__init__(message)
+        self.rows = rows
+
+
 def bounded_scan(
     spark: SparkSession, path: str, max_rows: int = UPLOAD_ROWS, max_bytes: int = UPLOAD_BYTES
 ) -> DataFrame:
-    """A scan that refuses oversized uploads before any other work."""
+    """A scan that refuses oversized uploads before any other work.
+
+    Bytes come from the listing; rows of Parquet from the footers, of text up to the limit.
+    """
     size = file_sizes(spark, path).agg(F.sum("bytes")).first()[0]
     if size > max_bytes:
-        raise ValueError(f"{path} has {size} bytes; at most {max_bytes} are accepted")
-    trips = scan(spark, path)
-    if trips.limit(max_rows + 1).count() > max_rows:
-        raise ValueError(f"{path} has more than {max_rows} rows; split the file")
-    return trips
+        raise TooLarge(f"{path} has {size} bytes; at most {max_bytes} are accepted")
+    raw = read_raw(spark, path)
+    check_contract(raw)
+    rows = raw.select().count() if file_format(path) == "parquet" else raw.limit(max_rows + 1).count()
+    if rows > max_rows:
+        raise TooLarge(f"{path} has more than {max_rows} rows; split the file", rows)
+    return scan(spark, path)
 
 
 def file_sizes(spark: SparkSession, path: str) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,12 +55,52 @@ def union_records(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def append_attempt(df: DataFrame, path: str, attempt: str) -> None:
-    """Earlier attempts stay where they are; a new one becomes another partition."""
-    df.withColumn("attempt", F.lit(attempt)).write.mode("append").partitionBy("attempt").parquet(path)
+# Manifest of an attempts table: a hidden folder, so readers of the data pass it over.
+MANIFEST = "_committed"
+MANIFEST_SCHEMA = "version bigint, attempt string, write string"
+
 
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The committed writes: one row each, with the number of their attempt."""
+    try:
+        return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{path}/{MANIFEST}")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], MANIFEST_SCHEMA)
 
-def latest(df: DataFrame, keys: Sequence[str], version: str = "attempt") -> DataFrame:
+
+def append_attempt(df: DataFrame, path: str, attempt: str) -> None:
+    """Earlier attempts stay where they are; the rows of a new write become visible all at once.
+
+    Rows go to a folder of their own, and the manifest row that names it is written last.  An
+    attempt has the number of its first write, so the tenth comes after the ninth, whatever the
+    attempts are called.  One writer at a time.
+    """
+    spark = df.sparkSession
+    write = uuid.uuid4().hex
+    own = df.withColumn("attempt", F.lit(str(attempt))).withColumn("write", F.lit(write))
+    own.write.mode("append").partitionBy("attempt", "write").parquet(path)
+    known = manifest(spark, path).agg(
+        F.min(F.when(F.col("attempt") == str(attempt), F.col("version"))).alias("own"),
+        F.coalesce(F.max("version"), F.lit(0)).alias("last"),
+    ).first()
+    version = known["own"] or known["last"] + 1
+    entry = spark.createDataFrame([(version, str(attempt), write)], MANIFEST_SCHEMA)
+    entry.coalesce(1).write.mode("append").parquet(f"{path}/{MANIFEST}")
+
+
+def read_attempts(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of committed writes with their ``attempt`` and its ``version``; half a write is never seen."""
+    found = spark.read.parquet(path).schema
+    # The names of folders are text, also where they look like numbers or dates.
+    names = {"attempt", "write"}
+    schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name in names else f for f in found])
+    rows = spark.read.schema(schema).parquet(path)
+    return rows.join(manifest(spark, path), ["attempt", "write"]).drop("write")
+
+
+def latest(df: DataFrame, keys: Sequence[str], version: str = "version") -> DataFrame:
     """The row with the highest version of every key (a map-side combined aggregate)."""
     rest = [name for name in df.columns if name not in keys]
     newest = F.max_by(F.struct(*rest), F.col(version)).alias("__newest")
