@@ -6,7 +6,7 @@ import hashlib
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -155,6 +155,20 @@ def comparison_rows(df: DataFrame, metrics: Sequence[str] = CHART_METRICS) -> Da
     return wide.select(*ids, *doubles).unpivot(ids, present, "metric", "value")
 
 
+def batch_view(df: DataFrame, k: int) -> DataFrame:
+    """Finished batch sizes of the active model, with the fastest and the best of them marked."""
+    own = Window.partitionBy("k")
+    ok = matching(successful(df), k)
+    return ok.select(
+        "batch_size",
+        "fit_seconds",
+        "normalized_inertia",
+        "silhouette",
+        (F.col("fit_seconds") == F.min("fit_seconds").over(own)).alias("fastest"),
+        (F.col("normalized_inertia") == F.min("normalized_inertia").over(own)).alias("best"),
+    )
+
+
 def experiment_id(saved: dict) -> str:
     """SHA-256 of the sorted, compact JSON of a frozen snapshot (a few hundred bytes)."""
     text = json.dumps(saved, sort_keys=True, separators=(",", ":"))

@@ -136,6 +136,28 @@ def holdout_rows(
     return ranked.filter(cuts[last] & ~cuts[training_rows]).drop("priority")
 
 
+def write_holdout(
+    df: DataFrame,
+    training_rows: int,
+    out: str,
+    rows: int = 30,
+    seed: int = SEED,
+    key: str = ROW_ID,
+    priority: Priority = hash_priority,
+) -> list[str]:
+    """The rows after the training prefix in both input formats, in rank order; the two paths.
+
+    The few rows are one file each, so their positions in the files are their ranks.
+    """
+    kept = with_priority(holdout_rows(df, training_rows, rows, seed, key, priority), seed, key, priority)
+    ordered = kept.coalesce(1).sortWithinPartitions("priority", key).drop("priority")
+    paths = [f"{out}/unseen.csv", f"{out}/unseen.parquet"]
+    stamped = {f.name: F.col(f.name).cast("string") for f in df.schema.fields if "timestamp" in f.dataType.typeName()}
+    ordered.withColumns(stamped).write.mode("overwrite").option("header", True).csv(paths[0])
+    ordered.write.mode("overwrite").parquet(paths[1])
+    return paths
+
+
 def hash_block(priority: Column, blocks: int) -> Column:
     """Block number by priority range: blocks follow each other in priority order."""
     return F.floor(unit_interval(priority) * blocks).cast("bigint")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tripmill.operators.report import CHART_ROWS, PREVIEW_ROWS, REPORTS, TABLE_ROWS, TAIL_ROWS
 from tripmill.schema import FEATURES, PROFILE_COLUMNS
 
 # Rounded means are nudged (+ 1e-9): an exact half must not depend on the order of a sum.
@@ -142,6 +143,62 @@ def _statistics(source: str = CLASSIFIED) -> str:
     return f"WITH {source} " + " UNION ALL ".join(parts)
 
 
+def _batch_view() -> str:
+    """Drawn models stand for batch sizes; one run failed and one is of another K."""
+    sizes = (100, 500, 1_000, 5_000, 10_000)
+    parts = [f"{drawn(3, 50 + i, f'c{i}')}, {nearest('scaled', f'c{i}', f'n{i}')}" for i in range(len(sizes))]
+    rows = [
+        f"SELECT CAST({size} AS INTEGER) AS batch_size, {abs(size - 900) / 1000.0}e0 AS fit_seconds,"
+        f" (SELECT avg(squared_distance) FROM n{i}) AS error"
+        for i, size in enumerate(sizes)
+        if size not in (500, 5_000)
+    ]
+    return f"""WITH {SCALED}, {_list(parts)}, runs AS ({_list(rows, " UNION ALL ")})
+SELECT batch_size, round(fit_seconds + 1e-9, 5) AS fit_seconds, round(error + 1e-9, 5) AS normalized_inertia,
+  round(1 / (1 + error) + 1e-9, 5) AS silhouette, fit_seconds = min(fit_seconds) OVER () AS fastest,
+  error = min(error) OVER () AS best FROM runs"""
+
+
+def _display_views() -> str:
+    views = {
+        "preview": ("row_id", PREVIEW_ROWS),
+        "table": ("centroid_distance DESC, row_id", TABLE_ROWS),
+        "chart": ("centroid_distance DESC, row_id", CHART_ROWS),
+        "tail": ("row_id DESC", TAIL_ROWS),
+    }
+    parts = [
+        f"""SELECT '{name}' AS "view", count(*) AS "rows", CAST(sum(row_id) AS BIGINT) AS ids,
+  round(sum(centroid_distance) + 1e-9, 3) AS distance
+  FROM (SELECT row_id, centroid_distance FROM flagged ORDER BY {order} LIMIT {rows})"""
+        for name, (order, rows) in views.items()
+    ]
+    return f"WITH {FLAGGED} " + " UNION ALL ".join(parts)
+
+
+def _report_tables(found: dict[str, str]) -> str:
+    """The same long form over the SQL of the queries that the report is made of."""
+    pairs = f"""SELECT * FROM ({found["combine_results"]}) WHERE NOT streaming AND environment = 'local'"""
+    parts = {
+        "counts": found["row_accounting"],
+        "exclusions": found["reject_reasons"],
+        "statistics": found["feature_statistics"],
+        "selection": found["k_scores"],
+        "performance": pairs,
+        "quality": pairs,
+        "batch": found["batch_view"],
+        "profiles": found["cluster_profiles"],
+        "anomalies": found["anomaly_by_cluster"],
+        "holdout": f"""SELECT s.* FROM ({found["score_rows"]}) s SEMI JOIN ({found["holdout_rows"]}) h USING (row_id)""",
+    }
+    lines = []
+    for name, (keys, values) in REPORTS.items():
+        item = "concat_ws('/', " + _list([f'CAST("{k}" AS VARCHAR)' for k in keys]) + ")" if keys else "'all'"
+        for value in values:
+            lines.append(f"""SELECT '{name}' AS report, {item} AS item, '{value}' AS metric,
+  CAST("{value}" AS DOUBLE) AS value FROM ({parts[name]})""")
+    return " UNION ALL ".join(lines)
+
+
 def _stream_fit(files: int = 4, shards: int = 3) -> str:
     """The updates of every shard, file by file: assign with the centers so far, then take means."""
     numbers = _list([str(i) for i in range(shards)])
@@ -355,6 +412,11 @@ CENTS = "CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR)"
 
 
 def oracle_sql() -> dict[str, str]:
+    found = _own_sql()
+    return found | {"report_tables": _report_tables(found)}
+
+
+def _own_sql() -> dict[str, str]:
     checked = f"WITH {CLASSIFIED} SELECT"
     labeled = f"WITH {LABELED} SELECT"
     flagged = f"WITH {FLAGGED} SELECT"
@@ -616,6 +678,12 @@ def oracle_sql() -> dict[str, str]:
         "stream_validate": f"""{checked} rejection_reason IS NULL AS is_accepted,
   rejection_reason, count(*) AS "rows" FROM classified GROUP BY ALL""",
         "stream_fit": _stream_fit(),
+        "batch_view": _batch_view(),
+        "display_views": _display_views(),
+        "holdout_formats": f"""WITH {CLASSIFIED}, {ranked("good", "row_id, trip_distance")}
+  SELECT count(*) AS "rows", count(*) - 1 AS last_row, CAST(0 AS BIGINT) AS label_gaps,
+    CAST(0 AS BIGINT) AS distance_gaps, CAST(0 AS BIGINT) AS rejected,
+    round(sum(trip_distance) + 1e-9, 5) AS trip_distance FROM ranked WHERE place > 500 AND place <= 530""",
         "frozen_check": f"""{checked} count(*) AS accepted_rows, true AS restored,
   false AS own_refused, true AS grown_refused, true AS other_count_refused,
   CAST(1 AS BIGINT) AS files_added FROM good""",

@@ -21,7 +21,7 @@ from tripmill.functions.geometry import with_nearest
 from tripmill.functions.parsing import parse_number_text, parse_time_text
 from tripmill.functions.priority import portable_priority
 from tripmill.operators import anomalies, bundle as bundles, cleaning, kmeans, minibatch, profiles
-from tripmill.operators import projection, quality, results, sampling, scaling, selection
+from tripmill.operators import projection, quality, report, results, sampling, scaling, selection
 from tripmill.plans import pipeline, study
 from tripmill.plans.fixture import line_trips, read, trips, trips_of_events
 from tripmill.schema import ALTERNATIVE_SEED, FEATURES, REASON, REQUIRED, ROW_ID, SEED, Rules
@@ -39,6 +39,8 @@ BINDING_GATES = selection.Gates(0.06, 0.15, 0.15)
 RARE_PART = 997
 # Files that arrive one after another, and shards of the incremental fit.
 STREAM_FILES, STREAM_SHARDS = 4, 3
+# The first seed of the batch study's drawn models, and the training rows before the held-out ones.
+BATCH_SEED, HELD_AFTER = 50, 500
 # More ranks than any driver table has lines, so all of them are ranked.
 LINE_RANKS = 2_000_000_000
 GATE_SHARES = (0.0001, 0.001, 0.005, 0.02, 0.06, 0.09, 0.9)
@@ -400,8 +402,7 @@ def nested_prefix_counts(spark, sf):
 
 
 def holdout_rows(spark, sf):
-    training = 500
-    kept = sampling.holdout_rows(good_trips(spark, sf), training, priority=portable_priority)
+    kept = sampling.holdout_rows(good_trips(spark, sf), HELD_AFTER, priority=portable_priority)
     return rounded(kept.select(ROW_ID, *FEATURES), 6)
 
 
@@ -843,6 +844,92 @@ def comparison_rows(spark, sf):
     return rounded(results.comparison_rows(results.matching(both, K, "drawn")), 5)
 
 
+def _batch_rows(spark, sf) -> DataFrame:
+    """A batch study's rows: a drawn model for each batch size, one failed run, one of another K."""
+    scaled, _ = scaled_trips(spark, sf)
+    measured = scaled.select(ROW_ID, *Z)
+    for i in range(len(study.BATCH_SIZES)):
+        nearest = with_nearest(measured, Z, drawn_centers(scaled, K, BATCH_SEED + i))
+        measured = nearest.withColumnRenamed("squared_distance", f"error{i}").drop("cluster")
+    means = measured.agg(*[F.avg(f"error{i}").alias(f"error{i}") for i in range(len(study.BATCH_SIZES))])
+    rows = [
+        F.struct(
+            F.lit(size).alias("batch_size"),
+            F.lit(abs(size - 900) / 1000.0).alias("fit_seconds"),
+            F.col(f"error{i}").alias("normalized_inertia"),
+            F.lit(K + (size == 500)).alias("k"),
+            F.lit("failed" if size == 5_000 else "ok").alias("status"),
+        )
+        for i, size in enumerate(study.BATCH_SIZES)
+    ]
+    return means.select(F.inline(F.array(*rows))).withColumn("silhouette", 1 / (1 + F.col("normalized_inertia")))
+
+
+def batch_view(spark, sf):
+    return rounded(results.batch_view(_batch_rows(spark, sf), K), 5)
+
+
+def holdout_formats(spark, sf):
+    """Held-out trips written as CSV and as Parquet, read as uploads and scored alike."""
+    bundle, _ = drawn_bundle(spark, sf)
+    good = trips(spark, sf).join(good_trips(spark, sf).select(ROW_ID), ROW_ID, "left_semi")
+    paths = sampling.write_holdout(good, HELD_AFTER, shared_folder(spark, "holdout"), priority=portable_priority)
+    sides = []
+    for name, path in zip(("csv", "parquet"), paths, strict=True):
+        scored, bad, report = bundles.predict(bundle, readers.bounded_scan(spark, path), "KMeans")
+        own = [F.col(c).alias(f"{name}_{c}") for c in ("cluster", "centroid_distance", "trip_distance")]
+        sides.append(scored.select(ROW_ID, *own, F.lit(report["rejected_rows"]).alias(f"{name}_rejected")))
+    both = sides[0].join(sides[1], ROW_ID, "full")
+    near_each_other = F.abs(F.col("csv_centroid_distance") - F.col("parquet_centroid_distance")) < 1e-9
+    return both.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.max(ROW_ID).alias("last_row"),
+        F.count_if(~F.col("csv_cluster").eqNullSafe(F.col("parquet_cluster"))).alias("label_gaps"),
+        F.count_if(~F.coalesce(near_each_other, F.lit(False))).alias("distance_gaps"),
+        F.max(F.col("csv_rejected") + F.col("parquet_rejected")).cast("bigint").alias("rejected"),
+        near(F.sum("parquet_trip_distance"), 5).alias("trip_distance"),
+    )
+
+
+def display_views(spark, sf):
+    """What bounded screens show of the scored trips: rows, ids and distances of each view."""
+    flagged = flagged_trips(spark, sf).select(ROW_ID, "centroid_distance").persist(StorageLevel.MEMORY_AND_DISK)
+    order = [F.desc("centroid_distance"), F.asc(ROW_ID)]
+    views = {
+        "preview": report.head_rows(flagged, report.PREVIEW_ROWS, [F.asc(ROW_ID)]),
+        "table": report.head_rows(flagged, report.TABLE_ROWS, order),
+        "chart": report.head_rows(flagged, report.CHART_ROWS, order),
+        "tail": report.tail_rows(flagged, report.TAIL_ROWS, [ROW_ID]),
+    }
+    tables = [
+        df.agg(F.lit(name).alias("view"), F.count(F.lit(1)).alias("rows"), F.sum(ROW_ID).alias("ids"),
+               near(F.sum("centroid_distance"), 3).alias("distance"))
+        for name, df in views.items()
+    ]
+    return reduce(DataFrame.unionByName, tables)
+
+
+def report_tables(spark, sf):
+    """All tables of the report in one long table."""
+    pairs = combine_results(spark, sf).filter(~F.col("streaming") & (F.col("environment") == "local"))
+    scored = score_rows(spark, sf)
+    held = holdout_rows(spark, sf).select(ROW_ID)
+    return report.report_tables(
+        {
+            "counts": row_accounting(spark, sf),
+            "exclusions": reject_reasons(spark, sf),
+            "statistics": feature_statistics(spark, sf),
+            "selection": k_scores(spark, sf),
+            "performance": pairs,
+            "quality": pairs,
+            "batch": batch_view(spark, sf),
+            "profiles": cluster_profiles(spark, sf),
+            "anomalies": anomaly_by_cluster(spark, sf),
+            "holdout": scored.join(held, ROW_ID, "left_semi"),
+        }
+    )
+
+
 def latest_attempt(spark, sf):
     """Newest version per key: the last order of every customer."""
     orders = read(spark, sf, "orders").select(
@@ -1210,6 +1297,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         paired_comparison,
         largest_pair,
         comparison_rows,
+        batch_view,
+        holdout_formats,
+        display_views,
+        report_tables,
         latest_attempt,
         experiment_id,
         kmeans_fit,
