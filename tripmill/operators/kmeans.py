@@ -268,7 +268,9 @@ def drawn_starts(
         counts = weighed[pool][0].astype("float64")
         rng = np.random.default_rng(salts[i])
         trials = [refine(pools[pool], counts, seed_centers(pools[pool], counts, sizes[i], rng)) for _ in range(TRIALS)]
-        refined[i] = min(trials, key=lambda c: float(nearest_of(pools[pool], c)[1] @ counts))
+        best = min(trials, key=lambda c: float(nearest_of(pools[pool], c)[1] @ counts))
+        # In an order of their own, so restarts that end in the same place are equal.
+        refined[i] = best[np.lexsort(best.T[::-1])]
     # What a start costs is asked of all rows: its few drawn rows may miss a whole group.
     costs = {i: float(e.sum()) for i, (_, _, e) in cluster_sums(points, refined, tasks, rows, seen).items()}
     starts: dict[Hashable, list[tuple[float, np.ndarray]]] = {name: [] for name in wanted}
@@ -278,8 +280,11 @@ def drawn_starts(
 
 
 def distinct_centers(starts: Sequence[tuple[float, np.ndarray]]) -> list[np.ndarray]:
-    """Restarts that begin in exactly the same place need one fit."""
-    return list({centers.tobytes(): centers for _, centers in starts}.values())
+    """Restarts that begin in the same place, up to rounding, need one fit."""
+    found: dict[bytes, np.ndarray] = {}
+    for _, centers in starts:
+        found.setdefault((np.round(centers, 9) + 0.0).tobytes(), centers)
+    return list(found.values())
 
 
 class _ClusterSums:

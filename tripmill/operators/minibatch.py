@@ -46,11 +46,11 @@ MOST_PASSES = 20
 # Part of a center's weight that stays when another pass begins.
 CARRIED_WEIGHT = 0.25
 # A start this much worse than the best after a pass is not followed on.
-HOPELESS = 1.1
+HOPELESS = 1.02
 ROUNDS = 4
 # A chain has at least so many batches in a round; tables of millions of rows have longer ones.
 CHAIN_BATCHES = 4
-MOST_CHAINS = 16
+MOST_CHAINS = 8
 CHAIN_ROWS = 2_000_000
 # Rows are dealt independently of the samples the points may come from.
 BLOCK_SEED = 7
@@ -97,7 +97,8 @@ def dealt(points: DataFrame, runs: Sequence[Run]) -> list[tuple[DataFrame, int]]
     tables: list[tuple[DataFrame, int]] = []
     while any(rows):
         chains = [chains_of(n, run.batch_rows) if n else 0 for n, run in zip(rows, runs)]
-        rounds = [ROUNDS if n > 1 else 1 for n in chains]
+        # What is dealt again is few rows, so one round takes it.
+        rounds = [ROUNDS if n > 1 and not tables else 1 for n in chains]
         first = np.cumsum([0, *chains]).tolist()
 
         def of_run(values: Sequence[int]):
@@ -109,12 +110,13 @@ def dealt(points: DataFrame, runs: Sequence[Run]) -> list[tuple[DataFrame, int]]
         placed = left.withColumn("turn", turn).withColumns(
             {"chain": (of_run(first) + cell % own).cast("int"), "round": F.floor(cell / own).cast("int")}
         )
-        together = Window.partitionBy("chain", "round")
+        # Rounds come first, so a round is one run of the cached rows of a task.
+        together = Window.partitionBy("round", "chain")
         place = F.row_number().over(together.orderBy("turn", "priority"))
         size, batch = F.count(F.lit(1)).over(together), of_run([run.batch_rows for run in runs])
         whole = of_run([int(c == 1) for c in chains]) == 1
         placed = (
-            placed.repartitionByRange(first[-1], "chain")
+            placed.repartitionById(first[-1], F.col("chain"))
             .withColumn("whole", whole | (place <= size - size % batch))
             .sortWithinPartitions("round", "chain", "turn")
             .drop("turn")
