@@ -5,8 +5,9 @@ characters of the formatted conversation: text is escaped, every other kind beco
 placeholder in its place, and its reference and expanded token count are recorded in order.
 
 Escaping is reversible: a backslash is doubled, and inside a control string a backslash follows
-the first character.  No control string of the template, or of other well-known templates, can
-then come from a text.
+the first character.  Text parts that follow each other are joined before they are escaped, so no
+control string of the template, or of other well-known templates, can come from a text or from
+the border of two.
 
 Nulls: a null role or text is empty, a null part is skipped, a null list has no parts.  Turns are
 ordered by number, role and text, so repeated numbers have one order; a repeated row is another
@@ -58,6 +59,28 @@ def visit(part: Column) -> Column:
     return found.otherwise(visit_text(part))
 
 
+def is_media(part: Column) -> Column:
+    return F.coalesce(part["kind"].isin(*MEDIA), F.lit(False))
+
+
+def text_runs(parts: Column) -> Column:
+    """Text parts (and parts of unknown kinds) that follow each other as one part."""
+
+    def joined(runs: Column, part: Column) -> Column:
+        last = F.get(runs, F.size(runs) - 1)
+        text = F.concat(F.coalesce(last["text"], F.lit("")), F.coalesce(part["text"], F.lit("")))
+        none = F.lit(None)
+        whole = F.struct(
+            F.lit("text").alias("kind"), text.alias("text"), none.cast("string").alias("ref"), none.cast("bigint").alias("tokens")
+        )
+        longer = F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(whole))
+        alone = F.concat(runs, F.array(part))
+        return F.when(F.size(runs) == 0, alone).when(is_media(last) | is_media(part), alone).otherwise(longer)
+
+    runs = F.aggregate(parts, F.array().cast(PART_TYPE), joined)
+    return F.when(F.size(parts) < 2, parts).otherwise(runs)
+
+
 def expanded_tokens(part: Column) -> Column:
     known = F.create_map(*[F.lit(x) for item in PART_TOKENS.items() for x in item])
     return F.coalesce(part["tokens"], known[part["kind"]].cast("bigint"), F.lit(0).cast("bigint"))
@@ -92,7 +115,7 @@ def format_turns(
         "conversation",
         "turn",
         "role",
-        F.array_join(F.transform("parts", visit), "").alias("content"),
+        F.array_join(F.transform(text_runs(F.col("parts")), visit), "").alias("content"),
         F.filter("parts", lambda p: p["kind"].isin(*MEDIA)).alias("media"),
     )
     head = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(BODY))
