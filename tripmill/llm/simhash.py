@@ -231,7 +231,8 @@ def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row of each component, with its columns: the smallest id, then the smallest text hash.
 
-    A null id comes last.  Rows that share id and text are one document, so one of them stays.
+    A null id comes last.  Rows that share id and text are one document, so one of them stays (the
+    least by a hash of the whole row); columns may be of any type.
     """
     key = F.xxhash64(whole_text(text_column))
     name, mark = spare_name(docs, "text_key"), spare_name(docs, "first_id")
@@ -249,5 +250,7 @@ def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     again = marked.groupBy("id", "text_key").agg(F.count("*").alias("rows")).where("rows > 1")
     if again.isEmpty():
         return kept.select(*docs.columns)
-    one = kept.groupBy(id_column, name).agg(F.min(F.struct(*docs.columns)).alias(mark))
+    # Any kind of column can be written as JSON; equal texts of a row are equal rows here.
+    row = F.struct(*docs.columns)
+    one = kept.groupBy(id_column, name).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias(mark))
     return one.select(f"{mark}.*")
