@@ -14,6 +14,7 @@ in the order of a hash) on the driver; every text of the table is then predicted
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,17 +31,20 @@ WINDOW_BYTES = 192
 EMBEDDING = 12
 WIDTHS = (2, 3, 4)
 FILTERS = 12
-# The documented bound of the training sample: texts of each language, windows of each
-# text, and characters that reach the driver.  Prediction has no such bound.
+# The bound of the training sample, which reaches the driver: texts of each language, and windows
+# of each text, from places anywhere in it.  Prediction has no such bound.
 TRAINING_TEXTS = 400
 TRAINING_WINDOWS = 3
-TRAINING_CHARS = 20_000
 EPOCHS = 12
 RATE = 0.05
 # Languages whose counts reach the driver; more are refused.
 MOST_LANGUAGES = 10_000
 SEED = 42
 BATCH_WINDOWS = 4096
+# One sampled text of so many is kept from training to set the energy limits.
+LIMIT_SHARE = 5
+# A text with a larger share of bytes that no training text has is in no learnt language.
+MOST_UNSEEN = 0.1
 PADDING = 256
 
 
@@ -103,6 +107,8 @@ def train(texts: list[str], labels: list[str], seed: int = SEED) -> Network:
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
+    # Bytes that training never saw say nothing, instead of what their drawn start happens to say.
+    net.embed[np.setdiff1d(np.arange(PADDING), x)] = 0
     return net
 
 
@@ -146,6 +152,8 @@ class Predictor:
 
     def __init__(self, net: Network):
         self.net = net
+        self.unseen = ~net.embed.any(axis=1) if net.languages else np.zeros(PADDING + 1, bool)
+        self.unseen[PADDING] = False
         # tables[k] = list of (first byte's offset, table, is a pair)
         self.tables = []
         for filters in net.filters:
@@ -160,6 +168,14 @@ class Predictor:
 
     def log_shares(self, windows: np.ndarray) -> np.ndarray:
         """Log probabilities of the languages for every window."""
+        return self.shares_and_energy(windows)[0]
+
+    def shares_and_energy(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log probabilities of the languages, and the energy (log of the summed exponentials).
+
+        Filters that were trained on some languages answer weakly to others, so a window of a
+        language nobody taught has low energy, even where its best share is high.
+        """
         bytes_ = windows.astype(np.int32)
         pairs = bytes_[:, :-1] * (PADDING + 1) + bytes_[:, 1:]
         pooled = []
@@ -172,24 +188,39 @@ class Predictor:
             pooled.append(np.maximum(answer.max(axis=1) + bias, 0))
         logits = np.concatenate(pooled, axis=1) @ self.net.out + self.net.out_bias
         logits = logits.astype(np.float64)
-        logits -= logits.max(axis=1, keepdims=True)
-        return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+        most = logits.max(axis=1, keepdims=True)
+        energy = most + np.log(np.exp(logits - most).sum(axis=1, keepdims=True))
+        return logits - energy, energy[:, 0]
 
     def __call__(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """Language and score of every text; without a letter, ``und`` and 0."""
+        return self.judged(texts)[:2]
+
+    def judged(self, texts: list[str]) -> tuple[list[str], list[float], list[float]]:
+        """Language, score, and mean energy of the full windows (none: infinite) of every text.
+
+        The energy is minus infinity where over ``MOST_UNSEEN`` of the bytes never came up in training.
+        """
         lettered = [k for k, t in enumerate(texts) if any(map(str.isalpha, t))]
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        energies = [math.inf] * len(texts)
         if not lettered or not self.net.languages:
-            return names, scores
+            return names, scores, energies
         summed = np.zeros((len(texts), len(self.net.languages)))
         counts = np.zeros(len(texts))
+        heated, full, odd = (np.zeros(len(texts)) for _ in range(3))
         held, owners, size = [], [], 0
 
         def flush() -> None:
             windows, owner = np.concatenate(held), np.concatenate(owners)
             for at in range(0, len(windows), BATCH_WINDOWS // 8):
                 part = slice(at, at + BATCH_WINDOWS // 8)
-                np.add.at(summed, owner[part], self.log_shares(windows[part]))
+                shares, energy = self.shares_and_energy(windows[part])
+                np.add.at(summed, owner[part], shares)
+                whole = windows[part][:, -1] != PADDING
+                np.add.at(heated, owner[part][whole], energy[whole])
+                np.add.at(full, owner[part][whole], 1)
+                np.add.at(odd, owner[part], self.unseen[windows[part]].sum(axis=1))
             np.add.at(counts, owner, 1)
             held.clear()
             owners.clear()
@@ -210,22 +241,32 @@ class Predictor:
             share /= share.sum()
             best = int(share.argmax())
             names[k], scores[k] = self.net.languages[best], float(share[best])
-        return names, scores
+            if full[k]:
+                energies[k] = float(heated[k] / full[k])
+            if odd[k] > MOST_UNSEEN * len(texts[k].encode()):
+                energies[k] = -math.inf
+        return names, scores, energies
 
 
 def training_sample(
     docs: DataFrame, eligible: Column, id_column: str, text_column: str, language_column: str
-) -> tuple[list[str], list[str]]:
-    """The first texts of each language in hash order, from all eligible labelled rows.
+) -> tuple[list[list[str]], list[str]]:
+    """Pieces of the first texts of each language in hash order, from all eligible labelled rows.
 
-    A threshold on the hash, from the count of each language, comes before the ranking, so the
+    A text of more than a few windows gives pieces of a window's length from places that hashes
+    choose anywhere in it; a shorter one is a piece itself.  A threshold on the hash, from the count of each language, comes before the ranking, so the
     ranking sees about twice the bound of each language whatever the table's size.
     """
     labelled = docs.where(eligible & F.col(language_column).isNotNull() & F.col(text_column).rlike(r"\p{L}"))
     rank = F.xxhash64(F.col(id_column), F.xxhash64(text_column))
     unit = F.shiftrightunsigned(rank, 11) / F.lit(float(1 << 53))
-    text = F.substring(text_column, 1, TRAINING_CHARS)
-    rows = labelled.select(F.col(language_column).alias("language"), text.alias("text"),
+    text, length = F.col(text_column), F.char_length(text_column)
+    whole = length <= TRAINING_WINDOWS * WINDOW_BYTES
+    room = F.greatest(length - WINDOW_BYTES, F.lit(1))
+    places = [F.pmod(F.xxhash64(rank, F.lit(k)), room) + 1 for k in range(TRAINING_WINDOWS)]
+    spread = F.array(*[F.substring(text, place.cast("int"), F.lit(WINDOW_BYTES)) for place in places])
+    pieces = F.when(whole, F.array(text)).otherwise(spread)
+    rows = labelled.select(F.col(language_column).alias("language"), pieces.alias("pieces"),
                            rank.alias("rank"), unit.alias("unit"))
     counts = rows.groupBy("language").agg(F.count("*").alias("rows"))
     known = counts.limit(MOST_LANGUAGES + 1).toArrow()
@@ -236,24 +277,58 @@ def training_sample(
     near = rows.join(shares, "language").where(
         F.col("unit") * F.col("rows") < 2.0 * TRAINING_TEXTS + 100
     )
-    place = F.row_number().over(Window.partitionBy("language").orderBy("rank", "text"))
+    place = F.row_number().over(Window.partitionBy("language").orderBy("rank", "pieces"))
     chosen = near.withColumn("place", place).where(F.col("place") <= TRAINING_TEXTS)
-    found = chosen.orderBy("language", "place").select("language", "text").toArrow()
-    return found["text"].to_pylist(), found["language"].to_pylist()
+    found = chosen.orderBy("language", "place").select("language", "pieces").toArrow()
+    return found["pieces"].to_pylist(), found["language"].to_pylist()
 
 
 def fit(docs: DataFrame, eligible: Column, id_column: str = "doc_id", text_column: str = "text",
         language_column: str = "lang") -> Network:
     """The network learnt from the eligible labelled rows; without any, it knows no language."""
-    texts, labels = training_sample(docs, eligible, id_column, text_column, language_column)
-    if not texts:
+    return learnt(*training_sample(docs, eligible, id_column, text_column, language_column))
+
+
+def learnt(sample: list[list[str]], labels: list[str]) -> Network:
+    """The network of sampled pieces."""
+    if not sample:
         return Network([], np.zeros(0), [], [], np.zeros(0), np.zeros(0))
-    return train(texts, labels)
+    flat = [(piece, label) for pieces, label in zip(sample, labels) for piece in pieces]
+    return train([piece for piece, _ in flat], [label for _, label in flat])
+
 
+def fit_known(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang"
+) -> tuple[Network, dict[str, float]]:
+    """A network, and for each of its languages the least energy of a text in that language.
 
-def predict(docs: DataFrame, net: Network, text_column: str = "text") -> DataFrame:
+    Every fifth sampled text is kept from training.  The least energy is half of what all but a
+    hundredth of a language's kept texts reach, so that odd texts of the language stay.  A
+    language without a kept text of a full window has no limit.
+    """
+    sample, labels = training_sample(docs, F.lit(True), id_column, text_column, language_column)
+    learn = [k for k in range(len(sample)) if k % LIMIT_SHARE]
+    if set(labels) != {labels[k] for k in learn}:
+        learn = list(range(len(sample)))
+    net = learnt([sample[k] for k in learn], [labels[k] for k in learn])
+    predictor = Predictor(net)
+    reached: dict[str, list[float]] = {}
+    for k in range(0, len(sample), LIMIT_SHARE):
+        found = [e for e in predictor.judged(sample[k])[2] if math.isfinite(e)]
+        if found:
+            reached.setdefault(labels[k], []).append(float(np.mean(found)))
+    return net, {name: float(np.quantile(found, 0.01)) / 2 for name, found in reached.items()}
+
+
+def predict(
+    docs: DataFrame, net: Network, text_column: str = "text", limits: dict[str, float] | None = None
+) -> DataFrame:
     """The table with two more columns, ``lang_pred`` and ``score``.
 
+    With ``limits``, a text whose energy is below the limit of its best language is in no language
+    that was learnt: it is ``und`` too, and keeps its score.  Less than a full window has no energy,
+    so there only bytes that training never saw tell.
+
     Where the table has such a column already, the new one gets underscores in front.  Nulls: a
     null text is ``und``; other columns pass as they are.  Repeated rows give repeated results,
     an empty table an empty one.  Texts of any length are read whole, window by window.
@@ -268,7 +343,12 @@ def predict(docs: DataFrame, net: Network, text_column: str = "text") -> DataFra
         for whole in batches:
             for batch in slices(whole):
                 kept = batch.num_columns - 1
-                names, scores = predictor(batch.column(kept).to_pylist())
+                names, scores, energies = predictor.judged(batch.column(kept).to_pylist())
+                least = limits or {}
+                names = [
+                    UNKNOWN if energy < least.get(name, -math.inf) else name
+                    for name, energy in zip(names, energies)
+                ]
                 columns = [batch.column(k) for k in range(kept)]
                 columns += [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, names=names_out)
@@ -279,8 +359,9 @@ def predict(docs: DataFrame, net: Network, text_column: str = "text") -> DataFra
     return source.mapInArrow(compute, schema)
 
 
-def identified(docs: DataFrame, net: Network, least_score: float, text_column: str = "text") -> DataFrame:
-    """The rows whose language is known with at least this score, with their own columns."""
-    found = predict(docs, net, text_column)
-    name, score = found.columns[-2:]
-    return found.where((F.col(name) != UNKNOWN) & (F.col(score) >= least_score)).select(*docs.columns)
+def identified(
+    docs: DataFrame, net: Network, limits: dict[str, float], text_column: str = "text"
+) -> DataFrame:
+    """The rows whose language is one of the learnt, with their own columns."""
+    found = predict(docs, net, text_column, limits)
+    return found.where(F.col(found.columns[-2]) != UNKNOWN).select(*docs.columns)
