@@ -13,14 +13,10 @@ from pyspark.sql import functions as F
 from tripmill.llm import byte_cnn, mixture, sharding, simhash, templates
 from tripmill.llm.common import table, written
 
-# A document whose best language is less likely than this has no language that we know.
-LEAST_LANGUAGE_SCORE = 0.3
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or of no known language, go."""
-    net = byte_cnn.fit(docs, F.lit(True))
-    return byte_cnn.identified(docs, net, LEAST_LANGUAGE_SCORE)
+    """Documents without a letter, or in none of the labelled languages, go."""
+    return byte_cnn.identified(docs, *byte_cnn.fit_known(docs))
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
