@@ -6,16 +6,18 @@ the shuffle brings equal variants together, and fingerprints that meet are linke
 
 The shuffle is on the leading bits of the variants: a fingerprint is sent once to each prefix that
 one of its variants has (37 rows for 8 bits), and the variants of that prefix are written out
-where they are compared.  Nothing is left out by that: a variant belongs to one prefix.  Prefixes
-with many fingerprints are split by a hash of the variant, so that each part compares its
-share.  A part works through its variants in bounded blocks and returns a spanning forest of
-its verified links, at most one row per fingerprint.
+where they are compared.  Nothing is left out by that: a variant belongs to one prefix.  The
+fingerprints of a prefix with too many variants are sent on to prefixes of four more bits, with
+the flips they have left, and so on: each such round divides the rows as well as the variants.  At
+64 bits a prefix is a variant, and only 2,081 fingerprints can meet there, so every group is
+bounded.  A group returns a spanning forest of its verified links, at most one row per fingerprint.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,10 +34,12 @@ SEED = 42
 RADIUS = 4
 HALF = RADIUS // 2
 BITS = 64
-# Variants that one prefix is to have on average, and in a block at most.
+# Variants that one prefix is to have on average and at most.
 VARIANTS_PER_PREFIX = 2_000_000
-VARIANTS_PER_BLOCK = 8_000_000
+MOST_VARIANTS = 4_000_000
 LEAST_PREFIX_BITS = 6
+# Bits by which a crowded prefix grows in a round.
+MORE_BITS = 4
 # Bits set in each byte value.
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
 
@@ -117,46 +121,69 @@ def forest(left: np.ndarray, right: np.ndarray, nodes: int) -> np.ndarray:
             root = root[root]
 
 
-def meetings(fps: np.ndarray, route: int, prefix_bits: int, part: int, parts: int):
-    """Index pairs of fingerprints that share a variant of this prefix and part."""
+def meetings(fps: np.ndarray, route: int, prefix_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of near fingerprints that share a variant of this prefix."""
     rest = BITS - prefix_bits
     distance = np.bitwise_count((fps >> np.uint64(rest)) ^ np.uint64(route))
     suffix = fps & np.uint64((1 << rest) - 1)
-    masks = {left: np.array(flips(rest, left), np.uint64) for left in range(HALF + 1)}
-    # Blocks are ranges of the variant's hash, so equal variants are in one block.
-    variants = sum(int((distance == HALF - left).sum()) * len(m) for left, m in masks.items())
-    blocks = max(1, -(-variants // (VARIANTS_PER_BLOCK * parts)))
-    for block in range(blocks):
-        values, owners = [], []
-        wanted = np.uint64(part * blocks + block)
-        for left, mask in masks.items():
-            own = np.flatnonzero(distance == HALF - left)
-            step = max(1, VARIANTS_PER_BLOCK // len(mask))
-            for at in range(0, len(own), step):
-                some = own[at : at + step]
-                found = (suffix[some, None] ^ mask).ravel()
-                owner = np.repeat(some, len(mask))
-                if parts * blocks > 1:
-                    mixed = (found * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-                    here = mixed % np.uint64(parts * blocks) == wanted
-                    found, owner = found[here], owner[here]
-                values.append(found)
-                owners.append(owner)
-        value, owner = np.concatenate(values), np.concatenate(owners)
-        # Only variants seen twice matter: sort the values alone, then look the few up.
-        ordered = np.sort(value)
-        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-        if not len(twice):
-            continue
-        place = np.minimum(np.searchsorted(twice, value), len(twice) - 1)
-        met = twice[place] == value
-        owner, place = owner[met], place[met]
-        order = np.lexsort((owner, place))
-        owner, place = owner[order], place[order]
-        first = np.searchsorted(place, place)
-        a, b = owner[first], owner
-        near = np.bitwise_count(fps[a] ^ fps[b]) <= RADIUS
-        yield a[near], b[near]
+    values, owners = [], []
+    for left in range(HALF + 1):
+        mask = np.array(flips(rest, left), np.uint64)
+        own = np.flatnonzero(distance == HALF - left).astype(np.int32)
+        values.append((suffix[own, None] ^ mask).ravel())
+        owners.append(np.repeat(own, len(mask)))
+    value, owner = np.concatenate(values), np.concatenate(owners)
+    del values, owners
+    # Only variants seen twice matter: sort the values alone, then look the few up.
+    ordered = np.sort(value)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    del ordered
+    if not len(twice):
+        return owner[:0], owner[:0]
+    place = np.minimum(np.searchsorted(twice, value), len(twice) - 1)
+    met = twice[place] == value
+    owner, place = owner[met], place[met]
+    order = np.lexsort((owner, place))
+    owner, place = owner[order], place[order]
+    a, b = owner[np.searchsorted(place, place)], owner
+    near = np.bitwise_count(fps[a] ^ fps[b]) <= RADIUS
+    return a[near], b[near]
+
+
+def sent_on(routed: DataFrame, before: int, more: int) -> DataFrame:
+    """Each row once for every prefix of ``more`` further bits that its remaining flips reach."""
+    next_bits = F.shiftrightunsigned("fp", BITS - before - more).bitwiseAND((1 << more) - 1)
+    masks = F.array(*[F.lit(m).cast("bigint") for m in flips(more, HALF)])
+    reached = masks if not before else F.filter(masks, lambda m: F.bit_count(m) <= F.col("left"))
+    return routed.select("fp", "route", "left", F.explode(reached).alias("mask")).select(
+        "fp",
+        F.shiftleft("route", more).bitwiseOR(next_bits.bitwiseXOR(F.col("mask"))).alias("route"),
+        (F.col("left") - F.bit_count("mask")).alias("left"),
+    )
+
+
+def bounded_routes(distinct: DataFrame, prefix_bits: int) -> DataFrame:
+    """``fp``, ``route`` and its ``bits``: groups of at most ``MOST_VARIANTS``, or of 64 bits."""
+    start = distinct.select("fp", F.lit(0).cast("bigint").alias("route"), F.lit(HALF).alias("left"))
+    bits, routed, groups = prefix_bits, sent_on(start, 0, prefix_bits), []
+    while True:
+        here = lambda rows: rows.select("fp", "route", F.lit(bits).alias("bits"))
+        rest = BITS - bits
+        if not rest:
+            return reduce(DataFrame.unionAll, [*groups, here(routed)])
+        sizes = F.element_at(F.array(*[F.lit(len(flips(rest, k))) for k in range(HALF + 1)]), F.col("left") + 1)
+        crowded = written(
+            routed.groupBy("route").agg(F.sum(sizes).alias("variants"))
+            .where(F.col("variants") > MOST_VARIANTS).select("route"),
+            "simhash-crowded",
+        )
+        if crowded.isEmpty():
+            return reduce(DataFrame.unionAll, [*groups, here(routed)])
+        groups.append(here(routed.join(crowded, "route", "left_anti")))
+        more = min(MORE_BITS, rest)
+        hot = routed.join(crowded, "route", "left_semi")
+        routed = written(sent_on(hot, bits, more), "simhash-routes")
+        bits += more
 
 
 def links(distinct: DataFrame, count: int) -> DataFrame:
@@ -165,35 +192,17 @@ def links(distinct: DataFrame, count: int) -> DataFrame:
         LEAST_PREFIX_BITS,
         math.ceil(math.log2(max(1, count) * len(flips(BITS, HALF)) / VARIANTS_PER_PREFIX)),
     )
-    masks = F.array(*map(F.lit, flips(prefix_bits, HALF)))
-    prefix = F.shiftrightunsigned("fp", BITS - prefix_bits)
-    routed = distinct.select(
-        "fp", F.explode(F.transform(masks, lambda m: prefix.bitwiseXOR(m.cast("bigint")))).alias("route")
-    )
-    # A prefix with several times the even share is compared in that many parts.
-    even = max(1, count * len(flips(prefix_bits, HALF)) // (1 << prefix_bits))
-    crowded = (
-        routed.groupBy("route").agg(F.count("*").alias("rows"))
-        .where(F.col("rows") > 2 * even)
-        .select("route", F.ceil(F.col("rows") / even).cast("int").alias("parts"))
-    )
-    parts = F.coalesce("parts", F.lit(1))
-    spread = routed.join(crowded, "route", "left").select(
-        "fp", "route", parts.alias("parts"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")
-    )
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         fps = np.sort(rows["fp"].to_numpy(np.int64)).view(np.uint64)
-        route, part, share = (int(rows[c].iloc[0]) for c in ("route", "part", "parts"))
-        root = np.arange(len(fps))
-        for a, b in meetings(fps, route, prefix_bits, part, share):
-            root = forest(np.concatenate([a, np.arange(len(fps))]), np.concatenate([b, root]), len(fps))
+        route, bits = int(rows["route"].iloc[0]) % (1 << BITS), int(rows["bits"].iloc[0])
+        root = forest(*meetings(fps, route, bits), len(fps))
         moved = np.flatnonzero(root != np.arange(len(fps)))
         signed = fps.view(np.int64)
         return pd.DataFrame({"a": signed[moved], "b": signed[root[moved]]})
 
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-    return spread.groupBy("route", "part").applyInPandas(compare, schema)
+    return bounded_routes(distinct, prefix_bits).groupBy("bits", "route").applyInPandas(compare, schema)
 
 
 # ---- operator --------------------------------------------------------------------------------
