@@ -11,12 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripmill.session import shared_folder
+from tripmill.session import bounded_batches, shared_folder
 
 # Words as every contract of this subpackage states them: runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-# Text that one Arrow batch hands to a Python worker; longer texts come alone.
-BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -44,13 +42,6 @@ def spare_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Bound the bytes of an Arrow batch, unless the session has its own bound."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, None) in (None, "-1", "2147483647", "9223372036854775807"):
-        spark.conf.set(key, str(BATCH_BYTES))
-
-
 def remainder_of_id(key: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as an empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -4,6 +4,10 @@ One pass over the points serves every model still being fitted: all restarts, se
 candidate K share the scan.  Tasks reduce their rows to per-cluster sums, Spark adds those
 up, and only the sums (models x clusters x dimensions) reach the driver.  Centers travel in
 the task closure, so the plan never grows from step to step.
+
+Points are packed once into blocks of some thousand rows (``packed``), whose numbers lie side by
+side as bytes: a pass then hands few large values to Python instead of every row, and skips the
+blocks of levels that no model still reads.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +25,7 @@ from tripmill.functions.geometry import MAX_LITERALS, distance_array, nearest_co
 from tripmill.functions.geometry import nearest_of, with_nearest
 from tripmill.operators.sampling import spread
 from tripmill.schema import SEED
+from tripmill.session import bounded_batches
 
 # Estimator settings.
 RESTARTS = 10
@@ -33,10 +39,14 @@ DRAWN_PER_CLUSTER = 2
 REFINING_STEPS = 50
 TRIALS = 4
 BATCH_CELLS = 2_000_000
+# Distances looked at together: few enough to stay in a core's cache.
+CACHED_CELLS = 200_000
+# A block of packed points has about so many rows.
+BLOCK_ROWS = 8_192
 # Partial sums are added up on the driver only while they are this few rows; else by Spark.
 DRIVER_SUM_ROWS = 20_000
-# From this many rows on, small models are summed by expressions inside the engine: compiling
-# new centers into a plan costs more than a pass over few rows, and less than one over many.
+# From this many rows on, small models are summed over unpacked rows by expressions inside the engine:
+# compiling new centers into a plan costs more than a pass over few rows, and less than one over many.
 EXPRESSION_ROWS = 3_000_000
 # The column of tables that hold nested prefixes: the number of the smallest one a row belongs to.
 LEVEL = "level"
@@ -83,11 +93,63 @@ def without_first(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(batch.columns[1:], batch.schema.names[1:])
 
 
-def by_level(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Rows in order of the level in the first column, so nested prefixes are slices."""
+def by_level(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """The levels in the first column, each with the places of its rows."""
     levels = batch.column(0).to_numpy(zero_copy_only=False)
-    order = np.argsort(levels, kind="stable")
-    return order, levels[order]
+    for level in np.unique(levels).tolist():
+        yield level, np.flatnonzero(levels == level)
+
+
+class _Pack:
+    """Rows (level, key, coordinates) to blocks of one level."""
+
+    def __init__(self, block_rows: int):
+        self.block_rows = block_rows
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def block(level: int) -> pa.RecordBatch:
+            keys, x = (np.concatenate(part) for part in zip(*held.pop(level)))
+            columns = [pa.array([level], pa.int32()), *[pa.array([v.tobytes()], pa.binary()) for v in (keys, x)]]
+            return pa.RecordBatch.from_arrays(columns, [LEVEL, "keys", "points"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(1).to_numpy(zero_copy_only=False)
+            rest = without_first(without_first(batch))
+            lists = rest.num_columns == 1 and not pa.types.is_floating(rest.schema.field(0).type)
+            x = to_matrix(rest, len(rest.column(0).flatten()) // batch.num_rows if lists else rest.num_columns)
+            for level, at in by_level(batch):
+                own = held.setdefault(level, [])
+                own.append((keys[at], x[at]))
+                if sum(len(k) for k, _ in own) >= self.block_rows:
+                    yield block(level)
+        for level in list(held):
+            yield block(level)
+
+
+def packed(df: DataFrame, columns: Sequence[str], key: str | None = None, leveled: bool = False) -> DataFrame:
+    """Points as blocks: the level, and the bytes of the rows' key hashes and coordinates.
+
+    Read many times by a fit, so the caller persists it.
+    """
+    bounded_batches(df.sparkSession)
+    rows = df.select(
+        (F.col(LEVEL) if leveled else F.lit(0)).cast("int").alias(LEVEL),
+        (F.lit(0) if key is None else F.xxhash64(key)).cast("bigint").alias("keys"),
+        *columns,
+    )
+    return rows.mapInArrow(_Pack(BLOCK_ROWS), f"{LEVEL} int, keys binary, points binary")
+
+
+def is_packed(df: DataFrame) -> bool:
+    return df.columns == [LEVEL, "keys", "points"]
+
+
+def unpack(value: pa.Scalar, dtype: str = "float64") -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), dtype)
 
 
 def seed_centers(
@@ -136,7 +198,7 @@ class _Draw:
 
     ``known`` holds the rows kept so far for each start, ``odds`` what a squared distance is
     multiplied with, ``salts`` the numbers that tell the starts' draws apart, and ``limits``, if
-    given, the last level of the rows that a start sees (levels are the second column then).
+    given, the last level of the rows that a start sees.
     """
 
     def __init__(
@@ -151,23 +213,20 @@ class _Draw:
         starts: list[int] = []
         kept: list[list[float]] = []
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False).astype("int64")
-            batch = without_first(batch)
-            levels = None
-            if self.limits is not None:
-                order, levels = by_level(batch)
-                batch, keys = without_first(batch).take(pa.array(order)), keys[order]
-            x = to_matrix(batch, self.known[0].shape[1])
-            for i, (known, odds, salt) in enumerate(zip(self.known, self.odds, self.salts)):
-                step = max(256, BATCH_CELLS // len(known))
-                end = len(x) if levels is None else int(np.searchsorted(levels, self.limits[i], "right"))
-                for begin in range(0, end, step):
-                    some = x[begin : min(end, begin + step)]
-                    _, squares = nearest_of(some, known)
+            for level, key_bytes, point_bytes in zip(*batch.columns):
+                keys = unpack(key_bytes, "int64")
+                x = unpack(point_bytes).reshape(len(keys), -1)
+                before = None
+                for i, (known, odds, salt) in enumerate(zip(self.known, self.odds, self.salts)):
+                    if self.limits is not None and level.as_py() > self.limits[i]:
+                        continue
+                    # In the first round all starts know the same.
+                    if before is None or not np.array_equal(before, known):
+                        before, (_, squares) = known, nearest_of(x, known)
                     costs[i] += squares.sum()
-                    hit = _mixed(keys[begin : begin + len(some)], salt) <= squares * odds
+                    hit = _mixed(keys, salt) <= squares * odds
                     starts += [i] * int(hit.sum())
-                    kept += some[hit].tolist()
+                    kept += x[hit].tolist()
         starts += range(len(costs))
         points = [*kept, *[None] * len(costs)]
         numbers = pa.array([None] * len(kept) + costs.tolist(), pa.float64())
@@ -193,9 +252,13 @@ def drawn_starts(
     before, so a small far cluster is found whatever the table's size.  The kept rows (a few per
     cluster) are weighted by the rows nearest to them, and the k centers come from those.
     """
-    level = [] if limits is None else [LEVEL]
-    points = df.select(*level, *columns)
-    keyed = df.select(F.xxhash64(key).alias("draw_key"), *level, *columns)
+    if not is_packed(df):
+        blocks = packed(df, columns, key, limits is not None).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return drawn_starts(blocks, columns, key, wanted, limits)
+        finally:
+            blocks.unpersist()
+    points = df
     names = [name for name, (_, _, restarts) in wanted.items() for _ in range(restarts)]
     seen = None if limits is None else {i: limits[name] for i, name in enumerate(names)}
     turn = {name: 0 for name in wanted}
@@ -205,8 +268,8 @@ def drawn_starts(
         sizes.append(k)
         salts.append(seed * 1_000_003 + turn[name] * 101)
         turn[name] += 1
-    first = df.select(*columns).first()
-    width = max(1, len(np.concatenate([np.ravel(v) for v in first or [[]]])))
+    first = points.first()
+    width = 1 if first is None else len(first["points"]) // len(first["keys"])
     # Of every level once: rows and mean, and with it what all rows cost around their mean.
     edges = sorted({0} if limits is None else set(limits.values()))
     whole = cluster_sums(
@@ -229,10 +292,10 @@ def drawn_starts(
     cost = [around[i] for i in place]
     known = [mean[None, :] for mean in means]
     found: list[np.ndarray | None] = [None] * len(names)
-    tasks = keyed.rdd.getNumPartitions()
+    tasks = points.rdd.getNumPartitions()
     for draw in range(DRAWING_ROUNDS):
         odds = [DRAWN_PER_CLUSTER * k / c if c > 0 else 0.0 for k, c in zip(sizes, cost)]
-        drawn = keyed.mapInArrow(
+        drawn = points.mapInArrow(
             _Draw(known, odds, [s + 7 * draw for s in salts], None if seen is None else list(seen.values())),
             "start int, cost double, point array<double>",
         )
@@ -293,38 +356,60 @@ class _ClusterSums:
     def __init__(
         self, centers: Sequence[np.ndarray], numbers: Sequence[int], limits: Sequence[int] | None = None
     ):
-        self.numbers = list(numbers)
-        self.limits = None if limits is None else np.array(limits)
-        self.stacked = np.vstack(list(centers))
+        self.numbers, self.centers = list(numbers), list(centers)
+        self.limits = None if limits is None else list(limits)
         self.edges = np.cumsum([0, *[len(c) for c in centers]])
 
+    def seen(self, level: int):
+        """Of the models that see a level: places of their clusters, each one's own, and their centers."""
+        own = [i for i in range(len(self.centers)) if self.limits is None or self.limits[i] >= level]
+        ends = np.cumsum([0, *[len(self.centers[i]) for i in own]]).tolist()
+        at = np.concatenate([[], *[np.arange(self.edges[i], self.edges[i + 1]) for i in own]]).astype(int)
+        return at, list(zip(ends, ends[1:])), np.vstack(self.centers)[at]
+
+    def matrices(self, batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
+        names = batch.schema.names
+        if names == [LEVEL, "points"]:
+            for level, points in zip(*batch.columns):
+                yield level.as_py(), unpack(points).reshape(-1, width)
+        elif self.limits is None:
+            yield 0, to_matrix(batch, width)
+        else:
+            x = to_matrix(without_first(batch), width)
+            for level, at in by_level(batch):
+                yield level, x[at]
+
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, width = self.stacked.shape
+        total, width = int(self.edges[-1]), self.centers[0].shape[1]
         counts, errors = np.zeros(total), np.zeros(total)
         sums = np.zeros((total, width))
-        norms = (self.stacked * self.stacked).sum(axis=1)
-        step = max(256, BATCH_CELLS // total)
+        known: dict[int, tuple] = {}
         for batch in batches:
-            ends = None
-            if self.limits is not None:
-                order, levels = by_level(batch)
-                batch = without_first(batch).take(pa.array(order))
-                ends = np.searchsorted(levels, self.limits, "right")
-            rows = to_matrix(batch, width)
-            for begin in range(0, len(rows), step):
-                x = rows[begin : begin + step]
-                relative = norms - 2 * (x @ self.stacked.T)
-                lengths = (x * x).sum(axis=1)
-                for i, (low, high) in enumerate(zip(self.edges[:-1], self.edges[1:])):
-                    n = len(x) if ends is None else int(min(max(ends[i] - begin, 0), len(x)))
-                    part = relative[:n, low:high]
-                    labels = part.argmin(axis=1)
-                    squares = np.maximum(part[np.arange(n), labels] + lengths[:n], 0)
-                    labels += low
-                    counts += np.bincount(labels, minlength=total)
-                    errors += np.bincount(labels, weights=squares, minlength=total)
-                    for axis in range(width):
-                        sums[:, axis] += np.bincount(labels, weights=x[:n, axis], minlength=total)
+            for level, rows in self.matrices(batch, width):
+                if level not in known:
+                    known[level] = self.seen(level)
+                at, models, centers = known[level]
+                if not len(at):
+                    continue
+                norms = (centers * centers).sum(axis=1)[:, None]
+                step = max(256, CACHED_CELLS // len(at))
+                for begin in range(0, len(rows), step):
+                    x = rows[begin : begin + step]
+                    lengths = np.einsum("ij,ij->i", x, x)
+                    near = norms - 2 * (centers @ x.T)
+                    member = np.empty_like(near)
+                    for low, high in models:
+                        # The first of the closest centers has the row.
+                        least, label = near[low].copy(), np.zeros(len(x), np.int32)
+                        for j in range(low + 1, high):
+                            np.copyto(label, j - low, where=near[j] < least)
+                            np.minimum(least, near[j], out=least)
+                        for j in range(low, high):
+                            np.equal(label, j - low, out=member[j])
+                        least += lengths
+                        errors[at[low:high]] += member[low:high] @ np.maximum(least, 0, out=least)
+                    counts[at] += member.sum(axis=1)
+                    sums[at] += member @ x
         model = np.repeat(self.numbers, np.diff(self.edges))
         cluster = np.concatenate([np.arange(n) for n in np.diff(self.edges)])
         kept = counts > 0
@@ -382,7 +467,7 @@ def _sums_by_batch(
         list(centers.values()), list(centers), None if limits is None else [limits[i] for i in centers]
     )
     partial = points.mapInArrow(sums_per_task, schema)
-    if tasks is None or tasks * len(sums_per_task.stacked) > DRIVER_SUM_ROWS:
+    if tasks is None or tasks * int(sums_per_task.edges[-1]) > DRIVER_SUM_ROWS:
         partial = partial.groupBy("model", "cluster").agg(
             *[F.sum(name).alias(name) for name in ("rows", "error", *axes)]
         )
@@ -398,13 +483,18 @@ def cluster_sums(
 ) -> dict[int, tuple]:
     """Counts, sums and squared error of every cluster of every numbered model, in one job.
 
-    ``tasks`` (partitions) and ``rows`` are given where the caller knows them.  With ``limits`` the
-    first column is the level of a nested prefix, and a model sees the rows up to its limit.
+    ``tasks`` (partitions) and ``rows`` are given where the caller knows them.  ``points`` is packed, or
+    has just the coordinates; with ``limits`` those follow the level of a nested prefix.  A model sees
+    the rows up to its limit.
     """
     width = next(iter(centers.values())).shape[1]
     literals = sum(c.size for c in centers.values())
     coordinates = len(points.columns) - (limits is not None)
-    if rows >= EXPRESSION_ROWS and literals <= MAX_LITERALS and coordinates == width:
+    if is_packed(points):
+        if limits is not None:
+            points = points.where(F.col(LEVEL) <= max(limits[i] for i in centers))
+        summed = _sums_by_batch(points.select(LEVEL, "points"), centers, tasks, limits)
+    elif rows >= EXPRESSION_ROWS and literals <= MAX_LITERALS and coordinates == width:
         summed = _sums_by_expression(points, centers, limits)
     else:
         summed = _sums_by_batch(points, centers, tasks, limits)
@@ -429,9 +519,17 @@ def fit_many(
 ) -> dict[Hashable, Fit]:
     """The best restart of every key; with ``limits``, over the key's own prefix of the rows.
 
-    ``points`` holds just the coordinates (standardized, so the tolerance is on their scale)
-    and should be persisted or written by the caller: it is read once per step.
+    ``points`` is packed and persisted by the caller, as it is read once per step, or holds just the
+    coordinates (with ``limits``, the level first).  They are standardized, so the tolerance is on
+    their scale.
     """
+    if not is_packed(points):
+        names = [name for name in points.columns if limits is None or name != LEVEL]
+        blocks = packed(points, names, None, limits is not None).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return fit_many(blocks, starts, max_iterations, tolerance, limits)
+        finally:
+            blocks.unpersist()
     owners = [key for key, options in starts.items() for _ in options]
     centers = {i: c for i, c in enumerate(c for options in starts.values() for c in options)}
     fits = {i: Fit(c) for i, c in centers.items()}
@@ -476,5 +574,9 @@ def fit_kmeans(
     max_iterations: int = MAX_ITERATIONS,
     tolerance: float = TOLERANCE,
 ) -> Fit:
-    starts = drawn_starts(df, columns, key, {k: (k, seed, restarts)})
-    return fit_many(df.select(*columns), {k: distinct_centers(starts[k])}, max_iterations, tolerance)[k]
+    blocks = packed(df, columns, key).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        starts = drawn_starts(blocks, columns, key, {k: (k, seed, restarts)})
+        return fit_many(blocks, {k: distinct_centers(starts[k])}, max_iterations, tolerance)[k]
+    finally:
+        blocks.unpersist()

@@ -20,21 +20,26 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tripmill.functions.priority import hash_priority, unit_interval
 from tripmill.operators.kmeans import (
     BATCH_CELLS,
+    BLOCK_ROWS,
     DRIVER_SUM_ROWS,
     LEVEL,
     Fit,
     cluster_sums,
     distinct_centers,
     drawn_starts,
+    packed,
     to_matrix,
+    unpack,
 )
 from tripmill.schema import SEED
+from tripmill.session import bounded_batches
 
 # Estimator settings.
 BATCH_ROWS = 1_000
@@ -83,12 +88,89 @@ def chains_of(rows: int, batch_rows: int) -> int:
     return 1 if chains < 2 else min(chains, max(MOST_CHAINS, rows // (ROUNDS * CHAIN_ROWS)))
 
 
-def dealt(points: DataFrame, runs: Sequence[Run]) -> list[tuple[DataFrame, int]]:
-    """Tables (run, chain, round, coordinates) sorted by round and chain, each with its rounds.
+class _Batches:
+    """Cuts sorted rows (run, chain, round, priority, coordinates) into batches as they come.
 
-    ``points`` has a level, a priority and the coordinates.  In all but the last table each
-    (run, chain, round) has a multiple of the run's batch.
+    Rows of whole batches are marked, or ``packed``: then some batches become one row with the bytes
+    of their coordinates.  What a chain's round has left below a batch stays behind as rows, unless
+    the chain is its run's only one.
     """
+
+    def __init__(self, batch_rows: Sequence[int], alone: Sequence[bool], packed: bool):
+        self.batch_rows, self.alone, self.packed = list(batch_rows), list(alone), packed
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        cell, rows = None, 0
+
+        def some(part: pa.Table, whole: bool) -> Iterator[pa.RecordBatch]:
+            if not part.num_rows:
+                return
+            if whole and self.packed:
+                first = part.slice(0, 1)
+                x = np.concatenate([
+                    to_matrix(pa.RecordBatch.from_arrays(b.columns[4:], b.schema.names[4:]), self.width(b))
+                    for b in part.to_batches()
+                ])
+                columns = [c.combine_chunks() for c in first.columns[:3]]
+                columns += [pa.nulls(1, field.type) for field in list(first.schema)[3:]]
+                columns += [pa.array([True]), pa.array([x.tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names)
+                return
+            for batch in part.to_batches():
+                columns = [*batch.columns, pa.array(np.full(batch.num_rows, whole))]
+                if self.packed:
+                    columns.append(pa.nulls(batch.num_rows, pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            if held:
+                table = pa.Table.from_batches(held)
+                run = table.column(0)[0].as_py()
+                cut = rows if self.alone[run] else rows - rows % self.batch_rows[run]
+                yield from some(table.slice(0, cut), True)
+                yield from some(table.slice(cut), False)
+                held.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = [*batch.schema.names, "whole", *["points"] * self.packed]
+            runs, chains, rounds = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            changed = (np.diff(chains) != 0) | (np.diff(rounds) != 0)
+            edges = [0, *(np.flatnonzero(changed) + 1).tolist(), len(runs)]
+            for begin, end in zip(edges, edges[1:]):
+                if cell != (chains[begin], rounds[begin]):
+                    yield from ended()
+                    cell, rows = (chains[begin], rounds[begin]), 0
+                size = self.batch_rows[runs[begin]]
+                most = size * max(1, BLOCK_ROWS // size)
+                while begin < end:
+                    part = batch.slice(begin, min(end - begin, most - rows))
+                    held.append(part)
+                    rows += part.num_rows
+                    begin += part.num_rows
+                    if rows == most:
+                        yield from some(pa.Table.from_batches(held), True)
+                        held.clear()
+                        rows = 0
+        yield from ended()
+
+    @staticmethod
+    def width(batch: pa.RecordBatch) -> int:
+        column = batch.column(4)
+        lists = batch.num_columns == 5 and pa.types.is_nested(column.type)
+        return len(column.flatten()) // batch.num_rows if lists else batch.num_columns - 4
+
+
+def dealt(points: DataFrame, runs: Sequence[Run], pack: bool = False) -> list[tuple[DataFrame, int]]:
+    """Tables (run, chain, round, whole, coordinates) sorted by round and chain, each with its rounds.
+
+    ``points`` has a level, a priority and the coordinates.  In all but the last table the whole rows of
+    each (run, chain, round) are a multiple of the run's batch; the other rows are in later tables.
+    Packed tables hold the whole rows in blocks of one or more batches, as bytes in ``points``.
+    """
+    names = ["run", "chain", "round", "priority", *[c for c in points.columns if c not in (LEVEL, "priority")]]
     entries = [
         F.when(F.col(LEVEL) <= run.level, F.lit(i)) for i, run in enumerate(runs)
     ]
@@ -111,22 +193,21 @@ def dealt(points: DataFrame, runs: Sequence[Run]) -> list[tuple[DataFrame, int]]
             {"chain": (of_run(first) + cell % own).cast("int"), "round": F.floor(cell / own).cast("int")}
         )
         # Rounds come first, so a round is one run of the cached rows of a task.
-        together = Window.partitionBy("round", "chain")
-        place = F.row_number().over(together.orderBy("turn", "priority"))
-        size, batch = F.count(F.lit(1)).over(together), of_run([run.batch_rows for run in runs])
-        whole = of_run([int(c == 1) for c in chains]) == 1
-        placed = (
+        ordered = (
             placed.repartitionById(first[-1], F.col("chain"))
-            .withColumn("whole", whole | (place <= size - size % batch))
-            .sortWithinPartitions("round", "chain", "turn")
-            .drop("turn")
-            .persist(StorageLevel.MEMORY_AND_DISK)
+            .sortWithinPartitions("round", "chain", "turn", "priority")
+            .select(*names)
         )
+        schema = T.StructType([T.StructField(f.name, f.dataType) for f in ordered.schema]).add("whole", "boolean")
+        if pack:
+            schema = schema.add("points", "binary")
+        cut = _Batches([run.batch_rows for run in runs], [n == 1 for n in chains], pack)
+        placed = ordered.mapInArrow(cut, schema).persist(StorageLevel.MEMORY_AND_DISK)
         counted = placed.where(~F.col("whole")).groupBy("run").agg(F.count(F.lit(1)).alias("rows"))
         over = {r["run"]: r["rows"] for r in counted.collect()}
         tables.append((placed, max(rounds)))
         rows = [over.get(i, 0) for i in range(len(runs))]
-        left = placed.where(~F.col("whole")).drop("chain", "round", "whole")
+        left = placed.where(~F.col("whole")).select("run", *names[3:])
     return tables
 
 
@@ -156,19 +237,20 @@ class _Chain:
         if not self.held:
             return
         x = np.concatenate(self.waiting)
-        norms = (self.centers * self.centers).sum(axis=1)
-        first = np.arange(self.models) * self.k
+        norms = (self.centers * self.centers).sum(axis=1)[:, None]
         step = max(1, BATCH_CELLS // len(self.centers))
         for begin in range(0, len(x), step):
             some = x[begin : begin + step]
-            near = (norms - 2 * (some @ self.centers.T)).reshape(len(some), self.models, self.k)
-            labels = near.argmin(axis=2)
-            least = np.take_along_axis(near, labels[:, :, None], axis=2)[:, :, 0]
-            self.errors += np.maximum(least + (some * some).sum(axis=1)[:, None], 0).sum(axis=0)
-            member = np.zeros((len(some), len(self.centers)))
-            np.put_along_axis(member, labels + first, 1, axis=1)
-            self.counts += member.sum(axis=0)
-            self.sums += member.T @ some
+            near = (norms - 2 * (self.centers @ some.T)).reshape(self.models, self.k, len(some))
+            least, labels = near[:, 0].copy(), np.zeros((self.models, len(some)), np.int32)
+            for j in range(1, self.k):
+                np.copyto(labels, j, where=near[:, j] < least)
+                np.minimum(least, near[:, j], out=least)
+            self.errors += np.maximum(least + np.einsum("ij,ij->i", some, some), 0).sum(axis=1)
+            member = labels[:, None, :] == np.arange(self.k)[:, None]
+            member = member.reshape(len(self.centers), -1).astype("float64")
+            self.counts += member.sum(axis=1)
+            self.sums += member @ some
         self.centers, _ = update_centers(self.begun, self.before, self.counts, self.sums)
         self.updates += 1
         self.largest = max(self.largest, self.held)
@@ -207,17 +289,13 @@ class _Updates:
         names = ["run", "model", "cluster", "rows", "error", "updates", "largest"]
         names += [f"s{axis}" for axis in range(width)]
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            runs, chains = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            x = to_matrix(pa.RecordBatch.from_arrays(batch.columns[2:], batch.schema.names[2:]), width)
-            edges = [0, *(np.flatnonzero(np.diff(chains)) + 1).tolist(), len(x)]
-            for begin, end in zip(edges, edges[1:]):
-                if now != chains[begin]:
+            for numbers in zip(*batch.columns):
+                i, own = numbers[0].as_py(), numbers[1].as_py()
+                if now != own:
                     yield from ended()
-                    now, run = chains[begin], int(runs[begin])
+                    now, run = own, i
                     chain = _Chain(*self.models[run], self.batch_rows[run])
-                chain.add(x[begin:end])
+                chain.add(unpack(numbers[2]).reshape(-1, width))
         yield from ended()
 
 
@@ -256,15 +334,18 @@ def fit_runs(
     key: str,
     runs: Mapping[Hashable, Run],
     starts: Mapping[Hashable, Sequence[np.ndarray]],
+    blocks: DataFrame | None = None,
 ) -> dict[Hashable, Fit]:
     """All runs through the same jobs; each gives its best start.
 
     Where runs have levels the table has a ``level`` column, and a run reads rows up to its own.
+    ``blocks`` are the same rows packed, if the caller has them.
     """
+    bounded_batches(df.sparkSession)
     names = list(runs)
     level = F.col(LEVEL) if LEVEL in df.columns else F.lit(0)
     points = df.select(level.alias(LEVEL), hash_priority(F.col(key), BLOCK_SEED).alias("priority"), *columns)
-    tables = dealt(points, list(runs.values()))
+    tables = dealt(points, list(runs.values()), pack=True)
     followed = [_Followed(runs[name], starts[name]) for name in names]
     schema = "run int, model int, cluster int, rows bigint, error double, updates bigint, largest bigint"
     width = followed[0].centers.shape[2]
@@ -277,7 +358,7 @@ def fit_runs(
                 now = {i: (f.centers, f.weights) for i, f in enumerate(followed) if f.open}
                 step = _Updates(now, {i: followed[i].run.batch_rows for i in now})
                 part = table.where((F.col("round") == number) & F.col("whole") & F.col("run").isin(list(now)))
-                found = part.select("run", "chain", *columns).mapInArrow(step, schema)
+                found = part.select("run", "chain", "points").mapInArrow(step, schema)
                 if tasks * sum(c.shape[0] * c.shape[1] for c, _ in now.values()) > DRIVER_SUM_ROWS:
                     found = found.groupBy("run", "model", "cluster").agg(
                         F.max("largest").alias("largest"),
@@ -299,17 +380,18 @@ def fit_runs(
                 f.end_pass()
     for table, _ in tables:
         table.unpersist()
-    return dict(zip(names, _scored(df, columns, followed)))
+    leveled = LEVEL in df.columns
+    if blocks is None:
+        blocks = packed(df, columns, None, leveled)
+    return dict(zip(names, _scored(blocks, leveled, followed)))
 
 
-def _scored(df: DataFrame, columns: Sequence[str], followed: Sequence[_Followed]) -> list[Fit]:
+def _scored(blocks: DataFrame, leveled: bool, followed: Sequence[_Followed]) -> list[Fit]:
     """Sizes and error of the final centers over all rows of their runs, the best of each."""
     owners = [i for i, f in enumerate(followed) for _ in f.centers]
     centers = dict(enumerate(c for f in followed for c in f.centers))
-    leveled = LEVEL in df.columns
-    points = df.select(*([LEVEL] if leveled else []), *columns)
     limits = {n: followed[i].run.level for n, i in enumerate(owners)} if leveled else None
-    summed = cluster_sums(points, centers, None, max(f.run.rows for f in followed), limits)
+    summed = cluster_sums(blocks, centers, None, max(f.run.rows for f in followed), limits)
     best: dict[int, Fit] = {}
     for n, (counts, _, errors) in summed.items():
         f, error = followed[owners[n]], float(errors.sum())
@@ -335,8 +417,13 @@ def fit_minibatch(
 
     Passes over all rows end when one no longer lowers the error, unless their number is given.
     """
-    starts = drawn_starts(df, columns, key, {k: (k, seed, restarts)})[k]
-    return fit_runs(df, columns, key, {k: Run(rows, batch_rows, passes)}, {k: distinct_centers(starts)})[k]
+    blocks = packed(df, columns, key, LEVEL in df.columns).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        starts = drawn_starts(blocks, columns, key, {k: (k, seed, restarts)})[k]
+        run = {k: Run(rows, batch_rows, passes)}
+        return fit_runs(df, columns, key, run, {k: distinct_centers(starts)}, blocks)[k]
+    finally:
+        blocks.unpersist()
 
 
 def fit_one_pass(

@@ -54,11 +54,19 @@ def shared_fits(
     leveled: DataFrame, columns: Sequence[str], k: int, runs: Sequence[RunKey], restarts: int
 ) -> dict[RunKey, Measured]:
     """All runs over a table of nested prefixes; sizes in order are its levels."""
+    blocks = kmeans.packed(leveled, columns, ROW_ID, leveled=True).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _shared_fits(leveled, blocks, columns, k, runs, restarts)
+    finally:
+        blocks.unpersist()
+
+
+def _shared_fits(leveled, blocks, columns, k, runs, restarts) -> dict[RunKey, Measured]:
     sizes = sorted({run[1] for run in runs})
     limits = {size: level for level, size in enumerate(sizes)}
     began = time.perf_counter()
     # Both algorithms start from the same draws.
-    drawn = kmeans.drawn_starts(leveled, columns, ROW_ID, {n: (k, SEED, restarts) for n in sizes}, limits)
+    drawn = kmeans.drawn_starts(blocks, columns, ROW_ID, {n: (k, SEED, restarts) for n in sizes}, limits)
     starts = {n: kmeans.distinct_centers(found) for n, found in drawn.items()}
     drawing = time.perf_counter() - began
     fits: dict[RunKey, kmeans.Fit] = {}
@@ -74,9 +82,8 @@ def shared_fits(
     if own:
         began = time.perf_counter()
         found = kmeans.fit_many(
-            leveled.select(kmeans.LEVEL, *columns), {run: starts[run[1]] for run in own},
-            limits={run: limits[run[1]] for run in own},
-        )
+            blocks, {run: starts[run[1]] for run in own}, limits={run: limits[run[1]] for run in own}
+        )
         fits.update(found)
         measured(own, time.perf_counter() - began)
     own = [run for run in runs if run[0] != "KMeans"]
@@ -88,7 +95,8 @@ def shared_fits(
             )
             for run in own
         }
-        fits.update(minibatch.fit_runs(leveled, columns, ROW_ID, batches, {run: starts[run[1]] for run in own}))
+        own_starts = {run: starts[run[1]] for run in own}
+        fits.update(minibatch.fit_runs(leveled, columns, ROW_ID, batches, own_starts, blocks))
         measured(own, time.perf_counter() - began)
     return {run: Measured(fits[run], seconds[run]) for run in runs}
 

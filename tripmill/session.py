@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+# Bytes that one Arrow batch hands to a Python worker; longer values come alone.
+BATCH_BYTES = 16 << 20
+
 
 def local_session(
     cpus: int | str = 8, name: str = "tripmill", settings: dict[str, str] | None = None
@@ -28,6 +31,13 @@ def local_session(
     return builder.getOrCreate()
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes of an Arrow batch, unless the session has its own bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (None, "-1", "2147483647", "9223372036854775807"):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new path for a written intermediate.
 
