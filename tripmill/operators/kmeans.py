@@ -40,7 +40,7 @@ REFINING_STEPS = 50
 TRIALS = 4
 BATCH_CELLS = 2_000_000
 # Distances looked at together: few enough to stay in a core's cache.
-CACHED_CELLS = 200_000
+CACHED_CELLS = 60_000
 # A block of packed points has about so many rows.
 BLOCK_ROWS = 8_192
 # Partial sums are added up on the driver only while they are this few rows; else by Spark.
@@ -152,6 +152,17 @@ def unpack(value: pa.Scalar, dtype: str = "float64") -> np.ndarray:
     return np.frombuffer(value.as_buffer(), dtype)
 
 
+def least_squares(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Squared distance of every row to the closest of the known rows, by products of matrices."""
+    least = np.empty(len(x))
+    step = max(256, CACHED_CELLS // len(known))
+    for begin in range(0, len(x), step):
+        some = x[begin : begin + step]
+        near = (known * known).sum(axis=1)[:, None] - 2 * (known @ some.T)
+        least[begin : begin + step] = near.min(axis=0) + np.einsum("ij,ij->i", some, some)
+    return np.maximum(least, 0, out=least)
+
+
 def seed_centers(
     points: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator
 ) -> np.ndarray:
@@ -222,7 +233,7 @@ class _Draw:
                         continue
                     # In the first round all starts know the same.
                     if before is None or not np.array_equal(before, known):
-                        before, (_, squares) = known, nearest_of(x, known)
+                        before, squares = known, least_squares(x, known)
                     costs[i] += squares.sum()
                     hit = _mixed(keys, salt) <= squares * odds
                     starts += [i] * int(hit.sum())
@@ -384,6 +395,7 @@ class _ClusterSums:
         counts, errors = np.zeros(total), np.zeros(total)
         sums = np.zeros((total, width))
         known: dict[int, tuple] = {}
+        kinds = np.int16 if total < 1 << 15 else np.int64
         for batch in batches:
             for level, rows in self.matrices(batch, width):
                 if level not in known:
@@ -392,20 +404,23 @@ class _ClusterSums:
                 if not len(at):
                     continue
                 norms = (centers * centers).sum(axis=1)[:, None]
-                step = max(256, CACHED_CELLS // len(at))
+                step = min(len(rows), max(256, CACHED_CELLS // len(at)))
+                # Two tables for all parts: new ones would cost more than filling them.
+                tables = np.empty((2, len(at), step))
                 for begin in range(0, len(rows), step):
                     x = rows[begin : begin + step]
                     lengths = np.einsum("ij,ij->i", x, x)
-                    near = norms - 2 * (centers @ x.T)
-                    member = np.empty_like(near)
+                    near, member = tables[:, :, : len(x)]
+                    np.matmul(-2 * centers, x.T, out=near)
+                    near += norms
                     for low, high in models:
                         # The first of the closest centers has the row.
-                        least, label = near[low].copy(), np.zeros(len(x), np.int32)
+                        least, label = near[low].copy(), np.zeros(len(x), kinds)
                         for j in range(low + 1, high):
                             np.copyto(label, j - low, where=near[j] < least)
                             np.minimum(least, near[j], out=least)
                         for j in range(low, high):
-                            np.equal(label, j - low, out=member[j])
+                            member[j] = label == j - low
                         least += lengths
                         errors[at[low:high]] += member[low:high] @ np.maximum(least, 0, out=least)
                     counts[at] += member.sum(axis=1)

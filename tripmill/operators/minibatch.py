@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripmill.functions.priority import hash_priority, unit_interval
+from tripmill.functions.priority import PRIORITY_BITS, hash_priority, unit_interval
 from tripmill.operators.kmeans import (
     BATCH_CELLS,
     BLOCK_ROWS,
@@ -195,7 +195,8 @@ def dealt(points: DataFrame, runs: Sequence[Run], pack: bool = False) -> list[tu
         # Rounds come first, so a round is one run of the cached rows of a task.
         ordered = (
             placed.repartitionById(first[-1], F.col("chain"))
-            .sortWithinPartitions("round", "chain", "turn", "priority")
+            # A partition is one chain, and one number orders it: rounds, then turns (52 bits).
+            .sortWithinPartitions(F.shiftleft(F.col("round").cast("bigint"), PRIORITY_BITS) + F.col("turn"))
             .select(*names)
         )
         schema = T.StructType([T.StructField(f.name, f.dataType) for f in ordered.schema]).add("whole", "boolean")
