@@ -7,8 +7,13 @@ ids, so every id is scored once, with at least ``CONTEXT - STRIDE`` ids before i
 Ids are ranked by their counts over all training text, and a rank is predicted digit by digit
 (three digits of 32).  Each digit is a softmax with weights of its own for the digits before
 it, so the probabilities of all ids sum to one at the cost of 96 exponentials.  The digits' biases
-are the logarithms of the same corpus-wide counts; the weights are fitted on a bounded sample
-(``TRAINING_TEXTS`` texts, the first in hash order).
+are the logarithms of the same corpus-wide counts.
+
+The weights are fitted to every window of every training text, whole, in rounds.  A text belongs to
+one round, by its hash; each round has ``GROWTH`` times the text of the rounds before it.  The first
+is small enough for one task and is read until ``TRAINING_STEPS`` steps are done (a corpus that small
+has this round only).  In the others each task moves its own copy of the weights over its texts, and the
+moves are averaged row by row, weighted by the steps that used the row.
 
 The base score is an add-one unigram over words.  Words too frequent for a join (at most
 ``2 ** FREQUENT_BITS`` by construction, since each has that share of all tokens) travel with the
@@ -28,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,13 +50,17 @@ IDS = DIGIT**LEVELS
 END_ID = 2
 START_ID = IDS - 1
 PAD_ID = -1
-# The documented bound of the sample that the attention weights are fitted on.
-TRAINING_TEXTS = 2000
-TRAINING_CHARS = 8_000
+# The least steps of the first round, and windows in a step of the first and of the other rounds.
 TRAINING_STEPS = 1500
 BATCH = 128
+LATER_BATCH = 512
+GROWTH = 8
+# Windows that a task mixes before it learns them.
+MIXED_WINDOWS = 16_384
+SUM_TASKS = 16
 SCORED_WINDOWS = 512
 RATE = 0.01
+LATER_RATE = 0.005
 SEED = 42
 SMOOTHING = 0.05
 FREQUENT_BITS = 18
@@ -89,8 +99,9 @@ def causal_mask() -> np.ndarray:
 
 
 MASK = causal_mask()
-# What weights may add to a logit; exponentials then need no shift.
-BOUND = 30.0
+# Bounds of attention scores and of logits; exponentials then need no shift.
+REACH = 30.0
+BOUND = 80.0
 
 
 def attend(w: dict[str, np.ndarray], ids: np.ndarray):
@@ -99,7 +110,7 @@ def attend(w: dict[str, np.ndarray], ids: np.ndarray):
     query = x[:, CONTEXT - STRIDE :] @ (w["query"] * np.float32(WIDTH**-0.5))
     key, value = x @ w["key"], x @ w["value"]
     attention = query @ key.transpose(0, 2, 1)
-    np.clip(attention, -BOUND, BOUND, out=attention)
+    np.clip(attention, -REACH, REACH, out=attention)
     np.exp(attention, out=attention)
     attention *= MASK
     padded = ids == PAD_ID
@@ -131,14 +142,18 @@ def digit_logits(w, biases, hidden: np.ndarray, level: int, before: np.ndarray)
     logits = np.empty((len(hidden), DIGIT), np.float32)
     for node, run in nodes_of(before):
         np.matmul(hidden[run], w[f"out{level}"][node], out=logits[run])
-    np.clip(logits, -BOUND, BOUND, out=logits)
-    logits += biases[level][before]
-    return logits
+        logits[run] += biases[level][node]
+    return np.clip(logits, -BOUND, BOUND, out=logits)
+
+
+def order_of(targets: np.ndarray) -> np.ndarray:
+    """Stable order of ids; two bytes an id sort fastest."""
+    return np.argsort(targets.astype(np.uint16), kind="stable")
 
 
 def log_shares(w, biases, hidden: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log probability of every target; hidden is (targets, WIDTH)."""
-    order = np.argsort(targets, kind="stable")
+    order = order_of(targets)
     hidden, rows = hidden[order], np.arange(len(targets))
     total = np.zeros(len(targets), np.float32)
     for level, (before, digit) in enumerate(digits_of(targets[order])):
@@ -153,58 +168,71 @@ def log_shares(w, biases, hidden: np.ndarray, targets: np.ndarray) -> np.ndarray
 def gradients(w, biases, ids: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss of the real targets (padding is -1) and its gradients."""
     x, query, key, value, (attention, total), mixed, hidden = attend(w, ids)
-    attention = attention / total
+    attention /= total
     real = (targets >= 0).ravel()
     goal = np.maximum(targets.ravel(), 0)
-    order = np.argsort(goal, kind="stable")
+    order = order_of(goal)
     flat, sorted_real, rows = hidden.reshape(-1, WIDTH)[order], real[order], np.arange(len(goal))
+    weight = (sorted_real / max(1, real.sum())).astype(np.float32)[:, None]
     d_flat, loss, g = np.zeros_like(flat), 0.0, {}
     for level, (before, digit) in enumerate(digits_of(goal[order])):
-        share = np.exp(digit_logits(w, biases, flat, level, before))
-        share /= share.sum(axis=1, keepdims=True)
+        share = digit_logits(w, biases, flat, level, before)
+        np.exp(share, out=share)
+        share /= (share @ np.ones(DIGIT, np.float32))[:, None]
         loss -= np.log(share[rows, digit] + 1e-30)[sorted_real].sum()
         share[rows, digit] -= 1
-        share *= sorted_real[:, None] / max(1, real.sum())
+        share *= weight
         nodes = list(nodes_of(before))
-        own = np.stack([flat[run].T @ share[run] for _, run in nodes])
-        g[f"out{level}"] = (np.array([node for node, _ in nodes]), own)
-        for node, run in nodes:
+        own = np.empty((len(nodes), WIDTH, DIGIT), np.float32)
+        for k, (node, run) in enumerate(nodes):
+            np.matmul(flat[run].T, share[run], out=own[k])
             d_flat[run] += share[run] @ w[f"out{level}"][node].T
+        g[f"out{level}"] = (np.array([node for node, _ in nodes]), own)
     d_hidden = np.empty_like(d_flat)
     d_hidden[order] = d_flat
     d_hidden = d_hidden.reshape(hidden.shape)
-    g["join"] = np.einsum("nqa,nqb->ab", mixed, d_hidden)
+    g["join"] = product(mixed, d_hidden)
     d_mixed = d_hidden @ w["join"].T
     d_value = attention.transpose(0, 2, 1) @ d_mixed
-    d_attention = d_mixed @ value.transpose(0, 2, 1)
-    d_scores = attention * (d_attention - (d_attention * attention).sum(axis=2, keepdims=True))
+    d_scores = d_mixed @ value.transpose(0, 2, 1)
+    # The mean of these under the attention is the share of the mixed value.
+    d_scores -= (d_mixed * mixed) @ np.ones((WIDTH, 1), np.float32)
+    d_scores *= attention
     # The query already carries the scale.
     d_query = d_scores @ key * np.float32(WIDTH**-0.5)
     d_key = d_scores.transpose(0, 2, 1) @ query
-    late = x[:, CONTEXT - STRIDE :]
-    g["query"] = np.einsum("nqa,nqb->ab", late, d_query)
-    g["key"] = np.einsum("nka,nkb->ab", x, d_key)
-    g["value"] = np.einsum("nka,nkb->ab", x, d_value)
-    d_x = d_key @ w["key"].T + d_value @ w["value"].T
-    d_x[:, CONTEXT - STRIDE :] += d_hidden + d_query @ w["query"].T
+    g["query"] = product(x[:, CONTEXT - STRIDE :], d_query)
+    g["key"] = product(x, d_key)
+    g["value"] = product(x, d_value)
+    d_x = d_key @ w["key"].T
+    d_x += d_value @ w["value"].T
+    d_hidden += d_query @ w["query"].T
+    d_x[:, CONTEXT - STRIDE :] += d_hidden
     g["place"] = d_x.sum(axis=0)
-    read, place = np.unique(ids, return_inverse=True)
-    rows = np.zeros((len(read), WIDTH), d_x.dtype)
-    np.add.at(rows, place.ravel(), d_x.reshape(-1, WIDTH))
-    rows[read == PAD_ID] = 0
-    g["embed"] = (read, rows)
+    # Padding wraps to the last row, which stays zero.
+    flat_ids = ids.ravel() % (IDS + 1)
+    order = order_of(flat_ids)
+    read = flat_ids[order]
+    first = np.flatnonzero(np.diff(read, prepend=-1))
+    rows = np.add.reduceat(d_x.reshape(-1, WIDTH)[order], first, axis=0)
+    rows[read[first] == IDS] = 0
+    g["embed"] = (read[first], rows)
     return loss / max(1, real.sum()), g
 
 
+def product(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return left.reshape(-1, WIDTH).T @ right.reshape(-1, WIDTH)
+
+
 def windows(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Input windows, targets of their last STRIDE ids (padding -1), and the text each belongs to."""
     inputs, targets, owner = [], [], []
     lead = CONTEXT - STRIDE
     for k, own in enumerate(ids):
         n = -(-len(own) // STRIDE)
-        goal = np.full(n * STRIDE, PAD_ID, np.int64)
+        goal = np.full(n * STRIDE, PAD_ID, np.int32)
         goal[: len(own)] = own
-        before = np.full(lead + n * STRIDE, PAD_ID, np.int64)
+        before = np.full(lead + n * STRIDE, PAD_ID, np.int32)
         before[lead] = START_ID
         before[lead + 1 : lead + len(own)] = own[:-1]
         inputs.append(np.lib.stride_tricks.sliding_window_view(before, CONTEXT)[::STRIDE])
@@ -213,39 +241,108 @@ def windows(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(inputs), np.concatenate(targets), np.concatenate(owner)
 
 
+class Learner:
+    """Adam from given weights; tables move only in the rows that were read, whose uses are counted."""
+
+    def __init__(self, w: dict[str, np.ndarray], biases: list[np.ndarray], rate: float):
+        self.w, self.biases, self.rate, self.step = w, biases, rate, 0
+        self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
+        self.uses = {k: np.zeros(len(v), np.int64) for k, v in w.items()}
+
+    def learn(self, inputs: np.ndarray, targets: np.ndarray, progress: float) -> None:
+        """One step; progress is the share of the work that is done, 0 to 1."""
+        _, g = gradients(self.w, self.biases, inputs, targets)
+        self.step += 1
+        rate = self.rate * max(0.02, min(1.0, 2 * (1 - progress)))
+        rate *= math.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step)
+        for name, gradient in g.items():
+            at, gradient = gradient if isinstance(gradient, tuple) else (slice(None), gradient)
+            m, v = self.moments[name]
+            here = m[at]
+            here *= np.float32(0.9)
+            here += np.float32(0.1) * gradient
+            m[at] = here
+            much = v[at]
+            much *= np.float32(0.99)
+            gradient *= gradient
+            much += np.float32(0.01) * gradient
+            v[at] = much
+            # Whole tables are views, so nothing in place from here on.
+            self.w[name][at] -= here * np.float32(rate) / (np.sqrt(much) + np.float32(1e-9))
+            self.uses[name][at] += 1
+
+
+def least_windows() -> int:
+    """Windows that one run of steps reads at least; smaller corpora are read several times."""
+    return TRAINING_STEPS * BATCH
+
+
 def train(ids: list[np.ndarray], biases: list[np.ndarray], seed: int = SEED) -> dict[str, np.ndarray]:
-    """Adam over random windows of the sample; tables move only in the rows that were read."""
+    """New weights, fitted in this process to every window of the texts, in one or more passes."""
     rng = np.random.default_rng(seed)
     w = new_weights(rng)
     if not ids:
         return w
     inputs, targets, _ = windows(ids)
-    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
-    for step in range(1, TRAINING_STEPS + 1):
-        some = rng.integers(0, len(inputs), BATCH)
-        _, g = gradients(w, biases, inputs[some], targets[some])
-        rate = RATE * min(1.0, 2 * (1 - (step - 1) / TRAINING_STEPS))
-        for name, gradient in g.items():
-            at, gradient = gradient if isinstance(gradient, tuple) else (..., gradient)
-            m, v = moments[name]
-            m[at] = 0.9 * m[at] + 0.1 * gradient
-            v[at] = 0.99 * v[at] + 0.01 * gradient * gradient
-            w[name][at] -= (rate * (m[at] / (1 - 0.9**step)) /
-                            (np.sqrt(v[at] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+    learner = Learner(w, biases, RATE)
+    passes = -(-least_windows() // len(inputs))
+    for k in range(passes):
+        order = rng.permutation(len(inputs))
+        for at in range(0, len(order), BATCH):
+            some = order[at : at + BATCH]
+            learner.learn(inputs[some], targets[some], (k + at / len(order)) / passes)
     return w
 
 
+class Scorer:
+    """Log10 probability of texts.  With one layer, keys, values and queries are sums of two rows."""
+
+    def __init__(self, w: dict[str, np.ndarray], biases: list[np.ndarray]):
+        self.w, self.biases = w, biases
+        lead = CONTEXT - STRIDE
+        seen = np.concatenate([w["key"], w["value"] @ w["join"]], axis=1)
+        asks = np.concatenate([w["query"] * np.float32(WIDTH**-0.5), np.eye(WIDTH, dtype=np.float32)], axis=1)
+        # The last column of the seen rows sums the attention.
+        ones = np.ones((len(w["embed"]), 1), np.float32)
+        self.seen = np.concatenate([w["embed"] @ seen, ones], axis=1)
+        self.seen_place = np.concatenate([w["place"] @ seen, np.zeros((CONTEXT, 1), np.float32)], axis=1)
+        self.asks, self.asks_place = w["embed"] @ asks, w["place"][lead:] @ asks
+
+    def hidden(self, ids: np.ndarray) -> np.ndarray:
+        # Padding wraps to the last row.
+        rows = ids % (IDS + 1)
+        seen = self.seen.take(rows, axis=0)
+        seen += self.seen_place
+        asks = self.asks.take(rows[:, CONTEXT - STRIDE :], axis=0)
+        asks += self.asks_place
+        attention = asks[..., :WIDTH] @ seen[..., :WIDTH].transpose(0, 2, 1)
+        np.clip(attention, -REACH, REACH, out=attention)
+        np.exp(attention, out=attention)
+        attention *= MASK
+        # Only a text's first window has padding that a real target could see.
+        first = np.flatnonzero(ids[:, 0] == PAD_ID)
+        attention[first] *= (ids[first] != PAD_ID)[:, None, :]
+        mixed = attention @ seen[..., WIDTH:]
+        mixed[..., :WIDTH] /= mixed[..., WIDTH:] + np.float32(1e-30)
+        mixed[..., :WIDTH] += asks[..., WIDTH:]
+        return mixed[..., :WIDTH].reshape(-1, WIDTH)
+
+    def __call__(self, ids: list[np.ndarray]) -> np.ndarray:
+        total = np.zeros(len(ids))
+        if not ids:
+            return total
+        inputs, targets, owner = windows(ids)
+        for at in range(0, len(inputs), SCORED_WINDOWS):
+            part = slice(at, at + SCORED_WINDOWS)
+            goal = targets[part].ravel()
+            logs = log_shares(self.w, self.biases, self.hidden(inputs[part]), np.maximum(goal, 0))
+            np.add.at(total, owner[part], np.where(goal >= 0, logs, 0).reshape(-1, STRIDE).sum(axis=1, dtype=np.float64))
+        return total / math.log(10)
+
+
 def text_scores(w, biases, ids: list[np.ndarray]) -> np.ndarray:
     """Log10 probability of every text, its windows in batches."""
-    inputs, targets, owner = windows(ids)
-    total = np.zeros(len(ids))
-    for at in range(0, len(inputs), SCORED_WINDOWS):
-        part = slice(at, at + SCORED_WINDOWS)
-        hidden = attend(w, inputs[part])[-1].reshape(-1, WIDTH)
-        goal = targets[part].ravel()
-        logs = log_shares(w, biases, hidden, np.maximum(goal, 0))
-        np.add.at(total, owner[part], np.where(goal >= 0, logs, 0).reshape(-1, STRIDE).sum(axis=1, dtype=np.float64))
-    return total / math.log(10)
+    return Scorer(w, biases)(ids)
 
 
 # ---- words and ids ---------------------------------------------------------------------------
@@ -341,13 +438,145 @@ def subword_counts(counts: DataFrame, vocabulary_path: str) -> np.ndarray:
     return total
 
 
-def training_texts(docs: DataFrame) -> list[str]:
-    """The first texts in hash order; a threshold on the hash goes before the ordering."""
-    rows = docs.count()
+# ---- learning over all training text ---------------------------------------------------------
+
+
+def round_ends(n_ids: float) -> list[float]:
+    """Where the rounds end, as shares of the hash range; the first is at most a least run of steps."""
+    ends = [1.0]
+    while ends[-1] * n_ids > least_windows() * STRIDE:
+        ends.append(ends[-1] / GROWTH)
+    return ends[::-1]
+
+
+def rows_of(w: dict[str, np.ndarray]) -> list[tuple[str, int, int]]:
+    """Each table with the numbers of its first row and of the row behind its last one."""
+    ends = np.cumsum([len(table) for table in w.values()]).tolist()
+    return list(zip(w, [0, *ends[:-1]], ends))
+
+
+MOVES = "slot int, task int, uses long, moved binary"
+
+
+def moves(w, learnt, uses, task: int) -> Iterator[pa.RecordBatch]:
+    """How far the used rows of each table have moved."""
+    for name, first, _ in rows_of(w):
+        used = np.flatnonzero(uses[name])
+        if len(used):
+            moved = (learnt[name][used] - w[name][used]).reshape(len(used), -1)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(used + first, pa.int32()),
+                    pa.array(np.full(len(used), task), pa.int32()),
+                    pa.array(uses[name][used], pa.int64()),
+                    pa.array([row.tobytes() for row in moved], pa.binary()),
+                ],
+                names=["slot", "task", "uses", "moved"],
+            )
+
+
+def mean_moves(rows: DataFrame) -> DataFrame:
+    """The mean move of each row, weighted by its uses; tasks are added in their order."""
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot, total, n, done = None, None, 0, []
+        for batch in batches:
+            for at, uses, moved in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
+                if at != slot:
+                    done += [(slot, (total / n).astype(np.float32).tobytes())] if n else []
+                    slot, total, n = at, 0.0, 0
+                total, n = total + uses * np.frombuffer(moved, np.float32).astype(float), n + uses
+        done += [(slot, (total / n).astype(np.float32).tobytes())] if n else []
+        slots, means = zip(*done) if done else ((), ())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(slots, pa.int32()), pa.array(means, pa.binary())], names=["slot", "moved"]
+        )
+
+    dealt = rows.repartition(SUM_TASKS, "slot").sortWithinPartitions("slot", "task")
+    return dealt.mapInArrow(mean, "slot int, moved binary")
+
+
+def id_lists(column: pa.Array) -> list[np.ndarray]:
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(column.value_lengths().to_numpy())
+    return np.split(flat, ends[:-1]) if len(ends) else []
+
+
+def learn_first(texts: DataFrame, biases: list[np.ndarray]) -> DataFrame:
+    """The moves of new weights over a text table that one task can hold."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = [own for batch in batches for own in id_lists(batch.column(0))]
+        if ids:
+            w = new_weights(np.random.default_rng(SEED))
+            yield from moves(w, train(ids, biases), {k: np.ones(len(v), np.int64) for k, v in w.items()}, 0)
+
+    # In the order of their hashes, as the rows come by a shuffle.
+    return texts.repartition(1).sortWithinPartitions("order", "ids").select("ids").mapInArrow(learn, MOVES)
+
+
+def learn_more(texts: DataFrame, w, biases: list[np.ndarray], task_windows: float) -> DataFrame:
+    """Each task's moves over all windows of its texts, each read once."""
+    shared = texts.sparkSession.sparkContext.broadcast((w, biases))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, biases = shared.value
+        task = TaskContext.get().partitionId()
+        rng = np.random.default_rng([SEED, task])
+        learner = Learner({k: v.copy() for k, v in w.items()}, biases, LATER_RATE)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n_held = n_done = 0
+
+        def learn_held() -> None:
+            nonlocal n_held, n_done
+            inputs, targets = map(np.concatenate, zip(*held))
+            order = rng.permutation(len(inputs))
+            for at in range(0, len(order), LATER_BATCH):
+                some = order[at : at + LATER_BATCH]
+                learner.learn(inputs[some], targets[some], min(1.0, (n_done + at) / task_windows))
+            n_done += len(inputs)
+            held.clear()
+            n_held = 0
+
+        for whole in batches:
+            for batch in slices(whole, 1 << 18):
+                inputs, targets, _ = windows(id_lists(batch.column(0)))
+                held.append((inputs, targets))
+                n_held += len(inputs)
+                if n_held >= MIXED_WINDOWS:
+                    learn_held()
+        if held:
+            learn_held()
+        yield from moves(w, learner.w, learner.uses, task)
+
+    return texts.select("ids").mapInArrow(learn, MOVES)
+
+
+def learn(coded: DataFrame, biases: list[np.ndarray], n_ids: float) -> dict[str, np.ndarray]:
+    """Weights from all windows of ``ids``; ``order`` deals the texts to rounds."""
+    w = new_weights(np.random.default_rng(SEED))
     unit = F.shiftrightunsigned("order", 11) / F.lit(float(1 << 53))
-    near = docs.where(unit * rows < 2.0 * TRAINING_TEXTS + 100)
-    first = near.orderBy("order", "text").limit(TRAINING_TEXTS)
-    return first.select(F.substring("text", 1, TRAINING_CHARS).alias("text")).toArrow()["text"].to_pylist()
+    start = 0.0
+    for end in round_ends(n_ids):
+        texts = coded.where((unit >= start) & (unit < end))
+        if not start:
+            found = learn_first(texts, biases)
+        else:
+            n_windows = (end - start) * n_ids / STRIDE
+            tasks = texts.rdd.getNumPartitions()
+            if end < 1:
+                # Few of the rows of every file: dealt anew, a least run of steps for each task.
+                tasks = math.ceil(n_windows / least_windows())
+                texts = texts.repartition(tasks)
+            found = learn_more(texts, w, biases, n_windows / tasks)
+        tables = rows_of(w)
+        w = {k: v.copy() for k, v in w.items()}
+        rows = mean_moves(found).toArrow()
+        for slot, moved in zip(rows["slot"].to_pylist(), rows["moved"].to_pylist()):
+            name, first = next((name, first) for name, first, behind in tables if slot < behind)
+            table = w[name]
+            table[slot - first] += np.frombuffer(moved, np.float32).reshape(table.shape[1:])
+        start = end
+    return w
 
 
 # ---- operator --------------------------------------------------------------------------------
@@ -376,22 +605,19 @@ def score(
     subwords = subword_counts(counts, vocabulary_path)
     ranks = ranks_of(subwords)
     biases = digit_biases(np.sort(subwords)[::-1])
-    encoder = Encoder(vocabulary_path)
-    sample = encoder([lower_words(t) for t in training_texts(learnt)])
-    weights = train([ranks[own] for own in sample], biases)
     # At most 2 ** FREQUENT_BITS words can have this share of all tokens.
     frequent = counts.where(F.col("c") * (1 << FREQUENT_BITS) >= F.lit(max(1, n))).toArrow()
     known = {w.encode(): c for w, c in zip(frequent["word"].to_pylist(), frequent["c"].to_pylist())}
-    shared = spark.sparkContext.broadcast((weights, biases, ranks, known))
+    shared = spark.sparkContext.broadcast((ranks, known))
 
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, biases, ranks, known = shared.value
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, known = shared.value
         encoder = worker_memory("lm:" + vocabulary_path, lambda: Encoder(vocabulary_path))
         word_logs = WordLogs(encoder.words, known)
         end_log = math.log10(known[b""] + 1) if b"" in known else None
         for whole in batches:
             for batch in slices(whole, 1 << 20):
-                lists = [lower_words(t) for t in batch.column(3).to_pylist()]
+                lists = [lower_words(t) for t in batch.column(4).to_pylist()]
                 coded = encoder.codes(lists)
                 names = encoder.words.names
                 totals, n_known, rest, times, ends = [], [], [], [], [0]
@@ -408,25 +634,39 @@ def score(
                     [pa.array(rest, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())],
                     ["word", "times"],
                 )
-                ids = [ranks[encoder.ids(codes)] for codes in coded]
+                ids = [ranks[encoder.ids(codes)].astype(np.int16) for codes in coded]
+                id_ends = np.cumsum([0, *map(len, ids)])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *batch.columns[:3],
+                        *batch.columns[:4],
                         pa.array([len(own) + 1 for own in lists], pa.int64()),
                         pa.array(n_known, pa.int64()),
                         pa.array(totals, pa.float64()),
-                        pa.array(text_scores(weights, biases, ids), pa.float64()),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words),
+                        pa.ListArray.from_arrays(pa.array(id_ends, pa.int32()), pa.array(np.concatenate(ids))),
                     ],
-                    names=schema.names,
+                    names=coded_schema.names,
                 )
 
-    numbered = source.select("id", "held_out", F.monotonically_increasing_id().alias("row"), "text")
-    kinds = "n_tokens long, known long, logs double, score double, rest array<struct<word:string,times:bigint>>"
-    schema = T.StructType([*numbered.schema.fields[:3], *T.StructType.fromDDL(kinds).fields])
-    scored = written(numbered.mapInArrow(compute, schema), "lm-scores")
+    numbered = source.select("id", "held_out", "order", F.monotonically_increasing_id().alias("row"), "text")
+    kinds = "n_tokens long, known long, logs double, rest array<struct<word:string,times:bigint>>, ids array<smallint>"
+    coded_schema = T.StructType([*numbered.schema.fields[:4], *T.StructType.fromDDL(kinds).fields])
+    coded = written(numbered.mapInArrow(encode, coded_schema), "lm-ids")
+    weights = learn(coded.where(~F.col("held_out")).select("order", "ids"), biases, subwords.sum())
+    model = spark.sparkContext.broadcast((weights, biases))
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*model.value)
+        for whole in batches:
+            for batch in slices(whole, 1 << 19):
+                scores = pa.array(scorer(id_lists(batch.column(6))), pa.float64())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:6], scores], names=schema.names)
+
+    plain = coded.select("id", "held_out", "row", "n_tokens", "known", "logs", "ids")
+    schema = T.StructType([*plain.schema.fields[:6], T.StructField("score", T.DoubleType())])
+    scored = written(plain.mapInArrow(compute, schema), "lm-scores")
     # Words outside the frequent ones: their counts come by a join, none of them is hot.
-    rare = scored.select("row", F.inline("rest")).join(counts, "word").groupBy("row").agg(
+    rare = coded.select("row", F.inline("rest")).join(counts, "word").groupBy("row").agg(
         F.sum("times").alias("rare_known"),
         F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("rare_logs"),
     )
