@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripmill.llm.common import bounded_batches, slices, whole_text, worker_memory, written
+from tripmill.llm.common import bounded_batches, forget, slices, whole_text, worker_memory, written
 from tripmill.llm.fertility import WordIds
 
 CONTEXT = 24
@@ -501,10 +501,11 @@ def id_lists(column: pa.Array) -> list[np.ndarray]:
     return np.split(flat, ends[:-1]) if len(ends) else []
 
 
-def learn_first(texts: DataFrame, biases: list[np.ndarray]) -> DataFrame:
+def learn_first(texts: DataFrame, biases: list[np.ndarray], memory: str) -> DataFrame:
     """The moves of new weights over a text table that one task can hold."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(memory)
         ids = [own for batch in batches for own in id_lists(batch.column(0))]
         if ids:
             w = new_weights(np.random.default_rng(SEED))
@@ -514,11 +515,12 @@ def learn_first(texts: DataFrame, biases: list[np.ndarray]) -> DataFrame:
     return texts.repartition(1).sortWithinPartitions("order", "ids").select("ids").mapInArrow(learn, MOVES)
 
 
-def learn_more(texts: DataFrame, w, biases: list[np.ndarray], task_windows: float) -> DataFrame:
+def learn_more(texts: DataFrame, w, biases: list[np.ndarray], task_windows: float, memory: str) -> DataFrame:
     """Each task's moves over all windows of its texts, each read once."""
     shared = texts.sparkSession.sparkContext.broadcast((w, biases))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(memory)
         w, biases = shared.value
         task = TaskContext.get().partitionId()
         rng = np.random.default_rng([SEED, task])
@@ -551,15 +553,15 @@ def learn_more(texts: DataFrame, w, biases: list[np.ndarray], task_windows: floa
     return texts.select("ids").mapInArrow(learn, MOVES)
 
 
-def learn(coded: DataFrame, biases: list[np.ndarray], n_ids: float) -> dict[str, np.ndarray]:
-    """Weights from all windows of ``ids``; ``order`` deals the texts to rounds."""
+def learn(coded: DataFrame, biases: list[np.ndarray], n_ids: float, memory: str) -> dict[str, np.ndarray]:
+    """Weights from all windows of ``ids``; ``order`` deals the texts to rounds.  Workers need no ``memory`` here."""
     w = new_weights(np.random.default_rng(SEED))
     unit = F.shiftrightunsigned("order", 11) / F.lit(float(1 << 53))
     start = 0.0
     for end in round_ends(n_ids):
         texts = coded.where((unit >= start) & (unit < end))
         if not start:
-            found = learn_first(texts, biases)
+            found = learn_first(texts, biases, memory)
         else:
             n_windows = (end - start) * n_ids / STRIDE
             tasks = texts.rdd.getNumPartitions()
@@ -567,7 +569,7 @@ def learn(coded: DataFrame, biases: list[np.ndarray], n_ids: float) -> dict[str,
                 # Few of the rows of every file: dealt anew, a least run of steps for each task.
                 tasks = math.ceil(n_windows / least_windows())
                 texts = texts.repartition(tasks)
-            found = learn_more(texts, w, biases, n_windows / tasks)
+            found = learn_more(texts, w, biases, n_windows / tasks, memory)
         tables = rows_of(w)
         w = {k: v.copy() for k, v in w.items()}
         rows = mean_moves(found).toArrow()
@@ -592,6 +594,7 @@ def score(
     """Id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``."""
     spark = docs.sparkSession
     bounded_batches(spark)
+    memory = "lm:" + vocabulary_path
     text = whole_text(text_column)
     source = docs.select(
         F.col(id_column).alias("id"),
@@ -612,7 +615,7 @@ def score(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, known = shared.value
-        encoder = worker_memory("lm:" + vocabulary_path, lambda: Encoder(vocabulary_path))
+        encoder = worker_memory(memory, lambda: Encoder(vocabulary_path))
         word_logs = WordLogs(encoder.words, known)
         end_log = math.log10(known[b""] + 1) if b"" in known else None
         for whole in batches:
@@ -652,10 +655,11 @@ def score(
     kinds = "n_tokens long, known long, logs double, rest array<struct<word:string,times:bigint>>, ids array<smallint>"
     coded_schema = T.StructType([*numbered.schema.fields[:4], *T.StructType.fromDDL(kinds).fields])
     coded = written(numbered.mapInArrow(encode, coded_schema), "lm-ids")
-    weights = learn(coded.where(~F.col("held_out")).select("order", "ids"), biases, subwords.sum())
+    weights = learn(coded.where(~F.col("held_out")).select("order", "ids"), biases, subwords.sum(), memory)
     model = spark.sparkContext.broadcast((weights, biases))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(memory)
         scorer = Scorer(*model.value)
         for whole in batches:
             for batch in slices(whole, 1 << 19):

@@ -65,3 +65,10 @@ def worker_memory(key: str, make: Callable[[], Any]) -> Any:
     if key not in kept.__dict__:
         setattr(kept, key, make())
     return getattr(kept, key)
+
+
+def forget(key: str) -> None:
+    """Free what a worker keeps under a name, before tasks that have no use for it."""
+    kept = sys.modules.get("tripmill_worker_memory")
+    if kept is not None:
+        kept.__dict__.pop(key, None)
