@@ -30,6 +30,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,7 @@ from pyspark.sql import types as T
 
 from tripmill.llm.common import bounded_batches, forget, slices, whole_text, worker_memory, written
 from tripmill.llm.fertility import WordIds
+from tripmill.llm.pieces import calls
 
 CONTEXT = 24
 STRIDE = 16
@@ -64,9 +66,11 @@ LATER_RATE = 0.005
 SEED = 42
 SMOOTHING = 0.05
 FREQUENT_BITS = 18
-END_WORD = ""
+END_WORD = b""
 # Distinct words that one task counts before it hands them on.
 COUNTED_WORDS = 300_000
+# Distinct words that a worker remembers, beside those of one batch.
+MET_WORDS = 300_000
 
 
 # ---- the model -------------------------------------------------------------------------------
@@ -102,25 +106,31 @@ MASK = causal_mask()
 # Bounds of attention scores and of logits; exponentials then need no shift.
 REACH = 30.0
 BOUND = 80.0
+ROOT = np.float32(WIDTH**-0.5)
+# Windows whose attention, and targets whose logits, stay in a core's cache.
+CHUNK = 128
+BLOCK = 2048
 
 
-def attend(w: dict[str, np.ndarray], ids: np.ndarray):
-    """All that the scoring and the gradients need, for windows of input ids."""
-    x = w["embed"][ids] + w["place"]
-    query = x[:, CONTEXT - STRIDE :] @ (w["query"] * np.float32(WIDTH**-0.5))
-    key, value = x @ w["key"], x @ w["value"]
-    attention = query @ key.transpose(0, 2, 1)
+def projections(w: dict[str, np.ndarray]) -> np.ndarray:
+    """What an input shows to the positions behind it: its key, turned so that queries are the inputs
+    themselves, and its value, turned to what it adds to the hidden row."""
+    return np.concatenate([w["key"] @ w["query"].T * ROOT, w["value"] @ w["join"]], axis=1)
+
+
+def attend(seen: np.ndarray, asks: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Attention of the scored positions and what it adds to their inputs."""
+    attention = asks @ seen[..., :WIDTH].transpose(0, 2, 1)
     np.clip(attention, -REACH, REACH, out=attention)
     np.exp(attention, out=attention)
     attention *= MASK
-    padded = ids == PAD_ID
-    if padded.any():
-        attention *= ~padded[:, None, :]
-    mixed = attention @ value
-    total = attention.sum(axis=2, keepdims=True) + np.float32(1e-30)
-    mixed /= total
-    hidden = x[:, CONTEXT - STRIDE :] + mixed @ w["join"]
-    return x, query, key, value, (attention, total), mixed, hidden
+    # Only a text's first window has padding that a real target could see.
+    first = np.flatnonzero(ids[:, 0] == PAD_ID)
+    if len(first):
+        attention[first] *= (ids[first] != PAD_ID)[:, None, :]
+    total = attention.reshape(-1, CONTEXT) @ np.ones(CONTEXT, np.float32) + np.float32(1e-30)
+    attention /= total.reshape(-1, STRIDE, 1)
+    return attention, attention @ seen[..., WIDTH:]
 
 
 def digits_of(targets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -130,98 +140,164 @@ def digits_of(targets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(targets >> (s + bits), (targets >> s) & (DIGIT - 1)) for s in shifts]
 
 
-def nodes_of(before: np.ndarray) -> Iterator[tuple[int, slice]]:
-    """Runs of the same prefix; the prefixes are in order."""
-    edges = np.flatnonzero(np.diff(before)) + 1
-    starts = np.concatenate([[0], edges])
-    for a, b in zip(starts.tolist(), [*edges.tolist(), len(before)]):
-        yield int(before[a]), slice(a, b)
+def order_of(targets: np.ndarray) -> np.ndarray:
+    """Stable order of ids, padding last; two bytes an id sort fastest."""
+    return np.argsort(targets.astype(np.uint16), kind="stable")
 
 
-def digit_logits(w, biases, hidden: np.ndarray, level: int, before: np.ndarray) -> np.ndarray:
-    logits = np.empty((len(hidden), DIGIT), np.float32)
-    for node, run in nodes_of(before):
-        np.matmul(hidden[run], w[f"out{level}"][node], out=logits[run])
-        logits[run] += biases[level][node]
-    return np.clip(logits, -BOUND, BOUND, out=logits)
+def outputs(w: dict[str, np.ndarray], biases: list[np.ndarray]) -> list[np.ndarray]:
+    """For each level and prefix, the weights of the digits with their biases as the last row."""
+    return [np.concatenate([w[f"out{k}"], biases[k][:, None, :]], axis=1) for k in range(LEVELS)]
 
 
-def order_of(targets: np.ndarray) -> np.ndarray:
-    """Stable order of ids; two bytes an id sort fastest."""
-    return np.argsort(targets.astype(np.uint16), kind="stable")
+def runs_of(before: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+    """Distinct prefixes of sorted targets, and their runs inside blocks: number, prefix, rows."""
+    edges = np.flatnonzero(np.diff(before)) + 1
+    nodes = before[np.concatenate([[0], edges])]
+    starts = np.union1d(np.append(edges, 0), np.arange(0, len(before), BLOCK))
+    which = np.searchsorted(edges, starts, side="right")
+    ends = np.append(starts[1:], len(before))
+    return nodes, list(zip(which.tolist(), nodes[which].tolist(), starts.tolist(), ends.tolist()))
+
+
+Runs = list[list[tuple[int, int, int, int]]]
+
+
+def logit_blocks(
+    out: list[np.ndarray], flat: np.ndarray, hits: np.ndarray, runs: Runs
+) -> Iterator[tuple[slice, np.ndarray, np.ndarray, Runs]]:
+    """Blocks of rows with the logits of all their digits, where the targets' digits are, and the runs inside."""
+    room = np.empty((min(len(flat), BLOCK), LEVELS, DIGIT), np.float32)
+    rest = [iter(own) for own in runs]
+    for lo in range(0, len(flat), BLOCK):
+        hi = min(lo + BLOCK, len(flat))
+        logits, inside = room[: hi - lo], []
+        for level, own in enumerate(rest):
+            mine = []
+            for run in own:
+                _, node, start, end = run
+                np.matmul(flat[start:end], out[level][node], out=logits[start - lo : end - lo, level])
+                mine.append(run)
+                if end == hi:
+                    break
+            inside.append(mine)
+        np.clip(logits, -BOUND, BOUND, out=logits)
+        yield slice(lo, hi), logits, hits[lo:hi] + np.arange(hi - lo)[:, None] * (LEVELS * DIGIT), inside
+
+
+def hits_of(levels: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    return np.stack([digit + k * DIGIT for k, (_, digit) in enumerate(levels)], axis=1)
+
+
+def with_one(hidden: np.ndarray) -> np.ndarray:
+    """Hidden rows with a 1 for the biases."""
+    return np.concatenate([hidden, np.ones((len(hidden), 1), np.float32)], axis=1)
+
+
+def target_logs(out: list[np.ndarray], flat: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """Natural log probability of every target, 0 for padding; a row of flat ends with 1."""
+    order = order_of(targets)[: np.count_nonzero(targets >= 0)]
+    found = np.zeros(len(targets), np.float32)
+    if len(order):
+        levels = digits_of(targets[order])
+        runs = [runs_of(before)[1] for before, _ in levels]
+        for rows, logits, at, _ in logit_blocks(out, flat.take(order, axis=0), hits_of(levels), runs):
+            total = logits.ravel()[at].sum(axis=1)
+            sums = np.exp(logits, out=logits).reshape(-1, DIGIT) @ np.ones(DIGIT, np.float32)
+            found[order[rows]] = total - np.log(sums).reshape(-1, LEVELS).sum(axis=1)
+    return found
 
 
 def log_shares(w, biases, hidden: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log probability of every target; hidden is (targets, WIDTH)."""
-    order = order_of(targets)
-    hidden, rows = hidden[order], np.arange(len(targets))
-    total = np.zeros(len(targets), np.float32)
-    for level, (before, digit) in enumerate(digits_of(targets[order])):
-        logits = digit_logits(w, biases, hidden, level, before)
-        total += logits[rows, digit]
-        total -= np.log(np.exp(logits, out=logits) @ np.ones(DIGIT, np.float32))
-    found = np.empty_like(total)
-    found[order] = total
-    return found
-
-
-def gradients(w, biases, ids: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss of the real targets (padding is -1) and its gradients."""
-    x, query, key, value, (attention, total), mixed, hidden = attend(w, ids)
-    attention /= total
-    real = (targets >= 0).ravel()
-    goal = np.maximum(targets.ravel(), 0)
-    order = order_of(goal)
-    flat, sorted_real, rows = hidden.reshape(-1, WIDTH)[order], real[order], np.arange(len(goal))
-    weight = (sorted_real / max(1, real.sum())).astype(np.float32)[:, None]
-    d_flat, loss, g = np.zeros_like(flat), 0.0, {}
-    for level, (before, digit) in enumerate(digits_of(goal[order])):
-        share = digit_logits(w, biases, flat, level, before)
+    return target_logs(outputs(w, biases), with_one(hidden), targets)
+
+
+def output_gradients(
+    out: list[np.ndarray], flat: np.ndarray, targets: np.ndarray
+) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Of the summed loss of sorted targets: gradients of the hidden rows, and of the weights of each prefix."""
+    d_flat = np.empty((len(flat), WIDTH), np.float32)
+    levels = digits_of(targets)
+    nodes, runs = zip(*(runs_of(before) for before, _ in levels))
+    own = [np.zeros((len(of_level), WIDTH + 1, DIGIT), np.float32) for of_level in nodes]
+    for _, share, at, inside in logit_blocks(out, flat, hits_of(levels), runs):
+        lo = inside[0][0][2]
         np.exp(share, out=share)
-        share /= (share @ np.ones(DIGIT, np.float32))[:, None]
-        loss -= np.log(share[rows, digit] + 1e-30)[sorted_real].sum()
-        share[rows, digit] -= 1
-        share *= weight
-        nodes = list(nodes_of(before))
-        own = np.empty((len(nodes), WIDTH, DIGIT), np.float32)
-        for k, (node, run) in enumerate(nodes):
-            np.matmul(flat[run].T, share[run], out=own[k])
-            d_flat[run] += share[run] @ w[f"out{level}"][node].T
-        g[f"out{level}"] = (np.array([node for node, _ in nodes]), own)
-    d_hidden = np.empty_like(d_flat)
-    d_hidden[order] = d_flat
-    d_hidden = d_hidden.reshape(hidden.shape)
-    g["join"] = product(mixed, d_hidden)
-    d_mixed = d_hidden @ w["join"].T
-    d_value = attention.transpose(0, 2, 1) @ d_mixed
-    d_scores = d_mixed @ value.transpose(0, 2, 1)
-    # The mean of these under the attention is the share of the mixed value.
-    d_scores -= (d_mixed * mixed) @ np.ones((WIDTH, 1), np.float32)
-    d_scores *= attention
-    # The query already carries the scale.
-    d_query = d_scores @ key * np.float32(WIDTH**-0.5)
-    d_key = d_scores.transpose(0, 2, 1) @ query
-    g["query"] = product(x[:, CONTEXT - STRIDE :], d_query)
-    g["key"] = product(x, d_key)
-    g["value"] = product(x, d_value)
-    d_x = d_key @ w["key"].T
-    d_x += d_value @ w["value"].T
-    d_hidden += d_query @ w["query"].T
-    d_x[:, CONTEXT - STRIDE :] += d_hidden
-    g["place"] = d_x.sum(axis=0)
-    # Padding wraps to the last row, which stays zero.
-    flat_ids = ids.ravel() % (IDS + 1)
-    order = order_of(flat_ids)
-    read = flat_ids[order]
-    first = np.flatnonzero(np.diff(read, prepend=-1))
-    rows = np.add.reduceat(d_x.reshape(-1, WIDTH)[order], first, axis=0)
-    rows[read[first] == IDS] = 0
-    g["embed"] = (read[first], rows)
-    return loss / max(1, real.sum()), g
-
-
-def product(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return left.reshape(-1, WIDTH).T @ right.reshape(-1, WIDTH)
+        sums = share.reshape(-1, DIGIT) @ np.ones(DIGIT, np.float32)
+        share /= sums.reshape(-1, LEVELS, 1)
+        share.reshape(-1)[at] -= 1
+        for level, mine in enumerate(inside):
+            for k, node, start, end in mine:
+                part, behind = share[start - lo : end - lo, level], out[level][node, :WIDTH].T
+                own[level][k] += flat[start:end].T @ part
+                if level:
+                    d_flat[start:end] += part @ behind
+                else:
+                    np.matmul(part, behind, out=d_flat[start:end])
+    return d_flat, [(of_level, g[:, :WIDTH]) for of_level, g in zip(nodes, own)]
+
+
+def gradients(w, out: list[np.ndarray], ids: np.ndarray, targets: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradients of the mean loss of the real targets (padding is -1); out has the outputs of w.
+
+    Inputs enter by rows of their ids, so projections and their gradients are taken once for an id.
+    """
+    lead = CONTEXT - STRIDE
+    by_id = order_of(ids.ravel())
+    used = ids.ravel()[by_id]
+    first = np.flatnonzero(np.diff(used, prepend=-2))
+    slots = np.empty(ids.shape, np.int64)
+    slots.ravel()[by_id] = np.repeat(np.arange(len(first)), np.diff(first, append=len(used)))
+    used = used[first]
+    embed, project = w["embed"][used], projections(w)
+    seen_rows, seen_place, asks_place = embed @ project, w["place"] @ project, w["place"][lead:]
+    flat = np.ones((len(ids), STRIDE, WIDTH + 1), np.float32)
+    parts = [slice(at, at + CHUNK) for at in range(0, len(ids), CHUNK)]
+    kept = []
+    for part in parts:
+        seen = seen_rows.take(slots[part], axis=0)
+        seen += seen_place
+        asks = embed.take(slots[part, lead:], axis=0)
+        asks += asks_place
+        attention, mixed = attend(seen, asks, ids[part])
+        np.add(asks, mixed, out=flat[part, :, :WIDTH])
+        kept.append((seen, asks, attention, mixed))
+    goal = targets.ravel()
+    order = order_of(goal)[: np.count_nonzero(goal >= 0)]
+    share = np.float32(1 / max(1, len(order)))
+    d_hidden, g = np.zeros((len(goal), WIDTH), np.float32), {}
+    if len(order):
+        d_flat, own = output_gradients(out, flat.reshape(-1, WIDTH + 1).take(order, axis=0), goal[order])
+        d_flat *= share
+        d_hidden[order] = d_flat
+        g = {f"out{level}": (nodes, of_level * share) for level, (nodes, of_level) in enumerate(own)}
+    d_hidden = d_hidden.reshape(len(ids), STRIDE, WIDTH)
+    # Of the keys, of the values and of the inputs themselves.
+    d_seen = np.empty((len(ids), CONTEXT, 3 * WIDTH), np.float32)
+    d_seen[:, :lead, 2 * WIDTH :] = 0
+    for part, (seen, asks, attention, mixed) in zip(parts, kept):
+        d_own, found = d_hidden[part], d_seen[part]
+        np.matmul(attention.transpose(0, 2, 1), d_own, out=found[..., WIDTH : 2 * WIDTH])
+        d_scores = d_own @ seen[..., WIDTH:].transpose(0, 2, 1)
+        # The mean of these under the attention is the share of the mixed value.
+        mixed *= d_own
+        d_scores -= (mixed.reshape(-1, WIDTH) @ np.ones(WIDTH, np.float32)).reshape(-1, STRIDE, 1)
+        d_scores *= attention
+        np.matmul(d_scores.transpose(0, 2, 1), asks, out=found[..., :WIDTH])
+        np.add(d_scores @ seen[..., :WIDTH], d_own, out=found[:, lead:, 2 * WIDTH :])
+    d_place = d_seen.sum(axis=0)
+    d_rows = np.add.reduceat(d_seen.reshape(-1, 3 * WIDTH).take(by_id, axis=0), first, axis=0)
+    d_project = embed.T @ d_rows[:, : 2 * WIDTH] + w["place"].T @ d_place[:, : 2 * WIDTH]
+    d_key, d_value = d_project[:, :WIDTH], d_project[:, WIDTH:]
+    g["key"], g["query"] = d_key @ w["query"] * ROOT, d_key.T @ w["key"] * ROOT
+    g["value"], g["join"] = d_value @ w["join"].T, w["value"].T @ d_value
+    g["place"] = d_place[:, : 2 * WIDTH] @ project.T + d_place[:, 2 * WIDTH :]
+    rows = d_rows[:, : 2 * WIDTH] @ project.T + d_rows[:, 2 * WIDTH :]
+    # The row of the padding stays zero.
+    rows[used == PAD_ID] = 0
+    g["embed"] = (used, rows)
+    return g
 
 
 def windows(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -245,13 +321,16 @@ class Learner:
     """Adam from given weights; tables move only in the rows that were read, whose uses are counted."""
 
     def __init__(self, w: dict[str, np.ndarray], biases: list[np.ndarray], rate: float):
-        self.w, self.biases, self.rate, self.step = w, biases, rate, 0
+        self.rate, self.step = rate, 0
+        # The learnt weights of the outputs are views, beside their biases.
+        self.out = outputs(w, biases)
+        self.w = {**w, **{f"out{k}": table[:, :WIDTH] for k, table in enumerate(self.out)}}
         self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
         self.uses = {k: np.zeros(len(v), np.int64) for k, v in w.items()}
 
     def learn(self, inputs: np.ndarray, targets: np.ndarray, progress: float) -> None:
         """One step; progress is the share of the work that is done, 0 to 1."""
-        _, g = gradients(self.w, self.biases, inputs, targets)
+        g = gradients(self.w, self.out, inputs, targets)
         self.step += 1
         rate = self.rate * max(0.02, min(1.0, 2 * (1 - progress)))
         rate *= math.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step)
@@ -265,10 +344,15 @@ class Learner:
             much = v[at]
             much *= np.float32(0.99)
             gradient *= gradient
-            much += np.float32(0.01) * gradient
+            gradient *= np.float32(0.01)
+            much += gradient
             v[at] = much
-            # Whole tables are views, so nothing in place from here on.
-            self.w[name][at] -= here * np.float32(rate) / (np.sqrt(much) + np.float32(1e-9))
+            # Whole tables are views, so nothing in place but the gradient's room from here on.
+            np.sqrt(much, out=gradient)
+            gradient += np.float32(1e-9)
+            np.divide(here, gradient, out=gradient)
+            gradient *= np.float32(rate)
+            self.w[name][at] -= gradient
             self.uses[name][at] += 1
 
 
@@ -291,41 +375,28 @@ def train(ids: list[np.ndarray], biases: list[np.ndarray], seed: int = SEED) ->
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
             learner.learn(inputs[some], targets[some], (k + at / len(order)) / passes)
-    return w
+    return learner.w
 
 
 class Scorer:
-    """Log10 probability of texts.  With one layer, keys, values and queries are sums of two rows."""
+    """Log10 probability of texts.  With one layer, what an input shows and asks is a sum of two rows."""
 
     def __init__(self, w: dict[str, np.ndarray], biases: list[np.ndarray]):
-        self.w, self.biases = w, biases
-        lead = CONTEXT - STRIDE
-        seen = np.concatenate([w["key"], w["value"] @ w["join"]], axis=1)
-        asks = np.concatenate([w["query"] * np.float32(WIDTH**-0.5), np.eye(WIDTH, dtype=np.float32)], axis=1)
-        # The last column of the seen rows sums the attention.
-        ones = np.ones((len(w["embed"]), 1), np.float32)
-        self.seen = np.concatenate([w["embed"] @ seen, ones], axis=1)
-        self.seen_place = np.concatenate([w["place"] @ seen, np.zeros((CONTEXT, 1), np.float32)], axis=1)
-        self.asks, self.asks_place = w["embed"] @ asks, w["place"][lead:] @ asks
+        self.out, self.asks, self.asks_place = outputs(w, biases), w["embed"], w["place"][CONTEXT - STRIDE :]
+        self.seen, self.seen_place = w["embed"] @ projections(w), w["place"] @ projections(w)
 
     def hidden(self, ids: np.ndarray) -> np.ndarray:
-        # Padding wraps to the last row.
-        rows = ids % (IDS + 1)
-        seen = self.seen.take(rows, axis=0)
-        seen += self.seen_place
-        asks = self.asks.take(rows[:, CONTEXT - STRIDE :], axis=0)
-        asks += self.asks_place
-        attention = asks[..., :WIDTH] @ seen[..., :WIDTH].transpose(0, 2, 1)
-        np.clip(attention, -REACH, REACH, out=attention)
-        np.exp(attention, out=attention)
-        attention *= MASK
-        # Only a text's first window has padding that a real target could see.
-        first = np.flatnonzero(ids[:, 0] == PAD_ID)
-        attention[first] *= (ids[first] != PAD_ID)[:, None, :]
-        mixed = attention @ seen[..., WIDTH:]
-        mixed[..., :WIDTH] /= mixed[..., WIDTH:] + np.float32(1e-30)
-        mixed[..., :WIDTH] += asks[..., WIDTH:]
-        return mixed[..., :WIDTH].reshape(-1, WIDTH)
+        """Hidden rows of windows; each ends with 1."""
+        flat = np.ones((len(ids), STRIDE, WIDTH + 1), np.float32)
+        for at in range(0, len(ids), CHUNK):
+            # Padding wraps to the last row.
+            rows = ids[at : at + CHUNK]
+            seen = self.seen.take(rows, axis=0)
+            seen += self.seen_place
+            asks = self.asks.take(rows[:, CONTEXT - STRIDE :], axis=0)
+            asks += self.asks_place
+            np.add(asks, attend(seen, asks, rows)[1], out=flat[at : at + CHUNK, :, :WIDTH])
+        return flat.reshape(-1, WIDTH + 1)
 
     def __call__(self, ids: list[np.ndarray]) -> np.ndarray:
         total = np.zeros(len(ids))
@@ -334,9 +405,8 @@ class Scorer:
         inputs, targets, owner = windows(ids)
         for at in range(0, len(inputs), SCORED_WINDOWS):
             part = slice(at, at + SCORED_WINDOWS)
-            goal = targets[part].ravel()
-            logs = log_shares(self.w, self.biases, self.hidden(inputs[part]), np.maximum(goal, 0))
-            np.add.at(total, owner[part], np.where(goal >= 0, logs, 0).reshape(-1, STRIDE).sum(axis=1, dtype=np.float64))
+            logs = target_logs(self.out, self.hidden(inputs[part]), targets[part].ravel())
+            np.add.at(total, owner[part], logs.reshape(-1, STRIDE).sum(axis=1, dtype=np.float64))
         return total / math.log(10)
 
 
@@ -348,21 +418,55 @@ def text_scores(w, biases, ids: list[np.ndarray]) -> np.ndarray:
 # ---- words and ids ---------------------------------------------------------------------------
 
 
-class Encoder:
-    """Subword ids of word lists, each distinct word encoded once; an end closes each list."""
+class Codes(dict):
+    """Numbers of words; a new word gets the next one as it is met."""
 
-    def __init__(self, path: str):
-        self.words = WordIds(path)
+    def __init__(self):
+        self.names: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = len(self.names)
+        self.names.append(word)
+        return code
 
-    def codes(self, lists: list[list[bytes]]) -> list[np.ndarray]:
-        self.words.learn(set().union(*lists))
-        return list(map(self.words.codes_of, lists))
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
-    def ids(self, codes: np.ndarray) -> np.ndarray:
-        return np.append(self.words.ids_of(codes)[0], END_ID)
+
+class EndedWords(WordIds):
+    """Subword ids of words, each encoded once as it is met; the end is a word of one id."""
+
+    def clear(self) -> None:
+        super().clear()
+        self.code = Codes()
+        self.names = self.code.names
+
+    def met(self, words: list[bytes]) -> np.ndarray:
+        """The codes of words, which hold until the next call."""
+        if len(self.code) > MET_WORDS:
+            self.clear()
+        codes = self.code.of(words)
+        fresh = self.names[len(self.start) - 1 :]
+        if fresh:
+            found: list[list[int]] = []
+            for group in calls(w.decode() for w in fresh):
+                found += self.model.encode(group, num_threads=1)
+            found = [ids if word else [END_ID] for word, ids in zip(fresh, found)]
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.int32)])
+            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(lengths)])
+        return codes
+
+
+class Encoder:
+    """Subword ids of word lists; an end closes each list."""
+
+    def __init__(self, path: str):
+        self.words = EndedWords(path)
 
     def __call__(self, lists: list[list[bytes]]) -> list[np.ndarray]:
-        return list(map(self.ids, self.codes(lists)))
+        own = [self.words.ids_of(self.words.met([*words, END_WORD]))[0] for words in lists]
+        return [ids.astype(np.int64) for ids in own]
 
 
 class WordLogs:
@@ -393,6 +497,14 @@ def lower_words(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
+def ended_words(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
+    """The words of all texts, an end behind each text, and how many each text has with its end."""
+    lists = [lower_words(text) for text in texts]
+    for words in lists:
+        words.append(END_WORD)
+    return list(chain.from_iterable(lists)), np.fromiter(map(len, lists), np.int64, len(lists))
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """``word`` and ``c`` over whole texts, ends included; summed in the tasks before the shuffle."""
 
@@ -402,7 +514,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             for batch in slices(whole):
                 for text in batch.column(0).to_pylist():
                     seen.update(lower_words(text))
-                seen[b""] += batch.num_rows
+                seen[END_WORD] += batch.num_rows
                 if len(seen) > COUNTED_WORDS:
                     yield counted(seen)
                     seen = Counter()
@@ -420,15 +532,11 @@ def subword_counts(counts: DataFrame, vocabulary_path: str) -> np.ndarray:
     """Counts of all ids in the training text, from its distinct words; IDS numbers at most."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_memory("lm:" + vocabulary_path, lambda: Encoder(vocabulary_path))
+        words = worker_memory("lm:" + vocabulary_path, lambda: Encoder(vocabulary_path)).words
         total = np.zeros(IDS)
         for batch in batches:
-            words = [w.encode() for w in batch.column(0).to_pylist()]
-            weights = batch.column(1).to_numpy()
-            real = np.array([bool(w) for w in words], bool)
-            total[END_ID] += weights[~real].sum()
-            ids, lengths = encoder.words.ids_of(encoder.codes([[w for w in words if w]])[0])
-            total += np.bincount(ids, weights=np.repeat(weights[real], lengths), minlength=IDS)
+            ids, lengths = words.ids_of(words.met([w.encode() for w in batch.column(0).to_pylist()]))
+            total += np.bincount(ids, weights=np.repeat(batch.column(1).to_numpy(), lengths), minlength=IDS)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found])], names=["id", "c"])
 
@@ -497,8 +605,8 @@ def mean_moves(rows: DataFrame) -> DataFrame:
 
 
 def id_lists(column: pa.Array) -> list[np.ndarray]:
-    flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(column.value_lengths().to_numpy())
-    return np.split(flat, ends[:-1]) if len(ends) else []
+    """The ids of each text, kept as two bytes each; Spark then moves a text as one value."""
+    return [np.frombuffer(own, np.int16) for own in column.to_pylist()]
 
 
 def learn_first(texts: DataFrame, biases: list[np.ndarray], memory: str) -> DataFrame:
@@ -611,48 +719,45 @@ def score(
     # At most 2 ** FREQUENT_BITS words can have this share of all tokens.
     frequent = counts.where(F.col("c") * (1 << FREQUENT_BITS) >= F.lit(max(1, n))).toArrow()
     known = {w.encode(): c for w, c in zip(frequent["word"].to_pylist(), frequent["c"].to_pylist())}
-    shared = spark.sparkContext.broadcast((ranks, known))
+    shared = spark.sparkContext.broadcast((ranks.astype(np.int16), known))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, known = shared.value
-        encoder = worker_memory(memory, lambda: Encoder(vocabulary_path))
-        word_logs = WordLogs(encoder.words, known)
-        end_log = math.log10(known[b""] + 1) if b"" in known else None
+        words = worker_memory(memory, lambda: Encoder(vocabulary_path)).words
+        word_logs = WordLogs(words, known)
         for whole in batches:
             for batch in slices(whole, 1 << 20):
-                lists = [lower_words(t) for t in batch.column(4).to_pylist()]
-                coded = encoder.codes(lists)
-                names = encoder.words.names
-                totals, n_known, rest, times, ends = [], [], [], [], [0]
-                for codes in coded:
-                    logs = word_logs(codes)
-                    here = ~np.isnan(logs)
-                    totals.append(float(logs[here].sum()) + (end_log or 0.0))
-                    n_known.append(int(here.sum()) + (end_log is not None))
-                    others, often = np.unique(codes[~here], return_counts=True)
-                    rest += [names[k] for k in others.tolist()] + [b""] * (end_log is None)
-                    times += often.tolist() + [1] * (end_log is None)
-                    ends.append(len(rest))
-                words = pa.StructArray.from_arrays(
-                    [pa.array(rest, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())],
+                met, n_words = ended_words(batch.column(4).to_pylist())
+                codes, rows = words.met(met), np.repeat(np.arange(len(n_words)), n_words)
+                logs = word_logs(codes)
+                rare = np.isnan(logs)
+                n_known = np.bincount(rows[~rare], minlength=len(n_words))
+                totals = np.bincount(rows[~rare], weights=logs[~rare], minlength=len(n_words))
+                # A row's other words, each once with its count.
+                others, times = np.unique(rows[rare] << 32 | codes[rare], return_counts=True)
+                names = list(map(words.names.__getitem__, (others & 0xFFFFFFFF).tolist()))
+                rest = pa.StructArray.from_arrays(
+                    [pa.array(names, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())],
                     ["word", "times"],
                 )
-                ids = [ranks[encoder.ids(codes)].astype(np.int16) for codes in coded]
-                id_ends = np.cumsum([0, *map(len, ids)])
+                ids, lengths = words.ids_of(codes)
+                id_ends = np.cumsum(lengths)[np.cumsum(n_words) - 1]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *batch.columns[:4],
-                        pa.array([len(own) + 1 for own in lists], pa.int64()),
+                        pa.array(n_words, pa.int64()),
                         pa.array(n_known, pa.int64()),
                         pa.array(totals, pa.float64()),
-                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words),
-                        pa.ListArray.from_arrays(pa.array(id_ends, pa.int32()), pa.array(np.concatenate(ids))),
+                        pa.ListArray.from_arrays(
+                            pa.array(np.searchsorted(others >> 32, np.arange(len(n_words) + 1)), pa.int32()), rest
+                        ),
+                        pa.array([own.tobytes() for own in np.split(ranks[ids], id_ends[:-1])], pa.binary()),
                     ],
                     names=coded_schema.names,
                 )
 
     numbered = source.select("id", "held_out", "order", F.monotonically_increasing_id().alias("row"), "text")
-    kinds = "n_tokens long, known long, logs double, rest array<struct<word:string,times:bigint>>, ids array<smallint>"
+    kinds = "n_tokens long, known long, logs double, rest array<struct<word:string,times:bigint>>, ids binary"
     coded_schema = T.StructType([*numbered.schema.fields[:4], *T.StructType.fromDDL(kinds).fields])
     coded = written(numbered.mapInArrow(encode, coded_schema), "lm-ids")
     weights = learn(coded.where(~F.col("held_out")).select("order", "ids"), biases, subwords.sum(), memory)
@@ -670,7 +775,7 @@ def score(
     schema = T.StructType([*plain.schema.fields[:6], T.StructField("score", T.DoubleType())])
     scored = written(plain.mapInArrow(compute, schema), "lm-scores")
     # Words outside the frequent ones: their counts come by a join, none of them is hot.
-    rare = coded.select("row", F.inline("rest")).join(counts, "word").groupBy("row").agg(
+    rare = coded.select("row", F.inline("rest")).join(counts.hint("shuffle_hash"), "word").groupBy("row").agg(
         F.sum("times").alias("rare_known"),
         F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("rare_logs"),
     )
