@@ -65,7 +65,7 @@ RATE = 0.01
 LATER_RATE = 0.005
 SEED = 42
 SMOOTHING = 0.05
-FREQUENT_BITS = 18
+FREQUENT_BITS = 20
 END_WORD = b""
 # Distinct words that one task counts before it hands them on.
 COUNTED_WORDS = 300_000
@@ -109,7 +109,7 @@ BOUND = 80.0
 ROOT = np.float32(WIDTH**-0.5)
 # Windows whose attention, and targets whose logits, stay in a core's cache.
 CHUNK = 128
-BLOCK = 2048
+BLOCK = 1024
 
 
 def projections(w: dict[str, np.ndarray]) -> np.ndarray:
@@ -166,27 +166,28 @@ Runs = list[list[tuple[int, int, int, int]]]
 def logit_blocks(
     out: list[np.ndarray], flat: np.ndarray, hits: np.ndarray, runs: Runs
 ) -> Iterator[tuple[slice, np.ndarray, np.ndarray, Runs]]:
-    """Blocks of rows with the logits of all their digits, where the targets' digits are, and the runs inside."""
-    room = np.empty((min(len(flat), BLOCK), LEVELS, DIGIT), np.float32)
+    """Blocks of rows with the logits of all digits by level, where the targets' digits are, and the runs inside."""
+    room = np.empty(LEVELS * min(len(flat), BLOCK) * DIGIT, np.float32)
     rest = [iter(own) for own in runs]
     for lo in range(0, len(flat), BLOCK):
         hi = min(lo + BLOCK, len(flat))
-        logits, inside = room[: hi - lo], []
+        logits, inside = room[: LEVELS * (hi - lo) * DIGIT].reshape(LEVELS, hi - lo, DIGIT), []
         for level, own in enumerate(rest):
             mine = []
             for run in own:
                 _, node, start, end = run
-                np.matmul(flat[start:end], out[level][node], out=logits[start - lo : end - lo, level])
+                np.matmul(flat[start:end], out[level][node], out=logits[level, start - lo : end - lo])
                 mine.append(run)
                 if end == hi:
                     break
             inside.append(mine)
         np.clip(logits, -BOUND, BOUND, out=logits)
-        yield slice(lo, hi), logits, hits[lo:hi] + np.arange(hi - lo)[:, None] * (LEVELS * DIGIT), inside
+        at = hits[:, lo:hi] + np.arange(LEVELS * (hi - lo)).reshape(LEVELS, -1) * DIGIT
+        yield slice(lo, hi), logits, at, inside
 
 
 def hits_of(levels: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    return np.stack([digit + k * DIGIT for k, (_, digit) in enumerate(levels)], axis=1)
+    return np.stack([digit for _, digit in levels])
 
 
 def with_one(hidden: np.ndarray) -> np.ndarray:
@@ -202,9 +203,9 @@ def target_logs(out: list[np.ndarray], flat: np.ndarray, targets: np.ndarray) ->
         levels = digits_of(targets[order])
         runs = [runs_of(before)[1] for before, _ in levels]
         for rows, logits, at, _ in logit_blocks(out, flat.take(order, axis=0), hits_of(levels), runs):
-            total = logits.ravel()[at].sum(axis=1)
+            total = logits.ravel()[at].sum(axis=0)
             sums = np.exp(logits, out=logits).reshape(-1, DIGIT) @ np.ones(DIGIT, np.float32)
-            found[order[rows]] = total - np.log(sums).reshape(-1, LEVELS).sum(axis=1)
+            found[order[rows]] = total - np.log(sums).reshape(LEVELS, -1).sum(axis=0)
     return found
 
 
@@ -225,11 +226,11 @@ def output_gradients(
         lo = inside[0][0][2]
         np.exp(share, out=share)
         sums = share.reshape(-1, DIGIT) @ np.ones(DIGIT, np.float32)
-        share /= sums.reshape(-1, LEVELS, 1)
+        share /= sums.reshape(LEVELS, -1, 1)
         share.reshape(-1)[at] -= 1
         for level, mine in enumerate(inside):
             for k, node, start, end in mine:
-                part, behind = share[start - lo : end - lo, level], out[level][node, :WIDTH].T
+                part, behind = share[level, start - lo : end - lo], out[level][node, :WIDTH].T
                 own[level][k] += flat[start:end].T @ part
                 if level:
                     d_flat[start:end] += part @ behind
@@ -440,12 +441,25 @@ class EndedWords(WordIds):
         super().clear()
         self.code = Codes()
         self.names = self.code.names
+        self.uses = np.zeros(0, np.int64)
+
+    def forget_rare(self) -> None:
+        """Keep the words met twice or more, half of the bound at most; codes become others."""
+        kept = np.argsort(-self.uses, kind="stable")[: min(MET_WORDS // 2, np.count_nonzero(self.uses > 1))]
+        names, uses = list(map(self.names.__getitem__, kept.tolist())), self.uses[kept] // 2
+        ids, lengths = self.ids_of(kept)
+        self.clear()
+        self.code.of(names)
+        self.uses, self.ids, self.start = uses, ids, np.append(0, np.cumsum(lengths))
 
     def met(self, words: list[bytes]) -> np.ndarray:
         """The codes of words, which hold until the next call."""
         if len(self.code) > MET_WORDS:
-            self.clear()
+            self.forget_rare()
         codes = self.code.of(words)
+        uses = np.bincount(codes, minlength=len(self.code))
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
         fresh = self.names[len(self.start) - 1 :]
         if fresh:
             found: list[list[int]] = []
