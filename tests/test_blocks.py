@@ -56,3 +56,47 @@ def test_packed_batches_have_every_row_once(spark):
         table.unpersist()
     assert sum(sizes) == 30_000 and len(sizes) < 100
     assert np.allclose(sums, points.agg(F.sum("x"), F.sum("y")).first())
+
+
+def test_rounds_of_long_chains_have_tables_of_their_own(spark, monkeypatch):
+    """A task holds a bounded part of a chain, and the same batches come in the same order."""
+    points = leveled_points(spark).select(F.lit(0).alias(kmeans.LEVEL), F.xxhash64(ROW_ID).bitwiseAND(2**52 - 1).alias("priority"), ROW_ID, *AXES)
+
+    def dealt(task_rows):
+        monkeypatch.setattr(minibatch, "TASK_ROWS", task_rows, raising=False)
+        cells, largest, turn = [], 0, 0
+        for table, rounds in minibatch.dealt(points, [minibatch.Run(30_000, 100)]):
+            for row in table.where("whole").groupBy("chain", "round").agg(F.collect_list(ROW_ID).alias("ids")).collect():
+                cells.append((turn + row["round"], row["chain"], row["ids"]))
+            largest = max(largest, max(r["count"] for r in table.groupBy(F.spark_partition_id()).count().collect()))
+            turn += rounds
+            table.unpersist()
+        return sorted(cells), largest
+
+    bounded, most = dealt(1_000)
+    together, all_rounds = dealt(1_000_000)
+    # 32 cells of about 940 rows, one in a task, and 1,600 rows left; or the four rounds of a chain.
+    assert most < 2_000 < 3_000 < all_rounds
+    assert bounded == together
+
+
+def test_fits_do_not_depend_on_the_tables_of_their_rounds(spark, monkeypatch):
+    points = leveled_points(spark).drop(kmeans.LEVEL)
+    starts = {"all": [np.array([[1.0, 2.0], [8.0, 3.0]]), np.array([[5.0, 12.0], [9.0, 1.0]])]}
+    fits = []
+    for task_rows in (1_000, 2_500, 1_000_000):
+        monkeypatch.setattr(minibatch, "TASK_ROWS", task_rows, raising=False)
+        fits.append(minibatch.fit_runs(points, AXES, ROW_ID, {"all": minibatch.Run(30_000, 100, 2)}, starts)["all"])
+    assert all(np.allclose(fit.centers, fits[0].centers) and fit.sizes == fits[0].sizes for fit in fits)
+    assert all(fit.iterations == 600 and fit.update_rows == 100 for fit in fits)
+
+
+def test_growing_tables_leave_the_heap_to_the_tasks(spark, monkeypatch):
+    """Blocks and dealt batches are read many times and as large as the input: none of them is kept in memory."""
+    levels = []
+    persist = type(spark.range(0)).persist
+    monkeypatch.setattr(type(spark.range(0)), "persist", lambda self, *level: levels.append(level) or persist(self, *level))
+    points = leveled_points(spark).drop(kmeans.LEVEL)
+    kmeans.fit_kmeans(points, AXES, 2, ROW_ID, restarts=1, max_iterations=1)
+    minibatch.fit_minibatch(points, AXES, 2, ROW_ID, 30_000, restarts=1, passes=1)
+    assert len(levels) >= 3 and not any(level.useMemory for level, in levels)

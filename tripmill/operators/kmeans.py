@@ -17,7 +17,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +24,7 @@ from tripmill.functions.geometry import MAX_LITERALS, distance_array, nearest_co
 from tripmill.functions.geometry import nearest_of, with_nearest
 from tripmill.operators.sampling import spread
 from tripmill.schema import SEED
-from tripmill.session import bounded_batches
+from tripmill.session import KEPT, bounded_batches
 
 # Estimator settings.
 RESTARTS = 10
@@ -264,7 +263,7 @@ def drawn_starts(
     cluster) are weighted by the rows nearest to them, and the k centers come from those.
     """
     if not is_packed(df):
-        blocks = packed(df, columns, key, limits is not None).persist(StorageLevel.MEMORY_AND_DISK)
+        blocks = packed(df, columns, key, limits is not None).persist(KEPT)
         try:
             return drawn_starts(blocks, columns, key, wanted, limits)
         finally:
@@ -540,7 +539,7 @@ def fit_many(
     """
     if not is_packed(points):
         names = [name for name in points.columns if limits is None or name != LEVEL]
-        blocks = packed(points, names, None, limits is not None).persist(StorageLevel.MEMORY_AND_DISK)
+        blocks = packed(points, names, None, limits is not None).persist(KEPT)
         try:
             return fit_many(blocks, starts, max_iterations, tolerance, limits)
         finally:
@@ -589,7 +588,7 @@ def fit_kmeans(
     max_iterations: int = MAX_ITERATIONS,
     tolerance: float = TOLERANCE,
 ) -> Fit:
-    blocks = packed(df, columns, key).persist(StorageLevel.MEMORY_AND_DISK)
+    blocks = packed(df, columns, key).persist(KEPT)
     try:
         starts = drawn_starts(blocks, columns, key, {k: (k, seed, restarts)})
         return fit_many(blocks, {k: distinct_centers(starts[k])}, max_iterations, tolerance)[k]

@@ -14,12 +14,13 @@ nested prefixes of the rows.  The driver holds centers and their weights.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Hashable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,7 +40,7 @@ from tripmill.operators.kmeans import (
     unpack,
 )
 from tripmill.schema import SEED
-from tripmill.session import bounded_batches
+from tripmill.session import KEPT, bounded_batches
 
 # Estimator settings.
 BATCH_ROWS = 1_000
@@ -57,6 +58,9 @@ ROUNDS = 4
 CHAIN_BATCHES = 4
 MOST_CHAINS = 8
 CHAIN_ROWS = 2_000_000
+# Rounds of a chain share a table while a task sorts and keeps about so many rows; else tables have fewer
+# rounds, down to one.
+TASK_ROWS = 1_000_000
 # Rows are dealt independently of the samples the points may come from.
 BLOCK_SEED = 7
 
@@ -168,6 +172,8 @@ def dealt(points: DataFrame, runs: Sequence[Run], pack: bool = False) -> list[tu
 
     ``points`` has a level, a priority and the coordinates.  In all but the last table the whole rows of
     each (run, chain, round) are a multiple of the run's batch; the other rows are in later tables.
+    Long chains have their rounds in several tables one after another, so a task holds a bounded number
+    of rows at any table size; ``round`` counts from 0 in each.
     Packed tables hold the whole rows in blocks of one or more batches, as bytes in ``points``.
     """
     names = ["run", "chain", "round", "priority", *[c for c in points.columns if c not in (LEVEL, "priority")]]
@@ -177,38 +183,52 @@ def dealt(points: DataFrame, runs: Sequence[Run], pack: bool = False) -> list[tu
     left = points.withColumn("run", F.explode(F.filter(F.array(*entries), lambda i: i.isNotNull()))).drop(LEVEL)
     rows = [run.rows for run in runs]
     tables: list[tuple[DataFrame, int]] = []
+    deals = 0
     while any(rows):
         chains = [chains_of(n, run.batch_rows) if n else 0 for n, run in zip(rows, runs)]
         # What is dealt again is few rows, so one round takes it.
-        rounds = [ROUNDS if n > 1 and not tables else 1 for n in chains]
+        rounds = [ROUNDS if n > 1 and not deals else 1 for n in chains]
         first = np.cumsum([0, *chains]).tolist()
 
         def of_run(values: Sequence[int]):
             return F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("run") + 1)
 
-        turn = hash_priority(F.col("priority"), BLOCK_SEED + len(tables))
+        turn = hash_priority(F.col("priority"), BLOCK_SEED + deals)
         cell = F.floor(unit_interval(F.col("turn")) * of_run([c * r for c, r in zip(chains, rounds)]))
         own = of_run([max(1, c) for c in chains])
         placed = left.withColumn("turn", turn).withColumns(
             {"chain": (of_run(first) + cell % own).cast("int"), "round": F.floor(cell / own).cast("int")}
         )
-        # Rounds come first, so a round is one run of the cached rows of a task.
-        ordered = (
-            placed.repartitionById(first[-1], F.col("chain"))
-            # A partition is one chain, and one number orders it: rounds, then turns (52 bits).
-            .sortWithinPartitions(F.shiftleft(F.col("round").cast("bigint"), PRIORITY_BITS) + F.col("turn"))
-            .select(*names)
-        )
-        schema = T.StructType([T.StructField(f.name, f.dataType) for f in ordered.schema]).add("whole", "boolean")
-        if pack:
-            schema = schema.add("points", "binary")
         cut = _Batches([run.batch_rows for run in runs], [n == 1 for n in chains], pack)
-        placed = ordered.mapInArrow(cut, schema).persist(StorageLevel.MEMORY_AND_DISK)
-        counted = placed.where(~F.col("whole")).groupBy("run").agg(F.count(F.lit(1)).alias("rows"))
-        over = {r["run"]: r["rows"] for r in counted.collect()}
-        tables.append((placed, max(rounds)))
-        rows = [over.get(i, 0) for i in range(len(runs))]
-        left = placed.where(~F.col("whole")).select("run", *names[3:])
+        every = max(rounds)
+        longest = max(n // (c * r) for n, c, r in zip(rows, chains, rounds) if c)
+        together = max(1, min(every, TASK_ROWS // max(1, longest)))
+        over, behind = Counter(), []
+        for begin in range(0, every, together):
+            end = min(every, begin + together)
+            some = placed
+            if together < every:
+                some = placed.where(F.col("round").between(begin, end - 1))
+                some = some.withColumn("round", F.col("round") - begin)
+            # Rounds come first, so a round is one run of the cached rows of a task.
+            ordered = (
+                some.repartitionById(first[-1], F.col("chain"))
+                # A partition is one chain, and one number orders it: rounds, then turns (52 bits).
+                .sortWithinPartitions(F.shiftleft(F.col("round").cast("bigint"), PRIORITY_BITS) + F.col("turn"))
+                .select(*names)
+            )
+            schema = T.StructType([T.StructField(f.name, f.dataType) for f in ordered.schema]).add("whole", "boolean")
+            if pack:
+                schema = schema.add("points", "binary")
+            table = ordered.mapInArrow(cut, schema).persist(KEPT)
+            rest = table.where(~F.col("whole"))
+            counted = rest.groupBy("run").agg(F.count(F.lit(1)).alias("rows"))
+            over.update({r["run"]: r["rows"] for r in counted.collect()})
+            tables.append((table, end - begin))
+            behind.append(rest.select("run", *names[3:]))
+        rows = [over[i] for i in range(len(runs))]
+        left = reduce(DataFrame.union, behind)
+        deals += 1
     return tables
 
 
@@ -418,7 +438,7 @@ def fit_minibatch(
 
     Passes over all rows end when one no longer lowers the error, unless their number is given.
     """
-    blocks = packed(df, columns, key, LEVEL in df.columns).persist(StorageLevel.MEMORY_AND_DISK)
+    blocks = packed(df, columns, key, LEVEL in df.columns).persist(KEPT)
     try:
         starts = drawn_starts(blocks, columns, key, {k: (k, seed, restarts)})[k]
         run = {k: Run(rows, batch_rows, passes)}

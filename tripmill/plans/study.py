@@ -20,6 +20,7 @@ from tripmill.functions.geometry import with_nearest
 from tripmill.operators import kmeans, minibatch, quality
 from tripmill.operators.sampling import prefix_cuts, sample_rows, with_priority
 from tripmill.schema import ALGORITHMS, ALTERNATIVE_SEED, RESULTS_SCHEMA, ROW_ID, SEED
+from tripmill.session import KEPT
 from tripmill.sources.writers import union_records
 
 # Sizes, batch sizes and the size the batch study runs on.
@@ -54,7 +55,7 @@ def shared_fits(
     leveled: DataFrame, columns: Sequence[str], k: int, runs: Sequence[RunKey], restarts: int
 ) -> dict[RunKey, Measured]:
     """All runs over a table of nested prefixes; sizes in order are its levels."""
-    blocks = kmeans.packed(leveled, columns, ROW_ID, leveled=True).persist(StorageLevel.MEMORY_AND_DISK)
+    blocks = kmeans.packed(leveled, columns, ROW_ID, leveled=True).persist(KEPT)
     try:
         return _shared_fits(leveled, blocks, columns, k, runs, restarts)
     finally:
