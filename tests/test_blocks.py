@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tripmill.operators import kmeans, minibatch
+from tripmill.plans import study
 from tripmill.schema import ROW_ID
 
 AXES = ["x", "y"]
@@ -100,3 +101,17 @@ def test_growing_tables_leave_the_heap_to_the_tasks(spark, monkeypatch):
     kmeans.fit_kmeans(points, AXES, 2, ROW_ID, restarts=1, max_iterations=1)
     minibatch.fit_minibatch(points, AXES, 2, ROW_ID, 30_000, restarts=1, passes=1)
     assert len(levels) >= 3 and not any(level.useMemory for level, in levels)
+
+
+def test_a_sweep_keeps_its_points_on_disk(spark, monkeypatch):
+    kept = []
+    persist = type(spark.range(0)).persist
+    monkeypatch.setattr(
+        type(spark.range(0)), "persist", lambda self, *level: kept.append((self.columns, *level)) or persist(self, *level)
+    )
+    points = leveled_points(spark).drop(kmeans.LEVEL)
+    table = study.size_sweep(points, AXES, 2, sizes=(500, 90_000), restarts=1)
+    assert {r["status"] for r in table.collect()} == {"ok", "skipped_insufficient_rows"}
+    # The nested prefixes and their blocks; the metric sample is bounded.
+    leveled = [level for columns, level in kept if kmeans.LEVEL in columns]
+    assert len(leveled) == 2 and not any(level.useMemory for level in leveled)

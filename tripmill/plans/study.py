@@ -225,7 +225,7 @@ def size_sweep(
     runs = {n: [(name, minibatch.BATCH_ROWS, False) for name in ALGORITHMS] for n in every if n <= total}
     if full:
         runs[total].append(("MiniBatchKMeans", minibatch.BATCH_ROWS, True))
-    leveled = nested(points, list(runs), total).persist(StorageLevel.MEMORY_AND_DISK)
+    leveled = nested(points, list(runs), total).persist(KEPT)
     keys = [(name, n, batch, streaming) for n, own in runs.items() for name, batch, streaming in own]
     fitted = _together(leveled, columns, k, keys, restarts) if keys else {}
     tables = []
