@@ -8,9 +8,9 @@ import uuid
 from pyspark import StorageLevel
 from pyspark.sql import SparkSession
 
-# Where tables are kept that grow with the input and are read many times: on the executors' disks.  In memory
-# their serialized pieces of 1 MB each fill up G1 regions of twice that size, so a full store takes about twice
-# its accounted size of the heap, and the tasks beside it run out of memory.
+# Where tables are kept that grow with the input and are read many times: on the executors' disks.  A full store
+# in memory takes more of the heap than Spark counts (likely as G1 gives its pieces of 1 MB two regions each), and
+# the tasks beside it run out of memory.
 KEPT = StorageLevel.DISK_ONLY
 # Bytes that one Arrow batch hands to a Python worker; longer values come alone.
 BATCH_BYTES = 16 << 20
